@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .packing import op2_harmonic_packing
 from .planes import op1_bit_planes
+from .simhash import op10_simhash_tiles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_bit_planes,
         op2_harmonic_packing,
+        op10_simhash_tiles,
     )
 }
 
