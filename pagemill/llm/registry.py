@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .packing import op2_harmonic_packing
 from .planes import op1_bit_planes
+from .quality import op8_rule_cascade
+from .secret_scan import op7_recursive_decoding
+from .sharding import op6_stratified_shards
 from .simhash import op10_simhash_tiles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -15,6 +18,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_bit_planes,
         op2_harmonic_packing,
+        op6_stratified_shards,
+        op7_recursive_decoding,
+        op8_rule_cascade,
         op10_simhash_tiles,
     )
 }
