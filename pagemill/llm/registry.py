@@ -12,6 +12,7 @@ from .quality import op8_rule_cascade
 from .secret_scan import op7_recursive_decoding
 from .sharding import op6_stratified_shards
 from .simhash import op10_simhash_tiles
+from .winnowing import OP9_SQL, op9_winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -21,8 +22,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_stratified_shards,
         op7_recursive_decoding,
         op8_rule_cascade,
+        op9_winnowing,
         op10_simhash_tiles,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_winnowing": OP9_SQL,
+}
