@@ -190,3 +190,33 @@ def op8_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = judge(table(spark, sf_dir, "documents"), features=True)
     base_failed = F.expr("n_words < 20 or 100 * n_repeat_words > 30 * n_words")
     return found.select("doc_id", *_FEATURES, base_failed.alias("base_failed"), F.col("rejected_by").isNull().alias("kept"))
+
+
+OP8_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), win AS (
+  SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n
+  FROM (SELECT r, i, array_to_string(w[i:i + 7], ' ') AS g
+        FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8))
+), rep AS (
+  SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 8)) AS p FROM win WHERE n > 1) GROUP BY r
+), lines AS (
+  SELECT r, count(*) AS n, count(*) - count(DISTINCT line) AS dup
+  FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r
+), f AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+         CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(coalesce(lines.dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words,
+         coalesce(lines.n, 0) AS n_lines
+  FROM d LEFT JOIN rep USING (r) LEFT JOIN lines USING (r)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 100 * n_dup_lines > 30 * n_lines
+            OR 100 * n_symbols > 25 * word_chars OR word_chars < 2 * n_words OR word_chars > 60 * n_words) AS kept
+FROM f
+"""

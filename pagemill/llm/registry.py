@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .packing import op2_harmonic_packing
 from .planes import op1_bit_planes
-from .quality import op8_rule_cascade
+from .quality import OP8_SQL, op8_rule_cascade
 from .secret_scan import op7_recursive_decoding
 from .sharding import op6_stratified_shards
 from .simhash import op10_simhash_tiles
+from .warc import OP5_SQL, op5_index_merge
 from .winnowing import OP9_SQL, op9_winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_bit_planes,
         op2_harmonic_packing,
+        op5_index_merge,
         op6_stratified_shards,
         op7_recursive_decoding,
         op8_rule_cascade,
@@ -28,5 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_index_merge": OP5_SQL,
+    "op8_rule_cascade": OP8_SQL,
     "op9_winnowing": OP9_SQL,
 }
