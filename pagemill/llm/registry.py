@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .boilerplate import op3_host_suffix_array
 from .packing import op2_harmonic_packing
 from .planes import op1_bit_planes
 from .quality import OP8_SQL, op8_rule_cascade
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_bit_planes,
         op2_harmonic_packing,
+        op3_host_suffix_array,
         op5_index_merge,
         op6_stratified_shards,
         op7_recursive_decoding,
