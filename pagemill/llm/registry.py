@@ -10,6 +10,7 @@ from .boilerplate import op3_host_suffix_array
 from .packing import op2_harmonic_packing
 from .planes import op1_bit_planes
 from .quality import OP8_SQL, op8_rule_cascade
+from .quotes import op4_quotation_links
 from .secret_scan import op7_recursive_decoding
 from .sharding import op6_stratified_shards
 from .simhash import op10_simhash_tiles
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_bit_planes,
         op2_harmonic_packing,
         op3_host_suffix_array,
+        op4_quotation_links,
         op5_index_merge,
         op6_stratified_shards,
         op7_recursive_decoding,
