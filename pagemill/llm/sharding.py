@@ -4,9 +4,9 @@ Rows are shuffled by a seeded hash and ranked within their source in that order;
 (2r - 1) / 2n, and all rows are sorted by it. Any stretch of that order holds each source in proportion, so cutting it into equal
 counts gives shards that match the mixture; the law kept is ``rows``: counts at most one apart.
 
-Both orders are found without a global sort or a task per source. Hash and fraction are evenly spread by construction, so their
-leading part is a bucket of bounded size; a rank is the count of rows in earlier buckets, from a small table of counts, plus the
-row number inside the bucket.
+Both orders are found without a global sort or a task per source. Hash and fraction are evenly spread by construction, so equal
+stretches of their range are buckets of bounded size; a rank is the count of rows in earlier buckets, from a small table of
+counts, plus the row number inside the bucket. The number of buckets spreads the work and changes no place.
 
 Defined cases: null texts have no bytes; null sources are one source; rows that tie in every sort column are alike and take
 consecutive places; null ``doc_id`` hashes like any other value; an empty table gives no rows; other columns are ignored.
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import table, written
+from .shared import partitions, table, written
 
 SHARDS, SEED, BUCKET_ROWS = 24, 6, 20_000
 
@@ -26,9 +26,8 @@ SHARDS, SEED, BUCKET_ROWS = 24, 6, 20_000
 def interleave(df: DataFrame, stratum: str, key: str, seed: int = SEED) -> DataFrame:
     """``df`` with ``position`` (0 .. rows - 1), the row's place in the interleaved order of ``stratum``."""
     n = df.count()
-    buckets = F.lit(max(1, -(-n // BUCKET_ROWS)))
-    mixed = F.xxhash64(F.lit(seed), key)
-    rows = df.withColumn("_h", mixed).withColumn("_b", F.pmod(F.shiftright("_h", 20), buckets))
+    buckets = F.lit(max(1, -(-n // BUCKET_ROWS), min(n // 100, 4 * partitions(df.sparkSession))))
+    rows = df.withColumn("_h", F.xxhash64(F.lit(seed), key)).withColumn("_b", F.floor((F.col("_h") / 2.0**64 + 0.5) * buckets))
     rows = rows.withColumn("_src", F.xxhash64(F.lit(seed), stratum))
     counts = rows.groupBy("_src", "_b").agg(F.count(F.lit(1)).alias("_n"))
     own = W.partitionBy("_src")
