@@ -1,12 +1,13 @@
 """SimHash fingerprints and their exact linking within a Hamming radius.
 
 Fingerprints. A text's words, lower-cased in A-Z and cut at ASCII white space, give shingles of ``shingle`` words, repeats
-included (a shorter text: all its words as one). A bit is set if it is set in over half of the shingles' XXH64 values.
+included (a shorter text: all its words as one). A bit is set if it is set in over half of the shingles' XXH64 values. A longer
+fingerprint has several lanes of 64 bits, of following seeds.
 
 Linking. Equal fingerprints are one class. The distinct ones are dealt into tiles by their population counts, taken over equal
-blocks of the 64 bits: two fingerprints within the radius differ by at most the radius in the sum of their blocks' counts, so
+blocks of the first lane: two fingerprints within the radius differ by at most the radius in the sum of their blocks' counts, so
 tile pairs beyond it are skipped and no link is lost. More blocks make more and smaller tiles; their number follows the number
-of fingerprints and changes no result. A tile that holds more than ``TILE`` is split by a hash. Every remaining pair of tiles is
+of fingerprints and changes no result. A tile that holds more than ``tile`` is split by a hash. Every remaining pair of tiles is
 compared in full with numpy's exclusive-or and bit counts, and gives at most one edge per fingerprint: a spanning forest of its
 links, not all pairs. Connected components of these edges are the groups.
 
@@ -16,7 +17,7 @@ where a group has no other; repeated rows stay; an empty table gives no rows; ot
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import accumulate, product
 
 import numpy as np
@@ -29,6 +30,9 @@ from .components import components
 from .shared import table, written
 
 SHINGLE, RADIUS, SEED, TILE = 3, 3, 42, 1024
+#: For near copies: five words and a similarity of 0.8. At that Jaccard similarity the cosine is 0.89 and about 39 of 256 bits
+#: differ; 44 keeps nearly all such pairs, and two unrelated texts are ten standard deviations away.
+COPIES = {"shingle": 5, "lanes": 4, "radius": 44, "tile": 16384}
 
 
 def shingles(text: str | None, size: int) -> list[bytes]:
@@ -41,43 +45,61 @@ def shingles(text: str | None, size: int) -> list[bytes]:
     return [joined[a : b - 1] for a, b in zip([0, *ends], ends[size - 1 :], strict=False)]
 
 
-def fingerprint(text: str | None, size: int = SHINGLE, seed: int = SEED) -> int:
-    digest = xxhash.xxh64_digest
-    hashes = b"".join([digest(s, seed) for s in shingles(text, size)])
-    if not hashes:
-        return 0
-    rows = np.frombuffer(hashes, np.uint8).reshape(-1, 8)
-    counts = sum(np.unpackbits(rows[i : i + 4096], axis=1).sum(axis=0, dtype=np.int64) for i in range(0, len(rows), 4096))
-    return int.from_bytes(np.packbits(2 * counts > len(rows)).tobytes(), "big")
+def fingerprint(text: str | None, size: int = SHINGLE, seed: int = SEED, lanes: int = 1) -> list[int]:
+    """The lanes of a text's fingerprint, unsigned."""
+    own, digest = shingles(text, size), xxhash.xxh64_digest
+    if not own:
+        return [0] * lanes
+    out = []
+    for k in range(seed, seed + lanes):
+        rows = np.frombuffer(b"".join([digest(s, k) for s in own]), np.uint8).reshape(-1, 8)
+        counts = sum(np.unpackbits(rows[i : i + 4096], axis=1).sum(axis=0, dtype=np.int64) for i in range(0, len(rows), 4096))
+        out.append(int.from_bytes(np.packbits(2 * counts > len(rows)).tobytes(), "big"))
+    return out
 
 
-def fingerprints(df: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """``doc_id`` and ``fp`` (the 64 bits as a long) of each row of ``df`` (doc_id, text)."""
+def fingerprints(df: DataFrame, shingle: int = SHINGLE, seed: int = SEED, lanes: int = 1, keep: Sequence[str] = ()) -> DataFrame:
+    """``doc_id``, ``fp`` (its lanes as longs) and the string columns ``keep`` of each row of ``df`` (doc_id, text)."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t.as_py(), shingle, seed) for t in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["doc_id", "fp"])
-
-    return df.select(F.col("doc_id").cast("long"), "text").mapInArrow(of, "doc_id long, fp long")
-
-
-def _forest(a: np.ndarray, b: np.ndarray, same: bool, radius: int) -> np.ndarray:
-    """Edges (n, 2) that connect what is within ``radius`` in two tiles (or one tile with itself)."""
-    rows, cols = [], []
-    for at in range(0, len(a), 256):
-        r, c = np.nonzero(np.bitwise_count(a[at : at + 256, None] ^ b[None, :]) <= radius)
+            fps = np.array([fingerprint(t.as_py(), shingle, seed, lanes) for t in batch.column(1)], np.uint64).reshape(-1).view(np.int64)
+            offsets = np.arange(0, len(fps) + 1, lanes, dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(fps)), *batch.columns[2:]], ["doc_id", "fp", *keep])
+
+    return df.select(F.col("doc_id").cast("long"), "text", *keep).mapInArrow(of, "doc_id long, fp array<bigint>" + "".join(f", {k} string" for k in keep))
+
+
+def _within(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column numbers of all pairs of fingerprints (n, lanes) that differ in at most ``radius`` bits."""
+    lanes = a.shape[1]
+    half, rows, cols = max(1, lanes // 2), [], []
+    step = max(1, (1 << 20) // max(len(b), 1))
+    for at in range(0, len(a), step):
+        part = a[at : at + step]
+        bits = np.bitwise_count(part[:, None, 0] ^ b[None, :, 0])
+        for k in range(1, half):
+            bits += np.bitwise_count(part[:, None, k] ^ b[None, :, k])
+        r, c = np.nonzero(bits <= radius)
+        if half < lanes and len(r):  # the other lanes only of pairs that the first ones leave
+            near = np.bitwise_count(part[r] ^ b[c]).sum(axis=1) <= radius
+            r, c = r[near], c[near]
         rows.append(r + at)
         cols.append(c)
-    r, c = np.concatenate(rows), np.concatenate(cols)
+    return np.concatenate(rows), np.concatenate(cols)
+
+
+def _forest(nodes: tuple[np.ndarray, np.ndarray], a: np.ndarray, b: np.ndarray, same: bool, radius: int) -> np.ndarray:
+    """Edges (n, 2) between nodes that connect what is within ``radius`` in two tiles (or one tile with itself)."""
+    r, c = _within(a, b, radius)
     if same:
         r, c = r[r < c], c[r < c]
     else:
         c = c + len(a)
     if not len(r):
         return np.empty((0, 2), np.int64)
-    values = a if same else np.concatenate([a, b])
-    label = np.arange(len(values))
+    names = nodes[0] if same else np.concatenate(nodes)
+    label = np.arange(len(names))
     while True:
         least = np.minimum(label[r], label[c])
         new = label.copy()
@@ -87,36 +109,38 @@ def _forest(a: np.ndarray, b: np.ndarray, same: bool, radius: int) -> np.ndarray
         if (new == label).all():
             break
         label = new
-    moved = np.nonzero(label != np.arange(len(values)))[0]
-    return np.stack([values[moved], values[label[moved]]], axis=1).view(np.int64)
+    moved = np.nonzero(label != np.arange(len(names)))[0]
+    return np.stack([names[moved], names[label[moved]]], axis=1)
 
 
-def _blocks(n: int) -> int:
-    """Blocks whose population counts tile ``n`` fingerprints."""
-    return 2 if n <= 1 << 21 else 4 if n <= 1 << 30 else 8
+def _blocks(n: int, radius: int) -> int:
+    """Blocks whose population counts tile ``n`` fingerprints; a wide radius leaves nothing for more than one to skip."""
+    return 1 if radius > 8 else 2 if n <= 1 << 21 else 4 if n <= 1 << 30 else 8
 
 
-def hamming_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Edges (a, b) between the distinct longs ``fp`` of ``fps`` that connect all that lie within ``radius`` bits."""
-    blocks = _blocks(fps.count())
+def hamming_links(fps: DataFrame, radius: int = RADIUS, lanes: int = 1, tile: int = TILE) -> DataFrame:
+    """Edges (a, b) between the nodes of ``fps`` (node, fp: distinct, ``lanes`` longs) that connect all that lie within ``radius`` bits."""
+    blocks = _blocks(fps.count(), radius)
     width = 64 // blocks
     base = width + 1
-    counts = [F.bit_count(F.shiftrightunsigned("fp", i * width).bitwiseAND(F.lit((1 << width) - 1))) for i in range(blocks)]
+    mask = F.lit((1 << width) - 1 if width < 64 else -1)
+    counts = [F.bit_count(F.shiftrightunsigned(F.get("fp", F.lit(0)), i * width).bitwiseAND(mask)) for i in range(blocks)]
     sign = sum((c * F.lit(base**i) for i, c in enumerate(counts)), F.lit(0)).cast("long")
-    fps = fps.select("fp", sign.alias("sign"))
+    fps = fps.select("node", "fp", sign.alias("sign"))
     # At most base ** blocks rows: 1,089 signatures with two blocks, 83,521 with four.
-    sizes = fps.groupBy("sign").agg(F.count(F.lit(1)).alias("n")).select("sign", F.ceil(F.col("n") / TILE).cast("int").alias("parts"))
+    sizes = fps.groupBy("sign").agg(F.count(F.lit(1)).alias("n")).select("sign", F.ceil(F.col("n") / tile).cast("int").alias("parts"))
     sizes = written(sizes, "tile-sizes")
     tiles = written(
         fps.join(sizes, "sign")
-        .withColumn("part", F.pmod(F.xxhash64("fp"), "parts").cast("int"))
+        .withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
         .groupBy("sign", "part")
-        .agg(F.collect_list("fp").alias("fps")),
+        .agg(F.collect_list(F.struct("node", "fp")).alias("t"))
+        .select("sign", "part", F.struct(F.col("t.node").alias("node"), F.flatten("t.fp").alias("fp")).alias("tile")),
         "tiles",
     )
     # Signatures within the radius of each other, by equal keys: shift the counts by every difference of that size.
     digit = lambda i: F.floor(F.col("sign") / base**i) % base
-    shifts = [d for d in product(range(-radius, radius + 1), repeat=blocks) if sum(map(abs, d)) <= radius]
+    shifts = [d for d in product(range(-min(radius, width), min(radius, width) + 1), repeat=blocks) if sum(map(abs, d)) <= radius]
     shift = F.explode(F.array(*[F.struct(F.lit(sum(x * base**i for i, x in enumerate(d))).cast("long").alias("by"), *[F.lit(x).alias(f"d{i}") for i, x in enumerate(d)]) for d in shifts]))
     inside = [(digit(i) + F.col(f"s.d{i}")).between(0, width) for i in range(blocks)]
     near = sizes.select("sign", shift.alias("s"))
@@ -124,38 +148,65 @@ def hamming_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
         near = near.filter(x)
     near = near.select(F.col("sign").alias("other"), (F.col("sign") + F.col("s.by")).alias("sign")).filter("sign <= other").join(sizes, "sign")
     pairs = (
-        tiles.select(F.col("sign").alias("other"), F.col("part").alias("other_part"), F.col("fps").alias("others"))
+        tiles.select(F.col("sign").alias("other"), F.col("part").alias("other_part"), F.col("tile").alias("others"))
         .join(near, "other")
         .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .filter("sign < other or part <= other_part")
         .join(tiles, ["sign", "part"])
-        .select("fps", "others", F.expr("sign = other and part = other_part").alias("same"))
+        .select("tile", "others", F.expr("sign = other and part = other_part").alias("same"))
     )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [np.empty((0, 2), np.int64)]
-            left, right = batch.column(0), batch.column(1)
+            node, fp = ([c.field(k) for c in batch.columns[:2]] for k in (0, 1))
             for i, same in enumerate(batch.column(2).to_pylist()):
-                a, b = (np.asarray(x[i].values).view(np.uint64) for x in (left, right))
-                found.append(_forest(a, b, same, radius))
+                names = tuple(np.asarray(c[i].values) for c in node)
+                a, b = (np.asarray(c[i].values).view(np.uint64).reshape(-1, lanes) for c in fp)
+                found.append(_forest(names, a, b, same, radius))
             edges = np.concatenate(found)
             yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["a", "b"])
 
     return pairs.mapInArrow(compare, "a long, b long")
 
 
-def near_duplicates(df: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED) -> DataFrame:
+def groups(df: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED, lanes: int = 1, tile: int = TILE, keep: Sequence[str] = ()) -> DataFrame:
+    """Per row of ``df`` (doc_id, text): doc_id, fp, the string columns ``keep``, and ``root``, equal for all that links connect."""
+    prints = written(fingerprints(df, shingle, seed, lanes, keep), "fingerprints")
+    node = F.get("fp", F.lit(0)) if lanes == 1 else F.xxhash64("fp")
+    distinct = written(prints.select("fp").distinct().withColumn("node", node), "distinct-fingerprints")
+    roots = components(hamming_links(distinct, radius, lanes, tile)).withColumnRenamed("node", "n")
+    grouped = distinct.join(roots, F.col("node") == F.col("n"), "left").select("fp", F.coalesce("root", "node").alias("root"))
+    return prints.join(grouped, "fp").select("doc_id", "fp", *keep, "root")
+
+
+def near_duplicates(df: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED, lanes: int = 1, tile: int = TILE) -> DataFrame:
     """Per row of ``df`` (doc_id, text): doc_id, fp, and component_id, the smallest doc_id that it reaches by links."""
-    prints = written(fingerprints(df, shingle, seed), "fingerprints")
-    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
-    roots = components(hamming_links(distinct.select("fp"), radius))
-    grouped = written(distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "roots")
-    named = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
-    return prints.join(grouped.join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    found = written(groups(df, shingle, radius, seed, lanes, tile), "groups")
+    return found.join(found.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "fp", "component_id")
+
+
+def drop_near_copies(df: DataFrame, **how: int) -> DataFrame:
+    """``df`` with one row of each group of near copies (``COPIES``, or ``how``), with all columns: that with the smallest doc_id.
+
+    Rows that share the smallest ``doc_id`` are told apart by text, and of repeated rows one stays; nulls come last."""
+    columns = df.columns
+    key = F.md5(F.concat_ws("\n", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))))
+    df = df.withColumn("row_key", key)
+    found = written(groups(df, **(COPIES | how), keep=["row_key"]), "groups")
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key"))["row_key"].alias("stays"))
+    # These lists grow with the corpus, so they are never broadcast.
+    gone = written(found.join(first, "root").filter("row_key <> stays").select("row_key").distinct(), "copies")
+    rest = df.join(gone.hint("merge"), "row_key", "left_anti")
+    twice = found.groupBy("row_key").count().filter("count > 1").select("row_key")
+    twice = written(twice.join(gone, "row_key", "left_anti"), "repeated-rows")
+    if twice.isEmpty():
+        return rest.select(columns)
+    one = rest.join(twice.hint("merge"), "row_key", "left_semi").dropDuplicates(["row_key"])
+    return rest.join(twice.hint("merge"), "row_key", "left_anti").select(columns).unionByName(one.select(columns))
 
 
 def op10_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: doc_id, fingerprint (16 hex digits), component_id."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return found.select("doc_id", F.lpad(F.lower(F.hex(F.get("fp", F.lit(0)))), 16, "0").alias("fingerprint"), "component_id")
