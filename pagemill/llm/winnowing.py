@@ -5,11 +5,11 @@ window of ``WINDOW`` words keeps the least hash of its grams as its fingerprint,
 of ``WINDOW`` or more words that a document shares with an item is never missed. An item of fewer words is one window with the
 hash of all its words; only lengths that occur among the items are looked for.
 
-1. One pass over the documents: word count, and those distinct fingerprints whose place in a bitmap of the items' fingerprints
-   is set. The bitmap has a fixed number of bits; a wrong pass costs time only.
-2. These fingerprints are joined with the items'. A text with none left is clean.
-3. Extension: in the texts that are left, every window with a matched fingerprint is compared word by word with the items'
-   windows (an equi-join on the window's words). What is equal is an occurrence.
+1. One pass over the documents: word count, and those windows whose fingerprint's place in a bitmap of the items' fingerprints
+   is set, with their words. The bitmap's size is bounded; a wrong pass costs time only. No text is shuffled or read again.
+2. The windows' fingerprints are joined with the items'.
+3. Extension: windows with a matched fingerprint are compared word by word with the items' windows (an equi-join on the window's
+   words). What is equal is an occurrence.
 4. Occurrences of a text are merged into hit words; their items are listed.
 
 Texts are matched by digest, so copies are looked up once per text and a document's row is never multiplied. Joins are broadcast
@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from .shared import table, written
 
 WINDOW, GRAM = 10, 5
-BITMAP_BITS = 1 << 20
+#: Bits of the bitmap for each fingerprint of an item, and the most and fewest in all: 2 MB as longs.
+BITS_EACH, FEWEST_BITS, MOST_BITS = 128, 1 << 16, 1 << 24
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -70,19 +71,21 @@ def _item_windows(items: DataFrame) -> DataFrame:
     return wins.select("item_id", "size", F.array_join("w", " ").alias("window"), fp.alias("fp")).distinct()
 
 
-def _bitmap(fps: DataFrame) -> Column:
-    """A constant array of longs with a bit set for each fingerprint; its size is fixed."""
-    slot = F.pmod("fp", F.lit(BITMAP_BITS))
-    # At most BITMAP_BITS / 64 rows.
-    rows = fps.groupBy(F.shiftright(slot, 6).cast("int").alias("k")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(fp, {BITMAP_BITS}) & 63 as int))")).alias("v")).collect()
+def _bitmap_test(fps: DataFrame):
+    """A test on a fingerprint column: false only if ``fps`` doesn't hold it. It reads a constant array of longs."""
+    bits = FEWEST_BITS
+    n = fps.count()
+    while bits < MOST_BITS and bits < BITS_EACH * n:
+        bits *= 2
+    bit = F.expr(f"shiftleft(1L, cast(pmod(fp, {bits}) & 63 as int))")
+    # At most bits / 64 rows.
+    rows = fps.groupBy(F.shiftright(F.pmod("fp", F.lit(bits)), 6).cast("int").alias("k")).agg(F.bit_or(bit).alias("v")).collect()
     held = {r.k: r.v for r in rows}
-    return F.split(F.lit(",".join(str(held.get(k, 0)) for k in range(BITMAP_BITS // 64))), ",").cast("array<bigint>")
+    longs = F.split(F.lit(",".join(str(held.get(k, 0)) for k in range(bits // 64))), ",").cast("array<bigint>")
 
-
-def _maybe(bitmap: Column):
     def test(fp: Column) -> Column:
-        slot = F.pmod(fp, F.lit(BITMAP_BITS))
-        word = F.get(bitmap, F.shiftright(slot, 6).cast("int"))
+        slot = F.pmod(fp, F.lit(bits))
+        word = F.get(longs, F.shiftright(slot, 6).cast("int"))
         return F.call_function("getbit", word, slot.bitwiseAND(F.lit(63)).cast("int")) == 1
 
     return test
@@ -93,32 +96,22 @@ def contamination(df: DataFrame, items: DataFrame) -> DataFrame:
     wins = written(_item_windows(items), "item-windows")
     sizes = sorted(r[0] for r in wins.select("size").distinct().collect())  # at most WINDOW of them
     fps = written(wins.select("fp").distinct(), "item-fingerprints")
-    maybe = _maybe(_bitmap(fps))
-
-    digest = F.md5(F.coalesce(F.col("text"), F.lit("")))
-    docs = df.select("doc_id", "text", digest.alias("digest"))
+    maybe = _bitmap_test(fps)
 
-    def prints(s: int, ws: Column, n: Column) -> Column:
-        return _fingerprints(ws, n) if s == WINDOW else _short(ws, n, s)
+    def candidates(s: int, ws: Column) -> Column:
+        own = _fingerprints(ws, F.size(ws)) if s == WINDOW else _short(ws, F.size(ws), s)
+        own = F.filter(F.transform(own, lambda fp, i: F.struct(i.alias("at"), fp.alias("fp"))), lambda x: maybe(x["fp"]))
+        return F.transform(own, lambda x: F.struct(x["at"].alias("at"), F.lit(s).alias("size"), x["fp"].alias("fp"), F.array_join(F.slice(ws, x["at"] + 1, s), " ").alias("window")))
 
-    def own(ws: Column) -> Column:
-        kinds = [F.filter(prints(s, ws, F.size(ws)), maybe) for s in sizes] or [F.array().cast("array<bigint>")]
-        return F.struct(F.size(ws).cast("long").alias("n_words"), F.array_distinct(F.concat(*kinds)).alias("own"))
+    def cut(ws: Column) -> Column:
+        return F.struct(F.size(ws).cast("long").alias("n_words"), F.concat(*[candidates(s, ws) for s in sizes or [WINDOW]]).alias("own"))
 
-    seen = docs.select("doc_id", "digest", F.inline(F.transform(F.array(words(F.col("text"))), own)))
-    seen = written(seen, "document-fingerprints")
-
-    matched = seen.select("digest", F.explode("own").alias("fp")).distinct().join(fps, "fp").groupBy("digest").agg(F.collect_set("fp").alias("fps"))
-    matched = written(matched, "matched")
-    left = docs.join(matched, "digest").select("digest", "text", "fps")
-
-    def starts(s: int, ws: Column) -> Column:
-        at = F.transform(prints(s, ws, F.size(ws)), lambda fp, i: F.struct(i.alias("at"), fp.alias("fp")))
-        at = F.filter(at, lambda x: maybe(x["fp"]) & F.array_contains("fps", x["fp"]))
-        return F.transform(at, lambda x: F.struct(x["at"].alias("at"), F.lit(s).alias("size"), F.array_join(F.slice(ws, x["at"] + 1, s), " ").alias("window")))
+    digest = F.md5(F.coalesce(F.col("text"), F.lit("")))
+    seen = df.select("doc_id", digest.alias("digest"), F.inline(F.transform(F.array(words(F.col("text"))), cut)))
+    seen = written(seen, "candidate-windows")
 
-    windows = _let(words(F.col("text")), lambda ws: F.concat(*[starts(s, ws) for s in sizes or [WINDOW]]))
-    found = left.select("digest", F.inline(windows)).distinct()
+    matched = seen.select("digest", F.inline("own")).join(fps, "fp", "left_semi")
+    found = matched.select("digest", "at", "size", "window").distinct()
     distinct = wins.groupBy("size", "window").agg(F.collect_set(F.col("item_id").cast("string")).alias("item_ids"))
     hits = written(found.join(distinct, ["size", "window"]).select("digest", "at", "size", "window", "item_ids"), "hits")
 
@@ -142,7 +135,8 @@ def contamination(df: DataFrame, items: DataFrame) -> DataFrame:
 def drop_contaminated(df: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``df`` whose text holds no window of an item, with all columns."""
     found = written(contamination(df, items).filter("n_hit > 0").select("digest").distinct(), "contaminated")
-    return df.join(found, F.md5(F.coalesce(df["text"], F.lit(""))) == found["digest"], "left_anti")
+    # The list grows with the corpus, so it is never broadcast.
+    return df.join(found.hint("merge"), F.md5(F.coalesce(df["text"], F.lit(""))) == found["digest"], "left_anti")
 
 
 def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
