@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 from pagemill.plans.audit import audit, inspection, report, statistics
 from pagemill.operators.relational import comment_plan
 from pagemill.sources import docx as source
+from pagemill.sources.annotate import annotated
+from pagemill.streaming import inbox
 
 from .docx_fixtures import NS, REFS, docx, p, section
 
@@ -79,3 +81,22 @@ def test_reports(audited):
     stats = statistics(findings, plan).collect()
     assert len(stats) == 2 and all(0 < s.coverage < 100 for s in stats)
     assert inspection(docs, out.paragraphs, most=2).count() == 2
+
+
+def test_annotated_copies_are_sound(spark, audited):
+    docs, out, _, _ = audited
+    files = spark.createDataFrame([("good.docx", bytearray(docx(GOOD, word__header1=HEADER))), ("bad.docx", bytearray(docx(BAD)))], "path string, content binary")
+    plan = comment_plan(out.findings, out.paragraphs.select("doc_id", "part_name", F.col("idx").alias("paragraph_index"), "text"))
+    got = {r.path: r for r in annotated(files, docs, out.findings, plan).collect()}
+    assert got["good.docx"].problems == got["bad.docx"].problems == []
+    assert got["bad.docx"].comments > 5
+
+
+def test_packages_are_scanned_as_they_arrive(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(inbox, "audit", lambda _, docs: docs.select("doc_id", "error").collect())
+    seen = []
+    (tmp_path / "in").mkdir()
+    for name in ("a", "b"):
+        (tmp_path / "in" / f"{name}.docx").write_bytes(docx(p(name) + section()))
+        inbox.watch(spark, str(tmp_path / "in"), str(tmp_path / "state"), lambda rows, n: seen.append((n, len(rows)))).awaitTermination(60)
+    assert seen == [(0, 1), (1, 1)]
