@@ -7,7 +7,9 @@ fingerprint has several lanes of 64 bits, of following seeds.
 Linking. Equal fingerprints are one class. The distinct ones are dealt into tiles by their population counts, taken over equal
 blocks of the first lane: two fingerprints within the radius differ by at most the radius in the sum of their blocks' counts, so
 tile pairs beyond it are skipped and no link is lost. More blocks make more and smaller tiles; their number follows the number
-of fingerprints and changes no result. A tile that holds more than ``tile`` is split by a hash. Every remaining pair of tiles is
+of fingerprints and changes no result. For a wide radius, where bit counts skip nothing, the population that counts is that of a
+text's distinct shingles: texts whose numbers of them are in a ratio under ``ratio`` have a lower Jaccard similarity than that, so
+numbers are cut into bands of this ratio and only equal and neighbouring bands are compared. A tile that holds more than ``tile`` is split by a hash. Every remaining pair of tiles is
 compared in full with numpy's exclusive-or and bit counts, and gives at most one edge per fingerprint: a spanning forest of its
 links, not all pairs. Connected components of these edges are the groups.
 
@@ -17,6 +19,7 @@ where a group has no other; repeated rows stay; an empty table gives no rows; ot
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from itertools import accumulate, product
 
@@ -32,7 +35,7 @@ from .shared import table, written
 SHINGLE, RADIUS, SEED, TILE = 3, 3, 42, 1024
 #: For near copies: five words and a similarity of 0.8. At that Jaccard similarity the cosine is 0.89 and about 39 of 256 bits
 #: differ; 44 keeps nearly all such pairs, and two unrelated texts are ten standard deviations away.
-COPIES = {"shingle": 5, "lanes": 4, "radius": 44, "tile": 16384}
+COPIES = {"shingle": 5, "lanes": 4, "radius": 44, "tile": 16384, "ratio": 0.8}
 
 
 def shingles(text: str | None, size: int) -> list[bytes]:
@@ -58,16 +61,23 @@ def fingerprint(text: str | None, size: int = SHINGLE, seed: int = SEED, lanes:
     return out
 
 
-def fingerprints(df: DataFrame, shingle: int = SHINGLE, seed: int = SEED, lanes: int = 1, keep: Sequence[str] = ()) -> DataFrame:
-    """``doc_id``, ``fp`` (its lanes as longs) and the string columns ``keep`` of each row of ``df`` (doc_id, text)."""
+def band(text: str | None, size: int, ratio: float) -> int:
+    """The band of a text's number of distinct shingles; 0 without shingles, and for all texts without a ``ratio``."""
+    n = len(set(shingles(text, size))) if ratio else 0
+    return 1 + math.floor(math.log(n) / -math.log(ratio)) if n else 0
+
+
+def fingerprints(df: DataFrame, shingle: int = SHINGLE, seed: int = SEED, lanes: int = 1, ratio: float = 0.0, keep: Sequence[str] = ()) -> DataFrame:
+    """``doc_id``, ``fp`` (its lanes as longs), ``band`` and the string columns ``keep`` of each row of ``df`` (doc_id, text)."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t.as_py(), shingle, seed, lanes) for t in batch.column(1)], np.uint64).reshape(-1).view(np.int64)
             offsets = np.arange(0, len(fps) + 1, lanes, dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(fps)), *batch.columns[2:]], ["doc_id", "fp", *keep])
+            bands = pa.array([band(t.as_py(), shingle, ratio) for t in batch.column(1)], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(fps)), bands, *batch.columns[2:]], ["doc_id", "fp", "band", *keep])
 
-    return df.select(F.col("doc_id").cast("long"), "text", *keep).mapInArrow(of, "doc_id long, fp array<bigint>" + "".join(f", {k} string" for k in keep))
+    return df.select(F.col("doc_id").cast("long"), "text", *keep).mapInArrow(of, "doc_id long, fp array<bigint>, band int" + "".join(f", {k} string" for k in keep))
 
 
 def _within(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -114,20 +124,21 @@ def _forest(nodes: tuple[np.ndarray, np.ndarray], a: np.ndarray, b: np.ndarray,
 
 
 def _blocks(n: int, radius: int) -> int:
-    """Blocks whose population counts tile ``n`` fingerprints; a wide radius leaves nothing for more than one to skip."""
-    return 1 if radius > 8 else 2 if n <= 1 << 21 else 4 if n <= 1 << 30 else 8
+    """Blocks whose population counts tile ``n`` fingerprints; a wide radius leaves them nothing to skip."""
+    return 0 if radius > 8 else 2 if n <= 1 << 21 else 4 if n <= 1 << 30 else 8
 
 
 def hamming_links(fps: DataFrame, radius: int = RADIUS, lanes: int = 1, tile: int = TILE) -> DataFrame:
-    """Edges (a, b) between the nodes of ``fps`` (node, fp: distinct, ``lanes`` longs) that connect all that lie within ``radius`` bits."""
+    """Edges (a, b) between the nodes of ``fps`` (node, fp: ``lanes`` longs, band) that connect all that lie within ``radius`` bits, in
+    equal or neighbouring bands."""
     blocks = _blocks(fps.count(), radius)
-    width = 64 // blocks
+    width = 64 // max(blocks, 1)
     base = width + 1
     mask = F.lit((1 << width) - 1 if width < 64 else -1)
     counts = [F.bit_count(F.shiftrightunsigned(F.get("fp", F.lit(0)), i * width).bitwiseAND(mask)) for i in range(blocks)]
-    sign = sum((c * F.lit(base**i) for i, c in enumerate(counts)), F.lit(0)).cast("long")
+    sign = sum((c * F.lit(base**i) for i, c in enumerate(counts)), F.col("band") * F.lit(base**blocks)).cast("long")
     fps = fps.select("node", "fp", sign.alias("sign"))
-    # At most base ** blocks rows: 1,089 signatures with two blocks, 83,521 with four.
+    # At most base ** blocks rows a band: 1,089 signatures with two blocks, 83,521 with four.
     sizes = fps.groupBy("sign").agg(F.count(F.lit(1)).alias("n")).select("sign", F.ceil(F.col("n") / tile).cast("int").alias("parts"))
     sizes = written(sizes, "tile-sizes")
     tiles = written(
@@ -141,7 +152,8 @@ def hamming_links(fps: DataFrame, radius: int = RADIUS, lanes: int = 1, tile: in
     # Signatures within the radius of each other, by equal keys: shift the counts by every difference of that size.
     digit = lambda i: F.floor(F.col("sign") / base**i) % base
     shifts = [d for d in product(range(-min(radius, width), min(radius, width) + 1), repeat=blocks) if sum(map(abs, d)) <= radius]
-    shift = F.explode(F.array(*[F.struct(F.lit(sum(x * base**i for i, x in enumerate(d))).cast("long").alias("by"), *[F.lit(x).alias(f"d{i}") for i, x in enumerate(d)]) for d in shifts]))
+    steps = [(k * base**blocks + sum(x * base**i for i, x in enumerate(d)), d) for k in (-1, 0, 1) for d in shifts]
+    shift = F.explode(F.array(*[F.struct(F.lit(by).cast("long").alias("by"), *[F.lit(x).alias(f"d{i}") for i, x in enumerate(d)]) for by, d in steps]))
     inside = [(digit(i) + F.col(f"s.d{i}")).between(0, width) for i in range(blocks)]
     near = sizes.select("sign", shift.alias("s"))
     for x in inside:
@@ -170,14 +182,14 @@ def hamming_links(fps: DataFrame, radius: int = RADIUS, lanes: int = 1, tile: in
     return pairs.mapInArrow(compare, "a long, b long")
 
 
-def groups(df: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED, lanes: int = 1, tile: int = TILE, keep: Sequence[str] = ()) -> DataFrame:
+def groups(df: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED, lanes: int = 1, tile: int = TILE, ratio: float = 0.0, keep: Sequence[str] = ()) -> DataFrame:
     """Per row of ``df`` (doc_id, text): doc_id, fp, the string columns ``keep``, and ``root``, equal for all that links connect."""
-    prints = written(fingerprints(df, shingle, seed, lanes, keep), "fingerprints")
-    node = F.get("fp", F.lit(0)) if lanes == 1 else F.xxhash64("fp")
-    distinct = written(prints.select("fp").distinct().withColumn("node", node), "distinct-fingerprints")
+    prints = written(fingerprints(df, shingle, seed, lanes, ratio, keep), "fingerprints")
+    node = F.get("fp", F.lit(0)) if lanes == 1 and not ratio else F.xxhash64("fp", "band")
+    distinct = written(prints.select("fp", "band").distinct().withColumn("node", node), "distinct-fingerprints")
     roots = components(hamming_links(distinct, radius, lanes, tile)).withColumnRenamed("node", "n")
-    grouped = distinct.join(roots, F.col("node") == F.col("n"), "left").select("fp", F.coalesce("root", "node").alias("root"))
-    return prints.join(grouped, "fp").select("doc_id", "fp", *keep, "root")
+    grouped = distinct.join(roots, F.col("node") == F.col("n"), "left").select("fp", "band", F.coalesce("root", "node").alias("root"))
+    return prints.join(grouped, ["fp", "band"]).select("doc_id", "fp", *keep, "root")
 
 
 def near_duplicates(df: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED, lanes: int = 1, tile: int = TILE) -> DataFrame:
@@ -186,7 +198,7 @@ def near_duplicates(df: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS,
     return found.join(found.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "fp", "component_id")
 
 
-def drop_near_copies(df: DataFrame, **how: int) -> DataFrame:
+def drop_near_copies(df: DataFrame, **how: float) -> DataFrame:
     """``df`` with one row of each group of near copies (``COPIES``, or ``how``), with all columns: that with the smallest doc_id.
 
     Rows that share the smallest ``doc_id`` are told apart by text, and of repeated rows one stays; nulls come last."""
