@@ -9,9 +9,14 @@ blocks of the first lane: two fingerprints within the radius differ by at most t
 tile pairs beyond it are skipped and no link is lost. More blocks make more and smaller tiles; their number follows the number
 of fingerprints and changes no result. For a wide radius, where bit counts skip nothing, the population that counts is that of a
 text's distinct shingles: texts whose numbers of them are in a ratio under ``ratio`` have a lower Jaccard similarity than that, so
-numbers are cut into bands of this ratio and only equal and neighbouring bands are compared. A tile that holds more than ``tile`` is split by a hash. Every remaining pair of tiles is
-compared in full with numpy's exclusive-or and bit counts, and gives at most one edge per fingerprint: a spanning forest of its
-links, not all pairs. Connected components of these edges are the groups.
+numbers are cut into bands of this ratio and only equal and neighbouring bands are compared. A tile that holds more than ``tile``
+is split by a hash. Every remaining pair of tiles is compared in full with numpy's exclusive-or and bit counts, and gives a
+spanning forest of its links, of the fewest differing bits, not all pairs. Connected components of these edges are the groups.
+
+Near copies (with ``ratio``). The radius is only where candidates lie: an edge counts if the two texts' sets of shingles have a
+Jaccard similarity of ``ratio`` or more. So that a failing edge doesn't hide another that holds, several forests are taken, each of
+what the ones before leave: between any two parts of a group at least ``forests`` of the nearest pairs are held against the texts,
+or all if there are fewer. Edges grow with the number of fingerprints, not with the pairs in a group.
 
 Defined cases: null and empty texts have fingerprint zero and are linked like any other; null ``doc_id`` is kept, and named only
 where a group has no other; repeated rows stay; an empty table gives no rows; other columns are ignored.
@@ -21,7 +26,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
-from itertools import accumulate, product
+from functools import lru_cache
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -34,36 +40,56 @@ from .shared import table, written
 
 SHINGLE, RADIUS, SEED, TILE = 3, 3, 42, 1024
 #: For near copies: five words and a similarity of 0.8. At that Jaccard similarity the cosine is 0.89 and about 39 of 256 bits
-#: differ; 44 keeps nearly all such pairs, and two unrelated texts are ten standard deviations away.
-COPIES = {"shingle": 5, "lanes": 4, "radius": 44, "tile": 16384, "ratio": 0.8}
+#: differ; 56 holds practically all such pairs, and what is less similar is told by the texts themselves.
+COPIES = {"shingle": 5, "lanes": 4, "radius": 56, "tile": 16384, "ratio": 0.8, "forests": 6}
 
 
-def shingles(text: str | None, size: int) -> list[bytes]:
-    """A text's shingles, space-joined, repeats included; fewer words: all of them; none: no shingle."""
+def shingle_parts(text: str | None, size: int, part: int = 1 << 14) -> Iterator[list[bytes]]:
+    """A text's shingles, space-joined, repeats included, at most ``part`` at a time; fewer words: all of them; none: no shingle."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes: A-Z only, and ASCII white space
-    if len(words) <= size:
-        return [b" ".join(words)] if words else []
     joined = b" ".join(words)
-    ends = list(accumulate(len(w) + 1 for w in words))
-    return [joined[a : b - 1] for a, b in zip([0, *ends], ends[size - 1 :], strict=False)]
+    if len(words) <= size:
+        if words:
+            yield [joined]
+        return
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts, ends = np.concatenate([[0], ends[:-size]]), ends[size - 1 :] - 1
+    del words
+    for at in range(0, len(ends), part):
+        yield [joined[a:b] for a, b in zip(starts[at : at + part].tolist(), ends[at : at + part].tolist(), strict=True)]
+
+
+def _hashed(part: list[bytes], seed: int) -> np.ndarray:
+    """The XXH64 values of shingles, as rows of eight bytes."""
+    digest = xxhash.xxh64_digest
+    return np.frombuffer(b"".join([digest(s, seed) for s in part]), np.uint8).reshape(-1, 8)
+
+
+def distinct_shingles(text: str | None, size: int, seed: int = SEED) -> np.ndarray:
+    """The sorted XXH64 values of a text's distinct shingles."""
+    parts = [np.unique(_hashed(p, seed).reshape(-1).view(np.uint64)) for p in shingle_parts(text, size)]
+    return np.unique(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
 
 
 def fingerprint(text: str | None, size: int = SHINGLE, seed: int = SEED, lanes: int = 1) -> list[int]:
     """The lanes of a text's fingerprint, unsigned."""
-    own, digest = shingles(text, size), xxhash.xxh64_digest
-    if not own:
-        return [0] * lanes
-    out = []
-    for k in range(seed, seed + lanes):
-        rows = np.frombuffer(b"".join([digest(s, k) for s in own]), np.uint8).reshape(-1, 8)
-        counts = sum(np.unpackbits(rows[i : i + 4096], axis=1).sum(axis=0, dtype=np.int64) for i in range(0, len(rows), 4096))
-        out.append(int.from_bytes(np.packbits(2 * counts > len(rows)).tobytes(), "big"))
-    return out
+    counts, n = np.zeros((lanes, 64), np.int64), 0
+    for part in shingle_parts(text, size):
+        n += len(part)
+        for k in range(lanes):
+            counts[k] += np.unpackbits(_hashed(part, seed + k), axis=1).sum(axis=0, dtype=np.int64)
+    return [int.from_bytes(np.packbits(2 * c > n).tobytes(), "big") for c in counts]
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted arrays of distinct values; two empty ones are equal."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
 def band(text: str | None, size: int, ratio: float) -> int:
     """The band of a text's number of distinct shingles; 0 without shingles, and for all texts without a ``ratio``."""
-    n = len(set(shingles(text, size))) if ratio else 0
+    n = len(distinct_shingles(text, size)) if ratio else 0
     return 1 + math.floor(math.log(n) / -math.log(ratio)) if n else 0
 
 
@@ -80,47 +106,75 @@ def fingerprints(df: DataFrame, shingle: int = SHINGLE, seed: int = SEED, lanes:
     return df.select(F.col("doc_id").cast("long"), "text", *keep).mapInArrow(of, "doc_id long, fp array<bigint>, band int" + "".join(f", {k} string" for k in keep))
 
 
-def _within(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column numbers of all pairs of fingerprints (n, lanes) that differ in at most ``radius`` bits."""
+def _within(a: np.ndarray, b: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Row and column numbers of all pairs of fingerprints (n, lanes) that differ in at most ``radius`` bits, and those bits; by blocks
+    of rows."""
     lanes = a.shape[1]
-    half, rows, cols = max(1, lanes // 2), [], []
+    first = max(1, min(3, lanes - 1))
     step = max(1, (1 << 20) // max(len(b), 1))
     for at in range(0, len(a), step):
         part = a[at : at + step]
         bits = np.bitwise_count(part[:, None, 0] ^ b[None, :, 0])
-        for k in range(1, half):
+        for k in range(1, first):
             bits += np.bitwise_count(part[:, None, k] ^ b[None, :, k])
         r, c = np.nonzero(bits <= radius)
-        if half < lanes and len(r):  # the other lanes only of pairs that the first ones leave
-            near = np.bitwise_count(part[r] ^ b[c]).sum(axis=1) <= radius
-            r, c = r[near], c[near]
-        rows.append(r + at)
-        cols.append(c)
-    return np.concatenate(rows), np.concatenate(cols)
-
-
-def _forest(nodes: tuple[np.ndarray, np.ndarray], a: np.ndarray, b: np.ndarray, same: bool, radius: int) -> np.ndarray:
-    """Edges (n, 2) between nodes that connect what is within ``radius`` in two tiles (or one tile with itself)."""
-    r, c = _within(a, b, radius)
-    if same:
-        r, c = r[r < c], c[r < c]
-    else:
-        c = c + len(a)
-    if not len(r):
-        return np.empty((0, 2), np.int64)
-    names = nodes[0] if same else np.concatenate(nodes)
-    label = np.arange(len(names))
-    while True:
-        least = np.minimum(label[r], label[c])
-        new = label.copy()
-        np.minimum.at(new, r, least)
-        np.minimum.at(new, c, least)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    moved = np.nonzero(label != np.arange(len(names)))[0]
-    return np.stack([names[moved], names[label[moved]]], axis=1)
+        bits = bits[r, c].astype(np.int32)
+        if first < lanes and len(r):  # the other lanes only of pairs that the first ones leave
+            bits += np.bitwise_count(part[r, first:] ^ b[c, first:]).sum(axis=1, dtype=np.int32)
+            near = bits <= radius
+            r, c, bits = r[near], c[near], bits[near]
+        yield r + at, c, bits
+
+
+def _least_forest(n: int, r: np.ndarray, c: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which edges between ``n`` nodes are in a spanning forest of least ``bits``; edges come sorted by them."""
+    label, taken = np.arange(n), np.zeros(len(r), bool)
+    bounds = np.concatenate([[0], np.nonzero(np.diff(bits))[0] + 1, [len(bits)]])
+    for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+        at = np.arange(lo, hi)
+        while True:
+            x, y = label[r[at]], label[c[at]]
+            apart = x != y
+            if not apart.any():
+                break
+            at, x, y = at[apart], x[apart], y[apart]
+            # Each label is hung on a lesser one by one edge, so no circle arises.
+            moved, first = np.unique(np.maximum(x, y), return_index=True)
+            taken[at[first]] = True
+            to = np.arange(n)
+            to[moved] = np.minimum(x, y)[first]
+            while not (to[to] == to).all():
+                to = to[to]
+            label = to[label]
+    return taken
+
+
+def _forests(names: np.ndarray, a: np.ndarray, b: np.ndarray, same: bool, radius: int, forests: int) -> np.ndarray:
+    """Edges (n, 2) between the nodes of two tiles (or of one tile with itself): ``forests`` spanning forests of all pairs within
+    ``radius``, of least bits, each of what the ones before leave. Pairs are thinned out as they are found, never all held."""
+    held = [np.empty((3, 0), np.int32)]
+
+    def thin(last: bool) -> None:
+        if not last and sum(x.shape[1] for x in held) < 1 << 21:
+            return
+        left = np.concatenate(held, axis=1)
+        left = left[:, np.argsort(left[2], kind="stable")]
+        held.clear()
+        for _ in range(forests):
+            taken = _least_forest(len(names), *left)
+            held.append(left[:, taken])
+            left = left[:, ~taken]
+
+    for r, c, bits in _within(a, b, radius):
+        if same:
+            up = r < c
+            r, c, bits = r[up], c[up], bits[up]
+        if len(r):
+            held.append(np.stack([r, c if same else c + len(a), bits]).astype(np.int32))
+            thin(False)
+    if len(held) > 1:
+        thin(True)
+    return names[np.concatenate(held, axis=1)[:2].T]
 
 
 def _blocks(n: int, radius: int) -> int:
@@ -128,9 +182,9 @@ def _blocks(n: int, radius: int) -> int:
     return 0 if radius > 8 else 2 if n <= 1 << 21 else 4 if n <= 1 << 30 else 8
 
 
-def hamming_links(fps: DataFrame, radius: int = RADIUS, lanes: int = 1, tile: int = TILE) -> DataFrame:
+def hamming_links(fps: DataFrame, radius: int = RADIUS, lanes: int = 1, tile: int = TILE, forests: int = 1) -> DataFrame:
     """Edges (a, b) between the nodes of ``fps`` (node, fp: ``lanes`` longs, band) that connect all that lie within ``radius`` bits, in
-    equal or neighbouring bands."""
+    equal or neighbouring bands; with more ``forests``, that many ways where there are as many."""
     blocks = _blocks(fps.count(), radius)
     width = 64 // max(blocks, 1)
     base = width + 1
@@ -173,21 +227,47 @@ def hamming_links(fps: DataFrame, radius: int = RADIUS, lanes: int = 1, tile: in
             found = [np.empty((0, 2), np.int64)]
             node, fp = ([c.field(k) for c in batch.columns[:2]] for k in (0, 1))
             for i, same in enumerate(batch.column(2).to_pylist()):
-                names = tuple(np.asarray(c[i].values) for c in node)
+                names = [np.asarray(c[i].values) for c in node]
                 a, b = (np.asarray(c[i].values).view(np.uint64).reshape(-1, lanes) for c in fp)
-                found.append(_forest(names, a, b, same, radius))
+                found.append(_forests(names[0] if same else np.concatenate(names), a, b, same, radius, forests))
             edges = np.concatenate(found)
             yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["a", "b"])
 
     return pairs.mapInArrow(compare, "a long, b long")
 
 
-def groups(df: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED, lanes: int = 1, tile: int = TILE, ratio: float = 0.0, keep: Sequence[str] = ()) -> DataFrame:
-    """Per row of ``df`` (doc_id, text): doc_id, fp, the string columns ``keep``, and ``root``, equal for all that links connect."""
+def similar_edges(edges: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Those of ``edges`` (a, b) whose ``texts`` (node, text) have a Jaccard similarity of at least ``least``, by all their shingles."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = lru_cache(maxsize=16)(lambda text: distinct_shingles(text, shingle))
+        for batch in batches:
+            alike = [similarity(own(x.as_py()), own(y.as_py())) >= least for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(alike, pa.bool_()))
+
+    # Texts are never broadcast; a node of many edges is split by Spark's skew join.
+    texts = texts.hint("merge")
+    sides = edges.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    return sides.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
+
+
+def groups(
+    df: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED, lanes: int = 1, tile: int = TILE, ratio: float = 0.0, forests: int = 1, keep: Sequence[str] = ()
+) -> DataFrame:
+    """Per row of ``df`` (doc_id, text): doc_id, fp, the string columns ``keep``, and ``root``, equal for all that links connect.
+
+    With a ``ratio``, links are held against the texts; the first of ``keep`` then tells texts apart."""
     prints = written(fingerprints(df, shingle, seed, lanes, ratio, keep), "fingerprints")
     node = F.get("fp", F.lit(0)) if lanes == 1 and not ratio else F.xxhash64("fp", "band")
     distinct = written(prints.select("fp", "band").distinct().withColumn("node", node), "distinct-fingerprints")
-    roots = components(hamming_links(distinct, radius, lanes, tile)).withColumnRenamed("node", "n")
+    edges = hamming_links(distinct, radius, lanes, tile, forests)
+    if ratio:
+        edges = written(edges.distinct(), "near-pairs")
+        linked = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        one = prints.groupBy(node.alias("node")).agg(F.min(keep[0]).alias(keep[0])).join(linked, "node")
+        texts = df.select(keep[0], "text").join(one.hint("merge"), keep[0]).groupBy("node").agg(F.first("text").alias("text"))
+        edges = similar_edges(edges, written(texts, "linked-texts"), shingle, ratio)
+    roots = components(edges).withColumnRenamed("node", "n")
     grouped = distinct.join(roots, F.col("node") == F.col("n"), "left").select("fp", "band", F.coalesce("root", "node").alias("root"))
     return prints.join(grouped, ["fp", "band"]).select("doc_id", "fp", *keep, "root")
 

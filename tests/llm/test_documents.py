@@ -17,7 +17,7 @@ from pagemill.llm.components import components
 from pagemill.llm.quality import RULES, Features, first_rejection, judge, keep_good, op8_rule_cascade
 from pagemill.llm.secret_scan import op7_recursive_decoding, redact, redacted, scan_text
 from pagemill.llm.sharding import op6_stratified_shards
-from pagemill.llm.simhash import drop_near_copies, near_duplicates, op10_simhash_tiles
+from pagemill.llm.simhash import _forests, drop_near_copies, near_duplicates, op10_simhash_tiles
 from pagemill.llm.winnowing import drop_contaminated, op9_winnowing
 
 SPACE = "\x20\x09-\x0d"
@@ -184,6 +184,42 @@ def test_near_copies_go_and_others_stay(spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted([*map(str, range(12)), "None", "500"])
 
 
+def test_near_copies_are_those_of_the_texts(spark):
+    rng = np.random.default_rng(6)
+    words = [f"v{i}" for i in range(5000)]
+    texts = []
+    for n in (40, 60, 120, 300, 900):
+        for _ in range(4):
+            t = list(rng.choice(words, n))
+            texts.append(" ".join(t))
+            for share in (0.01, 0.02, 0.03, 0.05, 0.08):  # of words changed: similarities on both sides of 0.8
+                u = t[:]
+                for at in rng.choice(n, max(1, round(share * n)), replace=False):
+                    u[at] = rng.choice(words)
+                texts.append(" ".join(u))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    near = np.array([[len(x & y) >= 0.8 * len(x | y) for y in sets] for x in sets])
+    label = np.arange(len(texts))
+    for _ in texts:
+        label = np.array([label[near[i]].min() for i in range(len(texts))])
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = sorted(set(label.tolist()))
+    assert 20 < len(want) < len(texts)
+    assert sorted(r.doc_id for r in drop_near_copies(frame).collect()) == want
+    assert sorted(r.doc_id for r in drop_near_copies(frame, tile=8).collect()) == want
+
+
+def test_forests_are_thinned_and_disjoint():
+    rng = np.random.default_rng(7)
+    fps = rng.integers(0, 8, (60, 1)).astype(np.uint64)
+    names = np.arange(100, 160)
+    edges = _forests(names, fps, fps, True, 1, 3)
+    near = {(i + 100, j + 100) for i in range(60) for j in range(i + 1, 60) if (int(fps[i, 0]) ^ int(fps[j, 0])).bit_count() <= 1}
+    assert {tuple(e) for e in edges.tolist()} <= near and len({tuple(e) for e in edges.tolist()}) == len(edges) <= 3 * 59
+    assert len(_forests(names, fps, fps, True, 1, 1)) == 59
+    assert _forests(names[:1], fps[:1], fps[:1], True, 1, 3).shape == (0, 2)
+
+
 def test_components_of_chains_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 130)] + [(7, 7), (200, 201), (201, 202), (202, 200)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
