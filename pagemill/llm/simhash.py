@@ -2,7 +2,7 @@
 
 Fingerprints. A text's words, lower-cased in A-Z and cut at ASCII white space, give shingles of ``shingle`` words, repeats
 included (a shorter text: all its words as one). A bit is set if it is set in over half of the shingles' XXH64 values. A longer
-fingerprint has several lanes of 64 bits, of following seeds.
+fingerprint has several lanes of 64 bits, the later ones of mixed hashes.
 
 Linking. Equal fingerprints are one class. The distinct ones are dealt into tiles by their population counts, taken over equal
 blocks of the first lane: two fingerprints within the radius differ by at most the radius in the sum of their blocks' counts, so
@@ -71,14 +71,30 @@ def distinct_shingles(text: str | None, size: int, seed: int = SEED) -> np.ndarr
     return np.unique(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
 
 
-def fingerprint(text: str | None, size: int = SHINGLE, seed: int = SEED, lanes: int = 1) -> list[int]:
-    """The lanes of a text's fingerprint, unsigned."""
-    counts, n = np.zeros((lanes, 64), np.int64), 0
+def _mixed(hashes: np.ndarray, lane: int) -> np.ndarray:
+    """Other 64 bits for each hash, by SplitMix64, whose constants are fixed."""
+    z = hashes + np.uint64(lane * 0x9E3779B97F4A7C15 % 2**64)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def fingerprint(text: str | None, size: int = SHINGLE, seed: int = SEED, lanes: int = 1, ratio: float = 0.0) -> tuple[list[int], int]:
+    """The lanes of a text's fingerprint, unsigned, and the band of its number of distinct shingles: 0 without shingles, and for
+    all texts without a ``ratio``."""
+    counts, n, seen = np.zeros((lanes, 64), np.int64), 0, []
     for part in shingle_parts(text, size):
+        rows = _hashed(part, seed)
         n += len(part)
+        hashes = rows.reshape(-1).view(np.uint64)
+        if ratio:
+            seen.append(np.unique(hashes))
         for k in range(lanes):
-            counts[k] += np.unpackbits(_hashed(part, seed + k), axis=1).sum(axis=0, dtype=np.int64)
-    return [int.from_bytes(np.packbits(2 * c > n).tobytes(), "big") for c in counts]
+            bits = _mixed(hashes, k).view(np.uint8).reshape(-1, 8) if k else rows
+            counts[k] += np.unpackbits(bits, axis=1).sum(axis=0, dtype=np.int64)
+    distinct = len(np.unique(np.concatenate(seen))) if len(seen) > 1 else sum(map(len, seen))
+    band = 1 + math.floor(math.log(distinct) / -math.log(ratio)) if distinct else 0
+    return [int.from_bytes(np.packbits(2 * c > n).tobytes(), "big") for c in counts], band
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -87,20 +103,15 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
-def band(text: str | None, size: int, ratio: float) -> int:
-    """The band of a text's number of distinct shingles; 0 without shingles, and for all texts without a ``ratio``."""
-    n = len(distinct_shingles(text, size)) if ratio else 0
-    return 1 + math.floor(math.log(n) / -math.log(ratio)) if n else 0
-
-
 def fingerprints(df: DataFrame, shingle: int = SHINGLE, seed: int = SEED, lanes: int = 1, ratio: float = 0.0, keep: Sequence[str] = ()) -> DataFrame:
     """``doc_id``, ``fp`` (its lanes as longs), ``band`` and the string columns ``keep`` of each row of ``df`` (doc_id, text)."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t.as_py(), shingle, seed, lanes) for t in batch.column(1)], np.uint64).reshape(-1).view(np.int64)
+            made = [fingerprint(t.as_py(), shingle, seed, lanes, ratio) for t in batch.column(1)]
+            fps = np.array([f for f, _ in made], np.uint64).reshape(-1).view(np.int64)
             offsets = np.arange(0, len(fps) + 1, lanes, dtype=np.int32)
-            bands = pa.array([band(t.as_py(), shingle, ratio) for t in batch.column(1)], pa.int32())
+            bands = pa.array([b for _, b in made], pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(fps)), bands, *batch.columns[2:]], ["doc_id", "fp", "band", *keep])
 
     return df.select(F.col("doc_id").cast("long"), "text", *keep).mapInArrow(of, "doc_id long, fp array<bigint>, band int" + "".join(f", {k} string" for k in keep))
