@@ -4,7 +4,7 @@ Fingerprints. A text's words, lower-cased in A-Z and cut at ASCII white space, g
 included (a shorter text: all its words as one). A bit is set if it is set in over half of the shingles' XXH64 values. A longer
 fingerprint has several lanes of 64 bits, the later ones of mixed hashes.
 
-Linking. Equal fingerprints are one class. The distinct ones are dealt into tiles by their population counts, taken over equal
+Linking. Equal fingerprints are one class (for near copies: equal sets of shingles). The distinct ones are dealt into tiles by their population counts, taken over equal
 blocks of the first lane: two fingerprints within the radius differ by at most the radius in the sum of their blocks' counts, so
 tile pairs beyond it are skipped and no link is lost. More blocks make more and smaller tiles; their number follows the number
 of fingerprints and changes no result. For a wide radius, where bit counts skip nothing, the population that counts is that of a
@@ -24,6 +24,7 @@ where a group has no other; repeated rows stay; an empty table gives no rows; ot
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
@@ -79,9 +80,14 @@ def _mixed(hashes: np.ndarray, lane: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def fingerprint(text: str | None, size: int = SHINGLE, seed: int = SEED, lanes: int = 1, ratio: float = 0.0) -> tuple[list[int], int]:
-    """The lanes of a text's fingerprint, unsigned, and the band of its number of distinct shingles: 0 without shingles, and for
-    all texts without a ``ratio``."""
+def set_digest(shingles: np.ndarray) -> int:
+    """64 signed bits that name a text's set of distinct shingles, sorted."""
+    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
+def fingerprint(text: str | None, size: int = SHINGLE, seed: int = SEED, lanes: int = 1, ratio: float = 0.0) -> tuple[list[int], int, int]:
+    """The lanes of a text's fingerprint, unsigned, the band of its number of distinct shingles (0 without shingles), and the digest
+    of their set; band and digest are 0 for all texts without a ``ratio``."""
     counts, n, seen = np.zeros((lanes, 64), np.int64), 0, []
     for part in shingle_parts(text, size):
         rows = _hashed(part, seed)
@@ -92,9 +98,9 @@ def fingerprint(text: str | None, size: int = SHINGLE, seed: int = SEED, lanes:
         for k in range(lanes):
             bits = _mixed(hashes, k).view(np.uint8).reshape(-1, 8) if k else rows
             counts[k] += np.unpackbits(bits, axis=1).sum(axis=0, dtype=np.int64)
-    distinct = len(np.unique(np.concatenate(seen))) if len(seen) > 1 else sum(map(len, seen))
-    band = 1 + math.floor(math.log(distinct) / -math.log(ratio)) if distinct else 0
-    return [int.from_bytes(np.packbits(2 * c > n).tobytes(), "big") for c in counts], band
+    own = np.unique(np.concatenate(seen)) if seen else np.empty(0, np.uint64)
+    band = 1 + math.floor(math.log(len(own)) / -math.log(ratio)) if len(own) else 0
+    return [int.from_bytes(np.packbits(2 * c > n).tobytes(), "big") for c in counts], band, set_digest(own) if ratio else 0
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -104,17 +110,17 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def fingerprints(df: DataFrame, shingle: int = SHINGLE, seed: int = SEED, lanes: int = 1, ratio: float = 0.0, keep: Sequence[str] = ()) -> DataFrame:
-    """``doc_id``, ``fp`` (its lanes as longs), ``band`` and the string columns ``keep`` of each row of ``df`` (doc_id, text)."""
+    """``doc_id``, ``fp`` (its lanes as longs), ``band``, ``digest`` and the string columns ``keep`` of each row of ``df`` (doc_id, text)."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [fingerprint(t.as_py(), shingle, seed, lanes, ratio) for t in batch.column(1)]
-            fps = np.array([f for f, _ in made], np.uint64).reshape(-1).view(np.int64)
+            fps = np.array([f for f, _, _ in made], np.uint64).reshape(-1).view(np.int64)
             offsets = np.arange(0, len(fps) + 1, lanes, dtype=np.int32)
-            bands = pa.array([b for _, b in made], pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(fps)), bands, *batch.columns[2:]], ["doc_id", "fp", "band", *keep])
+            bands, digests = pa.array([b for _, b, _ in made], pa.int32()), pa.array([d for _, _, d in made], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(fps)), bands, digests, *batch.columns[2:]], ["doc_id", "fp", "band", "digest", *keep])
 
-    return df.select(F.col("doc_id").cast("long"), "text", *keep).mapInArrow(of, "doc_id long, fp array<bigint>, band int" + "".join(f", {k} string" for k in keep))
+    return df.select(F.col("doc_id").cast("long"), "text", *keep).mapInArrow(of, "doc_id long, fp array<bigint>, band int, digest long" + "".join(f", {k} string" for k in keep))
 
 
 def _within(a: np.ndarray, b: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -269,8 +275,8 @@ def groups(
 
     With a ``ratio``, links are held against the texts; the first of ``keep`` then tells texts apart."""
     prints = written(fingerprints(df, shingle, seed, lanes, ratio, keep), "fingerprints")
-    node = F.get("fp", F.lit(0)) if lanes == 1 and not ratio else F.xxhash64("fp", "band")
-    distinct = written(prints.select("fp", "band").distinct().withColumn("node", node), "distinct-fingerprints")
+    node = F.col("digest") if ratio else F.get("fp", F.lit(0)) if lanes == 1 else F.xxhash64("fp", "band")
+    distinct = written(prints.select("fp", "band", "digest").distinct().withColumn("node", node), "distinct-fingerprints")
     edges = hamming_links(distinct, radius, lanes, tile, forests)
     if ratio:
         edges = written(edges.distinct(), "near-pairs")
@@ -279,8 +285,8 @@ def groups(
         texts = df.select(keep[0], "text").join(one.hint("merge"), keep[0]).groupBy("node").agg(F.first("text").alias("text"))
         edges = similar_edges(edges, written(texts, "linked-texts"), shingle, ratio)
     roots = components(edges).withColumnRenamed("node", "n")
-    grouped = distinct.join(roots, F.col("node") == F.col("n"), "left").select("fp", "band", F.coalesce("root", "node").alias("root"))
-    return prints.join(grouped, ["fp", "band"]).select("doc_id", "fp", *keep, "root")
+    grouped = distinct.join(roots, F.col("node") == F.col("n"), "left").select("fp", "band", "digest", F.coalesce("root", "node").alias("root"))
+    return prints.join(grouped, ["fp", "band", "digest"]).select("doc_id", "fp", *keep, "root")
 
 
 def near_duplicates(df: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED, lanes: int = 1, tile: int = TILE) -> DataFrame:

@@ -209,6 +209,14 @@ def test_near_copies_are_those_of_the_texts(spark):
     assert sorted(r.doc_id for r in drop_near_copies(frame, tile=8).collect()) == want
 
 
+def test_texts_that_share_only_a_filler_are_no_copies(spark):
+    rng = np.random.default_rng(8)
+    texts = [" ".join([*rng.choice([f"v{i}" for i in range(90_000)], 800), *["."] * 200]) for _ in range(30)]
+    rows = [*enumerate(texts), (40, texts[3].upper()), (41, texts[4] + " .")]  # other texts of the same sets of shingles
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in drop_near_copies(frame).collect()) == list(range(30))
+
+
 def test_forests_are_thinned_and_disjoint():
     rng = np.random.default_rng(7)
     fps = rng.integers(0, 8, (60, 1)).astype(np.uint64)
