@@ -1,7 +1,7 @@
 """SimHash fingerprints and their exact linking within a Hamming radius.
 
 Fingerprints. A text's words, lower-cased in A-Z and cut at ASCII white space, give shingles of ``shingle`` words, repeats
-included (a shorter text: all its words as one). A bit is set if it is set in over half of the shingles' XXH64 values. A longer
+included, for near copies without them (a shorter text: all its words as one). A bit is set if it is set in over half of the shingles' XXH64 values. A longer
 fingerprint has several lanes of 64 bits, the later ones of mixed hashes.
 
 Linking. Equal fingerprints are one class (for near copies: equal sets of shingles). The distinct ones are dealt into tiles by their population counts, taken over equal
@@ -13,11 +13,16 @@ numbers are cut into bands of this ratio and only equal and neighbouring bands a
 is split by a hash. Every remaining pair of tiles is compared in full with numpy's exclusive-or and bit counts, and gives a
 spanning forest of its links, of the fewest differing bits, not all pairs. Connected components of these edges are the groups.
 
-Near copies (with ``ratio``). The radius is only where candidates lie: an edge counts if the two texts' sets of shingles have a
-Jaccard similarity of ``ratio`` or more. So that a failing edge doesn't hide another that holds, several forests are taken, each of
+Near copies (with ``ratio``). The radius is only where the first candidates lie: an edge counts if the two texts' sets of shingles
+have a Jaccard similarity of ``ratio`` or more. So that a failing edge doesn't hide another that holds, several forests are taken, each of
 what the ones before leave: between any two parts of a group at least ``forests`` of the nearest pairs are held against the texts,
 or all if there are fewer. Edges grow with the number of fingerprints, not with the pairs in a group.
 
+Then all links that are left are found exactly, by a prefix filter: with all shingles in one order, two sets of this similarity share
+one of their first shingles, of which a set of ``n`` has ``n - ceil(ratio * n) + 1``. Pairs that share one, that the links so far don't
+connect, and that can still reach the similarity behind their first common shingle are held against the texts. The order is by hash
+with common shingles last, as a sample tells them; it decides what this costs, not what it finds.
+
 Defined cases: null and empty texts have fingerprint zero and are linked like any other; null ``doc_id`` is kept, and named only
 where a group has no other; repeated rows stay; an empty table gives no rows; other columns are ignored.
 """
@@ -87,18 +92,19 @@ def set_digest(shingles: np.ndarray) -> int:
 
 def fingerprint(text: str | None, size: int = SHINGLE, seed: int = SEED, lanes: int = 1, ratio: float = 0.0) -> tuple[list[int], int, int]:
     """The lanes of a text's fingerprint, unsigned, the band of its number of distinct shingles (0 without shingles), and the digest
-    of their set; band and digest are 0 for all texts without a ``ratio``."""
-    counts, n, seen = np.zeros((lanes, 64), np.int64), 0, []
-    for part in shingle_parts(text, size):
-        rows = _hashed(part, seed)
-        n += len(part)
-        hashes = rows.reshape(-1).view(np.uint64)
-        if ratio:
-            seen.append(np.unique(hashes))
+    of their set; band and digest are 0 for all texts without a ``ratio``. With one, each distinct shingle counts once."""
+    counts, n = np.zeros((lanes, 64), np.int64), 0
+    if ratio:
+        own = distinct_shingles(text, size, seed)
+        parts = (own[at : at + (1 << 14)] for at in range(0, len(own), 1 << 14))
+    else:
+        own = np.empty(0, np.uint64)
+        parts = (_hashed(p, seed).reshape(-1).view(np.uint64) for p in shingle_parts(text, size))
+    for hashes in parts:
+        n += len(hashes)
         for k in range(lanes):
-            bits = _mixed(hashes, k).view(np.uint8).reshape(-1, 8) if k else rows
+            bits = (_mixed(hashes, k) if k else hashes).view(np.uint8).reshape(-1, 8)
             counts[k] += np.unpackbits(bits, axis=1).sum(axis=0, dtype=np.int64)
-    own = np.unique(np.concatenate(seen)) if seen else np.empty(0, np.uint64)
     band = 1 + math.floor(math.log(len(own)) / -math.log(ratio)) if len(own) else 0
     return [int.from_bytes(np.packbits(2 * c > n).tobytes(), "big") for c in counts], band, set_digest(own) if ratio else 0
 
@@ -268,6 +274,56 @@ def similar_edges(edges: DataFrame, texts: DataFrame, shingle: int, least: float
     return sides.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
 
 
+def common_shingles(df: DataFrame, shingle: int, seed: int = SEED, most: int = 1 << 16) -> np.ndarray:
+    """Hashes of the commonest shingles in a sample of the texts of ``df``, the commonest last."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(distinct_shingles(t.as_py(), shingle, seed).view(np.int64))], ["h"])
+
+    sample = df.filter(F.pmod(F.xxhash64("text"), F.lit(32)) == 0).select("text").mapInArrow(of, "h long")
+    found = sample.groupBy("h").count().filter("count > 2").orderBy(F.desc("count"), "h").limit(most).collect()
+    return np.array([r.h for r in reversed(found)], np.int64).view(np.uint64)
+
+
+def prefix(own: np.ndarray, ratio: float, common: np.ndarray) -> np.ndarray:
+    """The first of the distinct shingles ``own``: any set with a similarity of ``ratio`` to them shares one of its own first ones."""
+    rank = np.zeros(len(own), np.int64)
+    if len(common):
+        by_hash = np.argsort(common)
+        at = by_hash[np.minimum(np.searchsorted(common, own, sorter=by_hash), len(common) - 1)]
+        rank = np.where(common[at] == own, at + 1, 0)
+    return own[np.lexsort((own, rank))][: len(own) - math.ceil(ratio * len(own) - 1e-9) + 1] if len(own) else own
+
+
+def prefix_pairs(df: DataFrame, roots: DataFrame, shingle: int, seed: int, ratio: float) -> DataFrame:
+    """Pairs (a, b) of nodes with different ``roots`` (node, root; absent: the node itself), among them every such pair of texts of
+    ``df`` with a similarity of ``ratio``."""
+    common = common_shingles(df, shingle, seed)
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch.column(0):
+                own = distinct_shingles(t.as_py(), shingle, seed)
+                first = prefix(own, ratio, common)
+                fixed = [pa.array(np.full(len(first), x, k)) for x, k in ((set_digest(own), np.int64), (len(own), np.int32))]
+                yield pa.RecordBatch.from_arrays([pa.array(first.view(np.int64)), *fixed, pa.array(np.arange(len(first), dtype=np.int32))], ["h", "node", "n", "at"])
+
+    posted = written(df.select("text").mapInArrow(post, "h long, node long, n int, at int"), "prefixes")
+    shared = posted.groupBy("h").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("h")
+    posted = posted.join(shared.hint("merge"), "h").distinct().join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    posted = written(posted, "shared-prefixes")
+    # A shingle of one group only has nothing to add.
+    mixed = posted.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("h")
+    posted = written(posted.join(mixed.hint("merge"), "h"), "open-prefixes")
+    x, y = (posted.select("h", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "at", "root")]) for k in "ab")
+    # Behind their first common shingle no more can be common than the shorter rest; the float's last digits are left a margin.
+    able = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= (F.col("n_a") + F.col("n_b")) * F.lit(ratio / (1 + ratio)) - 1e-6
+    pairs = x.hint("merge").join(y, "h").filter((F.col("root_a") < F.col("root_b")) & able)
+    return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+
+
 def groups(
     df: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED, lanes: int = 1, tile: int = TILE, ratio: float = 0.0, forests: int = 1, keep: Sequence[str] = ()
 ) -> DataFrame:
@@ -278,13 +334,20 @@ def groups(
     node = F.col("digest") if ratio else F.get("fp", F.lit(0)) if lanes == 1 else F.xxhash64("fp", "band")
     distinct = written(prints.select("fp", "band", "digest").distinct().withColumn("node", node), "distinct-fingerprints")
     edges = hamming_links(distinct, radius, lanes, tile, forests)
-    if ratio:
+
+    def held(edges: DataFrame) -> DataFrame:
         edges = written(edges.distinct(), "near-pairs")
         linked = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         one = prints.groupBy(node.alias("node")).agg(F.min(keep[0]).alias(keep[0])).join(linked, "node")
         texts = df.select(keep[0], "text").join(one.hint("merge"), keep[0]).groupBy("node").agg(F.first("text").alias("text"))
-        edges = similar_edges(edges, written(texts, "linked-texts"), shingle, ratio)
-    roots = components(edges).withColumnRenamed("node", "n")
+        return similar_edges(edges, written(texts, "linked-texts"), shingle, ratio)
+
+    roots = components(held(edges) if ratio else edges)
+    if ratio:
+        more = written(held(prefix_pairs(df, roots, shingle, seed, ratio)), "exact-links")
+        if not more.isEmpty():
+            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+    roots = roots.withColumnRenamed("node", "n")
     grouped = distinct.join(roots, F.col("node") == F.col("n"), "left").select("fp", "band", "digest", F.coalesce("root", "node").alias("root"))
     return prints.join(grouped, ["fp", "band", "digest"]).select("doc_id", "fp", *keep, "root")
 

@@ -17,7 +17,7 @@ from pagemill.llm.components import components
 from pagemill.llm.quality import RULES, Features, first_rejection, judge, keep_good, op8_rule_cascade
 from pagemill.llm.secret_scan import op7_recursive_decoding, redact, redacted, scan_text
 from pagemill.llm.sharding import op6_stratified_shards
-from pagemill.llm.simhash import _forests, drop_near_copies, near_duplicates, op10_simhash_tiles
+from pagemill.llm.simhash import _forests, drop_near_copies, near_duplicates, op10_simhash_tiles, prefix, similarity
 from pagemill.llm.winnowing import drop_contaminated, op9_winnowing
 
 SPACE = "\x20\x09-\x0d"
@@ -217,6 +217,31 @@ def test_texts_that_share_only_a_filler_are_no_copies(spark):
     assert sorted(r.doc_id for r in drop_near_copies(frame).collect()) == list(range(30))
 
 
+def test_copies_with_repeats_or_far_fingerprints_are_found(spark):
+    rng = np.random.default_rng(9)
+    words = [f"v{i}" for i in range(90_000)]
+    base = [list(rng.choice(words, 1000)) for _ in range(6)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(base)]
+    rows += [(100 + 10 * i + k, " ".join([*t, *["."] * n])) for i, t in enumerate(base) for k, n in enumerate((50, 100, 200))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in drop_near_copies(frame).collect()) == list(range(6))
+    # Copies of similarity 0.85, none of which the radius holds.
+    rows = [(i, " ".join(t)) for i, t in enumerate(base)] + [(10 + i, " ".join([*t[:920], *rng.choice(words, 80)])) for i, t in enumerate(base)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in drop_near_copies(frame, radius=1).collect()) == list(range(6))
+
+
+def test_similar_sets_share_a_first_shingle():
+    rng = np.random.default_rng(10)
+    for n in range(1, 60):
+        common = rng.permutation(200).astype(np.uint64)[:50]
+        a = np.sort(rng.choice(200, n, replace=False)).astype(np.uint64)
+        for cut in range(n // 5 + 1):
+            b = np.setdiff1d(a, rng.choice(a, cut, replace=False))
+            if similarity(a, b) >= 0.8:
+                assert len(np.intersect1d(prefix(a, 0.8, common), prefix(b, 0.8, common)))
+
+
 def test_forests_are_thinned_and_disjoint():
     rng = np.random.default_rng(7)
     fps = rng.integers(0, 8, (60, 1)).astype(np.uint64)
