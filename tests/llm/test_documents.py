@@ -231,6 +231,16 @@ def test_copies_with_repeats_or_far_fingerprints_are_found(spark):
     assert sorted(r.doc_id for r in drop_near_copies(frame, radius=1).collect()) == list(range(6))
 
 
+def test_links_in_a_group_of_failing_pairs_are_found(spark):
+    rng = np.random.default_rng(11)
+    words = [f"v{i}" for i in range(90_000)]
+    shared, tails = list(rng.choice(words, 304)), [list(rng.choice(words, 50)) for _ in range(300)]
+    for i in range(30):
+        tails[270 + i][:13] = tails[i][:13]  # 313 of 387 shingles; all other pairs: 300 of 400
+    frame = spark.createDataFrame([(i, " ".join(shared + t)) for i, t in enumerate(tails)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in drop_near_copies(frame).collect()) == list(range(270))
+
+
 def test_similar_sets_share_a_first_shingle():
     rng = np.random.default_rng(10)
     for n in range(1, 60):
