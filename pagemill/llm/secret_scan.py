@@ -1,11 +1,12 @@
 """Secret scans through nested encodings.
 
 A worklist starts with the whole text. Each layer is scanned for the base kinds, then unwrapped in every way it allows: percent
-escapes and Unicode escapes (both over the layer's whole text), and base64 runs, whose bytes may be text or a gzip, zlib, bzip2,
-xz or zstandard stream. What comes out is a new layer, until nothing new appears. A layer equal to one already seen over the same
+escapes and Unicode escapes (both over the layer's whole text), and base64 runs. Bytes of escapes and runs may be text or hold gzip,
+zlib, bzip2, xz or zstandard streams, of any number of members, compressed any number of times. What comes out is a new layer, until nothing new appears. A layer equal to one already seen over the same
 part of the root text is a cycle and is dropped. Every layer carries, for each of its characters, the root positions it comes
 from, so a secret found at any depth has a span in the root text: the escape, the base64 quartets, or the compressed run.
-Compressed streams are unpacked in overlapping windows, so a layer in memory is bounded though all of it is scanned.
+Compressed streams are unpacked in overlapping windows, so a layer in memory is bounded though all of it is scanned; only a run of
+base64 that is open at a window's end is kept in full.
 
 Defined cases: null text is empty; null ``doc_id`` stays null; repeated rows are scanned each; an empty table gives no rows;
 other columns are kept by ``redact`` and ignored by ``scan``.
@@ -20,6 +21,7 @@ import codecs
 import hashlib
 import lzma
 import re
+import urllib.parse
 import zlib
 from collections.abc import Iterator
 
@@ -40,6 +42,7 @@ _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 _RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _WINDOW, _OVERLAP = 1 << 22, 1 << 12
+_BASE64_CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=\r\n"
 
 Span = tuple[int, int, int]  # start, place of the kind in KINDS, end
 
@@ -130,26 +133,96 @@ _STREAMS = (
 )
 
 
-def _unpacked(data: bytes) -> Iterator[str]:
-    """Windows of the text in a compressed stream; none if ``data`` isn't one."""
-    for magic, stream in _STREAMS:
-        if not data.startswith(magic):
-            continue
-        decoder, text, machine = codecs.getincrementaldecoder("utf-8")("replace"), "", stream()
-        try:
+_MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9]|\xfd7zXZ\x00|\x28\xb5\x2f\xfd|x[\x01\x5e\x9c\xda]")
+
+
+def _members(pieces: Iterator[bytes]) -> Iterator[bytes]:
+    """What comes out of one compressed stream after the other; none if ``pieces`` doesn't begin with one."""
+    machine, rest = None, b""
+    try:
+        for piece in pieces:
             # Small steps in: one step's output is bounded by the format's greatest ratio.
-            for at in range(0, len(data), 256):
-                text += decoder.decode(machine.decompress(data[at : at + 256]))
-                if len(text) >= _WINDOW:
-                    yield text
-                    text = text[-_OVERLAP:]
-                if getattr(machine, "eof", False):
-                    break
-        except (OSError, EOFError, ValueError, zlib.error, lzma.LZMAError, zstandard.ZstdError):
-            pass  # what came out before the damage counts
-        if text:
+            for at in range(0, len(piece), 256):
+                rest += piece[at : at + 256]
+                while rest:
+                    if machine is None:
+                        stream = next((s for magic, s in _STREAMS if rest.startswith(magic)), None)
+                        if stream is None and len(rest) >= 6:
+                            return
+                        if stream is None:
+                            break
+                        machine = stream()
+                    out, rest = machine.decompress(rest), b""
+                    if out:
+                        yield out
+                    if getattr(machine, "eof", False):
+                        rest, machine = machine.unused_data.lstrip(b"\0"), None  # members may be padded
+    except (OSError, EOFError, ValueError, zlib.error, lzma.LZMAError, zstandard.ZstdError):
+        pass  # what came out before the damage counts
+
+
+def _windows(pieces: Iterator[bytes]) -> Iterator[str]:
+    """The text of ``pieces`` in overlapping windows; a run of base64 that is open at a window's end goes into the next in full."""
+    decoder, text, enough, fresh = codecs.getincrementaldecoder("utf-8")("replace"), "", _WINDOW, False
+    for piece in pieces:
+        text, fresh = text + decoder.decode(piece), True
+        if len(text) >= enough:
+            run = len(text) - len(text.rstrip(_BASE64_CHARS))
+            if run > len(text) // 2:
+                enough = 2 * len(text)
+                continue
             yield text
-        return
+            text, enough, fresh = text[-max(_OVERLAP, run) :], _WINDOW, False
+    if fresh:
+        yield text + decoder.decode(b"", True)
+
+
+def _unpacked(data: bytes) -> Iterator[str]:
+    """Windows of the text in a compressed stream, and in what is compressed in it in turn; none if ``data`` isn't one."""
+    seen = set()
+    inner = lambda: _members(iter([data]))
+    while True:
+        digest, head, wide = hashlib.blake2b(digest_size=16), b"", False
+        for piece in inner():
+            digest.update(piece)
+            head = (head + piece)[:6] if len(head) < 6 else head
+            wide = wide or b"\0" in piece
+        if not head or digest.digest() in seen:  # a stream that holds itself
+            return
+        seen.add(digest.digest())
+        yield from _windows(inner())
+        if wide:
+            for name in ("utf-16-le", "utf-16-be"):
+                decoder = codecs.getincrementaldecoder(name)("replace")
+                yield from _windows(decoder.decode(x).encode("utf-8", "replace") for x in inner())
+        if not any(head.startswith(magic) for magic, _ in _STREAMS):
+            return
+        inner = lambda outer=inner: _members(outer())
+
+
+def _streams(data: bytes) -> Iterator[str]:
+    """Windows of all compressed streams that begin anywhere in ``data``."""
+    for m in _MAGIC.finditer(data):
+        yield from _unpacked(data[m.start() :])
+
+
+_PERCENT_STREAM = re.compile(r"(?i:%1f%8b%08|(?:B|%42)(?:Z|%5a)(?:h|%68)[1-9%]|%fd(?:7|%37)(?:z|%7a)|(?:\(|%28)%b5(?:/|%2f)%fd|(?:x|%78)(?:%01|%5e|\^|%9c|%da))[^\s\"<>&]*")
+_ESCAPED_STREAM = re.compile(r"(?:\\x1[fF]\\x8[bB]\\(?:x08|b)|(?:B|\\x42)(?:Z|\\x5[aA])(?:h|\\x68)[1-9\\]|\\x[fF][dD](?:7|\\x37)(?:z|\\x7[aA])|(?:\(|\\x28)\\x[bB]5(?:/|\\x2[fF])\\x[fF][dD]|(?:x|\\x78)(?:\\x(?:01|5[eE]|9[cC]|[dD][aA])|\^))[\x20-\x7e]*")
+_ESCAPED_BYTE = re.compile(r"\\x([0-9A-Fa-f]{2})|\\([abfnrtv0'\"\\])")
+_NAMED = dict(zip("abfnrtv0'\"\\", "\a\b\f\n\r\t\v\0'\"\\", strict=True))
+
+
+def _escaped_streams(layer: _Layer) -> Iterator[_Layer]:
+    """Compressed streams whose bytes are written in percent or ``\\x`` escapes, the printable ones as themselves."""
+    if "%" in layer.text:
+        for m in _PERCENT_STREAM.finditer(layer.text):
+            for text in _streams(urllib.parse.unquote_to_bytes(m[0])):
+                yield _Layer(text, whole=layer.root(m.start(), m.end()))
+    if "\\x" in layer.text:
+        for m in _ESCAPED_STREAM.finditer(layer.text):
+            raw = _ESCAPED_BYTE.sub(lambda x: chr(int(x[1], 16)) if x[1] else _NAMED[x[2]], m[0]).encode("latin-1")
+            for text in _streams(raw):
+                yield _Layer(text, whole=layer.root(m.start(), m.end()))
 
 
 def _printable(text: str) -> bool:
@@ -166,7 +239,7 @@ def _base64(layer: _Layer) -> Iterator[_Layer]:
         except binascii.Error:
             continue
         whole = layer.root(m.start(), m.end())
-        for text in _unpacked(data):
+        for text in _streams(data):
             yield _Layer(text, whole=whole)
         try:
             text = data.decode()
@@ -190,6 +263,7 @@ def _unwrapped(layer: _Layer) -> Iterator[_Layer]:
         yield new
     if ("\\" in layer.text or "&#" in layer.text) and (new := _replaced(layer, _ESCAPE, _escape)):
         yield new
+    yield from _escaped_streams(layer)
     yield from _base64(layer)
 
 

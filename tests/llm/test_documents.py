@@ -1,8 +1,11 @@
 """Operators over documents against brute force on awkward rows."""
 
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
+import random
 import re
 import urllib.parse
 import zlib
@@ -11,7 +14,9 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+import zstandard
 
+from pagemill.llm import secret_scan
 from pagemill.llm.boilerplate import blocks, covered
 from pagemill.llm.components import components
 from pagemill.llm.quality import RULES, Features, first_rejection, judge, keep_good, op8_rule_cascade
@@ -68,6 +73,32 @@ def test_hidden_secrets_have_spans_in_the_text(hidden):
     assert "[REDACTED]" in redacted(text) and redacted(text).startswith("before ") and redacted(text).endswith(" after")
 
 
+NOISE = " ".join(hashlib.sha1(bytes([i])).hexdigest()[:9] for i in range(99))
+XZ = lzma.compress(SECRET.encode())
+
+
+def _escaped(data):
+    return "".join(f"\\x{b:02x}" for b in data)
+
+
+@pytest.mark.parametrize("hidden", [
+    base64.b64encode(gzip.compress(gzip.compress(SECRET.encode()))).decode(), base64.b64encode(bz2.compress(zlib.compress(gzip.compress(SECRET.encode())))).decode(),
+    base64.b64encode(gzip.compress(NOISE.encode()) + gzip.compress(SECRET.encode())).decode(), base64.b64encode(lzma.compress(b"one") + XZ).decode(),
+    base64.b64encode(b"".join(map(zstandard.compress, (b"one", SECRET.encode())))).decode(), urllib.parse.quote_from_bytes(gzip.compress(SECRET.encode())), _escaped(XZ), repr(gzip.compress(SECRET.encode())),
+])
+def test_streams_in_streams_members_and_escapes(hidden):
+    text = f"before {hidden} after"
+    spans = scan_text(text)[1]
+    assert spans and all(7 <= a < b <= len(text) for a, _, b in spans)
+
+
+def test_base64_over_a_windows_end(monkeypatch):
+    monkeypatch.setattr(secret_scan, "_WINDOW", 5000)
+    monkeypatch.setattr(secret_scan, "_OVERLAP", 64)
+    inner = base64.b64encode(gzip.compress(random.Random(1).randbytes(9000) + b" " + SECRET.encode())).decode()
+    assert scan_text(base64.b64encode(gzip.compress(f"{'x, ' * 1000}{inner} end".encode())).decode())[1]
+
+
 def test_decoding_ends(spark, documents):
     assert scan_text("%2525252541" * 50 + "QUFBQUFBQUFBQUFBQUFBQQ==" * 20)[1] == []
     frame = spark.read.parquet(f"{documents[0]}/documents.parquet")
