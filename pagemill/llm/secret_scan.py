@@ -2,7 +2,8 @@
 
 A worklist starts with the whole text. Each layer is scanned for the base kinds, then unwrapped in every way it allows: percent
 escapes and Unicode escapes (both over the layer's whole text), and base64 runs. Bytes of escapes and runs may be text or hold gzip,
-zlib, bzip2, xz or zstandard streams, of any number of members, compressed any number of times. What comes out is a new layer, until nothing new appears. A layer equal to one already seen over the same
+zlib, bzip2, xz or zstandard streams, of any number of members, compressed any number of times. Runs are read in all four alignments, line by line and joined over line breaks; bytes that aren't text
+hide nothing beside them. What comes out is a new layer, until nothing new appears. A layer equal to one already seen over the same
 part of the root text is a cycle and is dropped. Every layer carries, for each of its characters, the root positions it comes
 from, so a secret found at any depth has a span in the root text: the escape, the base64 quartets, or the compressed run.
 Compressed streams are unpacked in overlapping windows, so a layer in memory is bounded though all of it is scanned; only a run of
@@ -15,7 +16,6 @@ other columns are kept by ``redact`` and ignored by ``scan``.
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import codecs
 import hashlib
@@ -41,6 +41,7 @@ _HEX = re.compile(r"[0-9a-f]{24,}")  # the runs of [0-9a-f]+ that have 24 or mor
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 _RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[\x20\t>]*[A-Za-z0-9+/_-]+)*={0,2}")
 _WINDOW, _OVERLAP = 1 << 22, 1 << 12
 _BASE64_CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=\r\n"
 
@@ -225,37 +226,54 @@ def _escaped_streams(layer: _Layer) -> Iterator[_Layer]:
                 yield _Layer(text, whole=layer.root(m.start(), m.end()))
 
 
-def _printable(text: str) -> bool:
-    return all(c.isprintable() or c in "\n\r\t" for c in text)
+def _telling(text: str) -> bool:
+    """Whether ``text`` can hold a secret or another layer."""
+    low = text.lower()
+    return any(h in low for h in (*_ASSIGN_HINTS, "akia", "%", "\\", "&#")) or bool(_HEX.search(text) or _RUN.search(text))
 
 
-def _base64(layer: _Layer) -> Iterator[_Layer]:
-    for m in _RUN.finditer(layer.text):
-        body = m[0].rstrip("=")
-        if len(body) % 4 == 1:
-            continue
-        try:
-            data = base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4))
-        except binascii.Error:
-            continue
-        whole = layer.root(m.start(), m.end())
-        for text in _streams(data):
-            yield _Layer(text, whole=whole)
-        try:
-            text = data.decode()
-        except UnicodeDecodeError:
+def _texts(data: bytes) -> Iterator[list[tuple[str, int, int]]]:
+    """Readings of ``data`` as text: characters with their bytes' start and end. Bytes that aren't text become replacement marks."""
+    names = ["utf-8", *(["utf-16-le", "utf-16-be"] if b"\0" in data else [])]
+    for name in names:
+        text = data.decode(name, "surrogateescape" if name == "utf-8" else "replace")
+        if not _telling(text):
             continue
-        if not _printable(text):
-            continue
-        starts, ends, at = [], [], 0
+        out, at = [], 0
         for c in text:
-            n = len(c.encode())
-            a, b = m.start() + at // 3 * 4, min(m.start() + (at + n - 1) // 3 * 4 + 4, m.end())
-            a, b = layer.root(a, b)
-            starts.append(a)
-            ends.append(b)
+            n = 1 if "\udc80" <= c <= "\udcff" else len(c.encode(name, "surrogatepass"))
+            out.append(("\ufffd" if "\ud800" <= c <= "\udfff" else c, at, min(at + n, len(data))))
             at += n
-        yield _Layer(text, starts, ends)
+        yield out
+
+
+def _base64(layer: _Layer) -> Iterator[_Layer]:
+    for m in _WRAPPED.finditer(layer.text):
+        # A run of one line, or one over line breaks: each of its lines, and all as one.
+        lines = [(x.start() + m.start(), x.end() + m.start()) for x in _RUN.finditer(m[0])]
+        joined = [i for i, c in enumerate(m[0], m.start()) if c not in "\r\n\t >"] if "\n" in m[0] else None
+        for places in [*(range(a, b) for a, b in lines), *([joined] if joined else [])]:
+            body = "".join(layer.text[i] for i in places) if places is joined else layer.text[places.start : places.stop]
+            body = body.rstrip("=").replace("-", "+").replace("_", "/")
+            if "=" in body:
+                continue  # padding inside: each line is a run of its own
+            # The payload may begin anywhere, as behind a path's slash, so all four alignments are read.
+            for k in range(4):
+                own = body[k:]
+                own = own[:-1] if len(own) % 4 == 1 else own
+                data = base64.b64decode(own + "=" * (-len(own) % 4))
+                whole = layer.root(places[0], places[-1] + 1)
+                for text in _streams(data):
+                    yield _Layer(text, whole=whole)
+                for chars in _texts(data):
+                    starts, ends = [], []
+                    for _, at, to in chars:
+                        a = places[k + at // 3 * 4]
+                        b = places[min(k + (to - 1) // 3 * 4 + 4, len(places)) - 1] + 1
+                        a, b = layer.root(a, b)
+                        starts.append(a)
+                        ends.append(b)
+                    yield _Layer("".join(c for c, _, _ in chars), starts, ends)
 
 
 def _unwrapped(layer: _Layer) -> Iterator[_Layer]:

@@ -92,6 +92,18 @@ def test_streams_in_streams_members_and_escapes(hidden):
     assert spans and all(7 <= a < b <= len(text) for a, _, b in spans)
 
 
+@pytest.mark.parametrize("hidden", [
+    base64.b64encode(b"\xff\xfe\x00 " + SECRET.encode() + b"\x0c\xc2\xa0").decode(), base64.b64encode(SECRET.encode("utf-16")).decode(), base64.b64encode(SECRET.encode("utf-16-be")).decode(),
+    *(f"/{'a' * k}/{B64}" for k in range(4)), f"/api/{base64.b64encode(gzip.compress(SECRET.encode())).decode()}", base64.encodebytes(gzip.compress(f"{NOISE} {SECRET}".encode())).decode().strip(),
+    base64.encodebytes(f"{'x' * 50} {SECRET}".encode()).decode().strip().replace("\n", "\r\n"),
+])
+def test_base64_of_any_bytes_alignment_and_lines(hidden):
+    text = f"before {hidden} after"
+    spans = scan_text(text)[1]
+    assert spans and all(7 <= a < b <= 7 + len(hidden) for a, _, b in spans)
+    assert redacted(text).startswith("before ") and redacted(text).endswith(" after")
+
+
 def test_base64_over_a_windows_end(monkeypatch):
     monkeypatch.setattr(secret_scan, "_WINDOW", 5000)
     monkeypatch.setattr(secret_scan, "_OVERLAP", 64)
