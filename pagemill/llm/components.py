@@ -2,6 +2,9 @@
 
 Every round is two aggregations and two joins over the edges that are left; a round's result is written to the shared folder, so
 lineage stays short and a lost executor costs one round at most. Rounds grow with the logarithm of the longest path.
+
+Defined cases: an edge with a null end and an edge from a node to itself link nothing; repeated edges count once; no edges, no rows;
+other columns are ignored. No texts are read here.
 """
 
 from __future__ import annotations
@@ -9,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import discard, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -31,10 +34,11 @@ def components(edges: DataFrame) -> DataFrame:
     now = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = None
     while True:
-        # The sum of hashes wraps on purpose; ``bit_xor`` of distinct rows identifies the set.
+        # The number of rows and the exclusive-or of two hashes of each identify the set of distinct rows.
         sign = tuple(now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first())
         if sign == mark or not sign[0]:
             break
         mark = sign
-        now = written(_small_star(_large_star(now)), "edges")
+        before, now = now, written(_small_star(_large_star(now)), "edges")
+        discard(before)
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select("b", "b").distinct())
