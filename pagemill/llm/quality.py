@@ -6,8 +6,8 @@ rows the rules then run in that order and stop at the first rejection. Features
 kept while the text is in hand. A text is kept if no rule rejects it, so the order changes the time and never the verdict.
 
 Defined cases: null and empty texts have no words and are rejected by ``few_words``; null ``doc_id`` stays null; repeated rows
-are judged each; an empty table gives no rows and the rules keep their given order; other columns are ignored by ``judge`` and
-kept by ``keep_good``.
+are judged each; an empty table gives no rows and the rules keep their given order; a very long text is judged whole, by features
+whose memory is a few times its words; other columns, whatever their names, are ignored by ``judge`` and kept by ``keep_good``.
 """
 
 from __future__ import annotations
@@ -27,8 +27,9 @@ from .shared import table
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
 _SPACE = " \t\n\x0b\x0c\r"
-#: Rows on which costs and selectivities are estimated; they set the order of the rules and nothing else.
-SAMPLE_ROWS = 500
+#: Rows on which costs and selectivities are estimated: about this share of all, and this many at least. They set the order of the
+#: rules and nothing else.
+SAMPLE_SHARE, SAMPLE_ROWS = 0.001, 500
 
 
 class Features:
@@ -54,14 +55,21 @@ class Features:
         return sum(map(self.text.count, SYMBOLS))
 
     @cached_property
-    def lines(self) -> tuple[int, int]:
-        """Lines with a word, and those of them that equal an earlier line."""
+    def lines(self) -> tuple[int, int, int]:
+        """Of lines with a word: those that equal an earlier line, the characters of all, the characters of those that repeat."""
         own = [x for x in self.text.split("\n") if x.strip(_SPACE)]
-        return len(own), len(own) - len(set(own))
+        first = set(own)
+        size = sum(map(len, own))
+        return len(own) - len(first), size, size - sum(map(len, first))
 
     @cached_property
     def n_dup_lines(self) -> int:
-        return self.lines[1]
+        return self.lines[0]
+
+    @cached_property
+    def n_stutters(self) -> int:
+        """Words that equal the word before."""
+        return sum(map(bytes.__eq__, self.words[1:], self.words))
 
     @cached_property
     def n_repeat_words(self) -> int:
@@ -108,11 +116,18 @@ def repeated_windows(f: Features) -> bool:
 
 
 def repeated_lines(f: Features) -> bool:
-    return 100 * f.lines[1] > 30 * f.lines[0]
+    """Over 30 % of the characters of lines are in lines that repeat an earlier one."""
+    return 100 * f.lines[2] > 30 * f.lines[1]
 
 
 def symbol_heavy(f: Features) -> bool:
-    return 100 * f.n_symbols > 25 * f.word_chars
+    """Marks glued to words, or columns of cells: over one symbol in four words."""
+    return 100 * f.n_symbols > 25 * f.n_words
+
+
+def stuttering(f: Features) -> bool:
+    """Over a fifth of the words equal the word before."""
+    return 100 * f.n_stutters > 20 * f.n_words
 
 
 def odd_words(f: Features) -> bool:
@@ -121,11 +136,12 @@ def odd_words(f: Features) -> bool:
 
 
 BASE = (Rule("few_words", few_words), Rule("repeated_windows", repeated_windows))
-RULES = (*BASE, Rule("repeated_lines", repeated_lines), Rule("symbol_heavy", symbol_heavy), Rule("odd_words", odd_words))
+RULES = (*BASE, Rule("repeated_lines", repeated_lines), Rule("symbol_heavy", symbol_heavy), Rule("stuttering", stuttering), Rule("odd_words", odd_words))
 
 
-def estimate(df: DataFrame, rules: Sequence[Rule] = RULES, rows: int = SAMPLE_ROWS) -> dict[str, tuple[float, float]]:
-    """Seconds a text and share rejected, of each rule alone, on about ``rows`` rows of ``df``."""
+def estimate(df: DataFrame, rules: Sequence[Rule] = RULES, share: float = SAMPLE_SHARE, rows: int = SAMPLE_ROWS) -> dict[str, tuple[float, float]]:
+    """Seconds a text and share rejected, of each rule alone, on a sample of ``df``; each task sums its part, so a rule's row per task
+    is all that moves."""
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,7 +153,10 @@ def estimate(df: DataFrame, rules: Sequence[Rule] = RULES, rows: int = SAMPLE_RO
                 spent.append(time.perf_counter() - began)
             yield pa.RecordBatch.from_arrays([pa.array([r.name for r in rules]), pa.array(spent, pa.float64()), pa.array(rejected, pa.int64()), pa.array([len(texts)] * len(rules), pa.int64())], ["rule", "s", "rejected", "n"])
 
-    sample = df.select("text").sample(0.1, seed=8).limit(rows)
+    n = df.count()
+    if not n:
+        return {}
+    sample = df.select("text").sample(min(1.0, max(rows / n, share)), seed=8)
     got = sample.mapInArrow(measured, "rule string, s double, rejected long, n long").groupBy("rule").agg(F.sum("s"), F.sum("rejected"), F.sum("n")).collect()
     return {name: (s / n, rejected / n) for name, s, rejected, n in got if n}
 
@@ -204,19 +223,21 @@ WITH d AS (
 ), rep AS (
   SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 8)) AS p FROM win WHERE n > 1) GROUP BY r
 ), lines AS (
-  SELECT r, count(*) AS n, count(*) - count(DISTINCT line) AS dup
-  FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d)
-  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r
+  SELECT r, sum(n) - count(*) AS dup, sum(n * length(line)) AS chars, sum((n - 1) * length(line)) AS dup_chars
+  FROM (SELECT r, line, count(*) AS n FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d)
+        WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r, line)
+  GROUP BY r
 ), f AS (
   SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
          CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
          CAST(coalesce(lines.dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words,
-         coalesce(lines.n, 0) AS n_lines
+         coalesce(lines.chars, 0) AS chars, coalesce(lines.dup_chars, 0) AS dup_chars,
+         len(list_filter(range(1, len(w)), lambda i: w[i] = w[i + 1])) AS n_stutters
   FROM d LEFT JOIN rep USING (r) LEFT JOIN lines USING (r)
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
-       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 100 * n_dup_lines > 30 * n_lines
-            OR 100 * n_symbols > 25 * word_chars OR word_chars < 2 * n_words OR word_chars > 60 * n_words) AS kept
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 100 * dup_chars > 30 * chars
+            OR 100 * n_symbols > 25 * n_words OR 100 * n_stutters > 20 * n_words OR word_chars < 2 * n_words OR word_chars > 60 * n_words) AS kept
 FROM f
 """
