@@ -1,23 +1,25 @@
 """Benchmark decontamination by winnowing, in DataFrame operations only.
 
-Words are runs of letters, digits and non-ASCII characters, lower-cased in A-Z. Every ``GRAM`` consecutive words have a hash; a
-window of ``WINDOW`` words keeps the least hash of its grams as its fingerprint, so two equal windows always share it, and a span
-of ``WINDOW`` or more words that a document shares with an item is never missed. An item of fewer words is one window with the
-hash of all its words; only lengths that occur among the items are looked for.
+Words are runs of letters, digits and non-ASCII characters, lower-cased in A-Z. Each word is hashed once to a long; a gram is the
+hash of ``GRAM`` consecutive word hashes, and a window of ``WINDOW`` words keeps the least hash of its grams as its fingerprint, so
+two equal windows always share it, and a span of ``WINDOW`` or more words that a document shares with an item is never missed. An item
+of fewer words is one window with the hash of all its words; only lengths that occur among the items are looked for.
 
 1. One pass over the documents: word count, and those windows whose fingerprint's place in a bitmap of the items' fingerprints
-   is set, with their words. The bitmap's size is bounded; a wrong pass costs time only. No text is shuffled or read again.
+   is set, with their words. Grams are tested first, so windows are formed only around a gram that an item may have selected. The
+   bitmap has ``BITS_EACH`` bits a fingerprint and ``MOST_BITS`` (2 MB) at most; beyond 131,072 fingerprints more windows pass for
+   nothing (one in sixteen at a million), which costs time and disk and no result. No text is shuffled or read again.
 2. The windows' fingerprints are joined with the items'.
 3. Extension: windows with a matched fingerprint are compared word by word with the items' windows (an equi-join on the window's
-   words). What is equal is an occurrence.
-4. Occurrences of a text are merged into hit words; their items are listed.
+   words). What is equal is an occurrence; occurrences that overlap or touch are one span of hit words.
+4. A text's items are listed by way of the distinct sets of items that its windows belong to.
 
-Texts are matched by digest, so copies are looked up once per text and a document's row is never multiplied. Joins are broadcast
-only where Spark finds the written table below its size threshold. Nothing pairs documents with each other.
+Everything is keyed by the row, so copies of a text, however many, are spread over all tasks. Joins are broadcast only where Spark
+finds the written table below its size threshold. Nothing pairs documents with each other.
 
 Defined cases: null texts have no words; null ``item_id`` counts for hits and is not listed; null ``doc_id`` stays null; repeated
-rows are judged each; without items or documents nothing is contaminated; other columns are kept by ``drop_contaminated`` and
-ignored by ``contamination``.
+rows are judged each; without items or documents nothing is contaminated; very long texts are taken whole, one row's words in memory;
+other columns, whatever their names, are kept by ``drop_contaminated`` and ignored by ``contamination``.
 """
 
 from __future__ import annotations
@@ -25,23 +27,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table, written
+from .shared import fresh, table, written
 
 WINDOW, GRAM = 10, 5
-#: Bits of the bitmap for each fingerprint of an item, and the most and fewest in all: 2 MB as longs.
+#: Bits of the bitmap for each fingerprint of an item, and the fewest and most in all.
 BITS_EACH, FEWEST_BITS, MOST_BITS = 128, 1 << 16, 1 << 24
-_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def words(text: Column) -> Column:
-    found = F.regexp_extract_all(F.translate(text, _UPPER, _LOWER), F.lit(_WORD), F.lit(0))
-    return F.coalesce(found, F.array().cast("array<string>"))
-
-
-def _each(n: Column, size: int, of) -> Column:
-    """``of(i)`` for the start i of each run of ``size`` among ``n`` items; an empty array if there is none."""
-    return F.transform(F.filter(F.sequence(F.lit(0), F.greatest(n - size, F.lit(0))), lambda i: i + size <= n), of)
+    ascii_only = F.octet_length(text) == F.char_length(text)
+    low = F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
+    return F.coalesce(F.array_remove(F.split(low, _GAP), ""), F.array().cast("array<string>"))
 
 
 def _let(value: Column, of) -> Column:
@@ -49,73 +47,99 @@ def _let(value: Column, of) -> Column:
     return F.get(F.transform(F.array(value), of), F.lit(0))
 
 
-def _fingerprints(ws: Column, n: Column) -> Column:
-    """Of each window of ``WINDOW`` words, by its start."""
-    grams = _each(n, GRAM, lambda i: F.xxhash64(F.slice(ws, i + 1, GRAM)))
-    return _let(grams, lambda g: _each(n, WINDOW, lambda i: F.array_min(F.slice(g, i + 1, WINDOW - GRAM + 1))))
+def _hashes(ws: Column) -> Column:
+    return F.transform(ws, lambda w: F.xxhash64(w))
+
+
+def _run_hash(hs: Column, at: Column, size: int, *salt: Column) -> Column:
+    """The hash of ``size`` word hashes from ``at`` on; arithmetic on longs."""
+    return F.xxhash64(*salt, *[F.get(hs, at + k) for k in range(size)])
 
 
-def _short(ws: Column, n: Column, size: int) -> Column:
-    """The hash of each window of ``size`` words, by its start, apart from those of other sizes."""
-    return _each(n, size, lambda i: F.xxhash64(F.lit(size), F.slice(ws, i + 1, size)))
+def _grams(hs: Column) -> Column:
+    """Of each position; the last ``GRAM - 1`` are of runs that are too short and not to be used."""
+    return F.transform(hs, lambda _, i: _run_hash(hs, i, GRAM))
+
+
+def _least(g: Column, at: Column) -> Column:
+    """The fingerprint of the window of ``WINDOW`` words at ``at``."""
+    return F.array_min(F.slice(g, at + 1, WINDOW - GRAM + 1))
 
 
 def _item_windows(items: DataFrame) -> DataFrame:
     """Distinct (item_id, size, window, fp): the items' windows as space-joined words, with their fingerprints."""
-    ws = items.select("item_id", words(F.col("text")).alias("ws")).withColumn("n", F.size("ws")).filter("n > 0")
-    whole = F.array(F.struct(F.col("n").alias("size"), F.col("ws").alias("w")))
-    runs = _each(F.col("n"), WINDOW, lambda i: F.struct(F.lit(WINDOW).alias("size"), F.slice("ws", i + 1, WINDOW).alias("w")))
-    wins = ws.select("item_id", F.inline(F.when(F.col("n") < WINDOW, whole).otherwise(runs)))
-    long = F.array_min(F.transform(F.sequence(F.lit(0), F.lit(WINDOW - GRAM)), lambda i: F.xxhash64(F.slice("w", i + 1, GRAM))))
-    fp = F.when(F.col("size") == WINDOW, long).otherwise(F.xxhash64("size", "w"))
-    return wins.select("item_id", "size", F.array_join("w", " ").alias("window"), fp.alias("fp")).distinct()
+    own = items.select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text")).alias("ws")).filter(F.size("ws") > 0)
+    n, size = F.size("ws"), F.least(F.size("ws"), F.lit(WINDOW))
+    runs = F.transform(F.sequence(F.lit(0), n - size), lambda i: F.struct(size.alias("size"), F.slice("ws", i + 1, size).alias("w")))
+    wins = own.select("item_id", F.inline(runs)).distinct()
+    short = F.expr("cast(null as bigint)")
+    for s in range(WINDOW - 1, 0, -1):
+        short = F.when(F.col("size") == s, _run_hash(F.col("hs"), F.lit(0), s, F.lit(s))).otherwise(short)
+    wins = wins.withColumn("hs", _hashes(F.col("w"))).withColumn("long", _least(_grams(F.col("hs")), F.lit(0)))
+    return wins.select("item_id", "size", F.array_join("w", " ").alias("window"), F.when(F.col("size") == WINDOW, F.col("long")).otherwise(short).alias("fp"))
 
 
 def _bitmap_test(fps: DataFrame):
-    """A test on a fingerprint column: false only if ``fps`` doesn't hold it. It reads a constant array of longs."""
-    bits = FEWEST_BITS
-    n = fps.count()
+    """A test on a fingerprint: false only if ``fps`` doesn't hold it. It reads a constant array of longs."""
+    bits, n = FEWEST_BITS, fps.count()
     while bits < MOST_BITS and bits < BITS_EACH * n:
         bits *= 2
-    bit = F.expr(f"shiftleft(1L, cast(pmod(fp, {bits}) & 63 as int))")
     # At most bits / 64 rows.
-    rows = fps.groupBy(F.shiftright(F.pmod("fp", F.lit(bits)), 6).cast("int").alias("k")).agg(F.bit_or(bit).alias("v")).collect()
+    slot = F.shiftright(F.col("fp").bitwiseAND(F.lit(bits - 1)), 6).cast("int")
+    rows = fps.groupBy(slot.alias("k")).agg(F.bit_or(F.expr("shiftleft(1L, cast(fp & 63 as int))")).alias("v")).collect()
     held = {r.k: r.v for r in rows}
     longs = F.split(F.lit(",".join(str(held.get(k, 0)) for k in range(bits // 64))), ",").cast("array<bigint>")
 
     def test(fp: Column) -> Column:
-        slot = F.pmod(fp, F.lit(bits))
-        word = F.get(longs, F.shiftright(slot, 6).cast("int"))
-        return F.call_function("getbit", word, slot.bitwiseAND(F.lit(63)).cast("int")) == 1
+        word = F.get(longs, F.shiftright(fp.bitwiseAND(F.lit(bits - 1)), 6).cast("int"))
+        return F.call_function("getbit", word, fp.bitwiseAND(F.lit(63)).cast("int")) == 1
 
     return test
 
 
+def _candidates(size: int, ws: Column, hs: Column, maybe) -> Column:
+    """Of a text's windows of ``size`` words, those whose fingerprint passes: (at, size, fp, window)."""
+    n = F.size(ws)
+    every = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))
+
+    def found(starts: Column, fp) -> Column:
+        return F.transform(starts, lambda i: F.struct(i.alias("at"), F.lit(size).alias("size"), fp(i).alias("fp"), F.array_join(F.slice(ws, i + 1, size), " ").alias("window")))
+
+    if size < WINDOW:
+        fp = lambda i: _run_hash(hs, i, size, F.lit(size))
+        return found(F.filter(every, lambda i: (i + size <= n) & maybe(fp(i))), fp)
+
+    def of(g: Column) -> Column:
+        passed = F.filter(every, lambda i: (i + GRAM <= n) & maybe(F.get(g, i)))
+        around = lambda p: F.filter(F.sequence(p - (WINDOW - GRAM), p), lambda i: (i >= 0) & (i + WINDOW <= n) & (_least(g, i) == F.get(g, p)))
+        return found(F.array_distinct(F.flatten(F.transform(passed, around))), lambda i: _least(g, i))
+
+    return _let(_grams(hs), of)
+
+
+def _row_key(df: DataFrame) -> Column:
+    return F.md5(F.concat_ws("\n", F.coalesce(df["doc_id"].cast("string"), F.lit("")), F.coalesce(df["text"], F.lit(""))))
+
+
 def contamination(df: DataFrame, items: DataFrame) -> DataFrame:
-    """Per row of ``df`` (doc_id, text): doc_id, digest, n_words, n_hit, item_ids (sorted, as strings), against ``items`` (item_id, text)."""
+    """Per row of ``df`` (doc_id, text): doc_id, row_key (names id and text), n_words, n_hit, item_ids (sorted, as strings), against
+    ``items`` (item_id, text)."""
     wins = written(_item_windows(items), "item-windows")
-    sizes = sorted(r[0] for r in wins.select("size").distinct().collect())  # at most WINDOW of them
+    sizes = sorted(r[0] for r in wins.select("size").distinct().collect()) or [WINDOW]  # at most WINDOW of them
     fps = written(wins.select("fp").distinct(), "item-fingerprints")
     maybe = _bitmap_test(fps)
 
-    def candidates(s: int, ws: Column) -> Column:
-        own = _fingerprints(ws, F.size(ws)) if s == WINDOW else _short(ws, F.size(ws), s)
-        own = F.filter(F.transform(own, lambda fp, i: F.struct(i.alias("at"), fp.alias("fp"))), lambda x: maybe(x["fp"]))
-        return F.transform(own, lambda x: F.struct(x["at"].alias("at"), F.lit(s).alias("size"), x["fp"].alias("fp"), F.array_join(F.slice(ws, x["at"] + 1, s), " ").alias("window")))
-
-    def cut(ws: Column) -> Column:
-        return F.struct(F.size(ws).cast("long").alias("n_words"), F.concat(*[candidates(s, ws) for s in sizes or [WINDOW]]).alias("own"))
-
-    digest = F.md5(F.coalesce(F.col("text"), F.lit("")))
-    seen = df.select("doc_id", digest.alias("digest"), F.inline(F.transform(F.array(words(F.col("text"))), cut)))
-    seen = written(seen, "candidate-windows")
+    # Written once, so that a row's number stays.
+    docs = df.select(F.monotonically_increasing_id().alias("row"), "doc_id", _row_key(df).alias("row_key"), words(df["text"]).alias("ws"))
+    own = _let(_hashes(F.col("ws")), lambda hs: F.concat(*[_candidates(s, F.col("ws"), hs, maybe) for s in sizes]))
+    seen = written(docs.select("row", "doc_id", "row_key", F.size("ws").cast("long").alias("n_words"), own.alias("own")), "candidate-windows")
 
-    matched = seen.select("digest", F.inline("own")).join(fps, "fp", "left_semi")
-    found = matched.select("digest", "at", "size", "window").distinct()
-    distinct = wins.groupBy("size", "window").agg(F.collect_set(F.col("item_id").cast("string")).alias("item_ids"))
-    hits = written(found.join(distinct, ["size", "window"]).select("digest", "at", "size", "window", "item_ids"), "hits")
+    matched = seen.select("row", F.inline("own")).join(fps, "fp", "left_semi")
+    lists = wins.groupBy("size", "window").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
+    lists = written(lists.withColumn("list", F.md5(F.array_join("item_ids", "\n"))), "item-lists")
+    hits = written(matched.join(lists.select("size", "window", "list"), ["size", "window"]).select("row", "at", "size", "list"), "hits")
 
-    spans = hits.groupBy("digest").agg(F.array_sort(F.collect_list(F.struct("at", "size"))).alias("spans"))
+    spans = hits.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("at", "size"))).alias("spans"))
     merged = F.aggregate(
         "spans",
         F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n")),
@@ -125,18 +149,20 @@ def contamination(df: DataFrame, items: DataFrame) -> DataFrame:
         ),
         lambda acc: acc["n"],
     )
-    listed = hits.select("digest", "window", "item_ids").distinct().select("digest", F.explode("item_ids").alias("item_id"))
-    listed = listed.groupBy("digest").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
-    texts = spans.select("digest", merged.alias("n_hit")).join(listed, "digest", "left")
-    out = seen.select("doc_id", "digest", "n_words").join(texts, "digest", "left")
-    return out.select("doc_id", "digest", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"))
+    distinct = lists.groupBy("list").agg(F.first("item_ids").alias("item_ids"))
+    listed = hits.select("row", "list").distinct().join(distinct, "list").select("row", F.explode("item_ids").alias("item_id"))
+    listed = listed.groupBy("row").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
+    texts = spans.select("row", merged.alias("n_hit")).join(listed, "row", "left")
+    out = seen.select("row", "doc_id", "row_key", "n_words").join(texts, "row", "left")
+    return out.select("doc_id", "row_key", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"))
 
 
 def drop_contaminated(df: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``df`` whose text holds no window of an item, with all columns."""
-    found = written(contamination(df, items).filter("n_hit > 0").select("digest").distinct(), "contaminated")
+    (key,) = fresh(df, "row_key")
+    found = contamination(df, items).filter("n_hit > 0").select(F.col("row_key").alias(key)).distinct()
     # The list grows with the corpus, so it is never broadcast.
-    return df.join(found.hint("merge"), F.md5(F.coalesce(df["text"], F.lit(""))) == found["digest"], "left_anti")
+    return df.withColumn(key, _row_key(df)).join(written(found, "contaminated").hint("merge"), key, "left_anti").select(*[f"`{c}`" for c in df.columns])
 
 
 def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
