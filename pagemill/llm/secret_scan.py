@@ -4,13 +4,16 @@ A worklist starts with the whole text. Each layer is scanned for the base kinds,
 escapes and Unicode escapes (both over the layer's whole text), and base64 runs. Bytes of escapes and runs may be text or hold gzip,
 zlib, bzip2, xz or zstandard streams, of any number of members, compressed any number of times. Runs are read in all four alignments, line by line and joined over line breaks; bytes that aren't text
 hide nothing beside them. What comes out is a new layer, until nothing new appears. A layer equal to one already seen over the same
-part of the root text is a cycle and is dropped. Every layer carries, for each of its characters, the root positions it comes
-from, so a secret found at any depth has a span in the root text: the escape, the base64 quartets, or the compressed run.
-Compressed streams are unpacked in overlapping windows, so a layer in memory is bounded though all of it is scanned; only a run of
-base64 that is open at a window's end is kept in full.
+part of the root text is a cycle and is dropped. A layer knows its parent and where its pieces lie in it, as intervals and not by
+character, so a secret found at any depth has a span in the root text: the escape, the base64 quartets, or the compressed run.
 
-Defined cases: null text is empty; null ``doc_id`` stays null; repeated rows are scanned each; an empty table gives no rows;
-other columns are kept by ``redact`` and ignored by ``scan``.
+The worklist is a stack of generators: one layer of each depth is in memory. Compressed streams are unpacked in overlapping windows,
+all of which are scanned; what may be an inner stream that is open at a window's end goes into the next window from its first byte on,
+so a stream in a stream is only held in full while it is encoded as text.
+
+Defined cases: null text is empty; null ``doc_id`` stays null; repeated rows are scanned each; an empty table gives no rows; a very
+long text is scanned whole, at a few times its memory; other columns, whatever their names, are kept by ``redact`` and ignored by
+``scan``.
 """
 
 from __future__ import annotations
@@ -23,7 +26,10 @@ import lzma
 import re
 import urllib.parse
 import zlib
-from collections.abc import Iterator
+from array import array
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import pyarrow as pa
 import zstandard
@@ -43,7 +49,8 @@ _ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-F
 _RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[\x20\t>]*[A-Za-z0-9+/_-]+)*={0,2}")
 _WINDOW, _OVERLAP = 1 << 22, 1 << 12
-_BASE64_CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=\r\n"
+_BASE64_CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=\r\n\t >"
+_NO_BREAKS = str.maketrans("-_", "+/", "\r\n\t >")
 
 Span = tuple[int, int, int]  # start, place of the kind in KINDS, end
 
@@ -61,65 +68,78 @@ def base_spans(text: str) -> list[Span]:
 
 
 class _Layer:
-    """A text and the root span of each of its characters; ``starts`` None: all of them come from ``whole``."""
+    """A text, the layer that it was unwrapped from, and ``place``: its interval [a, b) -> the interval there."""
 
-    __slots__ = ("text", "starts", "ends", "whole")
+    __slots__ = ("text", "parent", "place")
 
-    def __init__(self, text, starts=None, ends=None, whole=(0, 0)):
-        self.text, self.starts, self.ends, self.whole = text, starts, ends, whole
+    def __init__(self, text: str, parent: _Layer | None = None, place: Callable[[int, int], tuple[int, int]] | None = None):
+        self.text, self.parent, self.place = text, parent, place
 
     def root(self, a: int, b: int) -> tuple[int, int]:
-        return self.whole if self.starts is None else (self.starts[a], self.ends[b - 1])
+        layer = self
+        while layer.parent is not None:
+            a, b = layer.place(a, b)
+            layer = layer.parent
+        return a, b
 
     def key(self) -> tuple:
-        whole = self.whole if self.starts is None else (self.starts[0], self.ends[-1]) if self.text else (0, 0)
+        whole = self.root(0, len(self.text)) if self.text else (0, 0)
         return (*whole, hashlib.blake2b(self.text.encode("utf-8", "surrogatepass"), digest_size=16).digest())
 
 
-def _replaced(layer: _Layer, pattern: re.Pattern, decode) -> _Layer | None:
-    """The layer with each match of ``pattern`` decoded; ``decode``: match -> [(character, start, end)] in the layer, or None."""
-    out, starts, ends, at, changed = [], [], [], 0, False
+class _Pieces:
+    """Where the characters of a layer come from: pieces whose characters stand for ``step`` characters of the parent each."""
+
+    def __init__(self):
+        self.at, self.start, self.step, self.size, self.end = array("q"), array("q"), array("q"), 0, 0
+
+    def add(self, n: int, start: int, step: int) -> None:
+        """``n`` characters from the parent's position ``start`` on; a piece that goes on as the last one did is part of it."""
+        if n and not (self.at and self.step[-1] == step and self.end == start):
+            self.at.append(self.size)
+            self.start.append(start)
+            self.step.append(step)
+        self.size, self.end = self.size + n, start + n * step
 
-    def keep(a: int, b: int) -> None:
-        out.append(layer.text[a:b])
-        if layer.starts is not None:
-            starts.extend(layer.starts[a:b])
-            ends.extend(layer.ends[a:b])
+    def place(self, a: int, b: int) -> tuple[int, int]:
+        i, j = bisect_right(self.at, a) - 1, bisect_right(self.at, b - 1) - 1
+        return self.start[i] + (a - self.at[i]) * self.step[i], self.start[j] + (b - self.at[j]) * self.step[j]
 
+
+def _replaced(layer: _Layer, pattern: re.Pattern, decode) -> _Layer | None:
+    """The layer with each match of ``pattern`` decoded; ``decode``: match -> (text, [(characters, step)]), or None to leave it."""
+    out, pieces, at = [], _Pieces(), 0
     for m in pattern.finditer(layer.text):
         if (got := decode(m)) is None:
             continue
-        keep(at, m.start())
-        at, changed = m.end(), True
-        for c, a, b in got:
-            out.append(c)
-            if layer.starts is not None:
-                starts.append(layer.starts[a])
-                ends.append(layer.ends[b - 1])
-    if not changed:
+        text, parts = got
+        out += [layer.text[at : m.start()], text]
+        pieces.add(m.start() - at, at, 1)
+        at = m.start()
+        for n, step in parts:
+            pieces.add(n, at, step)
+            at += n * step
+    if not out:
         return None
-    keep(at, len(layer.text))
-    return _Layer("".join(out), *((starts, ends) if layer.starts is not None else (None, None)), layer.whole)
+    out.append(layer.text[at:])
+    pieces.add(len(layer.text) - at, at, 1)
+    return _Layer("".join(out), layer, pieces.place)
 
 
-def _percent(m: re.Match) -> list | None:
+def _percent(m: re.Match) -> tuple[str, list[tuple[int, int]]]:
     raw = bytes.fromhex(m[0].replace("%", ""))
+    if raw.isascii():
+        return raw.decode(), [(len(raw), 3)]
     try:
         text = raw.decode()
     except UnicodeDecodeError:
-        text = raw.decode("latin-1")
-        return [(c, m.start() + 3 * i, m.start() + 3 * i + 3) for i, c in enumerate(text)]
-    out, at = [], m.start()
-    for c in text:
-        n = 3 * len(c.encode())
-        out.append((c, at, at + n))
-        at += n
-    return out
+        return raw.decode("latin-1"), [(len(raw), 3)]
+    return text, [(len(list(run)), 3 * n) for n, run in groupby(len(c.encode()) for c in text)]
 
 
-def _escape(m: re.Match) -> list | None:
+def _escape(m: re.Match) -> tuple[str, list[tuple[int, int]]] | None:
     code = int(m[6]) if m[6] else int(next(g for g in m.groups() if g), 16)
-    return [(chr(code), m.start(), m.end())] if 0 < code < 0x110000 and not 0xD800 <= code < 0xE000 else None
+    return (chr(code), [(1, m.end() - m.start())]) if 0 < code < 0x110000 and not 0xD800 <= code < 0xE000 else None
 
 
 _STREAMS = (
@@ -162,20 +182,39 @@ def _members(pieces: Iterator[bytes]) -> Iterator[bytes]:
         pass  # what came out before the damage counts
 
 
+def _open_at_end(text: str) -> int:
+    """How many of the last characters may be a compressed stream, written as text, that goes on behind ``text``."""
+    kept = 0
+    run = text[len(text.rstrip(_BASE64_CHARS)) :]
+    plain = run.translate(_NO_BREAKS)
+    for k in range(4):
+        own = plain[k : len(plain) - (len(plain) - k) % 4].replace("=", "A")
+        if m := _MAGIC.search(base64.b64decode(own, validate=False)):
+            # A break in the run only makes the part before it longer.
+            kept = max(kept, len(run) - (k + m.start() // 3 * 4))
+    for pattern, mark in ((_PERCENT_STREAM, "%"), (_ESCAPED_STREAM, "\\x")):
+        if mark in text:
+            kept = max(kept, *(len(text) - m.start() for m in pattern.finditer(text) if m.end() == len(text)), 0)
+    return kept
+
+
 def _windows(pieces: Iterator[bytes]) -> Iterator[str]:
-    """The text of ``pieces`` in overlapping windows; a run of base64 that is open at a window's end goes into the next in full."""
-    decoder, text, enough, fresh = codecs.getincrementaldecoder("utf-8")("replace"), "", _WINDOW, False
+    """The text of ``pieces`` in overlapping windows; what may be an open stream at a window's end goes into the next in full."""
+    decoder, parts, size, enough = codecs.getincrementaldecoder("utf-8")("replace"), [], 0, _WINDOW
     for piece in pieces:
-        text, fresh = text + decoder.decode(piece), True
-        if len(text) >= enough:
-            run = len(text) - len(text.rstrip(_BASE64_CHARS))
-            if run > len(text) // 2:
-                enough = 2 * len(text)
+        parts.append(decoder.decode(piece))
+        size += len(parts[-1])
+        if size >= enough:
+            text = "".join(parts)
+            kept = _open_at_end(text)
+            if kept > size // 2:
+                parts, enough = [text], 2 * size
                 continue
             yield text
-            text, enough, fresh = text[-max(_OVERLAP, run) :], _WINDOW, False
-    if fresh:
-        yield text + decoder.decode(b"", True)
+            parts = [text[-max(_OVERLAP, kept) :]]
+            size, enough = len(parts[0]), _WINDOW + kept
+    if parts:
+        yield "".join(parts) + decoder.decode(b"", True)
 
 
 def _unpacked(data: bytes) -> Iterator[str]:
@@ -213,17 +252,21 @@ _ESCAPED_BYTE = re.compile(r"\\x([0-9A-Fa-f]{2})|\\([abfnrtv0'\"\\])")
 _NAMED = dict(zip("abfnrtv0'\"\\", "\a\b\f\n\r\t\v\0'\"\\", strict=True))
 
 
+def _all_of(start: int, end: int) -> Callable[[int, int], tuple[int, int]]:
+    return lambda a, b: (start, end)
+
+
 def _escaped_streams(layer: _Layer) -> Iterator[_Layer]:
     """Compressed streams whose bytes are written in percent or ``\\x`` escapes, the printable ones as themselves."""
     if "%" in layer.text:
         for m in _PERCENT_STREAM.finditer(layer.text):
-            for text in _streams(urllib.parse.unquote_to_bytes(m[0])):
-                yield _Layer(text, whole=layer.root(m.start(), m.end()))
+            for text in _streams(urllib.parse.unquote_to_bytes(m[0].encode("utf-8", "surrogateescape"))):
+                yield _Layer(text, layer, _all_of(m.start(), m.end()))
     if "\\x" in layer.text:
         for m in _ESCAPED_STREAM.finditer(layer.text):
             raw = _ESCAPED_BYTE.sub(lambda x: chr(int(x[1], 16)) if x[1] else _NAMED[x[2]], m[0]).encode("latin-1")
             for text in _streams(raw):
-                yield _Layer(text, whole=layer.root(m.start(), m.end()))
+                yield _Layer(text, layer, _all_of(m.start(), m.end()))
 
 
 def _telling(text: str) -> bool:
@@ -232,28 +275,22 @@ def _telling(text: str) -> bool:
     return any(h in low for h in (*_ASSIGN_HINTS, "akia", "%", "\\", "&#")) or bool(_HEX.search(text) or _RUN.search(text))
 
 
-def _texts(data: bytes) -> Iterator[list[tuple[str, int, int]]]:
-    """Readings of ``data`` as text: characters with their bytes' start and end. Bytes that aren't text become replacement marks."""
-    names = ["utf-8", *(["utf-16-le", "utf-16-be"] if b"\0" in data else [])]
-    for name in names:
-        text = data.decode(name, "surrogateescape" if name == "utf-8" else "replace")
-        if not _telling(text):
-            continue
-        out, at = [], 0
-        for c in text:
-            n = 1 if "\udc80" <= c <= "\udcff" else len(c.encode(name, "surrogatepass"))
-            out.append(("\ufffd" if "\ud800" <= c <= "\udfff" else c, at, min(at + n, len(data))))
-            at += n
-        yield out
+def _texts(data: bytes) -> Iterator[tuple[str, Callable[[str], int]]]:
+    """Readings of ``data`` as text, and what counts a text's bytes. Bytes that aren't text become lone surrogates or marks."""
+    for name, errors in (("utf-8", "surrogateescape"), *((("utf-16-le", "surrogatepass"), ("utf-16-be", "surrogatepass")) if b"\0" in data else ())):
+        text = data.decode(name, "replace" if name != "utf-8" else errors)
+        if _telling(text):
+            yield text, lambda part, name=name, errors=errors: len(part.encode(name, errors))
 
 
 def _base64(layer: _Layer) -> Iterator[_Layer]:
     for m in _WRAPPED.finditer(layer.text):
         # A run of one line, or one over line breaks: each of its lines, and all as one.
-        lines = [(x.start() + m.start(), x.end() + m.start()) for x in _RUN.finditer(m[0])]
-        joined = [i for i, c in enumerate(m[0], m.start()) if c not in "\r\n\t >"] if "\n" in m[0] else None
-        for places in [*(range(a, b) for a, b in lines), *([joined] if joined else [])]:
-            body = "".join(layer.text[i] for i in places) if places is joined else layer.text[places.start : places.stop]
+        runs = [range(x.start() + m.start(), x.end() + m.start()) for x in _RUN.finditer(m[0])]
+        if "\n" in m[0]:
+            runs.append(array("q", (i for i, c in enumerate(m[0], m.start()) if c not in "\r\n\t >")))
+        for places in runs:
+            body = layer.text[places.start : places.stop] if isinstance(places, range) else m[0].translate(_NO_BREAKS)
             body = body.rstrip("=").replace("-", "+").replace("_", "/")
             if "=" in body:
                 continue  # padding inside: each line is a run of its own
@@ -262,18 +299,15 @@ def _base64(layer: _Layer) -> Iterator[_Layer]:
                 own = body[k:]
                 own = own[:-1] if len(own) % 4 == 1 else own
                 data = base64.b64decode(own + "=" * (-len(own) % 4))
-                whole = layer.root(places[0], places[-1] + 1)
                 for text in _streams(data):
-                    yield _Layer(text, whole=whole)
-                for chars in _texts(data):
-                    starts, ends = [], []
-                    for _, at, to in chars:
-                        a = places[k + at // 3 * 4]
-                        b = places[min(k + (to - 1) // 3 * 4 + 4, len(places)) - 1] + 1
-                        a, b = layer.root(a, b)
-                        starts.append(a)
-                        ends.append(b)
-                    yield _Layer("".join(c for c, _, _ in chars), starts, ends)
+                    yield _Layer(text, layer, _all_of(places[0], places[-1] + 1))
+                for text, n_bytes in _texts(data):
+
+                    def place(a: int, b: int, text=text, n_bytes=n_bytes, k=k, places=places) -> tuple[int, int]:
+                        first, last = n_bytes(text[:a]), n_bytes(text[:b]) - 1
+                        return places[min(k + first // 3 * 4, len(places) - 1)], places[min(k + last // 3 * 4 + 4, len(places)) - 1] + 1
+
+                    yield _Layer(text, layer, place)
 
 
 def _unwrapped(layer: _Layer) -> Iterator[_Layer]:
@@ -290,17 +324,18 @@ def scan_text(text: str | None) -> tuple[list[Span], list[Span]]:
     text = text or ""
     base = base_spans(text)
     found, seen = set(base), set()
-    root = _Layer(text, range(len(text)), range(1, len(text) + 1))
-    work = list(_unwrapped(root))
+    work = [_unwrapped(_Layer(text))]
     while work:
-        layer = work.pop()
+        if (layer := next(work[-1], None)) is None:
+            work.pop()
+            continue
         if (key := layer.key()) in seen:
             continue
         seen.add(key)
         for a, kind, b in base_spans(layer.text):
             start, end = layer.root(a, b)
             found.add((start, kind, end))
-        work.extend(_unwrapped(layer))
+        work.append(_unwrapped(layer))
     return base, sorted(found)
 
 
