@@ -14,9 +14,8 @@ is split by a hash. Every remaining pair of tiles is compared in full with numpy
 spanning forest of its links, of the fewest differing bits, not all pairs. Connected components of these edges are the groups.
 
 Near copies (with ``ratio``). The radius is only where the first candidates lie: an edge counts if the two texts' sets of shingles
-have a Jaccard similarity of ``ratio`` or more. So that a failing edge doesn't hide another that holds, several forests are taken, each of
-what the ones before leave: between any two parts of a group at least ``forests`` of the nearest pairs are held against the texts,
-or all if there are fewer. Edges grow with the number of fingerprints, not with the pairs in a group.
+have a Jaccard similarity of ``ratio`` or more. A failing edge may hide another that holds; more ``forests``, each of what the ones before
+leave, try more of the nearest pairs first. Edges grow with the number of fingerprints, not with the pairs in a group.
 
 Then all links that are left are found exactly, by a prefix filter: with all shingles in one order, two sets of this similarity share
 one of their first shingles, of which a set of ``n`` has ``n - ceil(ratio * n) + 1``. Pairs that share one, that the links so far don't
@@ -24,7 +23,9 @@ connect, and that can still reach the similarity behind their first common shing
 with common shingles last, as a sample tells them; it decides what this costs, not what it finds.
 
 Defined cases: null and empty texts have fingerprint zero and are linked like any other; null ``doc_id`` is kept, and named only
-where a group has no other; repeated rows stay; an empty table gives no rows; other columns are ignored.
+where a group has no other; repeated rows stay, and go from ``drop_near_copies``, as does all but one row of rows that tie; an empty table
+gives no rows; a very long text is hashed whole, by parts; other columns, whatever their names, are kept by ``drop_near_copies`` and
+ignored elsewhere.
 """
 
 from __future__ import annotations
@@ -42,12 +43,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import table, written
+from .shared import discard, fresh, table, written
 
 SHINGLE, RADIUS, SEED, TILE = 3, 3, 42, 1024
 #: For near copies: five words and a similarity of 0.8. At that Jaccard similarity the cosine is 0.89 and about 39 of 256 bits
-#: differ; 56 holds practically all such pairs, and what is less similar is told by the texts themselves.
-COPIES = {"shingle": 5, "lanes": 4, "radius": 56, "tile": 16384, "ratio": 0.8, "forests": 6}
+#: differ; the nearest pairs within 56 connect most of a group, and the prefix filter finds every link that they leave.
+COPIES = {"shingle": 5, "lanes": 4, "radius": 56, "tile": 16384, "ratio": 0.8, "forests": 1}
 
 
 def shingle_parts(text: str | None, size: int, part: int = 1 << 14) -> Iterator[list[bytes]]:
@@ -355,27 +356,30 @@ def groups(
 def near_duplicates(df: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED, lanes: int = 1, tile: int = TILE) -> DataFrame:
     """Per row of ``df`` (doc_id, text): doc_id, fp, and component_id, the smallest doc_id that it reaches by links."""
     found = written(groups(df, shingle, radius, seed, lanes, tile), "groups")
-    return found.join(found.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "fp", "component_id")
+    # Written, so that the join behind it can be split where a group is large.
+    least = written(found.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least-ids")
+    return found.join(least, "root").select("doc_id", "fp", "component_id")
 
 
 def drop_near_copies(df: DataFrame, **how: float) -> DataFrame:
     """``df`` with one row of each group of near copies (``COPIES``, or ``how``), with all columns: that with the smallest doc_id.
 
     Rows that share the smallest ``doc_id`` are told apart by text, and of repeated rows one stays; nulls come last."""
-    columns = df.columns
-    key = F.md5(F.concat_ws("\n", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))))
-    df = df.withColumn("row_key", key)
-    found = written(groups(df, **(COPIES | how), keep=["row_key"]), "groups")
-    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key"))["row_key"].alias("stays"))
+    (key,) = fresh(df, "row_key")
+    told = F.md5(F.concat_ws("\n", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))))
+    keyed = df.withColumn(key, told)
+    found = written(groups(keyed.select("doc_id", "text", F.col(key).alias("row_key")), **(COPIES | how), keep=["row_key"]), "groups")
+    # One row of each group: the least, with nulls last. Each key that stays does so once.
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key"))["row_key"]
+    one = written(found.groupBy("root").agg(least.alias(key)).select(key), "stays")
+    twice = written(found.groupBy(F.col("row_key").alias(key)).count().filter("count > 1").select(key).join(one.hint("merge"), key, "left_semi"), "repeated-rows")
     # These lists grow with the corpus, so they are never broadcast.
-    gone = written(found.join(first, "root").filter("row_key <> stays").select("row_key").distinct(), "copies")
-    rest = df.join(gone.hint("merge"), "row_key", "left_anti")
-    twice = found.groupBy("row_key").count().filter("count > 1").select("row_key")
-    twice = written(twice.join(gone, "row_key", "left_anti"), "repeated-rows")
+    rest = keyed.join(one.hint("merge"), key, "left_semi")
+    names = [f"`{c}`" for c in df.columns]
     if twice.isEmpty():
-        return rest.select(columns)
-    one = rest.join(twice.hint("merge"), "row_key", "left_semi").dropDuplicates(["row_key"])
-    return rest.join(twice.hint("merge"), "row_key", "left_anti").select(columns).unionByName(one.select(columns))
+        return rest.select(names)
+    again = rest.join(twice.hint("merge"), key, "left_semi").dropDuplicates([key])
+    return rest.join(twice.hint("merge"), key, "left_anti").select(names).unionByName(again.select(names))
 
 
 def op10_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
