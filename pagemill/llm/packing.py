@@ -7,8 +7,8 @@ its pieces are chosen to fit their class well: whole sequences first; then the r
 likewise. The bins a worker hasn't filled at its end are joined into one stream, cut at C, and the stream's last part into powers
 of two, which need no padding.
 
-Defined cases: a null or empty text is one piece, the end id; repeated rows are packed each; null doc_id stays null; an empty
-table gives no rows; other columns are ignored.
+Defined cases: a null or empty text is one piece, the end id; repeated rows are packed each; null doc_id stays null; a very long text is
+encoded whole and cut into sequences; an empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -74,12 +74,12 @@ class HarmonicBins:
             yield made
 
 
-def pack(df: DataFrame, tokenizer: str = BYTE_MODEL, end_id: int = END_ID, capacity: int = CAPACITY, slack: float = SLACK) -> DataFrame:
+def pack(df: DataFrame, tokenizer: str = BYTE_MODEL, end_id: int = END_ID, capacity: int = CAPACITY, slack: float = SLACK, special_text: bool = True) -> DataFrame:
     """Pieces of ``df`` (doc_id, text): doc_id, start, length, doc_tokens, sequence_id, offset, ids (little-endian unsigned 32-bit)."""
     end = struct.pack("<I", end_id)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, bins, ways = encoder(tokenizer), HarmonicBins(capacity), {}
+        encode, bins, ways = encoder(tokenizer, special_text), HarmonicBins(capacity), {}
         sequence, rows, size = TaskContext.get().partitionId() << 40, [], 0
 
         def emit(made: list[tuple]) -> None:

@@ -6,8 +6,9 @@ bit planes, and every plane is compressed with zstandard. The segment's header h
 index: offset and compressed size of every plane. The columns beside the segment (part, seg, part_start, n_ids, n_docs) index
 the segments themselves and can be read without the bodies.
 
-Defined cases: a null text has the end id only; null ``doc_id`` sorts first and comes back null; repeated rows stay; an empty
-table gives an empty file set; other columns are ignored.
+Defined cases: a null text has the end id only; null ``doc_id`` sorts first and comes back null; rows of one ``doc_id`` are ordered by
+their texts' hashes, so any number of them is spread over tasks; repeated rows stay; a very long text makes a segment of its own size;
+an empty table gives an empty file set; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from .tokens import END_ID, WORD_MODEL, encoder
 MAGIC = b"PLN1"
 BLOCK = 1 << 16
 SEGMENT_IDS = 1 << 20
+#: Rows a task at most, on average.
+ROWS_EACH = 1 << 15
 _HEAD = struct.Struct("<4sBxxxIQQII")  # magic, planes, block, ids, documents, bytes of the document list, blocks
 _SCHEMA = "part int, seg int, part_start long, n_ids long, n_docs long, body binary"
 
@@ -94,13 +97,13 @@ def unpack_segment(body: bytes) -> Iterator[tuple[int | None, bytes]]:
         yield (None if is_null else doc_id), b"".join(parts)
 
 
-def write_planes(df: DataFrame, path: str, tokenizer: str = WORD_MODEL, end_id: int = END_ID, planes: int = 4, block: int = BLOCK) -> None:
+def write_planes(df: DataFrame, path: str, tokenizer: str = WORD_MODEL, end_id: int = END_ID, planes: int = 4, block: int = BLOCK, special_text: bool = True) -> None:
     """Encode ``df`` (doc_id, text), append ``end_id`` to each document, and write a file set in ascending doc_id order."""
     spark = df.sparkSession
     end = struct.pack("<I", end_id)
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = encoder(tokenizer), TaskContext.get().partitionId()
+        encode, part = encoder(tokenizer, special_text), TaskContext.get().partitionId()
         seg = done = held = 0
         doc_ids, ids = [], []
 
@@ -121,8 +124,9 @@ def write_planes(df: DataFrame, path: str, tokenizer: str = WORD_MODEL, end_id:
         if doc_ids:
             yield flush()
 
-    ordered = df.select(F.col("doc_id").cast("long"), "text").repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(segments, _SCHEMA).write.option("compression", "none").parquet(path)
+    rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
+    ordered = rows.repartitionByRange(partitions(spark, df.count(), ROWS_EACH), "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
+    ordered.select("doc_id", "text").mapInArrow(segments, _SCHEMA).write.option("compression", "none").parquet(path)
 
 
 def read_planes(spark: SparkSession, path: str) -> DataFrame:

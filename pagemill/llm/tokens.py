@@ -4,6 +4,12 @@ Byte-pair models merge inside one pre-token only, so the ids of a text are the i
 characters all lie in ``SIMPLE`` (ASCII and the Latin-1 letters) are cut into pre-tokens here, where the split rule of the
 tokenizer reads the same in Python and in the library; a piece is then looked up, or given to the tokenizer's own model. Other
 texts go to the library in segments cut where a space separates ASCII letters, which is a pre-token border in any text.
+
+The strings of special tokens are ordinary text, so that no document can write a control token into the token files: the library's
+``encode_special_tokens``, as the notes beside the public vocabulary files set it. With ``special_text=False`` they are the special
+tokens, as the library has it if nothing is set; a text that holds one then goes to the library whole.
+
+Defined cases: null and empty texts have no ids; a very long text is cut into segments, and its ids are held at four bytes each.
 """
 
 from __future__ import annotations
@@ -56,23 +62,25 @@ class _Pieces(dict):
         return ids
 
 
-_open: dict[str, Callable[[str | None], bytes]] = {}
+_open: dict[tuple[str, bool], Callable[[str | None], bytes]] = {}
 
 
-def encoder(name: str) -> Callable[[str | None], bytes]:
-    """A function from a whole text (null: empty) to its ids as little-endian unsigned 32-bit integers, no special tokens.
+def encoder(name: str, special_text: bool = True) -> Callable[[str | None], bytes]:
+    """A function from a whole text (null: empty) to its ids as little-endian unsigned 32-bit integers, no special tokens added.
 
     ``name``: a file of ``public_tokenizers``, or the path of any ``tokenizers`` file. One per worker process.
     """
-    if name not in _open:
-        _open[name] = _encoder(name)
-    return _open[name]
+    if (name, special_text) not in _open:
+        _open[name, special_text] = _encoder(name, special_text)
+    return _open[name, special_text]
 
 
-def _encoder(name: str) -> Callable[[str | None], bytes]:
+def _encoder(name: str, special_text: bool) -> Callable[[str | None], bytes]:
     tok = Tokenizer.from_file(name if "/" in name else public_tokenizers.path(name))
-    tok.encode_special_tokens = True
+    tok.encode_special_tokens = special_text
     split, pieces = _SPLIT.get(name), _Pieces(tok.model)
+    marks = [] if special_text else [re.escape(t.content) for t in tok.get_added_tokens_decoder().values()]
+    special = re.compile("|".join(marks), re.I) if marks else None
 
     def by_library(text: str) -> bytes:
         out, at = [], 0
@@ -86,6 +94,8 @@ def _encoder(name: str) -> Callable[[str | None], bytes]:
     def encode(text: str | None) -> bytes:
         if not text:
             return b""
+        if special and special.search(text):
+            return array("I", tok.encode(text, add_special_tokens=False).ids).tobytes()
         if split is None or _OUTSIDE.search(text):
             return by_library(text)
         if name == WORD_MODEL:
