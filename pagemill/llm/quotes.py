@@ -85,9 +85,8 @@ def parse(df: DataFrame) -> DataFrame:
     lines = df.select(F.monotonically_increasing_id().alias("row"), "conv_id", "turn", "role", F.transform(F.split(text, "\r?\n"), _line).alias("lines"))
     shape = F.concat(F.array_join(F.transform("lines", _shape), "\n"), F.lit("\n"))
     shape = F.regexp_replace(F.regexp_replace(shape, _COUNTED_END, "$1A$2"), _COUNTED_START, "$1$3$4A$2$5")
-    lines = lines.withColumn("shape", F.split(shape, "\n"))
-    kept = F.filter("lines", lambda x, i: ~F.contains(F.get(F.col("shape"), i), F.lit("A")))
-    lines = lines.select("row", "conv_id", "turn", "role", kept.alias("lines"))
+    kept = F.filter(F.arrays_zip("lines", F.split(shape, "\n").alias("shape")), lambda z: z["lines"].isNotNull() & ~F.contains(z["shape"], F.lit("A")))
+    lines = lines.select("row", "conv_id", "turn", "role", F.transform(kept, lambda z: z["lines"]).alias("lines"))
     own = F.trim(F.array_join(F.transform(F.filter("lines", lambda x: x["level"] == 0), lambda x: x["line"]), "\n"))
     level = F.coalesce(F.array_max(F.transform("lines", lambda x: x["level"])), F.lit(0)).cast("long")
     return lines.select("row", "conv_id", "turn", "role", own.alias("own_text"), level.alias("max_level"), _let(F.col("lines"), _runs).alias("runs"))
@@ -100,12 +99,14 @@ def _said(lines: Column) -> Column:
 
 def _units(lines: Column) -> Column:
     """The normalised texts by which a passage of ``lines`` is hashed: array of (rank, said)."""
-    full = F.filter(lines, lambda x: x != "")
-    paragraphs = F.split(F.array_join(lines, "\n"), "\n\n+")
-    pairs = F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.size(full) - 1, F.lit(1))), lambda i: i < F.size(full)), lambda i: F.concat(F.get(full, i - 1), F.lit(" "), F.get(full, i)))
     ranked = lambda said, rank: F.transform(said, lambda x: F.struct(F.lit(rank).alias("rank"), x.alias("said")))
-    every = F.concat(ranked(F.array(_said(lines)), 4), ranked(F.transform(paragraphs, lambda p: F.trim(F.regexp_replace(p, "\n", " "))), 3), ranked(pairs, 2), ranked(full, 1))
-    return F.filter(every, lambda u: u["said"] != "")
+    paragraphs = F.transform(F.split(F.array_join(lines, "\n"), "\n\n+"), lambda p: F.trim(F.regexp_replace(p, "\n", " ")))
+
+    def every(full: Column) -> Column:
+        pairs = F.filter(F.transform(full, lambda x, i: F.concat(x, F.lit(" "), F.get(full, i + 1))), lambda x: x.isNotNull())
+        return F.concat(ranked(F.array(_said(lines)), 4), ranked(paragraphs, 3), ranked(pairs, 2), ranked(full, 1))
+
+    return F.filter(_let(F.filter(lines, lambda x: x != ""), every), lambda u: u["said"] != "")
 
 
 def links(messages: DataFrame) -> DataFrame:

@@ -30,6 +30,17 @@ def documents(spark, tmp_path_factory):
     return str(folder), rows, [(1, item), (2, None), (3, "echo this"), (None, "unnamed item of five words"), (5, item)]
 
 
+#: Names that operators use for columns of their own, or did.
+CLASHES = "row row_key total position shard slot fp digest root band node _h _b h b f p src told key at list hits n_hit host part kinds texts lines level stream value long up rejected_by base spans ids seg body".split()
+
+
+def clashing(df):
+    """``df`` with extra columns that have the names of operators' own, and values that must come back."""
+    from pyspark.sql import functions as F
+
+    return df.withColumns({c: F.lit(f"mine {c}") for c in CLASHES if c not in df.columns})
+
+
 @pytest.fixture(scope="session")
 def empty(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("empty")
