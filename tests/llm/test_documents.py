@@ -19,11 +19,13 @@ import zstandard
 from pagemill.llm import secret_scan
 from pagemill.llm.boilerplate import blocks, covered
 from pagemill.llm.components import components
-from pagemill.llm.quality import RULES, Features, first_rejection, judge, keep_good, op8_rule_cascade
+from pagemill.llm.quality import RULES, Features, Rule, estimate, first_rejection, judge, keep_good, op8_rule_cascade, ordered
 from pagemill.llm.secret_scan import op7_recursive_decoding, redact, redacted, scan_text
-from pagemill.llm.sharding import op6_stratified_shards
+from pagemill.llm.sharding import SEED, op6_stratified_shards, stratified_shards
 from pagemill.llm.simhash import _forests, drop_near_copies, near_duplicates, op10_simhash_tiles, prefix, similarity
-from pagemill.llm.winnowing import drop_contaminated, op9_winnowing
+from pagemill.llm.winnowing import contamination, drop_contaminated, op9_winnowing
+
+from .conftest import CLASHES, clashing
 
 SPACE = "\x20\x09-\x0d"
 
@@ -41,6 +43,31 @@ def test_op6(spark, documents):
     assert all(sorted(r.slot for r in got if r.shard == s) == list(range(n)) for s, n in counts.items())
 
 
+def test_shards_hold_the_shuffled_order_of_fractions(spark):
+    """Placement itself: ranks in each source by the seeded hash, rows by fraction, equal cuts; nulls and repeats of doc_id too."""
+    rng = random.Random(2)
+    rows = [(None if i % 50 == 0 else i % 700, rng.choice(["hot", "hot", "a", "b", None]), f"text {i}") for i in range(1000)]
+    frame = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(5)
+    got = stratified_shards(clashing(frame), 7)
+    assert set(got.columns) == set(clashing(frame).columns) | {"shard", "slot"} and got.filter(" or ".join(f"{c} <> 'mine {c}'" for c in CLASHES if c not in ("shard", "slot"))).isEmpty()
+    held = got.select("doc_id", "source", "text", "shard", "slot").collect()
+    again = stratified_shards(frame.repartition(3), 7).select("doc_id", "source", "text", "shard", "slot").collect()
+    plain = stratified_shards(frame, 7).select("doc_id", "source", "text", "shard", "slot").collect()
+    assert sorted(map(str, again)) == sorted(map(str, plain))
+    order = sorted(plain, key=lambda r: (r.shard, r.slot))
+    assert sorted((str(r.doc_id), str(r.source), r.text) for r in held) == sorted((str(a), str(b), c) for a, b, c in rows)
+    sizes, seen, fractions = Counter(r.source for r in order), Counter(), []
+    for r in order:
+        seen[r.source] += 1
+        fractions.append((2 * seen[r.source] - 1) / (2 * sizes[r.source]))
+    assert fractions == sorted(fractions)
+    for source in sizes:
+        own = [r.text for r in order if r.source == source]
+        assert own != sorted(own) and len(set(own)) == len(own)
+        for shard in range(7):
+            assert abs(sum(r.shard == shard and r.source == source for r in order) - sizes[source] / 7) <= 1.5
+
+
 def brute_spans(t):
     kinds = ((r"(?ai:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", lambda m: len(m[2]) >= 6), ("AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20), ("[0-9a-f]+", lambda m: len(m[0]) >= 24))
     return sorted((m.start(), k, m.end()) for k, (p, ok) in enumerate(kinds) for m in re.finditer(p, t) if ok(m))
@@ -111,6 +138,45 @@ def test_base64_over_a_windows_end(monkeypatch):
     assert scan_text(base64.b64encode(gzip.compress(f"{'x, ' * 1000}{inner} end".encode())).decode())[1]
 
 
+ENCODE = [
+    lambda s: base64.b64encode(s.encode()).decode(), lambda s: base64.b64encode(gzip.compress(s.encode())).decode(), lambda s: base64.urlsafe_b64encode(s.encode()).decode(),
+    lambda s: base64.encodebytes(bz2.compress(s.encode())).decode().strip(), lambda s: base64.b64encode(zstandard.compress(s.encode())).decode(), lambda s: base64.b64encode(s.encode("utf-16")).decode(),
+    lambda s: urllib.parse.quote(s, safe=""), lambda s: "".join(f"%{b:02X}" for b in s.encode()), lambda s: "".join(f"\\u{ord(c):04x}" for c in s), lambda s: "".join(f"&#{ord(c)};" for c in s),
+]
+
+
+def test_any_three_layers_are_unwrapped():
+    rng = random.Random(1)
+    for i in range(400):
+        hidden = f"{'é ' if i % 3 else ''}x {SECRET} y"
+        for k in rng.choices(range(len(ENCODE)), k=3):
+            hidden = ENCODE[k](f"noise {hidden} more" if rng.random() < 0.5 else hidden)
+        spans = scan_text(f"before {hidden} after")[1]
+        assert spans and all(7 <= a < b <= 7 + len(hidden) for a, _, b in spans)
+
+
+def test_spans_are_those_of_the_escapes():
+    # Each place where a layer's piece lies is known: the escape, or the base64 quartets of the secret's bytes.
+    secret = "AKIA" + "Z9" * 10
+    text = f"é %41 {urllib.parse.quote('é')} {''.join(f'%{ord(c):02x}' for c in secret)} é"
+    start = text.index("%41%4b") if "%41%4b" in text else text.index("%41", 5)
+    assert [(text[a:b], k) for a, k, b in scan_text(text)[1]] == [("".join(f"%{ord(c):02x}" for c in secret), 1)] and start
+    for pad in range(7):
+        body = base64.b64encode(("." * pad + f" {secret} ok").encode()).decode()
+        ((a, kind, b),) = scan_text(f"x {body} y")[1]
+        lo, hi = (pad + 1) // 3 * 4, -(-(pad + 1 + len(secret)) // 3) * 4
+        assert (a, kind, b) == (2 + lo, 1, 2 + hi)
+
+
+@pytest.mark.parametrize("border", [-40, -3, 0, 5, 3000])
+@pytest.mark.parametrize("wrap", [lambda b: base64.b64encode(b).decode(), lambda b: urllib.parse.quote(b, safe="")])
+def test_streams_over_a_windows_end(monkeypatch, border, wrap):
+    monkeypatch.setattr(secret_scan, "_WINDOW", 8000)
+    monkeypatch.setattr(secret_scan, "_OVERLAP", 64)
+    inner = wrap(gzip.compress(random.Random(1).randbytes(7000) + b" " + SECRET.encode()))
+    assert scan_text(base64.b64encode(gzip.compress(f"{'ab, ' * ((8000 - border) // 4)}{inner} end".encode())).decode())[1]
+
+
 def test_decoding_ends(spark, documents):
     assert scan_text("%2525252541" * 50 + "QUFBQUFBQUFBQUFBQUFBQQ==" * 20)[1] == []
     frame = spark.read.parquet(f"{documents[0]}/documents.parquet")
@@ -144,6 +210,40 @@ def test_order_of_rules_changes_no_verdict(spark, documents):
     assert kept == judge(frame, RULES[::-1]).filter("rejected_by is null").count() > 0
 
 
+def test_dear_rules_run_only_on_what_cheap_ones_leave(spark, documents):
+    """The order follows rejections per second, and a rule behind a rejection isn't called."""
+    rules = (Rule("dear", lambda f: sum(i * i for i in range(20_000)) < 0), Rule("cheap", lambda f: f.n_words < 60))
+    frame = spark.read.parquet(f"{documents[0]}/documents.parquet")
+    order = ordered(rules, estimate(frame, rules))
+    assert [r.name for r in order] == ["cheap", "dear"]
+    called = []
+    told = [Rule(r.name, lambda f, r=r: called.append(r.name) or r.rejects(f)) for r in order]
+    verdicts = [first_rejection(Features(t), told) for _, t, *_ in documents[1]]
+    assert called.count("cheap") == len(verdicts) and called.count("dear") == sum(v != "cheap" for v in verdicts) < len(verdicts)
+
+
+def test_rules_of_cells_stutters_and_lines():
+    rejects = {r.name: r.rejects for r in RULES}
+    prose = " ".join(f"word{i}" for i in range(60))
+    assert rejects["symbol_heavy"](Features(" | ".join(f"cell{i}" for i in range(60)))) and not rejects["symbol_heavy"](Features(f"{prose} # * |"))
+    assert rejects["stuttering"](Features("one one one two two two " * 9)) and not rejects["stuttering"](Features(f"{prose} had had"))
+    twice = "a line that stands at both ends\n"
+    assert not rejects["repeated_lines"](Features(twice + prose + "\n" + twice)) and rejects["repeated_lines"](Features(twice * 5))
+
+
+def test_extra_columns_that_clash(spark, documents):
+    docs, bench = (spark.read.parquet(f"{documents[0]}/{n}.parquet") for n in ("documents", "benchmark"))
+    odd = clashing(docs)
+    for plain, clash in (
+        (judge(docs, features=True), judge(odd, features=True)), (secret_scan.scan(docs), secret_scan.scan(odd)), (contamination(docs, bench), contamination(odd, clashing(bench))), (near_duplicates(docs), near_duplicates(odd)),
+        (keep_good(docs), keep_good(odd).select(docs.columns)), (redact(docs), redact(odd).select(docs.columns)), (drop_contaminated(docs, bench), drop_contaminated(odd, clashing(bench)).select(docs.columns)),
+    ):
+        assert plain.columns == clash.columns and sorted(map(str, plain.collect())) == sorted(map(str, clash.collect()))
+    kept = drop_near_copies(odd)
+    assert kept.columns == odd.columns and kept.filter(" or ".join(f"{c} <> 'mine {c}'" for c in CLASHES)).isEmpty()
+    assert kept.count() == drop_near_copies(docs).count()
+
+
 def brute_hits(t, items):
     words = lambda x: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(x))
     w, hit, found = words(t), set(), set()

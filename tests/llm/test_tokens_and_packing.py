@@ -6,12 +6,15 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from pagemill.llm.packing import CAPACITY, HarmonicBins, cuts, op2_harmonic_packing
-from pagemill.llm.planes import join_planes, op1_bit_planes, pack_segment, split_planes, unpack_segment
+from pagemill.llm.packing import CAPACITY, HarmonicBins, cuts, op2_harmonic_packing, pack
+from pagemill.llm.planes import join_planes, op1_bit_planes, pack_segment, read_planes, split_planes, unpack_segment, write_planes
 from pagemill.llm.tokens import BYTE_MODEL, WORD_MODEL, encoder
 
+from .conftest import clashing
+
 LIBRARY = {}
 
 
@@ -29,6 +32,15 @@ def test_ids_are_the_librarys(name, text):
     assert np.frombuffer(encoder(name)(text), "<u4").tolist() == by_library(name, text)
 
 
+@pytest.mark.parametrize("name", [WORD_MODEL, BYTE_MODEL])
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|endof", "text|>", "a", " b", "É ", "\n", "it's 12"]), max_size=8).map("".join))
+def test_special_tokens_as_text_and_as_tokens(name, text):
+    plain = Tokenizer.from_file(public_tokenizers.path(name))
+    assert np.frombuffer(encoder(name, special_text=False)(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(encoder(name)(text), "<u4").tolist() == by_library(name, text)
+
+
 def test_segments_of_long_texts_keep_the_ids():
     text = "日本 word, and more é́ text 12\n" * 4000
     for name in (WORD_MODEL, BYTE_MODEL):
@@ -80,6 +92,20 @@ def test_op2(spark, documents):
         assert sum(r.length for r in pieces[d]) == sum(map(len, texts))
         for r in pieces[d]:
             assert any(len(x) == r.doc_tokens and zlib.crc32(x[r.start : r.start + r.length].tobytes()) == r.ids_crc32 for x in texts)
+    # The pieces of all documents with one id and length are those texts' ids, each id once.
+    for d, texts in want.items():
+        for n in {len(x) for x in texts}:
+            spans = sorted((r.start, r.length) for r in pieces[d] if r.doc_tokens == n)
+            cover = np.zeros(n + 1, int)
+            for a, size in spans:
+                cover[a] += 1
+                cover[a + size] -= 1
+            assert (np.cumsum(cover)[:-1] == sum(len(x) == n for x in texts)).all()
+    filled = defaultdict(int)
+    for r in got:
+        filled[r.sequence_id] += r.length
+    padding = sum(CAPACITY - n for n in filled.values() if n & (n - 1))
+    assert padding <= sum(filled.values()) / 20
     bins = defaultdict(list)
     for r in got:
         bins[r.sequence_id].append((r.offset, r.length))
@@ -110,6 +136,19 @@ def test_a_workers_last_bins_need_no_padding(lengths):
     assert sum(p[2] for b in made + rest for p in b) == sum(lengths)
 
 
+def test_extra_columns_and_hot_ids(spark, documents, tmp_path):
+    docs = spark.read.parquet(f"{documents[0]}/documents.parquet")
+    assert sorted(map(str, pack(clashing(docs).coalesce(1)).collect())) == sorted(map(str, pack(docs.coalesce(1)).collect()))
+    # One id holds all rows: they spread over partitions, and the order is still by id.
+    many = clashing(docs).withColumn("doc_id", F.lit(None).cast("long")).crossJoin(spark.range(20)).withColumn("text", F.concat_ws(" ", "text", "id"))
+    write_planes(many, f"file://{tmp_path}/planes")
+    assert spark.read.parquet(f"file://{tmp_path}/planes").select("part").distinct().count() > 1
+    back = read_planes(spark, f"file://{tmp_path}/planes").collect()
+    assert len(back) == many.count() and sorted(r.start for r in back)[0] == 0
+    encode = encoder(WORD_MODEL)
+    assert sorted(bytes(r.ids) for r in back) == sorted(encode(r.text) + b"\1\0\0\0" for r in many.collect())
+
+
 def test_empty_tables(spark, empty):
     assert op1_bit_planes(spark, empty).count() == 0
     assert op2_harmonic_packing(spark, empty).count() == 0
