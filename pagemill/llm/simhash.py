@@ -18,9 +18,11 @@ have a Jaccard similarity of ``ratio`` or more. A failing edge may hide another
 leave, try more of the nearest pairs first. Edges grow with the number of fingerprints, not with the pairs in a group.
 
 Then all links that are left are found exactly, by a prefix filter: with all shingles in one order, two sets of this similarity share
-one of their first shingles, of which a set of ``n`` has ``n - ceil(ratio * n) + 1``. Pairs that share one, that the links so far don't
-connect, and that can still reach the similarity behind their first common shingle are held against the texts. The order is by hash
-with common shingles last, as a sample tells them; it decides what this costs, not what it finds.
+``k`` of their first shingles, of which a set of ``n`` has ``n - ceil(ratio * n) + k``, for any ``k``; here it is ``1 + n // 25``. Pairs
+that share as many, that the links so far don't connect, and that can still reach the similarity behind their first common shingle are
+held against the texts: first only pairs of hubs, of each group that has a shingle the node of most links, since the copies of one text
+are often near to it and not to each other; then, of what is still apart, all. The order is by hash with common shingles last, as a
+sample tells them; it decides what this costs, not what it finds.
 
 Defined cases: null and empty texts have fingerprint zero and are linked like any other; null ``doc_id`` is kept, and named only
 where a group has no other; repeated rows stay, and go from ``drop_near_copies``, as does all but one row of rows that tie; an empty table
@@ -46,6 +48,7 @@ from .components import components
 from .shared import discard, fresh, table, written
 
 SHINGLE, RADIUS, SEED, TILE = 3, 3, 42, 1024
+SHARED_EACH = 25
 #: For near copies: five words and a similarity of 0.8. At that Jaccard similarity the cosine is 0.89 and about 39 of 256 bits
 #: differ; the nearest pairs within 56 connect most of a group, and the prefix filter finds every link that they leave.
 COPIES = {"shingle": 5, "lanes": 4, "radius": 56, "tile": 16384, "ratio": 0.8, "forests": 1}
@@ -91,9 +94,9 @@ def set_digest(shingles: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def fingerprint(text: str | None, size: int = SHINGLE, seed: int = SEED, lanes: int = 1, ratio: float = 0.0) -> tuple[list[int], int, int]:
-    """The lanes of a text's fingerprint, unsigned, the band of its number of distinct shingles (0 without shingles), and the digest
-    of their set; band and digest are 0 for all texts without a ``ratio``. With one, each distinct shingle counts once."""
+def fingerprint(text: str | None, size: int = SHINGLE, seed: int = SEED, lanes: int = 1, ratio: float = 0.0) -> tuple[list[int], int, np.ndarray]:
+    """The lanes of a text's fingerprint, unsigned, the band of its number of distinct shingles (0 without shingles), and these, sorted;
+    band 0 and none for all texts without a ``ratio``. With one, each distinct shingle counts once."""
     counts, n = np.zeros((lanes, 64), np.int64), 0
     if ratio:
         own = distinct_shingles(text, size, seed)
@@ -107,7 +110,7 @@ def fingerprint(text: str | None, size: int = SHINGLE, seed: int = SEED, lanes:
             bits = (_mixed(hashes, k) if k else hashes).view(np.uint8).reshape(-1, 8)
             counts[k] += np.unpackbits(bits, axis=1).sum(axis=0, dtype=np.int64)
     band = 1 + math.floor(math.log(len(own)) / -math.log(ratio)) if len(own) else 0
-    return [int.from_bytes(np.packbits(2 * c > n).tobytes(), "big") for c in counts], band, set_digest(own) if ratio else 0
+    return [int.from_bytes(np.packbits(2 * c > n).tobytes(), "big") for c in counts], band, own
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -117,17 +120,26 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def fingerprints(df: DataFrame, shingle: int = SHINGLE, seed: int = SEED, lanes: int = 1, ratio: float = 0.0, keep: Sequence[str] = ()) -> DataFrame:
-    """``doc_id``, ``fp`` (its lanes as longs), ``band``, ``digest`` and the string columns ``keep`` of each row of ``df`` (doc_id, text)."""
+    """``doc_id``, ``fp`` (its lanes as longs), ``band``, ``digest`` and the string columns ``keep`` of each row of ``df`` (doc_id, text);
+    with a ``ratio``, also the number ``n`` of distinct shingles and the first of them, ``prefix``."""
+    common = common_shingles(df, shingle, seed) if ratio else None
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [fingerprint(t.as_py(), shingle, seed, lanes, ratio) for t in batch.column(1)]
-            fps = np.array([f for f, _, _ in made], np.uint64).reshape(-1).view(np.int64)
-            offsets = np.arange(0, len(fps) + 1, lanes, dtype=np.int32)
-            bands, digests = pa.array([b for _, b, _ in made], pa.int32()), pa.array([d for _, _, d in made], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(fps)), bands, digests, *batch.columns[2:]], ["doc_id", "fp", "band", "digest", *keep])
-
-    return df.select(F.col("doc_id").cast("long"), "text", *keep).mapInArrow(of, "doc_id long, fp array<bigint>, band int, digest long" + "".join(f", {k} string" for k in keep))
+            fps, bands, digests, sizes, firsts = [], [], [], [], []
+            for t in batch.column(1):
+                fp, band, own = fingerprint(t.as_py(), shingle, seed, lanes, ratio)
+                fps.append(np.array(fp, np.uint64).view(np.int64))
+                bands.append(band)
+                digests.append(set_digest(own) if ratio else 0)
+                sizes.append(len(own))
+                firsts.append(prefix(own, ratio, common).view(np.int64) if ratio else own.view(np.int64))
+            lists = [pa.ListArray.from_arrays(np.cumsum([0, *map(len, x)], dtype=np.int32), pa.array(np.concatenate([np.empty(0, np.int64), *x]))) for x in (fps, firsts)]
+            columns = [batch.column(0), lists[0], pa.array(bands, pa.int32()), pa.array(digests, pa.int64()), pa.array(sizes, pa.int32()), lists[1], *batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "band", "digest", "n", "prefix", *keep])
+
+    made = df.select(F.col("doc_id").cast("long"), "text", *keep).mapInArrow(of, "doc_id long, fp array<bigint>, band int, digest long, n int, prefix array<bigint>" + "".join(f", {k} string" for k in keep))
+    return made if ratio else made.drop("n", "prefix")
 
 
 def _within(a: np.ndarray, b: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -288,41 +300,51 @@ def common_shingles(df: DataFrame, shingle: int, seed: int = SEED, most: int = 1
     return np.array([r.h for r in reversed(found)], np.int64).view(np.uint64)
 
 
+def least_shared(n: int) -> int:
+    """How many of their first shingles two similar sets of ``n`` or more must share."""
+    return 1 + n // SHARED_EACH
+
+
 def prefix(own: np.ndarray, ratio: float, common: np.ndarray) -> np.ndarray:
-    """The first of the distinct shingles ``own``: any set with a similarity of ``ratio`` to them shares one of its own first ones."""
+    """The first of the distinct shingles ``own``: any set with a similarity of ``ratio`` to them shares ``least_shared`` of the smaller
+    set's size of its own first ones."""
     rank = np.zeros(len(own), np.int64)
     if len(common):
         by_hash = np.argsort(common)
         at = by_hash[np.minimum(np.searchsorted(common, own, sorter=by_hash), len(common) - 1)]
         rank = np.where(common[at] == own, at + 1, 0)
-    return own[np.lexsort((own, rank))][: len(own) - math.ceil(ratio * len(own) - 1e-9) + 1] if len(own) else own
+    return own[np.lexsort((own, rank))][: len(own) - math.ceil(ratio * len(own) - 1e-9) + least_shared(len(own))] if len(own) else own
 
 
-def prefix_pairs(df: DataFrame, roots: DataFrame, shingle: int, seed: int, ratio: float) -> DataFrame:
-    """Pairs (a, b) of nodes with different ``roots`` (node, root; absent: the node itself), among them every such pair of texts of
-    ``df`` with a similarity of ``ratio``."""
-    common = common_shingles(df, shingle, seed)
+def shared_prefixes(prints: DataFrame) -> DataFrame:
+    """(h, node, n, at) of ``prints`` (as of ``fingerprints`` with a ratio): those first shingles that two or more sets have."""
+    posted = prints.select(F.col("digest").alias("node"), "n", F.posexplode("prefix").alias("at", "h"))
+    shared = posted.groupBy("h").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("h")
+    return written(posted.join(shared.hint("merge"), "h").distinct(), "shared-prefixes")
 
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for t in batch.column(0):
-                own = distinct_shingles(t.as_py(), shingle, seed)
-                first = prefix(own, ratio, common)
-                fixed = [pa.array(np.full(len(first), x, k)) for x, k in ((set_digest(own), np.int64), (len(own), np.int32))]
-                yield pa.RecordBatch.from_arrays([pa.array(first.view(np.int64)), *fixed, pa.array(np.arange(len(first), dtype=np.int32))], ["h", "node", "n", "at"])
 
-    posted = written(df.select("text").mapInArrow(post, "h long, node long, n int, at int"), "prefixes")
-    shared = posted.groupBy("h").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("h")
-    posted = posted.join(shared.hint("merge"), "h").distinct().join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    posted = written(posted, "shared-prefixes")
+def prefix_pairs(posted: DataFrame, roots: DataFrame, ratio: float, degrees: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b) of nodes with different ``roots`` (node, root; absent: the node itself), among them every such pair of sets with a
+    similarity of ``ratio``. With ``degrees`` (node, links), of each group that has a shingle only the node of most links is paired."""
+    posted = posted.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     # A shingle of one group only has nothing to add.
     mixed = posted.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("h")
-    posted = written(posted.join(mixed.hint("merge"), "h"), "open-prefixes")
+    if degrees is not None:
+        posted = posted.join(degrees.hint("merge"), "node", "left")
+        hub = F.max(F.struct(F.coalesce("links", F.lit(0)).alias("links"), "node", "n", "at"))
+        posted = posted.join(mixed.hint("merge"), "h").groupBy("h", "root").agg(hub.alias("hub")).select("h", "root", "hub.node", "hub.n", "hub.at")
+    else:
+        posted = posted.join(mixed.hint("merge"), "h").select("h", "root", "node", "n", "at")
+    posted = written(posted, "open-prefixes")
     x, y = (posted.select("h", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "at", "root")]) for k in "ab")
     # Behind their first common shingle no more can be common than the shorter rest; the float's last digits are left a margin.
-    able = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= (F.col("n_a") + F.col("n_b")) * F.lit(ratio / (1 + ratio)) - 1e-6
-    pairs = x.hint("merge").join(y, "h").filter((F.col("root_a") < F.col("root_b")) & able)
-    return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    able = F.least(F.col("n_a") - F.min("at_a"), F.col("n_b") - F.min("at_b")) >= (F.col("n_a") + F.col("n_b")) * F.lit(ratio / (1 + ratio)) - 1e-6
+    alike = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * ratio - 1e-6
+    pairs = x.hint("merge").join(y, "h").filter((F.col("root_a") < F.col("root_b")) & alike).groupBy("node_a", "node_b", "n_a", "n_b")
+    # A hub's other shingles may have other hubs, so only pairs of all nodes are held to the number that they share.
+    enough = F.lit(True) if degrees is not None else F.count(F.lit(1)) >= 1 + F.floor(F.least("n_a", "n_b") / SHARED_EACH)
+    pairs = pairs.agg(able.alias("able"), enough.alias("enough")).filter("able and enough")
+    return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
 
 def groups(
@@ -343,13 +365,18 @@ def groups(
         texts = df.select(keep[0], "text").join(one.hint("merge"), keep[0]).groupBy("node").agg(F.first("text").alias("text"))
         return similar_edges(edges, written(texts, "linked-texts"), shingle, ratio)
 
-    roots = components(held(edges) if ratio else edges)
     if ratio:
-        more = written(held(prefix_pairs(df, roots, shingle, seed, ratio)), "exact-links")
-        if not more.isEmpty():
-            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
-    roots = roots.withColumnRenamed("node", "n")
-    grouped = distinct.join(roots, F.col("node") == F.col("n"), "left").select("fp", "band", "digest", F.coalesce("root", "node").alias("root"))
+        linked = written(held(edges), "near-links")
+        roots, posted = components(linked), shared_prefixes(prints)
+        for hubs in (True, False):
+            degrees = linked.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links")) if hubs else None
+            more = written(held(prefix_pairs(posted, roots, ratio, degrees)), "exact-links")
+            if not more.isEmpty():
+                roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+        discard(posted)
+    else:
+        roots = components(edges)
+    grouped = distinct.join(roots.withColumnRenamed("node", "rooted"), F.col("node") == F.col("rooted"), "left").select("fp", "band", "digest", F.coalesce("root", "node").alias("root"))
     return prints.join(grouped, ["fp", "band", "digest"]).select("doc_id", "fp", *keep, "root")
 
 

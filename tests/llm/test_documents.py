@@ -22,7 +22,7 @@ from pagemill.llm.components import components
 from pagemill.llm.quality import RULES, Features, Rule, estimate, first_rejection, judge, keep_good, op8_rule_cascade, ordered
 from pagemill.llm.secret_scan import op7_recursive_decoding, redact, redacted, scan_text
 from pagemill.llm.sharding import SEED, op6_stratified_shards, stratified_shards
-from pagemill.llm.simhash import _forests, drop_near_copies, near_duplicates, op10_simhash_tiles, prefix, similarity
+from pagemill.llm.simhash import _forests, drop_near_copies, least_shared, near_duplicates, op10_simhash_tiles, prefix, similarity
 from pagemill.llm.winnowing import contamination, drop_contaminated, op9_winnowing
 
 from .conftest import CLASHES, clashing
@@ -386,13 +386,13 @@ def test_links_in_a_group_of_failing_pairs_are_found(spark):
 
 def test_similar_sets_share_a_first_shingle():
     rng = np.random.default_rng(10)
-    for n in range(1, 60):
+    for n in [*range(1, 60), 90, 130]:
         common = rng.permutation(200).astype(np.uint64)[:50]
         a = np.sort(rng.choice(200, n, replace=False)).astype(np.uint64)
         for cut in range(n // 5 + 1):
             b = np.setdiff1d(a, rng.choice(a, cut, replace=False))
             if similarity(a, b) >= 0.8:
-                assert len(np.intersect1d(prefix(a, 0.8, common), prefix(b, 0.8, common)))
+                assert len(np.intersect1d(prefix(a, 0.8, common), prefix(b, 0.8, common))) >= least_shared(min(len(a), len(b)))
 
 
 def test_forests_are_thinned_and_disjoint():
