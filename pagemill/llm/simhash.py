@@ -20,8 +20,8 @@ leave, try more of the nearest pairs first. Edges grow with the number of finger
 Then all links that are left are found exactly, by a prefix filter: with all shingles in one order, two sets of this similarity share
 ``k`` of their first shingles, of which a set of ``n`` has ``n - ceil(ratio * n) + k``, for any ``k``; here it is ``1 + n // 25``. Pairs
 that share as many, that the links so far don't connect, and that can still reach the similarity behind their first common shingle are
-held against the texts: first only pairs of hubs, of each group that has a shingle the node of most links, since the copies of one text
-are often near to it and not to each other; then, of what is still apart, all. The order is by hash with common shingles last, as a
+held against the texts: first only pairs with hubs, of each group that has a shingle the node of most links, since the copies of one
+text are often near to it and not to each other; then, of what is still apart, all. The order is by hash with common shingles last, as a
 sample tells them; it decides what this costs, not what it finds.
 
 Defined cases: null and empty texts have fingerprint zero and are linked like any other; null ``doc_id`` is kept, and named only
@@ -332,19 +332,21 @@ def prefix_pairs(posted: DataFrame, roots: DataFrame, ratio: float, degrees: Dat
     if degrees is not None:
         posted = posted.join(degrees.hint("merge"), "node", "left")
         hub = F.max(F.struct(F.coalesce("links", F.lit(0)).alias("links"), "node", "n", "at"))
-        posted = posted.join(mixed.hint("merge"), "h").groupBy("h", "root").agg(hub.alias("hub")).select("h", "root", "hub.node", "hub.n", "hub.at")
+        posted = posted.join(mixed.hint("merge"), "h").groupBy("h", "root").agg(hub.alias("hub")).select("h", "root", "hub.node", "hub.n", "hub.at", "hub.links")
     else:
-        posted = posted.join(mixed.hint("merge"), "h").select("h", "root", "node", "n", "at")
+        posted = posted.join(mixed.hint("merge"), "h").select("h", "root", "node", "n", "at", F.lit(0).alias("links"))
     posted = written(posted, "open-prefixes")
-    x, y = (posted.select("h", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "at", "root")]) for k in "ab")
-    # Behind their first common shingle no more can be common than the shorter rest; the float's last digits are left a margin.
-    able = F.least(F.col("n_a") - F.min("at_a"), F.col("n_b") - F.min("at_b")) >= (F.col("n_a") + F.col("n_b")) * F.lit(ratio / (1 + ratio)) - 1e-6
-    alike = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * ratio - 1e-6
-    pairs = x.hint("merge").join(y, "h").filter((F.col("root_a") < F.col("root_b")) & alike).groupBy("node_a", "node_b", "n_a", "n_b")
-    # A hub's other shingles may have other hubs, so only pairs of all nodes are held to the number that they share.
-    enough = F.lit(True) if degrees is not None else F.count(F.lit(1)) >= 1 + F.floor(F.least("n_a", "n_b") / SHARED_EACH)
-    pairs = pairs.agg(able.alias("able"), enough.alias("enough")).filter("able and enough")
-    return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    x, y = (posted.select("h", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "at", "root", "links")]) for k in "ab")
+    # Behind their first common shingle no more can be common than the shorter rest, behind the k-th k - 1 less; the float's last digits
+    # are left a margin.
+    least = F.lit(1) if degrees is not None else 1 + F.floor(F.least("n_a", "n_b") / SHARED_EACH)
+    rest = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    able = rest + least - 1 >= (F.col("n_a") + F.col("n_b")) * F.lit(ratio / (1 + ratio)) - 1e-6
+    pairs = x.hint("merge").join(y, "h").filter((F.col("root_a") < F.col("root_b")) & able)
+    if degrees is not None:  # a hub's other shingles may have other hubs, so what is shared isn't counted; two that have no links can wait
+        return pairs.filter("links_a + links_b > 0").select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    pairs = pairs.groupBy("node_a", "node_b").agg(F.count(F.lit(1)).alias("shared"), F.first(least).alias("least"))
+    return pairs.filter("shared >= least").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
 
 def groups(
