@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder in ``spark.checkpoint.dir``; only where that is unset, as in local tests, in a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='pagemill-')}"
-    return f"{base.rstrip('/')}/audit-{uuid.uuid4().hex}"
+    """A new folder in ``spark.checkpoint.dir``. Where that is unset, a temporary one, and only if all executors run in this process."""
+    base, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if not base and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise ValueError(f"spark.checkpoint.dir is not set, and {master} needs a folder that all executors share")
+    return f"{(base or f'file://{tempfile.mkdtemp(prefix="pagemill-")}').rstrip('/')}/audit-{uuid.uuid4().hex}"
 
 
 def staged(df: DataFrame, folder: str, name: str) -> DataFrame:
