@@ -107,7 +107,7 @@ def test_longest_repeats_and_their_pages():
     rng = random.Random(3)
     for _ in range(60):
         pages = [[rng.choice("abc") for _ in range(rng.randint(0, 14))] for _ in range(rng.randint(1, 6))]
-        ids, owner = boilerplate._concatenated([[p] for p in pages])
+        ids, owner, _ = boilerplate._concatenated([[p] for p in pages])
         longest, window = boilerplate.repeats(ids, owner, 4)
         counts = np.array([rng.random() < 0.8 for _ in pages])
         want = brute_repeats(pages, 4, counts)
