@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -14,11 +15,11 @@ def chains(edges: DataFrame, keys: Sequence[str], node: str, parent: str) -> Dat
     A parent that isn't a node ends the chain, and so does one that the chain has had. Each round is one equi-join within the keys;
     there are as many rounds as the deepest chain has links."""
     spark = edges.sparkSession
-    view = f"_edges_{id(edges)}"
+    view = f"_edges_{uuid.uuid4().hex}"
     edges.select(*keys, F.col(node).alias("_node"), F.col(parent).alias("_parent")).createOrReplaceTempView(view)
     listed = "".join(f"{k}, " for k in keys)
     matched = " AND ".join(f"e.{k} <=> c.{k}" for k in keys) or "true"
-    return spark.sql(f"""
+    out = spark.sql(f"""
         WITH RECURSIVE c({listed}root, node, up, depth, seen) AS (
           SELECT {listed}_node, _node, _parent, 0, array(_node) FROM {view}
           UNION ALL
@@ -27,6 +28,8 @@ def chains(edges: DataFrame, keys: Sequence[str], node: str, parent: str) -> Dat
           WHERE NOT array_contains(c.seen, e._node)
         ) SELECT {listed}root, node, depth FROM c
     """)
+    spark.catalog.dropTempView(view)  # the statement is analysed, so the name isn't needed any more
+    return out
 
 
 def layer_merge(layers: DataFrame, keys: Sequence[str], order: str, name: str, value: str, source: str) -> DataFrame:
