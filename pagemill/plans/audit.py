@@ -65,6 +65,13 @@ SECTIONS = (
 OTHERS = "equations and notes"
 
 
+def last_records(comments: DataFrame) -> DataFrame:
+    """One row a finding: of several records that with the greatest ``comment_id`` counts, where there is one, else a commented one."""
+    last = F.col("comment_id") if "comment_id" in comments.columns else F.lit(0)
+    rows = comments.groupBy("doc_id", "finding_id").agg(F.max(F.struct(F.coalesce(last, F.lit(-1)).alias("last"), "commented", "skip_reason")).alias("r"))
+    return rows.select("doc_id", "finding_id", "r.commented", "r.skip_reason")
+
+
 def report(findings: DataFrame, comments: DataFrame) -> DataFrame:
     """(doc_id, section, ordinal, n, text): how many findings each section of a document's report lists, and what it says of them.
 
@@ -73,7 +80,7 @@ def report(findings: DataFrame, comments: DataFrame) -> DataFrame:
     for name, categories in SECTIONS:
         for c in categories:
             section = F.when(F.col("category") == c, name).otherwise(section)
-    joined = findings.join(comments.select("doc_id", "finding_id", "commented", "skip_reason"), ["doc_id", "finding_id"], "left")
+    joined = findings.join(last_records(comments), ["doc_id", "finding_id"], "left")
     lists = F.array_compact(F.array(
         F.lit("overview"), F.lit("statistics"), section, F.when(F.col("severity") == "ERROR", F.lit("errors")), F.when(~F.coalesce("commented", F.lit(False)), F.lit("not commented")),
         F.when(F.col("severity") == "MANUAL_REVIEW", F.lit("manual review")),
@@ -87,6 +94,6 @@ def report(findings: DataFrame, comments: DataFrame) -> DataFrame:
 
 def statistics(findings: DataFrame, comments: DataFrame) -> DataFrame:
     """Per document: counts by severity, commented findings and their share in per cent."""
-    done = comments.groupBy("doc_id").agg(F.count_if("commented").alias("commented"), F.count(F.lit(1)).alias("total"))
+    done = last_records(comments).groupBy("doc_id").agg(F.count_if("commented").alias("commented"), F.count(F.lit(1)).alias("total"))
     counts = R.severity_counts(findings, ["doc_id"]).join(done, "doc_id", "left").fillna(0)
     return counts.withColumn("coverage", R.coverage(F.col("commented"), F.col("total")))

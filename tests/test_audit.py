@@ -99,6 +99,9 @@ def test_reports(audited):
     assert len(sections) == 2 * 15
     stats = statistics(findings, plan).collect()
     assert len(stats) == 2 and all(0 < s.coverage < 100 for s in stats)
+    again = plan.withColumn("comment_id", F.lit(-1).cast("int")).withColumn("commented", F.lit(False))  # earlier records of the same findings
+    assert sorted(map(str, report(findings, plan.unionByName(again)).collect())) == sorted(map(str, sections))
+    assert sorted(map(str, statistics(findings, plan.unionByName(again)).collect())) == sorted(map(str, stats))
     assert inspection(docs, out.paragraphs, most=2).count() == 2
 
 
