@@ -82,9 +82,10 @@ def comment_plan(findings: DataFrame, paragraphs: DataFrame, base: int = 0) -> D
     known = paragraphs.select("doc_id", "part_name", "paragraph_index", F.col("text").alias("_text"), F.lit(True).alias("_known"))
     df = findings.join(known, ["doc_id", "part_name", "paragraph_index"], "left")
     reason = (
-        F.when(~F.col("severity").isin("ERROR", "WARNING"), "severity_not_commented")
-        .when(F.col("paragraph_index").isNull() | F.col("part_name").isNull(), "no_anchor")
-        .when(F.col("part_name") != "word/document.xml", "part_not_supported")
+        F.when(F.col("severity") == "MANUAL_REVIEW", "manual_review")
+        .when(~F.coalesce(F.col("severity").isin("ERROR", "WARNING"), F.lit(False)), "unsupported_severity")
+        .when(F.col("paragraph_index").isNull() | F.col("part_name").isNull(), "missing_anchor")
+        .when(F.col("part_name") != "word/document.xml", "unsupported_story_part")
         .when(F.col("_known").isNull(), "paragraph_not_found")
         .when(F.coalesce(F.col("snippet"), F.lit("")) == "", None)
         .when(~F.col("_text").contains(F.col("snippet")), "snippet_mismatch")

@@ -8,92 +8,90 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import relational as R
 from ..sources import docx
-from ..storage import scratch, staged
+from ..storage import scratch, staged, together
 from . import advanced, foundation, formats, roles
-from .rules import EXPECTED, check_rules, numbered, rule_results, rules_table
+from .rules import EXPECTED, check_rules, described, numbered, rule_results, rules_table
 
 
 @dataclass
 class Audit:
-    """``paragraphs``: the main part, classified; ``findings``; ``rule_results``; ``quarantine``: packages that can't be read."""
+    """``paragraphs``: the main part, classified; ``findings``; ``rule_results``; ``quarantine``: packages that can't be read;
+    ``documents``: one row a readable package; ``paths``: (doc_id, path, size) of all its files; ``rules``: the catalogue;
+    ``runs``: all runs with their effective formats."""
 
     paragraphs: DataFrame
     findings: DataFrame
     rule_results: DataFrame
     quarantine: DataFrame
+    documents: DataFrame
+    paths: DataFrame
+    rules: DataFrame
+    runs: DataFrame
+
+
+def _distinct(docs: DataFrame, folder: str) -> DataFrame:
+    """One row a package, that of its least path: files of equal bytes are one document. Most corpora have none, and nothing is moved."""
+    if not docs.groupBy("doc_id").count().filter("count > 1").limit(1).collect():
+        return docs
+    first = docs.groupBy("doc_id").agg(F.min("path").alias("path"))
+    return staged(docs.join(first, ["doc_id", "path"], "left_semi").dropDuplicates(["doc_id"]), folder, "distinct")
 
 
 def audit(spark: SparkSession, docs: DataFrame, rules: DataFrame | None = None, expected: dict = EXPECTED, folder: str | None = None) -> Audit:
-    """Audit scanned documents (see ``sources.docx``). ``folder``: an unused folder in shared storage for intermediate tables."""
+    """Audit scanned documents (see ``sources.docx``). ``folder``: an unused folder in shared storage for intermediate tables.
+
+    A document without a path, an unreadable one, and a document without paragraphs are all allowed; the unreadable ones have no results."""
     folder = folder or scratch(spark)
     rules = rules if rules is not None else rules_table(spark)
     check_rules(rules)
-    docs = staged(docs, folder, "documents")
+    files = staged(docs, folder, "documents")
+    docs = _distinct(files, folder)
     paragraphs = staged(formats.paragraph_formats(docs, docx.paragraphs(docs)).drop("runs", "ppr"), folder, "paragraphs")
     runs = staged(formats.run_formats(docs, docx.runs(docs), docx.paragraphs(docs)), folder, "runs")
     main = staged(roles.main_matter(roles.classify(paragraphs.filter(F.col("part_name") == docx.MAIN))), folder, "main")
-    found, marks = {"": [], "A": []}, []
+    found: dict[str, list[tuple[str, DataFrame]]] = {"": [], "A": []}
+    marks: list[tuple[str, DataFrame]] = []
     for mark, groups in (("", foundation.review(docs, main, paragraphs, runs, expected)), ("A", advanced.review(docs, main, paragraphs, runs))):
         for name, (own, counts) in groups.items():
             # Each group is a query of its own: one plan of all rules would be replanned after each of its hundreds of exchanges.
-            found[mark].append(staged(reduce(DataFrame.unionByName, own), folder, f"findings-{name}"))
-            marks.append(staged(reduce(DataFrame.unionByName, [c.select("doc_id", "rule_id", F.col("n").cast("long").alias("n")) for c in counts]), folder, f"evaluated-{name}"))
-    first, second = (numbered(reduce(DataFrame.unionByName, found[m]), m).withColumn("engine", F.lit(i)) for i, m in enumerate(found))
-    findings = staged(first.unionByName(second).withColumn("category", F.split("rule_id", "-")[0]), folder, "findings")
-    results = rule_results(docs, findings, reduce(DataFrame.unionByName, marks), rules)
-    return Audit(main, findings, results, docs.filter("error is not null").select("doc_id", "path", "error"))
+            found[mark].append((f"findings-{name}", reduce(DataFrame.unionByName, own)))
+            marks.append((f"evaluated-{name}", reduce(DataFrame.unionByName, [c.select("doc_id", "rule_id", F.col("n").cast("long").alias("n")) for c in counts])))
+    written = together([*found[""], *found["A"], *marks], folder)
+    unite = lambda rows: reduce(DataFrame.unionByName, [written[name] for name, _ in rows])
+    first, second = (numbered(unite(found[m]), m).withColumn("engine", F.lit(i)) for i, m in enumerate(found))
+    findings = staged(described(first.unionByName(second), rules), folder, "findings")
+    results = rule_results(docs, findings, unite(marks), rules)
+    bad = files.filter("error is not null").select("doc_id", "path", "error")
+    return Audit(main, findings, results, bad, docs.filter("error is null"), files.filter("error is null").select("doc_id", "path", "size"), rules, runs)
+
+
+def _counted(df: DataFrame, key: str, name: str) -> DataFrame:
+    """(doc_id, ``name``): a map from the values of ``key`` to their numbers of rows."""
+    counts = df.groupBy("doc_id", key).agg(F.count(F.lit(1)).alias("n"))
+    return counts.groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, "n")))).alias(name))
+
 
+def inspection(docs: DataFrame, main: DataFrame, most: int | None = None, runs: DataFrame | None = None) -> DataFrame:
+    """(doc_id, json) of each document: its file, counts, roles, styles, relationships, sections and paragraphs.
 
-def inspection(docs: DataFrame, main: DataFrame, most: int | None = None) -> DataFrame:
-    """One JSON row a document: counts, roles, sections and paragraphs; ``most`` limits the listed paragraphs, not the counts."""
+    ``most`` limits the listed paragraphs, not the counts. ``runs`` (see ``formats.run_formats``): list the paragraphs' runs as well."""
     counts = docx.inventory(docs).groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "n")))).alias("inventory"))
-    roles_ = main.groupBy("doc_id", "role").agg(F.count(F.lit(1)).alias("n")).groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("role", "n")))).alias("roles"))
-    listed = main if most is None else main.filter(F.col("idx") < most)
-    shown = listed.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", "text", "style_id", "role", "confidence", "alignment", "line_multiple"))).alias("paragraphs"))
-    out = docs.select("doc_id", "path", "sections", "settings", "numbering").join(counts, "doc_id").join(roles_, "doc_id", "left").join(shown, "doc_id", "left")
-    return out.select("doc_id", F.to_json(F.struct("path", "inventory", "roles", "sections", "settings", "numbering", "paragraphs")).alias("json"))
-
-
-#: Sections of a report and the categories that belong to each.
-SECTIONS = (
-    ("overview", ()), ("errors", ()), ("page setup", ("PAGE", "PKG")), ("headers and footers", ("HF",)), ("cover and front matter", ("COVER", "FRONT")), ("abstracts", ("ABS",)),
-    ("contents and headings", ("TOC", "HEAD")), ("text", ("FONT", "PARA", "LANG")), ("figures", ("FIG",)), ("tables", ("TAB",)), ("equations and notes", ("EQ", "NOTE")),
-    ("references", ("REF",)), ("not commented", ()), ("manual review", ()), ("statistics", ()),
-)
-OTHERS = "equations and notes"
-
-
-def last_records(comments: DataFrame) -> DataFrame:
-    """One row a finding: of several records that with the greatest ``comment_id`` counts, where there is one, else a commented one."""
-    last = F.col("comment_id") if "comment_id" in comments.columns else F.lit(0)
-    rows = comments.groupBy("doc_id", "finding_id").agg(F.max(F.struct(F.coalesce(last, F.lit(-1)).alias("last"), "commented", "skip_reason")).alias("r"))
-    return rows.select("doc_id", "finding_id", "r.commented", "r.skip_reason")
-
-
-def report(findings: DataFrame, comments: DataFrame) -> DataFrame:
-    """(doc_id, section, ordinal, n, text): how many findings each section of a document's report lists, and what it says of them.
-
-    ``comments``: doc_id, finding_id, commented, skip_reason; a finding without one counts as not in the manifest."""
-    section = F.lit(OTHERS)
-    for name, categories in SECTIONS:
-        for c in categories:
-            section = F.when(F.col("category") == c, name).otherwise(section)
-    joined = findings.join(last_records(comments), ["doc_id", "finding_id"], "left")
-    lists = F.array_compact(F.array(
-        F.lit("overview"), F.lit("statistics"), section, F.when(F.col("severity") == "ERROR", F.lit("errors")), F.when(~F.coalesce("commented", F.lit(False)), F.lit("not commented")),
-        F.when(F.col("severity") == "MANUAL_REVIEW", F.lit("manual review")),
-    ))
-    counts = joined.select("doc_id", F.explode(lists).alias("section")).groupBy("doc_id", "section").agg(F.count(F.lit(1)).alias("n"))
-    ordinals = F.explode(F.array(*[F.struct(F.lit(i).alias("ordinal"), F.lit(n).alias("section")) for i, (n, _) in enumerate(SECTIONS)])).alias("s")
-    grid = findings.select("doc_id").distinct().select("doc_id", ordinals).select("doc_id", "s.*")
-    out = grid.join(counts, ["doc_id", "section"], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
-    return out.withColumn("text", F.when(F.col("n") > 0, F.concat(F.col("n"), F.lit(" findings"))).otherwise("checked, none"))
-
-
-def statistics(findings: DataFrame, comments: DataFrame) -> DataFrame:
-    """Per document: counts by severity, commented findings and their share in per cent."""
-    done = last_records(comments).groupBy("doc_id").agg(F.count_if("commented").alias("commented"), F.count(F.lit(1)).alias("total"))
-    counts = R.severity_counts(findings, ["doc_id"]).join(done, "doc_id", "left").fillna(0)
-    return counts.withColumn("coverage", R.coverage(F.col("commented"), F.col("total")))
+    kinds = _counted(docs.select("doc_id", F.explode("styles.type").alias("type")), "type", "style_types")
+    main = main.drop("runs")
+    shown = (main if most is None else main.filter(F.col("idx") < most)).withColumn("format", F.to_json(F.transform_values("fmt", lambda _, v: v["v"])))
+    told = ["idx", "text", "style_id", "section_index", "in_table", "in_sdt", "in_revision", "role", "confidence", "alignment", "line_multiple", "format"]
+    if runs is not None:
+        own = runs.filter(F.col("part_name") == docx.MAIN).withColumn("format", F.to_json(F.transform_values("fmt", lambda _, v: v["v"])))
+        own = own.groupBy("doc_id", F.col("p_idx").alias("idx")).agg(F.array_sort(F.collect_list(F.struct(F.col("idx"), "text", "style_id", "format"))).alias("runs"))
+        shown, told = shown.join(own, ["doc_id", "idx"], "left"), [*told, "runs"]
+    listed = shown.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*told))).alias("paragraphs"))
+    out = docs.filter("error is null").drop("paragraphs").join(counts, "doc_id").join(kinds, "doc_id", "left").join(_counted(main, "role", "roles"), "doc_id", "left").join(listed, "doc_id", "left")
+    sources = F.array_sort(F.array_distinct("rels.source_part"))
+    by_source = F.map_from_arrays(sources, F.transform(sources, lambda s: F.filter("rels", lambda r: r["source_part"] == s)))
+    catalogue = F.transform("styles", lambda s: F.struct(s["type"].alias("type"), s["style_id"].alias("style_id"), s["name"].alias("name"), s["based_on"].alias("based_on"), s["is_default"].alias("is_default")))
+    source = F.struct("path", F.element_at(F.split("path", "/"), -1).alias("filename"), F.col("size").alias("size_bytes"), F.col("doc_id").alias("sha256"))
+    return out.select("doc_id", F.to_json(F.struct(
+        source.alias("source"), "inventory", "sections", "settings", "numbering", F.struct(F.col("style_types").alias("types"), catalogue.alias("styles")).alias("styles"),
+        by_source.alias("relationships"), F.col("roles").alias("role_counts"), "paragraphs",
+    )).alias("json"))

@@ -251,8 +251,8 @@ def coverage_ratio(spark, sf_dir):
     CASE WHEN idx % 7 = 3 THEN NULL ELSE idx END AS paragraph_index, CASE WHEN idx % 5 = 4 THEN 'word/header1.xml' ELSE 'word/document.xml' END AS part_name,
     CASE WHEN idx % 11 = 10 THEN 'not there' ELSE '' END AS snippet, CASE WHEN rule_id = 'LEN-001' THEN 0 END AS run_start FROM findings
 ), p AS (
-  SELECT f.*, CASE WHEN severity NOT IN ('ERROR', 'WARNING') THEN 'severity_not_commented' WHEN paragraph_index IS NULL THEN 'no_anchor'
-    WHEN part_name <> 'word/document.xml' THEN 'part_not_supported' WHEN l.text IS NULL THEN 'paragraph_not_found' WHEN snippet = '' THEN NULL
+  SELECT f.*, CASE WHEN severity = 'MANUAL_REVIEW' THEN 'manual_review' WHEN severity NOT IN ('ERROR', 'WARNING') THEN 'unsupported_severity' WHEN paragraph_index IS NULL THEN 'missing_anchor'
+    WHEN part_name <> 'word/document.xml' THEN 'unsupported_story_part' WHEN l.text IS NULL THEN 'paragraph_not_found' WHEN snippet = '' THEN NULL
     WHEN NOT contains(l.text, snippet) THEN 'snippet_mismatch' END AS skip_reason
   FROM f LEFT JOIN lines l ON f.doc_id = l.doc_id AND f.paragraph_index = l.idx AND f.part_name = 'word/document.xml'
 ), g AS (

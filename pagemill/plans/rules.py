@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import relational as R
+from .texts import ADVICE, TEXTS
 
 # The identifiers of the rules, their severities (E error, W warning, M manual review) and categories.
 FOUNDATION = {
@@ -22,6 +23,7 @@ ADVANCED = {
     "STRUCT-002": "W", "APP-001": "E", "APP-002": "E", "APP-003": "M", "RENDER-001": "M", "RENDER-002": "M", "RENDER-003": "M",
 }
 _NAMES = {"E": "ERROR", "W": "WARNING", "M": "MANUAL_REVIEW"}
+SEVERITIES = tuple(_NAMES.values())
 SEVERITY = {r: _NAMES[s] for r, s in (FOUNDATION | ADVANCED).items()}
 
 # Fixed values that the foundation rules compare with; a caller may pass its own.
@@ -41,10 +43,20 @@ COLUMNS = ("doc_id", "phase", "k1", "k2", "rule_id", "severity", "problem", "act
 _SCHEMA = "doc_id string, phase int, k1 int, k2 int, rule_id string, severity string, problem string, actual string, scope string, part_name string, section_index int, paragraph_index int, snippet string, run_start int, run_end int"
 
 
+RULE_COLUMNS = "ordinal int, rule_id string, engine string, category string, severity string, object_type string, expected string, source string, suggestion string"
+
+
+def default_row(ordinal: int, rule: str) -> dict:
+    """The built-in values of ``RULE_COLUMNS`` for one rule; a rule of another name has no severity and no texts."""
+    prefix = rule.split("-")[0]
+    about, expected = TEXTS.get(rule, (None, None))
+    engine = "foundation" if rule in FOUNDATION else "advanced"
+    return {"ordinal": ordinal, "rule_id": rule, "engine": engine, "category": prefix, "severity": SEVERITY.get(rule), "object_type": about, "expected": expected, "source": "built-in rules", "suggestion": ADVICE.get(prefix)}
+
+
 def rules_table(spark: SparkSession) -> DataFrame:
-    """(ordinal, rule_id, engine, category, severity) of all rules."""
-    rows = [(i, r, "foundation" if r in FOUNDATION else "advanced", r.split("-")[0], s) for i, (r, s) in enumerate(SEVERITY.items())]
-    return spark.createDataFrame(rows, "ordinal int, rule_id string, engine string, category string, severity string")
+    """All built-in rules, with ``RULE_COLUMNS``."""
+    return spark.createDataFrame([tuple(default_row(i, r).values()) for i, r in enumerate(SEVERITY)], RULE_COLUMNS)
 
 
 def check_rules(rules: DataFrame) -> None:
@@ -55,21 +67,25 @@ def check_rules(rules: DataFrame) -> None:
         raise ValueError(f"rules repeated or unnamed: {bad}; missing: {sorted(set(SEVERITY) - have)}")
 
 
+def normal(text: Column) -> Column:
+    """``text`` with white space as single spaces and none at its ends."""
+    return F.regexp_replace(F.regexp_replace(text, r"(?U)\s+", " "), "^ | $", "")
+
+
 def snippet(text: Column) -> Column:
-    """The first 40 characters with white space as single spaces."""
-    return F.substring(F.regexp_replace(F.regexp_replace(text, r"(?U)\s+", " "), "^ | $", ""), 1, 40)
+    """The first 40 characters of the normal text."""
+    return F.substring(normal(text), 1, 40)
 
 
 def emit(df: DataFrame, rule: str | Column, phase: int, problem: str | Column, actual: Column | None = None, severity: str | Column | None = None, k1: Column | None = None, k2: Column | int = 0, runs: Column | None = None, scope: str = "paragraph") -> DataFrame:
     """Findings from the rows of ``df``. With scope paragraph the columns part_name, section_index, idx and text name the place;
-    with section, section_index; with document, nothing."""
+    with section, section_index; with document, nothing. Without a severity a finding has its rule's; see ``described``."""
     lit = lambda x: x if isinstance(x, Column) else F.lit(x)
-    default = F.lit(SEVERITY[rule]) if isinstance(rule, str) else F.try_element_at(F.create_map(*[F.lit(x) for kv in SEVERITY.items() for x in kv]), rule)
     rule = lit(rule)
     place, section = scope == "paragraph", scope in ("paragraph", "section")
     own = {
         "phase": F.lit(phase), "k1": k1 if k1 is not None else (F.col("idx") if place else F.col("section_index") if section else F.lit(0)), "k2": lit(k2),
-        "rule_id": rule, "severity": F.coalesce(lit(severity).cast("string"), default), "problem": lit(problem), "actual": lit(actual).cast("string"), "scope": F.lit(scope),
+        "rule_id": rule, "severity": lit(severity).cast("string"), "problem": lit(problem), "actual": lit(actual).cast("string"), "scope": F.lit(scope),
         "part_name": F.col("part_name") if place else F.lit(MAIN), "section_index": F.col("section_index") if section else F.lit(None),
         "paragraph_index": F.col("idx") if place else F.lit(None), "snippet": snippet(F.col("text")) if place else F.lit(None),
         "run_start": F.array_min(runs) if runs is not None else F.lit(None), "run_end": F.array_max(runs) if runs is not None else F.lit(None),
@@ -79,10 +95,16 @@ def emit(df: DataFrame, rule: str | Column, phase: int, problem: str | Column, a
 
 
 def numbered(findings: DataFrame, mark: str) -> DataFrame:
-    """``findings`` with finding_id: the rule and a running number of the document in the order of phases, ``mark`` before it."""
+    """``findings`` with finding_id: the rule and a running number (``ordinal``) of the document in the order of phases, ``mark`` before it."""
     order = W.partitionBy("doc_id").orderBy("phase", "k1", "k2", "rule_id", "section_index", "paragraph_index", "problem")
-    n = F.lpad(F.row_number().over(order).cast("string"), 4, "0")
-    return findings.withColumn("finding_id", F.concat("rule_id", F.lit(f"-{mark}"), n))
+    out = findings.withColumn("ordinal", F.row_number().over(order))
+    return out.withColumn("finding_id", F.concat("rule_id", F.lit(f"-{mark}"), F.format_string("%04d", F.col("ordinal"))))
+
+
+def described(findings: DataFrame, rules: DataFrame) -> DataFrame:
+    """``findings`` with their rule's category, object_type, expected, source and suggestion, and its severity where they have none."""
+    own = rules.select("rule_id", F.col("severity").alias("_severity"), "category", "object_type", "expected", "source", "suggestion")
+    return findings.join(own, "rule_id", "left").withColumn("severity", F.coalesce("severity", "_severity")).drop("_severity")
 
 
 def rule_results(docs: DataFrame, findings: DataFrame, evaluated: DataFrame, rules: DataFrame) -> DataFrame:

@@ -8,13 +8,15 @@ from __future__ import annotations
 
 import io
 import posixpath
+import re
 import zipfile
 from collections.abc import Iterator
+from datetime import datetime, timezone
 from xml.parsers import expat
 from xml.sax.saxutils import escape, quoteattr
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .docx import MAIN, Package, read_package
@@ -70,24 +72,37 @@ def _positions(data: bytes) -> tuple[list[dict], int]:
     return paragraphs, root_end[0]
 
 
+_UNFIT = re.compile("[^\t\n\r\x20-\ud7ff\ue000-\ufffd\U00010000-\U0010ffff]")
+
+
+def fit(text: str) -> str:
+    """``text`` as XML content; characters that XML has no place for are left out."""
+    return escape(_UNFIT.sub("", text))
+
+
 def _mark(name: str, n: int) -> bytes:
     return f'<w:{name} xmlns:w="{_NS}" w:id="{n}"/>'.encode()
 
 
 def _comment(n: int, lines: list[str], author: str, initials: str, date: str) -> bytes:
-    body = "".join(f'<w:p><w:r><w:t xml:space="preserve">{escape(x)}</w:t></w:r></w:p>' for x in lines)
+    said = lambda x: "<w:br/>".join(f'<w:t xml:space="preserve">{fit(y)}</w:t>' for y in x.split("\n"))
+    body = "".join(f"<w:p><w:r>{said(x)}</w:r></w:p>" for x in lines)
     return f'<w:comment xmlns:w="{_NS}" w:id="{n}" w:author={quoteattr(author)} w:initials={quoteattr(initials)} w:date={quoteattr(date)}>{body}</w:comment>'.encode()
 
 
+def first_id(pkg: Package) -> int:
+    """The first id that no comment and no mark of one has."""
+    marks = [(_COMMENTS, "comment")] * (_COMMENTS in pkg.parts) + [(MAIN, f"comment{k}") for k in ("RangeStart", "RangeEnd", "Reference")]
+    ids = [v for part, tag in marks for x in pkg.xml(part).iter(f"{{{_NS}}}{tag}") if (v := x.get(f"{{{_NS}}}id", "")).lstrip("-").isdigit()]
+    return max(map(int, ids), default=-1) + 1
+
+
 def annotate(content: bytes, comments: list[dict], author: str, initials: str, date: str) -> bytes:
     """The package with ``comments``: dicts of comment_id, paragraph_index, anchor_mode, run_start, run_end, lines. Ids follow the package's own."""
     pkg = Package(content)
     if not comments:
         return content
-    base = 0
-    if _COMMENTS in pkg.parts:
-        ids = [v for x in pkg.xml(_COMMENTS).iter(f"{{{_NS}}}comment") if (v := x.get(f"{{{_NS}}}id", "")).lstrip("-").isdigit()]
-        base = max(map(int, ids), default=-1) + 1
+    base = first_id(pkg)
     main = pkg.parts[MAIN]
     paragraphs, _ = _positions(main)
     inserted: list[tuple[int, int, bytes]] = []
@@ -146,7 +161,9 @@ def _into_root(data: bytes, piece: bytes) -> bytes:
 
 #: Parts that a copy may change, and the counts that comments change.
 TOUCHED = {MAIN, _COMMENTS, "[Content_Types].xml", "word/_rels/document.xml.rels"}
-_COMMENT_COUNTS = {"comments", "comment_ranges", "main_comment_ranges", "parts", "paragraphs_all", "empty_paragraphs"}
+_COMMENT_COUNTS = {
+    "comments", "comment_ranges", "main_comment_ranges", "parts", "paragraphs_all", "empty_paragraphs", "soft_line_breaks", "nonbreaking_spaces", "fullwidth_spaces", "consecutive_space_sequences",
+}
 
 
 def verify(before: bytes, after: bytes, added: int) -> list[str]:
@@ -166,23 +183,37 @@ def verify(before: bytes, after: bytes, added: int) -> list[str]:
     return wrong
 
 
-def annotated(files: DataFrame, docs: DataFrame, findings: DataFrame, plan: DataFrame, author: str = "pagemill", initials: str = "PM", date: str = "2000-01-01T00:00:00Z") -> DataFrame:
-    """(doc_id, path, content, comments, problems): a commented copy of each package of ``files`` (path, content).
+def now() -> str:
+    return datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+
+
+def body(findings: DataFrame) -> Column:
+    """What a comment says of a finding, a line for each value it has."""
+    told = {"problem": "problem", "actual": "found", "expected": "expected", "source": "source", "suggestion": "advice"}
+    lines = [F.when(F.col(c) != "", F.concat(F.lit(f"{name}: "), c)) for c, name in told.items() if c in findings.columns]
+    return F.concat_ws("\n", F.concat_ws(" ", F.concat(F.lit("["), "rule_id", F.lit("]")), "severity"), *lines)
+
+
+def annotated(files: DataFrame, docs: DataFrame, findings: DataFrame, plan: DataFrame, author: str = "pagemill", initials: str = "PM", date: str | None = None) -> DataFrame:
+    """(doc_id, path, content, comments, first_comment_id, problems): a commented copy of each package of ``files`` (path, content).
 
-    ``plan`` is the comment plan of ``findings``; findings of one comment are its lines. ``problems``: see ``verify``."""
+    ``docs`` (doc_id, path) are the files that can be read. ``plan`` is the comment plan of ``findings``; findings of one comment are its
+    paragraphs; the plan's ids count from ``first_comment_id``. ``problems``: see ``verify``. ``date``: UTC, the present if not given."""
+    date = date or now()
     own = findings.join(plan.filter("commented"), ["doc_id", "finding_id"])
-    line = F.concat_ws(": ", "rule_id", "severity", "problem", "actual")
-    by = own.groupBy("doc_id", "comment_id", "paragraph_index").agg(F.min("anchor_mode").alias("anchor_mode"), F.min("run_start").alias("run_start"), F.max("run_end").alias("run_end"), F.array_sort(F.collect_list(line)).alias("lines"))
+    by = own.groupBy("doc_id", "comment_id", "paragraph_index").agg(F.min("anchor_mode").alias("anchor_mode"), F.min("run_start").alias("run_start"), F.max("run_end").alias("run_end"), F.array_sort(F.collect_list(body(findings))).alias("lines"))
     listed = by.groupBy("doc_id").agg(F.to_json(F.array_sort(F.collect_list(F.struct("comment_id", "paragraph_index", "anchor_mode", "run_start", "run_end", "lines")))).alias("comments"))
-    rows = files.select("path", "content").join(docs.filter("error is null").select("doc_id", "path"), "path").join(listed, "doc_id", "left")
+    rows = files.select("path", "content").join(docs.select("doc_id", "path"), "path").join(listed, "doc_id", "left")
 
     def copies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import json
 
         for batch in batches:
             for r in batch.itertuples(index=False):
+                content = bytes(r.content)
                 comments = [{"run_start": None, "run_end": None} | c for c in json.loads(r.comments or "[]")]
-                made = annotate(bytes(r.content), comments, author, initials, date)
-                yield pd.DataFrame([(r.doc_id, r.path, made, len(comments), verify(bytes(r.content), made, len(comments)))], columns=["doc_id", "path", "content", "comments", "problems"])
+                made = annotate(content, comments, author, initials, date)
+                row = (r.doc_id, r.path, made, len(comments), first_id(Package(content)), verify(content, made, len(comments)))
+                yield pd.DataFrame([row], columns=["doc_id", "path", "content", "comments", "first_comment_id", "problems"])
 
-    return rows.select("doc_id", "path", "content", "comments").mapInPandas(copies, "doc_id string, path string, content binary, comments int, problems array<string>")
+    return rows.select("doc_id", "path", "content", "comments").mapInPandas(copies, "doc_id string, path string, content binary, comments int, first_comment_id int, problems array<string>")

@@ -2,7 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagemill.plans import formats
-from pagemill.plans.audit import audit, inspection, report, statistics
+from pagemill.plans.audit import audit, inspection
+from pagemill.plans.reporting import report, statistics
 from pagemill.plans.rules import EXPECTED
 from pagemill.operators.relational import comment_plan
 from pagemill.sources import docx as source
