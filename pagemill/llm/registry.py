@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .boilerplate import op3_host_suffix_array
+from .codebooks import OP11_SQL, op11_filtering_lloyd
+from .infill import OP13_SQL, op13_distinct_text_index
 from .packing import op2_harmonic_packing
+from .personal import op12_anchor_expansion
 from .planes import op1_bit_planes
 from .quality import OP8_SQL, op8_rule_cascade
 from .quotes import op4_quotation_links
@@ -30,6 +33,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_rule_cascade,
         op9_winnowing,
         op10_simhash_tiles,
+        op11_filtering_lloyd,
+        op12_anchor_expansion,
+        op13_distinct_text_index,
     )
 }
 
@@ -37,4 +43,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_index_merge": OP5_SQL,
     "op8_rule_cascade": OP8_SQL,
     "op9_winnowing": OP9_SQL,
+    "op11_filtering_lloyd": OP11_SQL,
+    "op13_distinct_text_index": OP13_SQL,
 }

@@ -46,6 +46,7 @@ def empty(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("empty")
     for name, schema in (
         ("documents", DOCS), ("benchmark", "item_id long, text string"), ("pages", "page_id long, url string, html string"), ("conversations", "conv_id long, turn long, role string, text string"),
+        ("embeddings", "vec_id long, embedding array<float>, label int"),
     ):
         spark.createDataFrame([], schema).write.parquet(f"{folder}/{name}.parquet")
     return str(folder)
