@@ -17,8 +17,9 @@ from .plans.reporting import check_findings
 from .session import build
 from .sinks.files import target, write_files
 from .sinks.word import reports
-from .sources import docx
+from .sources import docx, scan
 from .sources.annotate import annotated, now
+from .sources.parts import parts_of
 from .storage import scratch, staged
 
 
@@ -65,14 +66,23 @@ def _rules(spark: SparkSession, args: argparse.Namespace) -> DataFrame | None:
     return load_rules(spark, args.rules) if args.rules else None
 
 
+def _json_files(rows: DataFrame, args: argparse.Namespace, suffix: str) -> DataFrame:
+    return rows.select(target(F.col("path"), args.root, args.output or args.root, suffix, ".json").alias("target"), F.encode("json", "UTF-8").alias("content"))
+
+
 def comment(spark: SparkSession, args: argparse.Namespace) -> None:
     files, folder = _files(spark, args.path), scratch(spark)
-    docs = staged(docx.scan(files), folder, "documents").filter("error is null")
+    nodes = scan.Nodes(parts_of(files), folder)
+    docs = staged(nodes.readable(), folder, "readable")
     findings, _ = V.read_reviews(spark, args.findings)
     check_findings(findings)
-    plan = staged(X.plan_comments(findings, docx.paragraphs(docs.dropDuplicates(["doc_id"]))), folder, "plan")
-    copies = staged(annotated(files, docs, findings, plan, args.author, args.initials), folder, "copies")
-    write_files(copies.select(target(F.col("path"), args.root, args.output or args.root, "_commented").alias("target"), "content"), files.select("path"))
+    texts = scan.texts(nodes).select("doc_id", "part_name", "idx", "text")
+    plan = staged(X.plan_comments(findings, texts), folder, "plan")
+    copies = staged(annotated(nodes, files, docs, findings, plan, args.author, args.initials), folder, "copies")
+    made = copies.select(target(F.col("path"), args.root, args.output or args.root, "_commented").alias("target"), "content")
+    if args.manifest:
+        made = made.unionByName(_json_files(X.comment_manifests(X.records(plan, copies, findings), copies), args, "_comments"))
+    write_files(made, files.select("path"))
 
 
 def report(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -80,9 +90,12 @@ def report(spark: SparkSession, args: argparse.Namespace) -> None:
     if args.comments:
         records = V.read_reviews(spark, args.comments)[1]
     check_findings(findings)
-    docs = docx.scan(_files(spark, args.path)).filter("error is null").select("doc_id", "path")
+    docs = scan.Nodes(parts_of(_files(spark, args.path)), scratch(spark)).readable()
     made = reports(docs, findings, records, _rules(spark, args), template=args.template_name, created=now())
-    write_files(made.select(target(F.col("path"), args.root, args.output or args.root, "_report").alias("target"), "content"), docs.select("path"))
+    made = made.select(target(F.col("path"), args.root, args.output or args.root, "_report").alias("target"), "content")
+    if args.manifest:
+        made = made.unionByName(_json_files(X.report_manifests(docs, findings, records), args, "_report"))
+    write_files(made, docs.select("path"))
 
 
 def run(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -109,6 +122,8 @@ def parser() -> argparse.ArgumentParser:
         if f in (comment, run):
             own.add_argument("--author", default="pagemill")
             own.add_argument("--initials", default="PM")
+        if f in (comment, report):
+            own.add_argument("--manifest", action="store_true", help="write what was done beside each file, as JSON")
         if f is comment:
             own.add_argument("--findings", required=True, help="reviews or manifests")
         if f is report:

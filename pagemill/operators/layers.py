@@ -2,34 +2,44 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import scratch, staged
 
-def chains(edges: DataFrame, keys: Sequence[str], node: str, parent: str) -> DataFrame:
+
+def chains(edges: DataFrame, keys: Sequence[str], node: str, parent: str, folder: str | None = None) -> DataFrame:
     """(keys, root, node, depth) for every node and each of its ancestors, itself at depth 0.
 
-    A parent that isn't a node ends the chain, and so does one that the chain has had. Each round is one equi-join within the keys;
-    there are as many rounds as the deepest chain has links."""
+    A parent that isn't a node ends the chain, and so does one that the chain has had. Rows without a node are no nodes; of several
+    parents of one node the greatest counts; repeated rows count once; keys may be null.
+
+    By pointer doubling: every node carries the path to an ancestor and a pointer to what follows, and a round puts that ancestor's own
+    path behind it. So a chain of n links takes log2(n) rounds, each one equi-join of the nodes whose path is still open. A round's
+    paths are written to ``folder`` (one of ``storage.scratch``, made if not given) and the result reads them there: plans stay short
+    and a lost executor costs a round."""
     spark = edges.sparkSession
-    view = f"_edges_{uuid.uuid4().hex}"
-    edges.select(*keys, F.col(node).alias("_node"), F.col(parent).alias("_parent")).createOrReplaceTempView(view)
-    listed = "".join(f"{k}, " for k in keys)
-    matched = " AND ".join(f"e.{k} <=> c.{k}" for k in keys) or "true"
-    out = spark.sql(f"""
-        WITH RECURSIVE c({listed}root, node, up, depth, seen) AS (
-          SELECT {listed}_node, _node, _parent, 0, array(_node) FROM {view}
-          UNION ALL
-          SELECT {"".join(f"c.{k}, " for k in keys)}c.root, e._node, e._parent, c.depth + 1, array_append(c.seen, e._node)
-          FROM c JOIN {view} e ON {matched} AND e._node = c.up
-          WHERE NOT array_contains(c.seen, e._node)
-        ) SELECT {listed}root, node, depth FROM c
-    """)
-    spark.catalog.dropTempView(view)  # the statement is analysed, so the name isn't needed any more
-    return out
+    folder = folder or scratch(spark, "chains")
+    own = edges.select(*keys, F.col(node).alias("root"), F.col(parent).alias("next")).filter("root is not null").groupBy(*keys, "root").agg(F.max("next").alias("next"))
+    columns = [*keys, "root", "path", "next"]
+    known = staged(own.withColumn("path", F.array("root")).select(*columns), folder, "paths-0")
+    done, number = known.filter("next is null"), 0
+    still = known.filter("next is not null")
+    while still.limit(1).collect():
+        number += 1
+        other = known.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("root").alias("_at"), F.col("path").alias("_more"), F.col("next").alias("_next"))
+        same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], F.col("next") == F.col("_at"))
+        joined = still.join(other, same, "left").withColumn("_whole", F.when(F.col("_at").isNull(), F.col("path")).otherwise(F.concat("path", "_more")))
+        # A node has one parent, so behind the first that comes again all come again.
+        cut = joined.withColumn("_path", F.array_distinct("_whole"))
+        following = F.when(F.size("_path") == F.size("_whole"), F.col("_next"))
+        moved = staged(cut.select(*keys, "root", F.col("_path").alias("path"), following.alias("next")), folder, f"paths-{number}")
+        done, still = done.unionByName(moved.filter("next is null")), moved.filter("next is not null")
+        known = done.unionByName(still)
+    return done.select(*keys, "root", F.posexplode("path").alias("depth", "node")).select(*keys, "root", "node", "depth")
 
 
 def layer_merge(layers: DataFrame, keys: Sequence[str], order: str, name: str, value: str, source: str) -> DataFrame:

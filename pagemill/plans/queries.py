@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import pattern as P
 from ..operators import layers as L
+from ..operators import nesting as N
 from ..operators import relational as R
 from ..operators import sequence as S
 
@@ -289,16 +290,18 @@ def inventory_diff(spark, sf_dir):
     return R.inventory_diff(counts(nation), counts(nation.filter("n_nationkey % 5 <> 1 and n_regionkey <> 2")), ["n_regionkey"], "v")
 
 
-_STYLES = [("Normal", None), ("Base", "Normal"), ("Heading1", "Base"), ("Heading2", "Heading1"), ("CycleA", "CycleB"), ("CycleB", "CycleA"), ("Lost", "Nowhere")]
-_STYLE_ROWS = "s(id, up) AS (VALUES " + ", ".join(f"('{a}', {'NULL' if b is None else repr(b)})" for a, b in _STYLES) + ")"
-
-
-@query(f"""WITH RECURSIVE {_STYLE_ROWS}, c AS (
-  SELECT id AS root, id AS node, up, 0 AS depth, [id] AS seen FROM s
-  UNION ALL SELECT c.root, s.id, s.up, depth + 1, list_append(seen, s.id) FROM c JOIN s ON s.id = c.up WHERE NOT list_contains(seen, s.id)
-) SELECT root, node, depth FROM c""")
+@query("""WITH o AS (
+  SELECT o_custkey, o_orderkey, row_number() OVER w AS r, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)
+)
+SELECT a.o_custkey, a.o_orderkey AS root, b.o_orderkey AS node, CAST(CASE WHEN b.r <= a.r THEN a.r - b.r ELSE a.r - b.r + a.n END AS INTEGER) AS depth
+FROM o a JOIN o b ON a.o_custkey = b.o_custkey AND (b.r <= a.r OR a.o_custkey % 7 = 0)""")
 def style_chain(spark, sf_dir):
-    return L.chains(spark.createDataFrame(_STYLES, "id string, up string"), [], "id", "up")
+    """Every order is based on the customer's order before it. The first is based on nothing, on an order that isn't there, or, as a circle, on the last."""
+    order = W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    last = F.last("o_orderkey").over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    first = F.when(F.col("o_custkey") % 7 == 0, last).when(F.col("o_custkey") % 5 == 1, F.lit(-1))
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.coalesce(F.lag("o_orderkey").over(order), first).alias("up"))
+    return L.chains(orders, ["o_custkey"], "o_orderkey", "up")
 
 
 @query("""SELECT o_custkey, k AS name, arg_max(v, ord) AS value, arg_max(src, ord) AS source FROM (
@@ -354,3 +357,44 @@ def bounded_samples(spark, sf_dir):
     rank = F.row_number().over(W.partitionBy("doc_id").orderBy("idx"))
     first = hits.select("doc_id", "idx", rank.alias("r")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("hits"), F.array_sort(F.collect_list(F.when(F.col("r") <= 4, F.col("idx")))).alias("s"))
     return first.select("doc_id", "hits", F.array_join(F.transform("s", lambda x: x.cast("string")), ",").alias("sample"))
+
+
+_TAGS = "div|ul|li|section|article|main|nav|header|footer|aside|p|body"
+_BEGINS, _ENDS = f"^<({_TAGS})[ >]", f"^</({_TAGS})>"
+
+# Every eleventh token of every fifth page is left out, so that things are left open and others close nothing.
+_TOKENS = f"""t AS (
+  SELECT page_id, unnest(x) AS tok, unnest(range(len(x))) AS pos FROM (SELECT page_id, regexp_extract_all(html, '<[^>]*>|[^<]+') AS x FROM pages)
+), k AS (
+  SELECT *, regexp_matches(tok, '{_BEGINS}') AS b, regexp_matches(tok, '{_ENDS}') AS e FROM t WHERE NOT (page_id % 5 = 0 AND pos % 11 = 10)
+), s AS (
+  SELECT *, sum(CASE WHEN b THEN 1 WHEN e THEN -1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY pos) AS total FROM k
+), d AS (
+  SELECT *, total - least(0, min(total) OVER (PARTITION BY page_id ORDER BY pos)) AS depth FROM s
+), v AS (
+  SELECT *, CASE WHEN e THEN nullif(lag(depth, 1, 0) OVER (PARTITION BY page_id ORDER BY pos), 0) ELSE depth END AS level FROM d
+), o AS (
+  SELECT page_id, pos AS b, level, (SELECT min(c.pos) FROM v c WHERE c.page_id = v.page_id AND c.level = v.level AND c.e AND c.pos > v.pos) AS e FROM v WHERE b
+)"""
+
+
+def tag_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages as tags and what stands between them: page_id, pos, tok."""
+    tokens = F.posexplode(F.regexp_extract_all("html", F.lit("<[^>]*>|[^<]+"), F.lit(0))).alias("pos", "tok")
+    return table(spark, sf_dir, "pages").select("page_id", tokens).filter("not (page_id % 5 = 0 and pos % 11 = 10)")
+
+
+@query(f"""WITH {_TOKENS}
+SELECT page_id, CAST(b AS INTEGER) AS begin, CAST(e AS INTEGER) AS "end", CAST(level AS INTEGER) AS level FROM o""")
+def nested_tags(spark, sf_dir):
+    return N.spans(tag_tokens(spark, sf_dir), ["page_id"], "pos", F.col("tok").rlike(_BEGINS), F.col("tok").rlike(_ENDS))
+
+
+@query(f"""WITH {_TOKENS}, i AS (
+  SELECT page_id, (SELECT max(o.b) FROM o WHERE o.page_id = v.page_id AND o.b < v.pos AND o.level = v.level) AS b, pos, tok FROM v WHERE NOT b AND NOT e AND level > 0
+), j AS (
+  SELECT page_id, b, string_agg(tok, '' ORDER BY pos) AS joined FROM i GROUP BY ALL
+)
+SELECT page_id, CAST(o.b AS INTEGER) AS begin, CAST(e AS INTEGER) AS "end", CAST(level AS INTEGER) AS level, coalesce(joined, '') AS joined FROM o LEFT JOIN j USING (page_id, b) WHERE e IS NOT NULL""")
+def nested_contents(spark, sf_dir):
+    return N.pieces_joined(tag_tokens(spark, sf_dir), ["page_id"], "pos", F.col("tok").rlike(_BEGINS), F.col("tok").rlike(_ENDS), "tok")

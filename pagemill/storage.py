@@ -9,12 +9,28 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame, SparkSession
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder in ``spark.checkpoint.dir``. Where that is unset, a temporary one, and only if all executors run in this process."""
+def _at(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def scratch(spark: SparkSession, name: str = "audit") -> str:
+    """A new folder of this application's own in ``spark.checkpoint.dir``; what ``discard`` leaves of it goes when the application's
+    file system closes. Where that is unset, a temporary one, and only if all executors run in this process."""
     base, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
     if not base and (not master.startswith("local") or master.startswith("local-cluster")):
         raise ValueError(f"spark.checkpoint.dir is not set, and {master} needs a folder that all executors share")
-    return f"{(base or f'file://{tempfile.mkdtemp(prefix="pagemill-")}').rstrip('/')}/audit-{uuid.uuid4().hex}"
+    folder = f"{(base or f'file://{tempfile.mkdtemp(prefix="pagemill-")}').rstrip('/')}/pagemill/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    fs, at = _at(spark, folder)
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
+    return folder
+
+
+def discard(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of ``scratch``, or a table in one; nothing may read it afterwards."""
+    fs, at = _at(spark, folder)
+    fs.delete(at, True)
 
 
 def staged(df: DataFrame, folder: str, name: str) -> DataFrame:

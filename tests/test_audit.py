@@ -7,9 +7,9 @@ from pagemill.plans.reporting import report, statistics
 from pagemill.plans.rules import EXPECTED
 from pagemill.operators.relational import comment_plan
 from pagemill.sources import docx as source
-from pagemill.sources.annotate import annotated
 from pagemill.streaming import inbox
 
+from . import trees
 from .docx_fixtures import NS, REFS, docx, fonts, p, points, section, val
 
 H = EXPECTED["header"]
@@ -43,7 +43,7 @@ def defects(spark):
     """Statuses of each defect's own document."""
     bodies = [body if "sectPr" in body else CHAPTER + body + section(refs=REFS) for _, _, body in DEFECTS]
     frame = spark.createDataFrame([(f"{i}.docx", bytearray(docx(b))) for i, b in enumerate(bodies)], "path string, content binary")
-    docs = source.scan(frame).persist()
+    docs = trees.scan(frame).persist()
     results = audit(spark, docs).rule_results.join(docs.select("doc_id", "path"), "doc_id").collect()
     return {(int(r.path.split(".")[0]), r.rule_id): r.status for r in results}
 
@@ -58,7 +58,7 @@ def test_each_defect_is_found_in_its_own_document(defects, i):
 def audited(spark):
     files = [("good.docx", docx(GOOD, header=HEADER)), ("bad.docx", docx(BAD)), ("broken.docx", b"not a package"), ("entity.docx", docx(GOOD, word__farben="<!DOCTYPE x><x/>"))]
     frame = spark.createDataFrame([(n, bytearray(c)) for n, c in files], "path string, content binary")
-    docs = source.scan(frame).persist()
+    docs = trees.scan(frame).persist()
     out = audit(spark, docs)
     names = {r.doc_id: r.path for r in docs.select("doc_id", "path").collect()}
     results = {(names[r.doc_id], r.rule_id): r for r in out.rule_results.collect()}
@@ -87,7 +87,7 @@ def test_finding_ids_are_unique_and_ordered(audited):
 def test_unresolved_formats_go_to_review(spark):
     body = CHAPTER + p("没有格式的话") + section()
     styles = f'<w:styles {NS}><w:style w:type="paragraph" w:styleId="Stufe1">{val("name", "heading 1")}</w:style></w:styles>'
-    docs = source.scan(spark.createDataFrame([("a.docx", bytearray(docx(body, styles=styles)))], "path string, content binary"))
+    docs = trees.scan(spark.createDataFrame([("a.docx", bytearray(docx(body, styles=styles)))], "path string, content binary"))
     got = {r.rule_id: r.status for r in audit(spark, docs).rule_results.collect()}
     assert got["FONT-001"] == "MANUAL_REVIEW" and got["PARA-001"] == "MANUAL_REVIEW" and got["FONT-002"] == "PASS"
 
@@ -106,15 +106,6 @@ def test_reports(audited):
     assert inspection(docs, out.paragraphs, most=2).count() == 2
 
 
-def test_annotated_copies_are_sound(spark, audited):
-    docs, out, _, _ = audited
-    files = spark.createDataFrame([("good.docx", bytearray(docx(GOOD, header=HEADER))), ("bad.docx", bytearray(docx(BAD)))], "path string, content binary")
-    plan = comment_plan(out.findings, out.paragraphs.select("doc_id", "part_name", F.col("idx").alias("paragraph_index"), "text"))
-    got = {r.path: r for r in annotated(files, docs, out.findings, plan).collect()}
-    assert got["good.docx"].problems == got["bad.docx"].problems == []
-    assert got["bad.docx"].comments > 5
-
-
 def test_packages_are_scanned_as_they_arrive(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(inbox, "audit", lambda _, docs: docs.select("doc_id", "error").collect())
     seen = []
@@ -127,7 +118,7 @@ def test_packages_are_scanned_as_they_arrive(spark, tmp_path, monkeypatch):
 
 def test_formats_of_a_style_chain_a_theme_and_a_circle(spark):
     body = p("一", "Stufe2", rpr=val("rStyle", "Akzent")) + p("二", "Kreis") + p("三") + section()
-    docs = source.scan(spark.createDataFrame([("f.docx", bytearray(docx(body)))], "path string, content binary"))
+    docs = trees.scan(spark.createDataFrame([("f.docx", bytearray(docx(body)))], "path string, content binary"))
     main = {r.text: r for r in formats.run_formats(docs, source.runs(docs), source.paragraphs(docs)).filter("part_name = 'word/document.xml'").collect()}
     # By hand: the character style's 13 points over the chain's 14; accent2 8040C0, 0x99 (0.6) of the way to white, is CCB3E6.
     assert main["一"].size_pt == 13 and main["一"].colour == "CCB3E6" and main["二"].size_pt == 21 and main["三"].size_pt == 12
@@ -137,5 +128,5 @@ def test_field_codes_nest_and_break():
     mark = lambda kind: f'<w:r><w:fldChar w:fldCharType="{kind}"/></w:r>'
     piece = lambda text: f"<w:r><w:instrText>{text}</w:instrText></w:r>"
     body = "<w:p>" + mark("begin") + piece(" IF a ") + mark("begin") + piece("toc \\o ") + piece("x") + mark("separate") + mark("end") + piece("b") + mark("end") + mark("end") + mark("begin") + piece("never") + "</w:p>"
-    row = source.read_package(docx(body + '<w:p><w:fldSimple w:instr="seq y"/></w:p>'))
+    row = trees.read_package(docx(body + '<w:p><w:fldSimple w:instr="seq y"/></w:p>'))
     assert sorted(c for part, c in row["fields"] if part == source.MAIN) == ["IF", "SEQ", "TOC"]

@@ -13,8 +13,8 @@ from pagemill.plans.config import load_rules
 from pagemill.plans.rules import FOUNDATION, SEVERITY, rules_table
 from pagemill.sinks.files import target, write_files
 from pagemill.sinks.word import report_document
-from pagemill.sources import docx as source
 
+from . import trees
 from .docx_fixtures import REFS, docx, p, section
 from .test_audit import BAD, GOOD, HEADER
 
@@ -56,7 +56,7 @@ def test_a_manifest_agrees_with_itself_and_its_copy(folder, ran):
         assert len(set(ids)) == len(ids) == r["statistics"]["total_findings"] == len(records) and not any(i.startswith("PKG-002") for i in ids)
         assert sum(x["finding_count"] for x in r["rule_results"]) == len(ids)
         assert sum(r["statistics"]["findings_by_severity"].values()) == len(ids) and sum(r["statistics"]["rules_by_status"].values()) == 76
-        text = source.Package((ran / f"{name}_commented.docx").read_bytes()).parts.get("word/comments.xml", b"").decode()
+        text = trees.Package((ran / f"{name}_commented.docx").read_bytes()).parts.get("word/comments.xml", b"").decode()
         for x in records:
             assert x["commented"] == (f'w:id="{x.get("comment_id")}"' in text and f"[{x['rule_id']}]" in text) or not x["commented"]
         assert all(f["expected"] and f["suggestion"] and f["object_type"] for f in r["findings"])
@@ -70,7 +70,7 @@ def test_places_with_repeated_spaces_are_commented(ran):
 
 def test_a_report_has_fifteen_sections_and_a_row_a_listing(ran):
     content = (ran / "a b_report.docx").read_bytes()
-    row = source.read_package(content)
+    row = trees.read_package(content)
     assert row["error"] is None
     heads = [x[2] for x in row["paragraphs"] if x[3] == "Heading1"]
     assert [h.split()[0] for h in heads] == [str(i) for i in range(1, 16)]
@@ -89,9 +89,9 @@ def test_comments_and_reports_can_be_made_from_reviews(spark, folder, ran):
     main(["comment", str(folder / "in" / "a b.docx"), "--findings", str(again / "a b_review.json"), "-o", str(again)], spark)
     main(["report", str(folder / "in" / "a b.docx"), "--review", str(ran / "a b_review.json"), "-o", str(again)], spark)
     assert {x.name for x in again.iterdir() if not x.name.startswith(".")} == {"a b_review.json", "a b_commented.docx", "a b_report.docx"}
-    count = lambda x: len(source.Package(x.read_bytes()).parts["word/comments.xml"].split(b"<w:comment "))
+    count = lambda x: len(trees.Package(x.read_bytes()).parts["word/comments.xml"].split(b"<w:comment "))
     assert count(again / "a b_commented.docx") == count(ran / "a b_commented.docx")
-    cells = [[x[2] for x in source.read_package((d / "a b_report.docx").read_bytes())["paragraphs"] if x[3] == "Cell" and x[2].startswith(("yes", "no"))] for d in (again, ran)]
+    cells = [[x[2] for x in trees.read_package((d / "a b_report.docx").read_bytes())["paragraphs"] if x[3] == "Cell" and x[2].startswith(("yes", "no"))] for d in (again, ran)]
     assert cells[0] == cells[1]
 
 
@@ -118,7 +118,7 @@ def test_a_copy_that_lost_something_is_an_error(spark):
     rows = lambda values, schema: spark.createDataFrame(values, schema)
     findings = rows([(d, r, "MANUAL_REVIEW", "later", "") for d in ("sound", "lossy", "uncopied") for r in ("PKG-002", "REF-011")], "doc_id string, rule_id string, severity string, problem string, actual string")
     results = rows([(d, "PKG-002", "MANUAL_REVIEW", 1, 1) for d in ("sound", "lossy", "uncopied")], "doc_id string, rule_id string, status string, finding_count long, evaluated_count long")
-    copies = rows([("sound", []), ("sound", []), ("lossy", []), ("lossy", ["texts differ"])], "doc_id string, problems array<string>")
+    copies = rows([("sound", [], 22), ("sound", [], 22), ("lossy", [], 22), ("lossy", ["texts differ"], 22)], "doc_id string, problems array<string>, evaluated_count long")
     after = workflow.decided(Audit(findings, findings, results, *[findings] * 5), copies)
     got = {(r.doc_id, r.rule_id): (r.severity, r.actual) for r in after.findings.collect()}
     assert got.pop(("lossy", "PKG-002")) == ("ERROR", '["texts differ"]') and set(got) == {(d, "REF-011") for d in ("sound", "lossy", "uncopied")} | {("uncopied", "PKG-002")}
@@ -164,5 +164,5 @@ def test_reviews_of_others_are_read(spark, tmp_path):
 def test_a_report_on_nothing_and_on_odd_characters():
     row = {"finding_id": "x\x00<&>", "rule_id": None, "sections": [1], "commented": False, "severity": None, "category": None}
     for rows in ([], [row]):
-        assert source.read_package(report_document("n\x01", rows, [True] * 15, {}, "t & t", ()))["error"] is None
+        assert trees.read_package(report_document("n\x01", rows, [True] * 15, {}, "t & t", ()))["error"] is None
 
