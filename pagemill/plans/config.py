@@ -6,9 +6,10 @@ import hashlib
 import json
 import posixpath
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .rules import FOUNDATION, RULE_COLUMNS, SEVERITIES, default_row
+from .rules import FOUNDATION, RULE_COLUMNS, check_rules, rules_table
 
 
 def _read(spark: SparkSession, path: str) -> bytes | None:
@@ -32,41 +33,52 @@ def _parsed(data: bytes, path: str) -> dict:
     return json.loads(data)
 
 
-def _words(rule: dict, key: str) -> str | None:
-    """The local wording of a value if the file has one; values that are no text as JSON."""
-    value = rule.get(f"{key}_zh", rule.get(key))
-    return value if value is None or isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+#: What is read of a rule: its name and severity, and texts, of which one in the local language counts before the other.
+_TEXTS = {"category": "category", "object_type": "object_type", "expected": "expected_value", "source": "source", "suggestion": "suggestion"}
+_RULE = "struct<" + ", ".join(f"{n}: variant" for n in ("rule_id", "severity", *(f"{v}{end}" for v in _TEXTS.values() for end in ("_zh", "")))) + ">"
+
+
+def _text(c: Column) -> Column:
+    """A value as text: a string as it is, anything else as JSON; empty ones and null are none."""
+    shown = F.when(F.schema_of_variant(c) == "STRING", F.try_variant_get(c, "$", "string")).otherwise(F.to_json(c))
+    return F.when(~F.is_variant_null(c) & (shown != ""), shown)
+
+
+def rules_of(spark: SparkSession, config: dict) -> DataFrame:
+    """The rules of a configuration in its order, with ``RULE_COLUMNS``, not checked: what a rule leaves out comes from the built-in one."""
+    one = spark.createDataFrame([(json.dumps(config.get("rules"), ensure_ascii=False),)], "j string")
+    listed = F.from_json("j", f"array<{_RULE}>")
+    rows = one.select(F.posexplode(listed).alias("ordinal", "r")).select("ordinal", "r.*")
+    own = {"severity": _text(F.col("severity"))} | {k: F.coalesce(_text(F.col(f"{v}_zh")), _text(F.col(v))) for k, v in _TEXTS.items()}
+    rows = rows.select("ordinal", _text(F.col("rule_id")).alias("rule_id"), *[v.alias(k) for k, v in own.items()])
+    known = rules_table(spark).select("rule_id", F.col("engine"), *[F.col(k).alias(f"_{k}") for k in own])
+    prefix = F.substring_index("rule_id", "-", 1)
+    fallback = {"category": prefix, "source": F.lit("built-in rules")}
+    filled = {k: F.coalesce(k, f"_{k}", fallback.get(k, F.lit(None).cast("string"))) for k in own}
+    out = rows.join(known, "rule_id", "left").withColumns(filled).withColumn("engine", F.coalesce("engine", F.lit("advanced")))
+    return out.select(*[F.col(n).cast(k) for n, k in (c.split() for c in RULE_COLUMNS.split(", "))])
+
+
+def check_origin(spark: SparkSession, path: str, config: dict) -> None:
+    """A file that was made from another one beside it (``runtime_mirror``: source_file, source_sha256) is refused once that has changed."""
+    made_from = config.get("runtime_mirror") or {}
+    name, digest = made_from.get("source_file"), made_from.get("source_sha256")
+    origin = _read(spark, posixpath.join(posixpath.dirname(path), name)) if name and digest else None
+    if origin is not None and hashlib.sha256(origin).hexdigest() != digest.lower():
+        raise ValueError(f"{name} has changed since {path} was made from it")
 
 
 def load_rules(spark: SparkSession, path: str) -> DataFrame:
     """The rules of a file, in its order, with ``RULE_COLUMNS``; what a rule leaves out comes from the built-in one.
 
-    Refused are: no list, a rule without a name, names that repeat, missing foundation rules, unknown severities, and a file made from
-    another one beside it (``runtime_mirror``: source_file, source_sha256) that has changed since."""
+    Refused are a file without a list of rules, what ``check_rules`` refuses, and what ``check_origin`` does."""
     data = _read(spark, path)
     if data is None:
         raise ValueError(f"there is no rule file {path}")
     config = _parsed(data, path)
-    mirror = config.get("runtime_mirror") or {}
-    if mirror.get("source_file") and mirror.get("source_sha256"):
-        origin = _read(spark, posixpath.join(posixpath.dirname(path), mirror["source_file"]))
-        if origin is not None and hashlib.sha256(origin).hexdigest() != mirror["source_sha256"].lower():
-            raise ValueError(f"{mirror['source_file']} has changed since {path} was made from it")
-    rules = config.get("rules")
-    if not isinstance(rules, list):
+    check_origin(spark, path, config)
+    if not isinstance(config.get("rules"), list):
         raise ValueError(f"{path} has no list of rules")
-    names = [r.get("rule_id") if isinstance(r, dict) else None for r in rules]
-    if not all(n and str(n).strip() for n in names):
-        raise ValueError("every rule needs a rule_id")
-    if repeated := sorted({n for n in names if names.count(n) > 1}):
-        raise ValueError(f"rules repeated: {', '.join(repeated)}")
-    if lacking := sorted(set(FOUNDATION) - set(names)):
-        raise ValueError(f"rules missing: {', '.join(lacking)}")
-    rows = []
-    for i, rule in enumerate(rules):
-        own = {"severity": rule.get("severity"), "category": _words(rule, "category"), "object_type": _words(rule, "object_type"), "expected": _words(rule, "expected_value"), "source": _words(rule, "source"), "suggestion": _words(rule, "suggestion")}
-        row = default_row(i, rule["rule_id"]) | {k: v for k, v in own.items() if v}
-        if row["severity"] not in SEVERITIES:
-            raise ValueError(f"{rule['rule_id']} has the unknown severity {row['severity']}")
-        rows.append(tuple(row.values()))
-    return spark.createDataFrame(rows, RULE_COLUMNS)
+    rules = rules_of(spark, config)
+    check_rules(rules, needed=FOUNDATION)
+    return rules

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -59,12 +61,15 @@ def rules_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([tuple(default_row(i, r).values()) for i, r in enumerate(SEVERITY)], RULE_COLUMNS)
 
 
-def check_rules(rules: DataFrame) -> None:
-    """A catalogue must have every rule once, with a name."""
-    bad = [r.rule_id for r in rules.groupBy("rule_id").count().filter("count > 1 or rule_id is null or trim(rule_id) = ''").collect()]
-    have = {r.rule_id for r in rules.select("rule_id").collect()}
-    if bad or not set(SEVERITY) <= have:
-        raise ValueError(f"rules repeated or unnamed: {bad}; missing: {sorted(set(SEVERITY) - have)}")
+def check_rules(rules: DataFrame, needed: Iterable[str] = SEVERITY) -> None:
+    """A catalogue must have every rule of ``needed``, each rule once, with a name and a known severity."""
+    names = rules.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"), F.max(~F.coalesce(F.col("severity").isin(*SEVERITIES), F.lit(False))).alias("odd"))
+    wanted = rules.sparkSession.createDataFrame([(n,) for n in needed], "rule_id string").withColumn("wanted", F.lit(True))
+    both = names.join(wanted, "rule_id", "full_outer")
+    fault = F.when(F.coalesce(F.trim("rule_id"), F.lit("")) == "", "rules without a rule_id").when(F.col("n") > 1, "rules repeated").when(F.col("n").isNull(), "rules missing").when(F.col("odd"), "rules with an unknown severity")
+    bad = both.select(fault.alias("fault"), F.coalesce("rule_id", F.lit("?")).alias("rule_id")).filter("fault is not null").groupBy("fault").agg(F.array_sort(F.collect_list("rule_id")).alias("rules")).orderBy("fault").collect()
+    if bad:
+        raise ValueError("; ".join(f"{r.fault}: {', '.join(r.rules)}" for r in bad))
 
 
 def normal(text: Column) -> Column:

@@ -1,16 +1,15 @@
-"""Files by name: each row of (target, content) becomes one file, whole or not at all."""
+"""Files by name: each row of (target, content) becomes one file, and all rows of a table do or none."""
 
 from __future__ import annotations
 
-import posixpath
-import re
+import os.path
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .named import NAME, NamedFiles
+
 
 def located(path: Column) -> Column:
     """Paths of one file in one form: local ones as file:///..."""
@@ -24,43 +23,23 @@ def target(path: Column, root: str, folder: str, suffix: str, kind: str = ".docx
     return F.concat(located(F.lit(folder.rstrip("/"))), F.lit("/"), F.regexp_replace(below, r"(?i)\.docx$", ""), F.lit(suffix + kind))
 
 
-def put(path: str, content: bytes) -> None:
-    """Write ``content`` beside ``path`` and move it there: readers see the old file or the new one."""
-    from pyarrow import fs
-
-    scheme, authority, name = re.match(r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/]*)(/.*)$", path, re.S).groups()
-    if scheme == "file":
-        store = fs.LocalFileSystem()
-    else:
-        store, base = fs.FileSystem.from_uri(f"{scheme}://{authority}/")
-        name = base.rstrip("/") + name
-    folder, last = posixpath.split(name)
-    store.create_dir(folder, recursive=True)
-    beside = f"{folder}/.{last}.{uuid.uuid4().hex}"
-    try:
-        with store.open_output_stream(beside) as out:
-            out.write(content)
-        store.move(beside, name)
-    except BaseException:
-        if store.get_file_info(beside).is_file:
-            store.delete_file(beside)
-        raise
+def _common_folder(first: str, last: str) -> str:
+    """The folder that all names between two (in their order) lie in."""
+    return os.path.commonprefix([first, last]).rpartition("/")[0]
 
 
 def write_files(files: DataFrame, sources: DataFrame) -> int:
-    """Write ``files`` (target, content) and give their number. Refused, before anything is written: two rows of one target, and a target
-    that is a file of ``sources`` (path). A task that runs again writes the same files again. An empty table writes nothing."""
+    """Write ``files`` (target, content) and give their number: all of them, or none if the job fails (see ``named``). Refused, before anything
+    is written: two rows of one target, and a target that is a file of ``sources`` (path). An empty table writes nothing."""
+    spark = files.sparkSession
     targets = files.select(located(F.col("target")).alias("target"))
     if twice := targets.groupBy("target").count().filter("count > 1").limit(3).collect():
         raise ValueError(f"more than one file would be {[r.target for r in twice]}")
     if own := targets.join(sources.select(located(F.col("path")).alias("target")), "target", "left_semi").limit(3).collect():
         raise ValueError(f"a source would be overwritten: {[r.target for r in own]}")
-
-    def written(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for name, content in zip(batch["target"], batch["content"], strict=True):
-                put(name, bytes(content))
-            yield pd.DataFrame({"n": [len(batch)]})
-
-    done = files.select(located(F.col("target")).alias("target"), "content").mapInPandas(written, "n long")
-    return done.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).collect()[0].n
+    first, last, n = targets.agg(F.min("target"), F.max("target"), F.count("target")).first()
+    if n:
+        spark.dataSource.register(NamedFiles)
+        staging = f"{_common_folder(first, last)}/.pagemill-{uuid.uuid4().hex}"
+        files.select(located(F.col("target")).alias("target"), "content").write.format(NAME).mode("append").option("staging", staging).save()
+    return n

@@ -33,6 +33,11 @@ def discard(spark: SparkSession, folder: str) -> None:
     fs.delete(at, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _at(spark, path)
+    return fs.exists(at)
+
+
 def staged(df: DataFrame, folder: str, name: str) -> DataFrame:
     """``df`` written as ``folder``/``name`` and read again."""
     path = f"{folder.rstrip('/')}/{name}"

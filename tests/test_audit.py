@@ -7,7 +7,6 @@ from pagemill.plans.reporting import report, statistics
 from pagemill.plans.rules import EXPECTED
 from pagemill.operators.relational import comment_plan
 from pagemill.sources import docx as source
-from pagemill.streaming import inbox
 
 from . import trees
 from .docx_fixtures import NS, REFS, docx, fonts, p, points, section, val
@@ -106,16 +105,6 @@ def test_reports(audited):
     assert inspection(docs, out.paragraphs, most=2).count() == 2
 
 
-def test_packages_are_scanned_as_they_arrive(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(inbox, "audit", lambda _, docs: docs.select("doc_id", "error").collect())
-    seen = []
-    (tmp_path / "in").mkdir()
-    for name in ("a", "b"):
-        (tmp_path / "in" / f"{name}.docx").write_bytes(docx(p(name) + section()))
-        inbox.watch(spark, str(tmp_path / "in"), str(tmp_path / "state"), lambda rows, n: seen.append((n, len(rows)))).awaitTermination(60)
-    assert seen == [(0, 1), (1, 1)]
-
-
 def test_formats_of_a_style_chain_a_theme_and_a_circle(spark):
     body = p("一", "Stufe2", rpr=val("rStyle", "Akzent")) + p("二", "Kreis") + p("三") + section()
     docs = trees.scan(spark.createDataFrame([("f.docx", bytearray(docx(body)))], "path string, content binary"))
