@@ -39,13 +39,19 @@ def missing(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame
     return left.join(right.select(*keys), list(keys), "left_anti")
 
 
+#: How many names a list of required names may have.
+MOST_REQUIRED = 10_000
+
+
 def missing_required(keys: DataFrame, present: DataFrame, required: DataFrame, key: str, name: str) -> DataFrame:
-    """(key, name) for each key and each name of ``required`` that the key lacks. ``required`` is a short constant list."""
-    names = required.agg(F.collect_set(name).alias("_names"))
-    have = present.groupBy(key).agg(F.collect_set(name).alias("_have"))
-    wanted = keys.select(key).distinct().withColumn("_names", names.select("_names").scalar())
-    lack = wanted.join(have, key, "left").withColumn(name, F.explode(F.array_except("_names", F.coalesce("_have", F.array().cast("array<string>")))))
-    return lack.select(key, name)
+    """(key, name) for each key and each name of ``required`` that the key lacks.
+
+    ``required`` is a short list: over ``MOST_REQUIRED`` different names are an error, for each key is paired with every name. Nulls are no names."""
+    names = [r[0] for r in required.select(name).filter(F.col(name).isNotNull()).distinct().limit(MOST_REQUIRED + 1).collect()]
+    if len(names) > MOST_REQUIRED:
+        raise ValueError(f"over {MOST_REQUIRED} required names")
+    wanted = keys.select(key).distinct().withColumn(name, F.explode(F.array(*map(F.lit, sorted(names))).cast(f"array<{required.schema[name].dataType.simpleString()}>")))
+    return wanted.join(present.select(key, name), [key, name], "left_anti")
 
 
 def tolerance(actual: Column, expected: Column, allowed: Column | float) -> Column:

@@ -45,7 +45,9 @@ def page_rules(sections: DataFrame, firsts: DataFrame, e: dict = EXPECTED) -> li
             lack.append(F.when(F.col("orientation").isNull(), F.lit("orientation")))
         rows = sections.withColumn("wrong", F.array_compact(F.array(*wrong))).withColumn("lack", F.array_compact(F.array(*lack))).filter("size(wrong) + size(lack) > 0")
         values_ = F.to_json(F.struct("wrong", "lack", *[c.alias(n) for n, c, _, _ in values]))
-        out.append(emit(rows, rule, 1, F.when(F.size("wrong") > 0, "page setup differs from the rule").otherwise("page setup isn't stated"), values_, F.when(F.size("wrong") == 0, "MANUAL_REVIEW"), k2=k, scope="section"))
+        each = lambda number: F.struct(*[number(c, want, allowed).alias(n) for n, c, want, allowed in sorted(values, key=lambda v: v[0])])  # noqa: E731, B023
+        compared = F.struct(each(lambda c, want, allowed: F.lit(allowed)).alias("allowed_twips"), each(lambda c, want, allowed: F.lit(want)).alias("expected_twips"), F.col("wrong").alias("mismatched_properties"), each(lambda c, want, allowed: c).alias("measured_twips"), F.col("lack").alias("unresolved_properties"))
+        out.append(emit(rows, rule, 1, F.when(F.size("wrong") > 0, "page setup differs from the rule").otherwise("page setup isn't stated"), values_, F.when(F.size("wrong") == 0, "MANUAL_REVIEW"), k2=k, scope="section", evidence=compared))
     listed = F.to_json(F.array_sort(F.collect_list(F.struct("section_index", "start", "number_format", "number_start"))))
     out.append(emit(sections.groupBy("doc_id").agg(listed.alias("v")), "PAGE-004", 2, "pagination needs a rendered page", F.col("v"), "MANUAL_REVIEW", scope="document"))
     first = sections.join(firsts, ["doc_id", "section_index"]).filter("coalesce(number_format, 'decimal') <> 'decimal' or coalesce(number_start, 1) <> 1")
@@ -84,9 +86,9 @@ def header_rules(docs: DataFrame, main_sections: DataFrame, paragraphs: DataFram
     heads = heads.join(chosen.drop("section_index"), ["doc_id", "part_name"], "left").join(looks, ["doc_id", "part_name", "idx"], "left").join(reds, ["doc_id", "part_name"], "left")
     heads = heads.withColumn("section_index", F.lit(None).cast("int"))
     wrong = ~text.eqNullSafe(F.lit(_squeezed(want["text"]))) | (F.size(F.coalesce("bad", F.array().cast("array<int>"))) > 0)
-    out.append(emit(heads.filter(wrong), "HF-001", 4, "header text or format differs from the rule", F.to_json(F.struct(text.alias("text"), "bad")), runs=F.col("bad")))
+    out.append(emit(heads.filter(wrong), "HF-001", 4, "header text or format differs from the rule", F.to_json(F.struct("bad", text.alias("text"))), runs=F.col("bad"), evidence=F.struct(F.struct(F.lit(want["font"]).alias("east"), F.lit(want["size_pt"]).alias("size_pt"), F.lit(want["text"]).alias("text")).alias("expected"), F.col("bad").alias("mismatched_runs"), "part_name", text.alias("text"))))
     plain = (F.coalesce("n", F.lit(0)) == 0) | (F.col("not_red") > 0) | (F.coalesce("reds", F.lit(0)) < want["rules"])
-    out.append(emit(heads.filter(plain), "HF-002", 4, "header isn't red, or lacks its two red rules", F.to_json(F.struct("not_red", "reds")), k2=1))
+    out.append(emit(heads.filter(plain), "HF-002", 4, "header isn't red, or lacks its two red rules", F.to_json(F.struct("not_red", "reds")), k2=1, evidence=F.struct(F.lit(want["rules"]).alias("expected_rules"), "part_name", F.col("reds").alias("red_rules"), F.col("not_red").alias("runs_not_red"), F.col("n").alias("runs_seen"))))
     page = paragraphs.filter(F.exists("instructions", lambda c: P.found(c, r"(?i)\bPAGE\b")))
     centred = (F.col("alignment") == "center") | F.exists(F.split(F.coalesce("tabs", F.lit("")), ";"), lambda t: F.split(t, ",")[0] == "center")
     numbers = page.groupBy("doc_id", "part_name").agg(F.bool_or(F.coalesce(centred, F.lit(False))).alias("centred"), F.max("idx").alias("idx"), F.max_by("text", "idx").alias("text"))
@@ -121,23 +123,38 @@ def body_rules(main: DataFrame, runs: DataFrame, e: dict = EXPECTED) -> tuple[li
     })
     wrong, open_ = F.col("_wrong_font") | F.col("_wrong_size"), F.col("_open_font") | F.col("_open_size")
     mixed = F.col("_mixed") & (F.col("_wrong_font") | F.col("_open_font"))
-    sample = F.struct("idx", F.substring("text", 1, 30).alias("text"), "east", "latin", "size_pt")
+    source = lambda k: F.try_element_at("fmt", F.lit(k))["source"]
+    sources = F.struct(source("colour").alias("colour"), source("font.eastAsia").alias("east"), F.coalesce(source("font.hAnsi"), source("font.ascii")).alias("latin"), source("sz").alias("size_pt"))
+    amiss = lambda tests: F.array_compact(F.array(*[F.when(false(t), F.lit(n)) for n, t in tests]))
+    east_off, latin_off = east & (font_key(F.col("east")) != _key(want["east"])), latin & (font_key(F.col("latin")) != _key(want["latin"]))
+    mismatched = amiss([("east", east_off), ("latin", latin_off), ("size_pt", F.col("_wrong_size"))])
+    unresolved = amiss([("east", east & F.col("east").isNull()), ("latin", latin & F.col("latin").isNull()), ("size_pt", F.col("_open_size"))])
+    # Fields in the order of their names, as JSON readers compare them; the run's number comes first to sort by.
+    sample = F.struct("idx", F.struct("east", "latin", mismatched.alias("mismatched_properties"), F.col("idx").alias("run_index"), "size_pt", F.substring("text", 1, 30).alias("text"), unresolved.alias("unresolved_properties")).alias("x"), sources.alias("sources"))
+    listed = lambda test: F.array_sort(F.array_compact(F.collect_list(F.when(test, sample))))
+    told = lambda c: F.to_json(F.transform(c, lambda r: r["x"]))
     picked = lambda c: F.array_sort(F.array_compact(F.collect_list(F.when(c, F.col("idx")))))
     by = own.groupBy("doc_id", F.col("p_idx").alias("idx")).agg(
         picked(wrong | open_).alias("bad"), F.bool_or(wrong).alias("any_wrong"), picked(mixed).alias("mixed_bad"), F.bool_or(mixed & wrong).alias("mixed_wrong"),
         picked(F.col("_colour")).alias("coloured"), F.count_if(F.col("_mixed")).alias("n_mixed"),
-        F.to_json(F.array_sort(F.array_compact(F.collect_list(F.when(wrong | open_, sample))))).alias("samples"),
+        listed(wrong | open_).alias("samples"), listed(mixed).alias("mixed_samples"), F.count(F.lit(1)).alias("n_runs"),
+        F.array_sort(F.collect_list(F.when(F.col("_colour"), F.struct(F.col("idx").alias("run_index"), "colour", F.substring("text", 1, 30).alias("text"), source("colour").alias("source"))))).alias("colours"),
     )
     rows = body.join(by, ["doc_id", "idx"], "left")
+    known = F.struct("confidence", F.col("evidence").alias("reason"), "role").alias("classification")
+    fonts = F.struct(F.lit(want["east"]).alias("east"), F.lit(want["latin"]).alias("latin"), F.lit(want["size_pt"]).alias("size_pt"), F.lit(want["allowed"]).alias("size_allowed")).alias("expected")
+    origins = lambda c: F.transform(c, lambda r: F.struct(r["x"]["run_index"].alias("run_index"), r["sources"].alias("sources"))).alias("provenance")
+    from_ = lambda k: F.try_element_at("fmt", F.lit(k))["source"]
+    lines = F.struct(F.lit(["both", "justified"]).alias("alignment"), F.lit(para["line_multiple"]).alias("line_multiple")).alias("expected")
     manual = lambda c: F.when(~F.coalesce(c, F.lit(False)), "MANUAL_REVIEW")
     line_off = off(F.col("line_multiple"), para["line_multiple"], para["twips"] / 240)
     wrong_p = false(~F.col("alignment").isin("both", "justified")) | false(line_off)
     open_p = F.col("alignment").isNull() | F.col("line_multiple").isNull()
     out = [
-        emit(rows.filter("size(bad) > 0"), "FONT-001", 7, "body font or size differs from the rule", F.col("samples"), manual(F.col("any_wrong")), runs=F.col("bad")),
-        emit(rows.filter("size(coloured) > 0"), "FONT-002", 7, "body text isn't black", F.to_json("coloured"), k2=1, runs=F.col("coloured")),
-        emit(rows.filter("size(mixed_bad) > 0"), "FONT-003", 7, "a run of both scripts lacks the font of one", F.to_json("mixed_bad"), manual(F.col("mixed_wrong")), k2=2, runs=F.col("mixed_bad")),
-        emit(rows.filter(wrong_p | open_p), "PARA-001", 7, "body alignment or line spacing differs from the rule", F.to_json(F.struct("alignment", "line_multiple", "line_pt")), manual(wrong_p), k2=3),
+        emit(rows.filter("size(bad) > 0"), "FONT-001", 7, "body font or size differs from the rule", told("samples"), manual(F.col("any_wrong")), runs=F.col("bad"), evidence=F.struct(known, F.col("n_runs").alias("effective_formats_compared"), fonts, origins("samples"))),
+        emit(rows.filter("size(coloured) > 0"), "FONT-002", 7, "body text isn't black", F.to_json(F.transform("colours", lambda r: F.struct(r["colour"].alias("colour"), r["run_index"].alias("run_index"), r["text"].alias("text")))), k2=1, runs=F.col("coloured"), evidence=F.struct(F.lit(["field", "hidden text", "hyperlink", "revision"]).alias("excluded_contexts"), F.transform("colours", lambda r: F.struct(r["run_index"].alias("run_index"), r["source"].alias("source"))).alias("provenance"))),
+        emit(rows.filter("size(mixed_bad) > 0"), "FONT-003", 7, "a run of both scripts lacks the font of one", told("mixed_samples"), manual(F.col("mixed_wrong")), k2=2, runs=F.col("mixed_bad"), evidence=F.struct(fonts, origins("mixed_samples"), F.lit("CJK and Latin letters or digits in one run").alias("script_detection"))),
+        emit(rows.filter(wrong_p | open_p), "PARA-001", 7, "body alignment or line spacing differs from the rule", F.to_json(F.struct("alignment", "line_multiple", "line_pt")), manual(wrong_p), k2=3, evidence=F.struct(known, lines, F.struct(from_("jc").alias("alignment"), from_("line").alias("line")).alias("provenance"))),
     ]
     marks = [body.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).select("doc_id", F.lit(r).alias("rule_id"), "n") for r in ("FONT-001", "FONT-002", "PARA-001")]
     marks.append(rows.groupBy("doc_id").agg(F.sum("n_mixed").alias("n")).select("doc_id", F.lit("FONT-003").alias("rule_id"), "n"))
@@ -175,8 +192,10 @@ def heading_rules(main: DataFrame, runs: DataFrame, e: dict = EXPECTED) -> tuple
     not_centred = (F.col("level") == 1) & ~F.col("alignment").eqNullSafe(F.lit("center"))
     misnumbered = (F.col("mode") == "missing") | (F.col("number").isNotNull() & (F.size("number") != F.col("level")))
     rule = F.concat(F.lit("HEAD-00"), F.col("level"))
+    asked = F.struct(F.when(F.col("level") == 1, "center").alias("alignment"), F.lit(True).alias("bold"), F.lit(e["heading_font"]).alias("east"), F.element_at(want, F.col("level")).alias("size_pt"), F.lit(e["heading_allowed"]).alias("size_allowed"))
+    compared = F.struct("alignment", asked.alias("expected"), "level", F.col("bad").alias("mismatched_runs"), F.col("mode").alias("numbering"), "number")
     told = F.to_json(F.struct("bad", not_centred.alias("not_centred"), misnumbered.alias("misnumbered"), "number"))
-    out = [emit(heads.filter(not_centred | misnumbered | (F.size(F.coalesce("bad", F.array().cast("array<int>"))) > 0)), rule, 9, "heading format or number differs from the rule", told, runs=F.col("bad"))]
+    out = [emit(heads.filter(not_centred | misnumbered | (F.size(F.coalesce("bad", F.array().cast("array<int>"))) > 0)), rule, 9, "heading format or number differs from the rule", told, runs=F.col("bad"), evidence=compared)]
     jumps = S.level_jumps(heads, ["doc_id"], ["idx"], "level")
     out.append(emit(jumps, "HEAD-004", 10, "heading level skips one", F.to_json(F.struct("previous", "level"))))
     numbers = S.continuity(heads, ["doc_id"], ["idx"], "level", "number", 3).filter("not continuous")

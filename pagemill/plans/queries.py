@@ -13,6 +13,7 @@ from ..operators import layers as L
 from ..operators import nesting as N
 from ..operators import relational as R
 from ..operators import sequence as S
+from . import reporting
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -398,3 +399,27 @@ def nested_tags(spark, sf_dir):
 SELECT page_id, CAST(o.b AS INTEGER) AS begin, CAST(e AS INTEGER) AS "end", CAST(level AS INTEGER) AS level, coalesce(joined, '') AS joined FROM o LEFT JOIN j USING (page_id, b) WHERE e IS NOT NULL""")
 def nested_contents(spark, sf_dir):
     return N.pieces_joined(tag_tokens(spark, sf_dir), ["page_id"], "pos", F.col("tok").rlike(_BEGINS), F.col("tok").rlike(_ENDS), "tok")
+
+
+# The rules of the line findings by names that reports have sections for.
+_ROUTED = {"PUNCT-001": "PARA-002", "LEN-001": "FIG-001", "TERM-001": "LANG-002"}
+
+
+@query(f"""WITH {_FINDINGS}, c AS ({ORACLE_SQL["comment_plan"]}
+), r AS (
+  SELECT f.doc_id, f.severity, f.category, coalesce(c.commented, FALSE) AS commented, CASE WHEN c.commented THEN 'commented' ELSE coalesce(c.skip_reason, 'not_in_manifest') END AS status,
+    CASE f.rule_id WHEN 'PUNCT-001' THEN 4 WHEN 'LEN-001' THEN 6 ELSE 3 END AS own FROM findings f LEFT JOIN c ON c.doc_id = f.doc_id AND c.finding_id = f.doc_id || ':' || f.idx || ':' || f.rule_id
+), s AS (
+  SELECT doc_id, unnest(list_filter([0, 14, own, CASE WHEN severity = 'ERROR' THEN 1 END, CASE WHEN NOT commented THEN 12 END, CASE WHEN severity = 'MANUAL_REVIEW' THEN 13 END], lambda x: x IS NOT NULL)) AS section FROM r
+), names AS (
+  SELECT [{", ".join(f"'{s[0]}'" for s in reporting.SECTIONS)}] AS l
+), n AS (
+  SELECT doc_id, 'section' AS kind, l[section + 1] AS name, 1 AS n FROM s, names
+  UNION ALL SELECT doc_id, 'severity', severity, 1 FROM r UNION ALL SELECT doc_id, 'category', category, 1 FROM r UNION ALL SELECT doc_id, 'status', status, 1 FROM r UNION ALL SELECT doc_id, 'total', 'findings', 1 FROM r
+  UNION ALL SELECT doc_id, 'section', unnest(l), 0 FROM documents, names UNION ALL SELECT doc_id, 'severity', unnest(['ERROR', 'WARNING', 'MANUAL_REVIEW']), 0 FROM documents
+  UNION ALL SELECT doc_id, 'status', 'commented', 0 FROM documents UNION ALL SELECT doc_id, 'total', 'findings', 0 FROM documents
+) SELECT doc_id, kind, name, CAST(sum(n) AS BIGINT) AS n FROM n GROUP BY ALL""")
+def report_totals(spark, sf_dir):
+    rules = F.create_map(*[F.lit(x) for pair in _ROUTED.items() for x in pair])
+    findings = line_findings(spark, sf_dir).select("doc_id", F.concat_ws(":", "doc_id", "idx", "rule_id").alias("finding_id"), F.element_at(rules, F.col("rule_id")).alias("rule_id"), "severity", "category")
+    return reporting.totals(findings, comment_plan(spark, sf_dir), table(spark, sf_dir, "documents").select("doc_id"))

@@ -57,19 +57,41 @@ def covered(rules: DataFrame | None) -> list[bool]:
     return [always or bool(have & set(names)) for _, names, always in SECTIONS]
 
 
+#: The values that are counted where there is none: of the kinds of ``totals``.
+FIXED = {"section": tuple(s[0] for s in SECTIONS), "severity": ("ERROR", "WARNING", "MANUAL_REVIEW"), "status": ("commented",), "total": ("findings",)}
+
+
+def totals(findings: DataFrame, comments: DataFrame, docs: DataFrame | None = None) -> DataFrame:
+    """(doc_id, kind, name, n): the findings of each document by section, severity, category and comment status, and in all.
+
+    One pass with grouping sets: a finding comes once for each section that lists it, and counts elsewhere by the first of these rows.
+    Sections, severities, comments and the total are there for each document of ``docs`` (doc_id; else of those with findings), be it with zero."""
+    every = [i for i, s in enumerate(SECTIONS) if s[0] in ("overview", "statistics")]
+    names = F.transform(F.concat(F.array(*map(F.lit, every)), F.col("sections")), lambda i: F.element_at(F.array(*[F.lit(s[0]) for s in SECTIONS]), i + 1))
+    rows = routed(findings, comments).select("doc_id", "severity", "category", F.when(F.col("commented"), "commented").otherwise(F.col("skip_reason")).alias("status"), F.posexplode(names).alias("place", "section"))
+    kinds = ("section", "severity", "category", "status")
+    sets = rows.groupingSets([["doc_id", k] for k in kinds] + [["doc_id"]], "doc_id", *kinds)
+    counted = sets.agg(*[F.grouping(k).alias(f"_{k}") for k in kinds], F.count(F.lit(1)).alias("_rows"), F.count_if(F.col("place") == 0).alias("_findings"))
+    kind, name = F.lit("total"), F.lit("findings")
+    for k in kinds:
+        kind, name = F.when(F.col(f"_{k}") == 0, k).otherwise(kind), F.when(F.col(f"_{k}") == 0, F.col(k)).otherwise(name)
+    found = counted.select("doc_id", kind.alias("kind"), name.alias("name"), F.when(F.col("_section") == 0, F.col("_rows")).otherwise(F.col("_findings")).alias("n"))
+    zeros = F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(v).alias("name"), F.lit(0).cast("long").alias("n")) for k, values in FIXED.items() for v in values]))
+    grid = (findings.select("doc_id").distinct() if docs is None else docs.select("doc_id")).select("doc_id", zeros)
+    return found.unionByName(grid).groupBy("doc_id", "kind", "name").agg(F.sum("n").alias("n"))
+
+
 def report(findings: DataFrame, comments: DataFrame, rules: DataFrame | None = None, docs: DataFrame | None = None) -> DataFrame:
     """(doc_id, section, ordinal, n, text): how many findings each section of a document's report lists, and what it says of them.
 
     ``comments``: doc_id, finding_id, commented, skip_reason; a finding without one counts as not in the manifest. ``docs`` (doc_id):
     the documents to report on, else those with findings."""
-    every = [i for i, s in enumerate(SECTIONS) if s[0] in ("overview", "statistics")]
-    lists = F.concat("sections", F.array(*map(F.lit, every)))
-    counts = routed(findings, comments).select("doc_id", F.explode(lists).alias("ordinal")).groupBy("doc_id", "ordinal").agg(F.count(F.lit(1)).alias("n"))
     known = covered(rules)
-    told = F.explode(F.array(*[F.struct(F.lit(i).alias("ordinal"), F.lit(s[0]).alias("section"), F.lit(CHECKED if known[i] else NOT_COVERED).alias("none")) for i, s in enumerate(SECTIONS)]))
-    grid = (findings.select("doc_id").distinct() if docs is None else docs.select("doc_id")).select("doc_id", told.alias("s")).select("doc_id", "s.*")
-    out = grid.join(counts, ["doc_id", "ordinal"], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
-    return out.select("doc_id", "section", "ordinal", "n", F.when(F.col("n") > 0, F.concat(F.col("n"), F.lit(" findings"))).otherwise(F.col("none")).alias("text"))
+    told = F.create_map(*[F.lit(x) for i, s in enumerate(SECTIONS) for x in (s[0], CHECKED if known[i] else NOT_COVERED)])
+    places = F.create_map(*[F.lit(x) for i, s in enumerate(SECTIONS) for x in (s[0], i)])
+    own = totals(findings if "category" in findings.columns else findings.withColumn("category", prefix(F.col("rule_id"))), comments, docs).filter("kind = 'section'")
+    text = F.when(F.col("n") > 0, F.concat(F.col("n"), F.lit(" findings"))).otherwise(F.element_at(told, F.col("name")))
+    return own.select("doc_id", F.col("name").alias("section"), F.element_at(places, F.col("name")).alias("ordinal"), "n", text.alias("text"))
 
 
 def statistics(findings: DataFrame, comments: DataFrame) -> DataFrame:

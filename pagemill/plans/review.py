@@ -12,7 +12,7 @@ from .audit import Audit
 VERSION = "1.0"
 _LOCATION = "struct<scope:string,part_name:string,section_index:int,paragraph_index:int,label:string,snippet:string>"
 _ANCHOR = "struct<part_name:string,paragraph_index:int,snippet:string,run_start:int,run_end:int>"
-FINDING = f"struct<finding_id:string,rule_id:string,category:string,object_type:string,severity:string,problem:string,actual:string,expected:string,source:string,suggestion:string,location:{_LOCATION},anchor:{_ANCHOR},evidence:string>"
+FINDING = f"struct<finding_id:string,rule_id:string,category:string,object_type:string,severity:string,problem:string,actual:string,expected:string,source:string,suggestion:string,location:{_LOCATION},anchor:{_ANCHOR},evidence:variant>"
 RECORD = "struct<finding_id:string,rule_id:string,commented:boolean,comment_id:long,anchor_mode:string,skip_reason:string>"
 _SOURCE = "struct<path:string,filename:string,size_bytes:long,sha256:string>"
 _REVIEW = f"source:{_SOURCE},findings:array<{FINDING}>"
@@ -27,10 +27,14 @@ def _severities(c: Column, names: tuple[str, ...]) -> Column:
 
 def finding_structs(findings: DataFrame) -> DataFrame:
     """(doc_id, findings): each document's findings in order, as JSON readers expect them."""
-    location = F.struct("scope", "part_name", "section_index", "paragraph_index", "snippet").alias("location")
+    told = {"section": F.col("section_index"), "paragraph": F.col("paragraph_index")}
+    label = F.concat_ws(", ", *[F.when(c.isNotNull(), F.concat(F.lit(f"{n} "), c + 1)) for n, c in told.items()])
+    label = F.when(label == "", F.lit("document")).otherwise(label).alias("label")
+    location = F.struct("scope", "part_name", "section_index", "paragraph_index", label, "snippet").alias("location")
     anchor = F.when(F.col("paragraph_index").isNotNull(), F.struct("part_name", "paragraph_index", "snippet", "run_start", "run_end")).alias("anchor")
-    own = F.struct("finding_id", "rule_id", "category", "object_type", "severity", "problem", "actual", "expected", "source", "suggestion", location, anchor, F.struct(F.col("actual").alias("value")).alias("evidence"))
-    rows = findings.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("engine", "ordinal", own.alias("f")))).alias("all"))
+    own = F.struct("finding_id", "rule_id", "category", "object_type", "severity", "problem", "actual", "expected", "source", "suggestion", location, anchor, "evidence")
+    later = lambda a, b: F.when(a["engine"] == b["engine"], a["ordinal"] - b["ordinal"]).otherwise(a["engine"] - b["engine"]).cast("int")
+    rows = findings.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("engine", "ordinal", own.alias("f"))), later).alias("all"))
     return rows.select("doc_id", F.transform("all", lambda x: x["f"]).alias("findings"))
 
 
@@ -71,6 +75,6 @@ def read_reviews(spark: SparkSession, path: str, lines: bool = False) -> tuple[D
     part = F.coalesce("f.anchor.part_name", "f.location.part_name")
     findings = rows.select(
         "doc_id", F.lit(0).alias("engine"), "ordinal", *kept, F.col("f.location.scope").alias("scope"), part.alias("part_name"), F.col("f.location.section_index").alias("section_index"),
-        F.col("f.anchor.paragraph_index").alias("paragraph_index"), F.coalesce("f.anchor.snippet", "f.location.snippet").alias("snippet"), F.col("f.anchor.run_start").alias("run_start"), F.col("f.anchor.run_end").alias("run_end"),
+        F.col("f.anchor.paragraph_index").alias("paragraph_index"), F.coalesce("f.anchor.snippet", "f.location.snippet").alias("snippet"), F.col("f.anchor.run_start").alias("run_start"), F.col("f.anchor.run_end").alias("run_end"), F.col("f.evidence").alias("evidence"),
     )
     return findings, own.select("doc_id", F.inline("records"))

@@ -41,8 +41,8 @@ EXPECTED = {
 }
 
 MAIN = "word/document.xml"
-COLUMNS = ("doc_id", "phase", "k1", "k2", "rule_id", "severity", "problem", "actual", "scope", "part_name", "section_index", "paragraph_index", "snippet", "run_start", "run_end")
-_SCHEMA = "doc_id string, phase int, k1 int, k2 int, rule_id string, severity string, problem string, actual string, scope string, part_name string, section_index int, paragraph_index int, snippet string, run_start int, run_end int"
+COLUMNS = ("doc_id", "phase", "k1", "k2", "rule_id", "severity", "problem", "actual", "scope", "part_name", "section_index", "paragraph_index", "snippet", "run_start", "run_end", "evidence")
+_SCHEMA = "doc_id string, phase int, k1 int, k2 int, rule_id string, severity string, problem string, actual string, scope string, part_name string, section_index int, paragraph_index int, snippet string, run_start int, run_end int, evidence variant"
 
 
 RULE_COLUMNS = "ordinal int, rule_id string, engine string, category string, severity string, object_type string, expected string, source string, suggestion string"
@@ -82,9 +82,17 @@ def snippet(text: Column) -> Column:
     return F.substring(normal(text), 1, 40)
 
 
-def emit(df: DataFrame, rule: str | Column, phase: int, problem: str | Column, actual: Column | None = None, severity: str | Column | None = None, k1: Column | None = None, k2: Column | int = 0, runs: Column | None = None, scope: str = "paragraph") -> DataFrame:
+def variant(text: Column) -> Column:
+    """``text`` as a variant: JSON objects and arrays as what they are, anything else as a string."""
+    return F.coalesce(F.when(text.rlike(r"^\s*[\[{]"), F.try_parse_json(text)), text.cast("variant"))
+
+
+def emit(df: DataFrame, rule: str | Column, phase: int, problem: str | Column, actual: Column | None = None, severity: str | Column | None = None, k1: Column | None = None, k2: Column | int = 0, runs: Column | None = None, scope: str = "paragraph", evidence: Column | None = None) -> DataFrame:
     """Findings from the rows of ``df``. With scope paragraph the columns part_name, section_index, idx and text name the place;
-    with section, section_index; with document, nothing. Without a severity a finding has its rule's; see ``described``."""
+    with section, section_index; with document, nothing. Without a severity a finding has its rule's; see ``described``.
+
+    ``evidence``: a struct of what the rule compared, of any shape; it becomes a variant, so that findings of all rules are one table. Without
+    it the evidence is ``actual``, as JSON where it is that."""
     lit = lambda x: x if isinstance(x, Column) else F.lit(x)
     rule = lit(rule)
     place, section = scope == "paragraph", scope in ("paragraph", "section")
@@ -93,6 +101,7 @@ def emit(df: DataFrame, rule: str | Column, phase: int, problem: str | Column, a
         "rule_id": rule, "severity": lit(severity).cast("string"), "problem": lit(problem), "actual": lit(actual).cast("string"), "scope": F.lit(scope),
         "part_name": F.col("part_name") if place else F.lit(MAIN), "section_index": F.col("section_index") if section else F.lit(None),
         "paragraph_index": F.col("idx") if place else F.lit(None), "snippet": snippet(F.col("text")) if place else F.lit(None),
+        "evidence": F.to_variant_object(evidence) if evidence is not None else variant(lit(actual).cast("string")),
         "run_start": F.array_min(runs) if runs is not None else F.lit(None), "run_end": F.array_max(runs) if runs is not None else F.lit(None),
     }
     kinds = dict(x.split() for x in _SCHEMA.split(", "))

@@ -18,7 +18,7 @@ from .audit import Audit, audit
 from .reporting import SECTIONS, check_findings, routed
 from .review import review_structs
 from .rules import EXPECTED, SEVERITIES, normal
-from .verification import verified
+from .verification import PRESERVED, verified
 
 
 @dataclass
@@ -45,6 +45,8 @@ def decided(a: Audit, copies: DataFrame) -> Audit:
     bad = F.size("_wrong") > 0
     rows = a.findings.join(wrong.drop("_compared"), "doc_id", "left").filter(~mine | F.coalesce(bad, F.lit(True)))
     told = {"severity": F.lit("ERROR"), "problem": F.lit("the copy differs from its source in more than comments"), "actual": F.to_json("_wrong")}
+    if "evidence" in a.findings.columns:
+        told["evidence"] = F.to_variant_object(F.struct(F.col("_wrong").alias("differences"), F.lit(list(PRESERVED)).alias("preserved_counts")))
     findings = rows.withColumns({k: F.when(mine & bad, v).otherwise(F.col(k)) for k, v in told.items()}).drop("_wrong")
     known = mine & F.col("_wrong").isNotNull()
     values: dict[str, Column] = {"status": F.when(bad, "ERROR").otherwise("PASS"), "finding_count": F.when(bad, 1).otherwise(0).cast("long"), "evaluated_count": F.col("_compared").cast("long")}

@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import io
 import json
+import re
 import zipfile
 from collections import Counter
 from collections.abc import Iterator
+from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.reporting import SECTIONS, covered, report_rows
-from ..sources.annotate import fit
 
 _OFFICE = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 _PACKAGE = "http://schemas.openxmlformats.org/package/2006"
@@ -27,6 +28,14 @@ COLUMNS = (("id", 1400), ("rule", 1000), ("place", 2800), ("problem", 2700), ("f
 FONTS = '<w:rFonts w:ascii="Times New Roman" w:hAnsi="Times New Roman" w:cs="Times New Roman" w:eastAsia="宋体"/>'
 
 
+_UNFIT = re.compile("[^\t\n\r\x20-\ud7ff\ue000-\ufffd\U00010000-\U0010ffff]")
+
+
+def fit(text: str) -> str:
+    """``text`` as XML content; characters that XML has no place for are left out."""
+    return escape(_UNFIT.sub("", text))
+
+
 def run(text: str, properties: str = "") -> str:
     lines = "<w:br/>".join(f'<w:t xml:space="preserve">{fit(x)}</w:t>' for x in text.split("\n"))
     return f"<w:r><w:rPr>{properties}</w:rPr>{lines}</w:r>"

@@ -7,6 +7,7 @@ runs outside the JVM. Parts and nodes are written once; each group of columns is
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -451,8 +452,9 @@ def scan_parts(parts: DataFrame, folder: str | None = None) -> DataFrame:
     return documents(Nodes(parts, folder or scratch(parts.sparkSession, "scan")))
 
 
-def documents(n: Nodes) -> DataFrame:
-    """The documents whose parts and nodes ``n`` has; see ``scan_parts``."""
+def documents(n: Nodes, only: Sequence[str] | None = None) -> DataFrame:
+    """The documents whose parts and nodes ``n`` has; see ``scan_parts``. ``only``: the columns that are wanted; the others are empty, and
+    what they take isn't run."""
     folder = n.folder
     told = staged(paragraphs(n, properties(n.told)), folder, "paragraphs")
     kept = [c.split(":")[0] for c in "part_name idx text style_id section_index in_table in_sdt in_revision table_idx table_style break_types has_omml has_picture has_anchor instructions ppr runs".split()]
@@ -465,10 +467,11 @@ def documents(n: Nodes) -> DataFrame:
     fields = commands(field_marks(n.told), K).join(n.stories, K).groupBy("doc_id").agg(in_order(["part_name", "command"], "story", "at").alias("fields"))
     rows = files.join(n.errors(), "doc_id", "left")
     groups = {
-        "parts": own, "rels": rels, "paragraphs": listed, "sections": sections(n), "styles": styles(n), "theme": theme(n), "settings": settings(n), "numbering": numbering(n).select("doc_id", "numbering"),
-        "fields": fields, "tables": tables(n, told), "counts": counts(n, told),
+        ("parts",): lambda: own, ("rels",): lambda: rels, ("paragraphs",): lambda: listed, ("sections",): lambda: sections(n), ("styles", "default_ppr", "default_rpr"): lambda: styles(n), ("theme",): lambda: theme(n),
+        ("settings",): lambda: settings(n), ("numbering",): lambda: numbering(n).select("doc_id", "numbering"), ("fields",): lambda: fields, ("tables",): lambda: tables(n, told), ("counts", "red_rules", "bookmarks"): lambda: counts(n, told),
     }
-    for more in together([(f"documents-{name}", group) for name, group in groups.items()], folder).values():
+    wanted = [(f"documents-{names[0]}", group()) for names, group in groups.items() if only is None or set(names) & set(only)]
+    for more in together(wanted, folder).values():
         rows = rows.join(more, "doc_id", "left")
     kinds = {f.name: f.dataType for f in _schema()}
     fixed = {"settings": F.create_map(*[F.lit(x) for k in ("even_and_odd_headers", "track_revisions", "update_fields_on_open", "mirror_margins") for x in (k, "0")])}
@@ -478,7 +481,8 @@ def documents(n: Nodes) -> DataFrame:
             out.append(F.col(name))
             continue
         empty = F.create_map() if kind.typeName() == "map" else F.array()
-        out.append(F.when(F.col("error").isNull(), F.coalesce(F.col(name), fixed.get(name, empty.cast(kind)))).cast(kind).alias(name))
+        found = [F.col(name)] if name in rows.columns else []
+        out.append(F.when(F.col("error").isNull(), F.coalesce(*found, fixed.get(name, empty.cast(kind)))).cast(kind).alias(name))
     return staged(rows.select(*out), folder, "documents")
 
 

@@ -86,9 +86,11 @@ def test_a_report_has_fifteen_sections_and_a_row_a_listing(ran):
 def test_comments_and_reports_can_be_made_from_reviews(spark, folder, ran):
     again = folder / "again"
     main(["review", str(folder / "in" / "a b.docx"), "-o", str(again)], spark)
-    main(["comment", str(folder / "in" / "a b.docx"), "--findings", str(again / "a b_review.json"), "-o", str(again)], spark)
-    main(["report", str(folder / "in" / "a b.docx"), "--review", str(ran / "a b_review.json"), "-o", str(again)], spark)
-    assert {x.name for x in again.iterdir() if not x.name.startswith(".")} == {"a b_review.json", "a b_commented.docx", "a b_report.docx"}
+    main(["comment", str(folder / "in" / "a b.docx"), "--findings", str(again / "a b_review.json"), "-o", str(again), "--manifest"], spark)
+    main(["report", str(folder / "in" / "a b.docx"), "--review", str(ran / "a b_review.json"), "--comments", str(again / "a b_comments.json"), "-o", str(again), "--manifest"], spark)
+    assert {x.name for x in again.iterdir() if not x.name.startswith(".")} == {"a b_review.json", "a b_commented.docx", "a b_comments.json", "a b_report.docx", "a b_report.json"}
+    numbers, records = json.loads((again / "a b_report.json").read_text()), json.loads((again / "a b_comments.json").read_text())["comments"]
+    assert numbers["section_count"] == 15 and numbers["commented_count"] == records["commented_finding_count"] > 0 and numbers["finding_count"] == numbers["commented_count"] + numbers["uncommented_count"]
     count = lambda x: len(trees.Package(x.read_bytes()).parts["word/comments.xml"].split(b"<w:comment "))
     assert count(again / "a b_commented.docx") == count(ran / "a b_commented.docx")
     cells = [[x[2] for x in trees.read_package((d / "a b_report.docx").read_bytes())["paragraphs"] if x[3] == "Cell" and x[2].startswith(("yes", "no"))] for d in (again, ran)]
