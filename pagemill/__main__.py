@@ -58,7 +58,7 @@ def inspect(spark: SparkSession, args: argparse.Namespace) -> None:
 
 
 def review(spark: SparkSession, args: argparse.Namespace) -> None:
-    a = A.audit(spark, docx.scan(_files(spark, args.path)), _rules(spark, args))
+    a = A.audit(spark, docx.scan(_files(spark, args.path)), _rules(spark, args), strict=args.strict)
     _out(V.reviews(a), args, "_review")
 
 
@@ -99,7 +99,7 @@ def report(spark: SparkSession, args: argparse.Namespace) -> None:
 
 
 def run(spark: SparkSession, args: argparse.Namespace) -> None:
-    made = X.review(spark, _files(spark, args.path), _rules(spark, args), author=args.author, initials=args.initials, template=args.template_name)
+    made = X.review(spark, _files(spark, args.path), _rules(spark, args), author=args.author, initials=args.initials, template=args.template_name, strict=args.strict)
     print(X.write(made, args.root, args.output or args.root))
     for r in made.audit.quarantine.toLocalIterator():
         print(f"not read: {r.path}: {r.error}", file=sys.stderr)
@@ -119,6 +119,8 @@ def parser() -> argparse.ArgumentParser:
             own.add_argument("--max-paragraphs", type=int, help="list no more paragraphs of a document; counts cover all")
         if f in (review, report, run):
             own.add_argument("--rules", help="a rule file, JSON or YAML")
+        if f in (review, run):
+            own.add_argument("--strict", action="store_true", help="close the known gaps of the rules' patterns")
         if f in (comment, run):
             own.add_argument("--author", default="pagemill")
             own.add_argument("--initials", default="PM")

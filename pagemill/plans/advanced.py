@@ -1,12 +1,14 @@
 """Structure, abstract, caption, table, equation, note, reference, object and language rules as relational plans.
 
 Patterns marked as fixed are part of what the rules mean, with their known gaps: a figure number that touches a letter or digit
-after it isn't a reference, and the reference layouts want a comma of each width in a row.
+after it isn't a reference, first persons and acronyms beside Han text aren't seen, and two reference layouts want a comma of each width
+in a row. ``STRICT`` are the same rules without these gaps.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +35,29 @@ LAYOUTS = {
     "REF-004": r"[.:：]\s*[^,，]+[,]，\s*\d{4}",
 }
 REQUIRED_FRONT = ("独创性声明", "学位论文版权使用授权书")
+FIGURE_MENTION = r"图\s*(\d+-\d+)\b"
+NUMBERED_ENTRY, CITATION = r"\s*\[\d+\]", r"\[(\d+)\]"
+AFTER_REFERENCES = r"\s*(致谢|附录|攻读学位期间)"
+INITIALS = r"(?:\A|,\s*)[A-Z](?:\s+[A-Z])?\s+[A-Z][a-z]+"
+PATENT, PART_OF, JOURNAL, PAGES = r"(?i)\bZL\s*\d+|专利|patent", r"(?i)(?:见|\bin)\s*[：:]", r",\s*\d{4}\s*,\s*\d+", r":\s*[A-Za-z]?\d+"
+RESULTS = "攻读.*学位.*(成果|论文|专利)"
+
+
+class Patterns(NamedTuple):
+    """The patterns that can be read with their gaps or without."""
+
+    first_person: str
+    acronym: str
+    mention: str
+    layouts: dict[str, str]
+
+
+PARITY = Patterns(FIRST_PERSON, ACRONYM, FIGURE_MENTION, LAYOUTS)
+_ALONE = r"(?<![A-Za-z0-9_-]){}(?![A-Za-z0-9_-])"
+STRICT = Patterns(
+    "(?i)我们|本文作者|" + _ALONE.format("(?:I|we|our)"), _ALONE.format(r"[A-Z][A-Z0-9-]{2,}"), r"图\s*(\d+\s*[-－.]\s*\d+)(?!\d)",
+    LAYOUTS | {"REF-008": r":\s*\[(?:博士|硕士)学位论文\].*:\s*.*[,，]\s*\d{4}", "REF-004": r"[.:：]\s*[^,，]+[,，]\s*\d{4}"},
+)
 
 Part = tuple[list[DataFrame], list[DataFrame]]
 
@@ -89,7 +114,7 @@ def front(main: DataFrame, docs: DataFrame) -> Part:
     return out, [*m, *_marks(early, "COVER-001", "COVER-002", "COVER-003", "FRONT-001")]
 
 
-def abstracts(main: DataFrame, runs: DataFrame, docs: DataFrame) -> Part:
+def abstracts(main: DataFrame, runs: DataFrame, docs: DataFrame, patterns: Patterns = PARITY) -> Part:
     text = F.col("stripped")
     any_of = lambda *ps: reduce(Column.__or__, [P.whole(text, f"(?i:{p})") for p in ps])
     zh_head, en_head = P.whole(text, r"摘\s*要"), P.whole(text, r"(?i:Abstract)")
@@ -117,7 +142,7 @@ def abstracts(main: DataFrame, runs: DataFrame, docs: DataFrame) -> Part:
     none = docs.filter("error is null").join(heads.select("doc_id"), "doc_id", "left_anti")
     o2, m2 = _manual(none, "ABS-005", 7, "both abstracts need a reader", scope="document")
     both = zh.unionByName(en)
-    said = P.groups(F.col("text"), FIRST_PERSON)
+    said = P.groups(F.col("text"), patterns.first_person)
     out += [*o, *o2, emit(both.filter((F.size(said) > 0) | F.col("has_picture") | F.col("has_omml")), "ABS-006", 8, "first person or objects in the abstract", F.array_join(said, ", "))]
     return out, [*marks, *m, *m2, *_marks(both, "ABS-006")]
 
@@ -144,7 +169,7 @@ def contents(main: DataFrame, runs: DataFrame, docs: DataFrame) -> Part:
     return [*out, *o, *o2], [*_marks(whole, "TOC-001", n=F.col("entries") + 1), *_marks(entries, "TOC-002"), *m, *m2]
 
 
-def figures(main: DataFrame) -> Part:
+def figures(main: DataFrame, patterns: Patterns = PARITY) -> Part:
     near = S.neighbours(main.withColumn("_row", F.struct("idx", "part_name", "section_index", "text", "alignment")), ["doc_id"], ["idx"], "_row")
     figs = near.filter("in_bounds and not in_table and has_picture").withColumn("has_before", F.coalesce(P.starts(F.col("before.text"), FIGURE_CAPTION), F.lit(False)))
     figs = figs.withColumn("has_after", F.coalesce(P.starts(F.col("after.text"), FIGURE_CAPTION), F.lit(False)))
@@ -158,7 +183,7 @@ def figures(main: DataFrame) -> Part:
     out.append(emit(captions.filter(bad), "FIG-002", 12, "the caption isn't centred or ends in punctuation", F.col("alignment"), k1=F.col("figure"), k2=1))
     number = F.concat_ws("-", *[P.group(F.col("text"), r"\A" + FIGURE_CAPTION, i) for i in (1, 2)])
     # Each paragraph's figure numbers, once; the caption itself doesn't count.
-    named = main.select("doc_id", F.col("idx").alias("r_idx"), F.explode(F.array_distinct(P.groups(F.col("text"), r"图\s*(\d+-\d+)\b", 1))).alias("number"))
+    named = main.select("doc_id", F.col("idx").alias("r_idx"), F.explode(F.array_distinct(F.transform(P.groups(F.col("text"), patterns.mention, 1), lambda x: F.regexp_replace(x, r"\s*[-－.]\s*", "-")))).alias("number"))
     own = captions.withColumn("number", number).alias("c")
     unnamed = own.join(named.alias("n"), (F.col("c.doc_id") == F.col("n.doc_id")) & (F.col("c.number") == F.col("n.number")) & (F.col("c.idx") != F.col("n.r_idx")), "left_anti")
     out.append(emit(unnamed, "FIG-004", 12, "no paragraph refers to the figure", F.col("number"), k1=F.col("figure"), k2=2))
@@ -236,17 +261,17 @@ def notes(paragraphs: DataFrame, runs: DataFrame, docs: DataFrame) -> Part:
     return [*out, *o1, *o2], [*_marks(own, "NOTE-001", "NOTE-003", "NOTE-004"), *_marks(have, "NOTE-002"), *m1, *m2]
 
 
-def references(main: DataFrame) -> Part:
+def references(main: DataFrame, patterns: Patterns = PARITY) -> Part:
     head = P.whole(F.col("text"), r"\s*参考文献\s*")
     heading = S.first_match(main, ["doc_id"], ["idx"], head)
-    entries = S.region(main, ["doc_id"], "idx", head, P.starts(F.col("text"), r"\s*(致谢|附录|攻读学位期间)")).filter(P.starts(F.col("text"), r"\s*\[\d+\]"))
+    entries = S.region(main, ["doc_id"], "idx", head, P.starts(F.col("text"), AFTER_REFERENCES)).filter(P.starts(F.col("text"), NUMBERED_ENTRY))
     entries = entries.withColumn("n", P.group(F.col("text"), r"\A\s*\[(\d+)\]", 1).try_cast("long"))
     listed = entries.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "n"))), lambda x: x["n"]).alias("numbers"))
     gaps = listed.filter(F.col("numbers") != F.sequence(F.lit(1).cast("long"), F.size("numbers").cast("long")))
     first = S.first_match(entries, ["doc_id"], ["idx"], F.lit(True))
     out = [emit(first.join(gaps, "doc_id"), "REF-001", 17, "reference numbers aren't 1 to n in order", F.to_json("numbers"))]
     text = main.join(heading.select("doc_id", F.col("idx").alias("h")), "doc_id", "left").filter("h is null or idx < h")
-    cited = text.select("doc_id", "idx", F.explode(P.groups(F.col("text"), r"\[(\d+)\]", 1)).alias("c")).select("doc_id", "idx", F.col("c").try_cast("long").alias("n"))
+    cited = text.select("doc_id", "idx", F.explode(P.groups(F.col("text"), CITATION, 1)).alias("c")).select("doc_id", "idx", F.col("c").try_cast("long").alias("n"))
     unknown = cited.join(entries.select("doc_id", "n"), ["doc_id", "n"], "left_anti").groupBy("doc_id").agg(F.array_sort(F.collect_set("n")).alias("lost"), F.min("idx").alias("idx"))
     out.append(emit(main.join(unknown, ["doc_id", "idx"]), "REF-001", 17, "cited numbers have no entry", F.to_json("lost"), k2=1))
     content = F.regexp_replace("stripped", P.unicode(r"\A\s*\[\d+\]\s*"), "")
@@ -255,18 +280,18 @@ def references(main: DataFrame) -> Part:
     names = F.filter(F.transform(F.split(a, "[,，]"), P.stripped), lambda x: x != "")
     out.append(emit(rows.filter(c.rlike(P.unicode(ENTRY_TAIL + r"\z"))), "REF-003", 18, "the entry ends in punctuation", F.substring(c, -1, 1)))
     out.append(emit(rows.filter((F.size(names) > 6) & ~P.found(a, r"(?i)(?:等|et\s+al\.?)\s*\z")), "REF-002", 18, "more than six authors without et al.", a, k2=1))
-    initials = P.found(a, r"(?:\A|,\s*)[A-Z](?:\s+[A-Z])?\s+[A-Z][a-z]+")
+    initials = P.found(a, INITIALS)
     out.append(emit(rows.filter(initials), "REF-010", 18, "initials without a period", a, k2=2))
     low = F.lower(c)
     kind = (
         F.when(c.contains("[博士") | c.contains("[硕士") | c.contains("学位论文]"), "REF-008")
-        .when(P.found(c, r"(?i)\bZL\s*\d+|专利|patent"), "REF-007")
+        .when(P.found(c, PATENT), "REF-007")
         .when(low.contains(" in:") | c.contains(" 见") | c.contains("会议") | low.contains("conference"), "REF-006")
-        .when(P.found(c, r",\s*\d{4}\s*,\s*\d+") & P.found(c, r":\s*[A-Za-z]?\d+"), "REF-005")
+        .when(P.found(c, JOURNAL) & P.found(c, PAGES), "REF-005")
         .otherwise("REF-004")
     )
-    fits = F.when(F.col("kind") == "REF-006", P.found(c, r"(?i)(?:见|\bin)\s*[：:]") & P.found(c, r"\d{4}"))
-    for rule, layout in LAYOUTS.items():
+    fits = F.when(F.col("kind") == "REF-006", P.found(c, PART_OF) & P.found(c, r"\d{4}"))
+    for rule, layout in patterns.layouts.items():
         fits = fits.when(F.col("kind") == rule, P.found(c, layout))
     rows = rows.withColumn("kind", kind)
     out.append(emit(rows.filter(~fits), F.col("kind"), 18, "the entry's fields differ from its layout", F.substring(c, 1, 180), k2=3))
@@ -292,9 +317,9 @@ def objects(main: DataFrame, docs: DataFrame) -> Part:
     return out, [*m, *[x for r, k in (("OBJ-001", "a"), ("OBJ-002", "b"), ("OBJ-003", "c")) for x in _marks(counted, r, n=F.col(k))]]
 
 
-def language(main: DataFrame, docs: DataFrame) -> Part:
+def language(main: DataFrame, docs: DataFrame, patterns: Patterns = PARITY) -> Part:
     own = main.filter("in_bounds and not in_table")
-    tokens = P.groups(F.col("text"), ACRONYM)
+    tokens = P.groups(F.col("text"), patterns.acronym)
     seen = S.first_seen(own, ["doc_id"], ["idx"], tokens)
     first = seen.filter("rank <= 30").join(own.select("doc_id", "idx", "part_name", "section_index", "text"), ["doc_id", "idx"])
     # The token is letters, digits and hyphens, so it needs no quoting inside the pattern.
@@ -313,7 +338,7 @@ def language(main: DataFrame, docs: DataFrame) -> Part:
         out.append(emit(top.join(rows, "doc_id"), rule, phase, "fewer chapters, characters or summaries than wanted", told, "WARNING"))
         out.append(emit(rows.join(top.select("doc_id"), "doc_id", "left_anti"), rule, phase, "fewer chapters, characters or summaries than wanted", told, "WARNING", scope="document"))
     marks += _marks(n, "STRUCT-001", n=F.col("chapters")) + _marks(n, "STRUCT-002", n=F.col("chapters"))
-    made = S.first_match(main, ["doc_id"], ["idx"], P.found(F.col("text"), "攻读.*学位.*(成果|论文|专利)"))
+    made = S.first_match(main, ["doc_id"], ["idx"], P.found(F.col("text"), RESULTS))
     appendix = S.first_match(main, ["doc_id"], ["idx"], P.starts(F.col("text"), r"\s*附录"))
     for rule, rows, problem in (("APP-001", made, "authorship of the results needs a reader"), ("APP-002", made, "state of publication needs a reader"), ("APP-003", appendix, "fitness of the appendix needs a reader")):
         o, m = _manual(rows, rule, 50, problem, k2=int(rule[-1]))
@@ -321,10 +346,11 @@ def language(main: DataFrame, docs: DataFrame) -> Part:
     return out, marks
 
 
-def review(docs: DataFrame, main: DataFrame, paragraphs: DataFrame, runs: DataFrame) -> dict[str, Part]:
-    """Findings (not yet numbered) and evaluated counts of the advanced rules, by group."""
+def review(docs: DataFrame, main: DataFrame, paragraphs: DataFrame, runs: DataFrame, strict: bool = False) -> dict[str, Part]:
+    """Findings (not yet numbered) and evaluated counts of the advanced rules, by group; ``strict``: see ``STRICT``."""
+    patterns = STRICT if strict else PARITY
     return {
-        "document": documents(docs), "front": front(main, docs), "abstracts": abstracts(main, runs, docs), "contents": contents(main, runs, docs), "figures": figures(main),
-        "tables": tables(main, runs, docs), "equations": equations(main), "notes": notes(paragraphs, runs, docs), "references": references(main), "objects": objects(main, docs),
-        "language": language(main, docs),
+        "document": documents(docs), "front": front(main, docs), "abstracts": abstracts(main, runs, docs, patterns), "contents": contents(main, runs, docs), "figures": figures(main, patterns),
+        "tables": tables(main, runs, docs), "equations": equations(main), "notes": notes(paragraphs, runs, docs), "references": references(main, patterns), "objects": objects(main, docs),
+        "language": language(main, docs, patterns),
     }

@@ -38,8 +38,9 @@ def _distinct(docs: DataFrame, folder: str) -> DataFrame:
     return staged(docs.join(first, ["doc_id", "path"], "left_semi").dropDuplicates(["doc_id"]), folder, "distinct")
 
 
-def audit(spark: SparkSession, docs: DataFrame, rules: DataFrame | None = None, expected: dict = EXPECTED, folder: str | None = None) -> Audit:
-    """Audit scanned documents (see ``sources.docx``). ``folder``: an unused folder in shared storage for intermediate tables.
+def audit(spark: SparkSession, docs: DataFrame, rules: DataFrame | None = None, expected: dict = EXPECTED, folder: str | None = None, strict: bool = False) -> Audit:
+    """Audit scanned documents (see ``sources.docx``). ``folder``: an unused folder in shared storage for intermediate tables. ``strict``: close
+    the known gaps of the rules' patterns (see ``advanced``).
 
     A document without a path, an unreadable one, and a document without paragraphs are all allowed; the unreadable ones have no results."""
     folder = folder or scratch(spark)
@@ -52,7 +53,7 @@ def audit(spark: SparkSession, docs: DataFrame, rules: DataFrame | None = None,
     main = staged(roles.main_matter(roles.classify(paragraphs.filter(F.col("part_name") == docx.MAIN))), folder, "main")
     found: dict[str, list[tuple[str, DataFrame]]] = {"": [], "A": []}
     marks: list[tuple[str, DataFrame]] = []
-    for mark, groups in (("", foundation.review(docs, main, paragraphs, runs, expected)), ("A", advanced.review(docs, main, paragraphs, runs))):
+    for mark, groups in (("", foundation.review(docs, main, paragraphs, runs, expected)), ("A", advanced.review(docs, main, paragraphs, runs, strict))):
         for name, (own, counts) in groups.items():
             # Each group is a query of its own: one plan of all rules would be replanned after each of its hundreds of exchanges.
             found[mark].append((f"findings-{name}", reduce(DataFrame.unionByName, own)))

@@ -86,7 +86,7 @@ _LINES = f"""l AS (
   CASE WHEN i % 11 = 10 THEN CAST((i - 10) // 11 AS INTEGER) END AS table_idx, CAST(2 + CASE WHEN i % 9 = 8 THEN 1 ELSE 0 END + CASE WHEN i % 6 = 5 THEN 6 ELSE 0 END AS INTEGER) AS runs FROM p""")
 def word_paragraphs(spark, sf_dir):
     n = scan.Nodes(packages(spark, sf_dir), scratch(spark, "queries"))
-    return scan.paragraphs(n, scan.properties(n.told)).select("doc_id", "idx", "text", "style_id", "section_index", "in_table", "table_idx", F.size("runs").alias("runs"))
+    return scan.paragraphs(n).select("doc_id", "idx", "text", "style_id", "section_index", "in_table", "table_idx", F.size("runs").alias("runs"))
 
 
 @query(f"""WITH {_LINES}, r AS (
@@ -97,7 +97,7 @@ def word_paragraphs(spark, sf_dir):
 ) SELECT doc_id, i AS p_idx, CAST(idx AS INTEGER) AS idx, text, direct_child, no_colour, b, sz FROM r""")
 def word_runs(spark, sf_dir):
     n = scan.Nodes(packages(spark, sf_dir), scratch(spark, "queries"))
-    rows = scan.paragraphs(n, scan.properties(n.told)).select("doc_id", F.col("idx").alias("p_idx"), F.inline("runs"))
+    rows = scan.paragraphs(n).select("doc_id", F.col("idx").alias("p_idx"), F.inline("runs"))
     return rows.select("doc_id", "p_idx", "idx", "text", "direct_child", "no_colour", *[F.try_element_at("rpr", F.lit(k)).alias(k) for k in ("b", "sz")])
 
 

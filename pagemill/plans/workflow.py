@@ -56,13 +56,13 @@ def decided(a: Audit, copies: DataFrame) -> Audit:
 
 def review(
     spark: SparkSession, files: DataFrame, rules: DataFrame | None = None, expected: dict = EXPECTED, author: str = "pagemill", initials: str = "PM", date: str | None = None,
-    title: str = "Format review", template: str = "built-in rules", folder: str | None = None,
+    title: str = "Format review", template: str = "built-in rules", folder: str | None = None, strict: bool = False,
 ) -> Review:
     """Review ``files`` (path, content). Nothing is written but intermediate tables in ``folder``; see ``write``."""
     folder, date = folder or scratch(spark), date or now()
     files = files.select("path", "content")
     nodes = scan.Nodes(parts_of(files), f"{folder}/scan")
-    a = audit(spark, scan.documents(nodes), rules, expected, f"{folder}/audit")
+    a = audit(spark, scan.documents(nodes), rules, expected, f"{folder}/audit", strict)
     plan = staged(plan_comments(a.findings, a.paragraphs), folder, "plan")
     made = staged(annotated(nodes, files, a.paths, a.findings, plan, author, initials, date), folder, "made")
     sources = a.documents.drop("path").join(a.paths.select("doc_id", "path"), "doc_id")

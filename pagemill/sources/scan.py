@@ -79,7 +79,7 @@ class Nodes:
         self.nodes, self.bad = staged(found, folder, "nodes"), staged(bad, folder, "bad")
         self.rels = self._rels()
         self.stories = staged(self._stories(), folder, "stories")
-        self.told = self.nodes.join(self.stories.select(*K), K, "left_semi")
+        self.told = staged(self.nodes.join(self.stories.select(*K), K, "left_semi"), folder, "told")
 
     def _rels(self) -> DataFrame:
         rows = self.nodes.filter("name = 'rel:Relationship'")
@@ -226,9 +226,9 @@ def _contents(nodes: DataFrame) -> DataFrame:
     )
 
 
-def paragraphs(n: Nodes, props: DataFrame) -> DataFrame:
-    """(doc_id, story, begin, parent, parent_name, and the columns of the documents' paragraphs) of all stories."""
-    nodes = n.told
+def paragraphs(n: Nodes) -> DataFrame:
+    """(doc_id, story, begin, parent, part_name, and the columns of the documents' paragraphs) of all stories."""
+    nodes, props = n.told, staged(properties(n.told), n.folder, "properties")
     flags = around(nodes)
     own = nodes.filter("name = 'w:p'").select(*K, F.col("pos").alias("begin"), "parent").join(flags.select(*K, F.col("pos").alias("begin"), "in_table", "in_sdt", "in_revision"), [*K, "begin"])
     own = own.withColumn("idx", F.row_number().over(W.partitionBy(*K).orderBy("begin")) - 1)
@@ -317,8 +317,8 @@ def sections(n: Nodes) -> DataFrame:
 
 def styles(n: Nodes) -> DataFrame:
     """(doc_id, styles, default_ppr, default_rpr)."""
-    nodes = n.of(n.special("styles", "word/styles.xml"))
-    props = properties(nodes)
+    nodes = staged(n.of(n.special("styles", "word/styles.xml")), n.folder, "style-nodes")
+    props = staged(properties(nodes), n.folder, "style-properties")
     val = attr("val")
     own = nodes.filter("name = 'w:style' and level = 2").select(*K, F.col("pos").alias("s"), attr("type").alias("type"), attr("styleId").alias("style_id"), F.coalesce(attr("default").isin("1", "true", "on"), F.lit(False)).alias("is_default")).filter("type <> '' and style_id <> ''")
     first = lambda name: F.min_by(F.when(F.col("name") == name, val), F.when(F.col("name") == name, F.col("pos")))
@@ -456,21 +456,22 @@ def documents(n: Nodes, only: Sequence[str] | None = None) -> DataFrame:
     """The documents whose parts and nodes ``n`` has; see ``scan_parts``. ``only``: the columns that are wanted; the others are empty, and
     what they take isn't run."""
     folder = n.folder
-    told = staged(paragraphs(n, properties(n.told)), folder, "paragraphs")
+    told = staged(paragraphs(n), folder, "paragraphs")
     kept = [c.split(":")[0] for c in "part_name idx text style_id section_index in_table in_sdt in_revision table_idx table_style break_types has_omml has_picture has_anchor instructions ppr runs".split()]
     in_order = lambda rows, *by: F.transform(F.array_sort(F.collect_list(F.struct(*by, F.struct(*rows).alias("x"))), lambda a, b: _compared(a, b, by)), lambda x: x["x"])
-    listed = told.groupBy("doc_id").agg(in_order(kept, "story", "idx").alias("paragraphs"))
     files = n.files.groupBy("doc_id", "path").agg(F.max("size").alias("size"))
-    own = n.parts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("part_name", F.col("part_size").alias("size"), "sha256"))).alias("parts"))
     sources = n.stories.withColumnRenamed("part_name", "source_part")
-    rels = n.rels.join(sources, ["doc_id", "source_part"]).groupBy("doc_id").agg(in_order(["source_part", "rel_id", "type", "target", "target_part", "external"], "story", "pos").alias("rels"))
-    fields = commands(field_marks(n.told), K).join(n.stories, K).groupBy("doc_id").agg(in_order(["part_name", "command"], "story", "at").alias("fields"))
+    told_rels = ["source_part", "rel_id", "type", "target", "target_part", "external"]
+    per = lambda rows, name, column: rows.groupBy("doc_id").agg(column.alias(name))
     rows = files.join(n.errors(), "doc_id", "left")
     groups = {
-        ("parts",): lambda: own, ("rels",): lambda: rels, ("paragraphs",): lambda: listed, ("sections",): lambda: sections(n), ("styles", "default_ppr", "default_rpr"): lambda: styles(n), ("theme",): lambda: theme(n),
-        ("settings",): lambda: settings(n), ("numbering",): lambda: numbering(n).select("doc_id", "numbering"), ("fields",): lambda: fields, ("tables",): lambda: tables(n, told), ("counts", "red_rules", "bookmarks"): lambda: counts(n, told),
+        ("parts",): lambda: per(n.parts, "parts", F.array_sort(F.collect_list(F.struct("part_name", F.col("part_size").alias("size"), "sha256")))),
+        ("rels",): lambda: per(n.rels.join(sources, ["doc_id", "source_part"]), "rels", in_order(told_rels, "story", "pos")),
+        ("paragraphs",): lambda: per(told, "paragraphs", in_order(kept, "story", "idx")), ("sections",): lambda: sections(n), ("styles", "default_ppr", "default_rpr"): lambda: styles(n), ("theme",): lambda: theme(n),
+        ("settings",): lambda: settings(n), ("numbering",): lambda: numbering(n).select("doc_id", "numbering"), ("tables",): lambda: tables(n, told), ("counts", "red_rules", "bookmarks"): lambda: counts(n, told),
+        ("fields",): lambda: per(commands(field_marks(n.told), K).join(n.stories, K), "fields", in_order(["part_name", "command"], "story", "at")),
     }
-    wanted = [(f"documents-{names[0]}", group()) for names, group in groups.items() if only is None or set(names) & set(only)]
+    wanted = [(f"documents-{names[0]}", group) for names, group in groups.items() if only is None or set(names) & set(only)]
     for more in together(wanted, folder).values():
         rows = rows.join(more, "doc_id", "left")
     kinds = {f.name: f.dataType for f in _schema()}

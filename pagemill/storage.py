@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,10 +46,10 @@ def staged(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def together(tables: list[tuple[str, DataFrame]], folder: str, at_once: int = 8) -> dict[str, DataFrame]:
-    """Independent tables (name, rows), ``staged`` with ``at_once`` of them under way at a time: while one is planned, others run."""
+def together(tables: list[tuple[str, DataFrame | Callable[[], DataFrame]]], folder: str, at_once: int = 8) -> dict[str, DataFrame]:
+    """Independent tables (name, rows or what makes them), ``staged`` with ``at_once`` of them under way at a time: while one is planned, others run."""
     if len({name for name, _ in tables}) < len(tables):
         raise ValueError("tables need names of their own")
     with ThreadPoolExecutor(at_once) as pool:
-        rows = pool.map(lambda t: staged(t[1], folder, t[0]), tables)
+        rows = pool.map(lambda t: staged(t[1]() if callable(t[1]) else t[1], folder, t[0]), tables)
         return dict(zip([name for name, _ in tables], rows, strict=True))

@@ -86,3 +86,12 @@ def test_the_values_that_rules_compare_with():
     assert EXPECTED["body"] == {"east": "宋体", "latin": "Times New Roman", "size_pt": 12, "allowed": 0.25} and EXPECTED["paragraph"] == {"line_multiple": 1.5, "twips": 10}
     assert EXPECTED["headings"] == {1: 16, 2: 14, 3: 12} and (EXPECTED["heading_font"], EXPECTED["heading_allowed"]) == ("黑体", 0.25)
     assert EXPECTED["header"] == {"font": "楷体", "size_pt": 18, "text": "华中科技大学硕士学位论文", "allowed": 0.25, "rules": 2}
+
+
+def test_strict_rules_close_the_gaps_of_the_patterns(spark):
+    body = p("摘要") + p("本文中我们做") + p("Abstract") + CHAPTER + p("用QRST方法，如图3-7所示") + PICTURE + p("图 3.7 流程") + p("参考文献") + p("[1] 张三. 书名: 北京: 出版社, 2020") + section(refs=REFS)
+    docs = trees.scan(spark.createDataFrame([("a.docx", bytearray(docx(body)))], "path string, content binary")).persist()
+    got = [{r.rule_id: r.status for r in audit(spark, docs, strict=strict).rule_results.collect()} for strict in (False, True)]
+    told = {rule: tuple(g[rule] for g in got) for rule in ("FIG-004", "ABS-006", "LANG-002", "REF-004")}
+    assert told == {"FIG-004": ("WARNING", "PASS"), "ABS-006": ("PASS", "WARNING"), "LANG-002": ("PASS", "WARNING"), "REF-004": ("ERROR", "PASS")}
+    assert {r for r in got[0] if got[0][r] != got[1][r]} == set(told)
