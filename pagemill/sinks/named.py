@@ -3,7 +3,8 @@
 ``df.write.format("namedfiles").mode("append").option("staging", folder).save()`` takes rows (target, content). Tasks write into ``staging``, a
 folder of the job's own; when all have succeeded, each file is moved to its name, and the folder goes. When a task fails for good, the
 folder goes with all that any task left there, and no target has been touched. A task that runs twice writes under two names, of which
-only the one that it reports counts.
+only the one that it reports counts. A driver that is lost while it moves files leaves the rest in ``staging``; the same job run again
+writes all of them.
 """
 
 from __future__ import annotations

@@ -5,6 +5,9 @@ through its directory: a task holds one member at a time and never the package.
 the option ``content`` is ``all``. A file that can't be read as an archive is one row with ``error`` and no part; damage inside an archive
 is such a row behind the parts that were read.
 
+Files are opened through Arrow's file systems (local, S3, GCS, HDFS and so on). For a store that only Spark's own readers open, read the packages
+with ``binaryFile`` and hand them to ``parts_of``.
+
 Options: ``pathGlob`` (``*.docx``), ``bytesPerTask`` (128 MB), ``content`` (``xml`` or ``all``).
 """
 
