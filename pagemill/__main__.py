@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .plans import audit as A
 from .plans import review as V
 from .plans import workflow as X
-from .plans.config import load_rules
+from .plans.config import load
 from .plans.reporting import check_findings
 from .session import build
 from .sinks.files import target, write_files
@@ -58,12 +58,13 @@ def inspect(spark: SparkSession, args: argparse.Namespace) -> None:
 
 
 def review(spark: SparkSession, args: argparse.Namespace) -> None:
-    a = A.audit(spark, docx.scan(_files(spark, args.path)), _rules(spark, args), strict=args.strict)
+    a = A.audit(spark, docx.scan(_files(spark, args.path)), **_rules(spark, args), strict=args.strict)
     _out(V.reviews(a), args, "_review")
 
 
-def _rules(spark: SparkSession, args: argparse.Namespace) -> DataFrame | None:
-    return load_rules(spark, args.rules) if args.rules else None
+def _rules(spark: SparkSession, args: argparse.Namespace) -> dict:
+    """The arguments that a rule file sets: the rules, and the values that they compare with."""
+    return dict(zip(("rules", "expected"), load(spark, args.rules), strict=True)) if args.rules else {}
 
 
 def _json_files(rows: DataFrame, args: argparse.Namespace, suffix: str) -> DataFrame:
@@ -91,7 +92,7 @@ def report(spark: SparkSession, args: argparse.Namespace) -> None:
         records = V.read_reviews(spark, args.comments)[1]
     check_findings(findings)
     docs = scan.Nodes(parts_of(_files(spark, args.path)), scratch(spark)).readable()
-    made = reports(docs, findings, records, _rules(spark, args), template=args.template_name, created=now())
+    made = reports(docs, findings, records, _rules(spark, args).get("rules"), template=args.template_name, created=now())
     made = made.select(target(F.col("path"), args.root, args.output or args.root, "_report").alias("target"), "content")
     if args.manifest:
         made = made.unionByName(_json_files(X.report_manifests(docs, findings, records), args, "_report"))
@@ -99,7 +100,7 @@ def report(spark: SparkSession, args: argparse.Namespace) -> None:
 
 
 def run(spark: SparkSession, args: argparse.Namespace) -> None:
-    made = X.review(spark, _files(spark, args.path), _rules(spark, args), author=args.author, initials=args.initials, template=args.template_name, strict=args.strict)
+    made = X.review(spark, _files(spark, args.path), **_rules(spark, args), author=args.author, initials=args.initials, template=args.template_name, strict=args.strict)
     print(X.write(made, args.root, args.output or args.root))
     for r in made.audit.quarantine.toLocalIterator():
         print(f"not read: {r.path}: {r.error}", file=sys.stderr)

@@ -1,15 +1,21 @@
-"""Rule files: a JSON (or, where PyYAML is installed, YAML) object with a list ``rules``."""
+"""Rule files: a JSON (or, where PyYAML is installed, YAML) object with a list ``rules``.
+
+A rule's ``severity`` and texts replace the built-in ones, and the values of ``expected_value`` and ``tolerance`` that ``VALUES`` names
+are what the rule compares with."""
 
 from __future__ import annotations
 
+import copy
 import hashlib
 import json
+import math
 import posixpath
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .rules import FOUNDATION, RULE_COLUMNS, check_rules, rules_table
+from .rules import EXPECTED, FOUNDATION, RULE_COLUMNS, check_rules, rules_table
 
 
 def _read(spark: SparkSession, path: str) -> bytes | None:
@@ -68,10 +74,54 @@ def check_origin(spark: SparkSession, path: str, config: dict) -> None:
         raise ValueError(f"{name} has changed since {path} was made from it")
 
 
-def load_rules(spark: SparkSession, path: str) -> DataFrame:
-    """The rules of a file, in its order, with ``RULE_COLUMNS``; what a rule leaves out comes from the built-in one.
-
-    Refused are a file without a list of rules, what ``check_rules`` refuses, and what ``check_origin`` does."""
+# What rule files call the values that a rule compares with, and where these are in ``EXPECTED``.
+VALUES = {
+    "PAGE-001": {"expected_value.width_inches": "page.width_inches", "expected_value.height_inches": "page.height_inches", "expected_value.orientation": "page.orientation", "tolerance.twips": "page.twips"},
+    "PAGE-002": {**{f"expected_value.{side}_inches": f"margins.{side}" for side in ("top", "bottom", "left", "right")}, "tolerance.twips": "margins.twips"},
+    "PAGE-003": {"expected_value.header_distance_pt": "distances.header", "expected_value.footer_distance_pt": "distances.footer", "tolerance.twips": "distances.twips"},
+    "HF-001": {"expected_value.east_asian_font": "header.font", "expected_value.size_pt": "header.size_pt", "expected_value.text": "header.text", "tolerance.size_pt": "header.allowed"},
+    "HF-002": {"expected_value.rule_count": "header.rules"},
+    "FONT-001": {"expected_value.east_asian_font": "body.east", "expected_value.latin_font": "body.latin", "expected_value.size_pt": "body.size_pt", "tolerance.size_pt": "body.allowed"},
+    "PARA-001": {"expected_value.line_spacing": "paragraph.line_multiple", "tolerance.line_spacing_twips": "paragraph.twips"},
+    **{
+        f"HEAD-00{level}": {"expected_value.size_pt": f"headings.{level}", "expected_value.east_asian_font": f"heading_font.{level}", "tolerance.size_pt": f"heading_allowed.{level}"}
+        for level in (1, 2, 3)
+    },
+}
+
+
+def _value(given: object, present: object, what: str) -> object:
+    """``given`` as a value of the kind of ``present``; a number may be written with a unit behind it, as in "1.5 lines"."""
+    if isinstance(present, str):
+        if isinstance(given, str) and given.strip():
+            return given.strip()
+        raise ValueError(f"{what} must be a text, not {given!r}")
+    if isinstance(given, str) and (m := re.match(r"\s*(\d+(?:\.\d+)?)(?![\d.])", given)):
+        given = float(m[1])
+    if isinstance(given, bool) or not isinstance(given, (int, float)) or not math.isfinite(given) or given < 0:
+        raise ValueError(f"{what} must be a number from zero on, not {given!r}")
+    return given
+
+
+def expected_of(config: dict, default: dict = EXPECTED) -> dict:
+    """``default`` with the values that a configuration's rules state. A rule whose ``expected_value`` or ``tolerance`` is a sentence, or
+    lacks a value, keeps the built-in one; a value of the wrong kind is refused."""
+    out = copy.deepcopy(default)
+    for name in ("heading_font", "heading_allowed"):
+        if not isinstance(out[name], dict):
+            out[name] = dict.fromkeys(out["headings"], out[name])
+    for rule in config.get("rules") or ():
+        for source, place in VALUES.get(rule.get("rule_id") if isinstance(rule, dict) else None, {}).items():
+            (block, field), (group, key) = source.split("."), place.split(".")
+            stated = rule.get(block)
+            if isinstance(stated, dict) and stated.get(field) is not None:
+                at = int(key) if key.isdigit() else key
+                out[group][at] = _value(stated[field], out[group][at], f"{rule['rule_id']}: {source}")
+    return out
+
+
+def read_config(spark: SparkSession, path: str) -> dict:
+    """The configuration in a file; refused without a list of rules, and by ``check_origin``."""
     data = _read(spark, path)
     if data is None:
         raise ValueError(f"there is no rule file {path}")
@@ -79,6 +129,18 @@ def load_rules(spark: SparkSession, path: str) -> DataFrame:
     check_origin(spark, path, config)
     if not isinstance(config.get("rules"), list):
         raise ValueError(f"{path} has no list of rules")
+    return config
+
+
+def load(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
+    """The rules of a file, in its order, with ``RULE_COLUMNS``, and the values that they compare with; what a rule leaves out comes from
+    the built-in one. Refused is what ``read_config``, ``check_rules`` and ``expected_of`` refuse."""
+    config = read_config(spark, path)
     rules = rules_of(spark, config)
     check_rules(rules, needed=FOUNDATION)
-    return rules
+    return rules, expected_of(config)
+
+
+def load_rules(spark: SparkSession, path: str) -> DataFrame:
+    """The rules of a file alone."""
+    return load(spark, path)[0]

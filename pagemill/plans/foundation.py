@@ -23,7 +23,7 @@ def _key(name: str) -> str:
     return "".join(c for c in name.lower() if not c.isspace() and c not in "_-")
 
 
-def off(actual: Column, expected: float, allowed: float) -> Column:
+def off(actual: Column, expected: float | Column, allowed: float | Column) -> Column:
     return F.abs(actual - expected) > allowed
 
 
@@ -182,17 +182,19 @@ def heading_rules(main: DataFrame, runs: DataFrame, e: dict = EXPECTED) -> tuple
     number = F.transform(F.split(written, "[.．]"), lambda x: x.try_cast("int"))
     heads = heads.withColumn("number", F.when(written.isNotNull(), number))
     heads = heads.withColumn("mode", F.when(F.col("numbering_id").isNotNull(), "automatic").when(F.col("number").isNotNull(), "manual").otherwise("missing"))
-    want = F.create_map(*[F.lit(x) for k, v in e["headings"].items() for x in (k, float(v))])
+    # A font or an allowance is one for all levels, or one a level.
+    by_level = lambda v, kind: F.element_at(F.create_map(*[F.lit(x) for k in e["headings"] for x in (k, kind(v[k] if isinstance(v, dict) else v))]), F.col("level"))
+    want, font, allowed = by_level(e["headings"], float), by_level(e["heading_font"], str), by_level(e["heading_allowed"], float)
     own = runs.filter((F.col("part_name") == docx.MAIN) & (P.stripped(F.col("text")) != "")).select("doc_id", F.col("p_idx").alias("idx"), F.col("idx").alias("run"), F.col("text").alias("run_text"), "east", "size_pt", "bold")
     rows = own.join(heads.select("doc_id", "idx", "level"), ["doc_id", "idx"])
-    bad = (P.found(F.col("run_text"), CJK) & ~font_key(F.col("east")).eqNullSafe(F.lit(_key(e["heading_font"])))) | F.col("size_pt").isNull()
-    bad = bad | off(F.col("size_pt"), F.element_at(want, F.col("level")), e["heading_allowed"]) | ~F.coalesce("bold", F.lit(False))
+    bad = (P.found(F.col("run_text"), CJK) & ~font_key(F.col("east")).eqNullSafe(font_key(font))) | F.col("size_pt").isNull()
+    bad = bad | off(F.col("size_pt"), want, allowed) | ~F.coalesce("bold", F.lit(False))
     bad_runs = rows.filter(bad).groupBy("doc_id", "idx").agg(F.array_sort(F.collect_list("run")).alias("bad"))
     heads = heads.join(bad_runs, ["doc_id", "idx"], "left")
     not_centred = (F.col("level") == 1) & ~F.col("alignment").eqNullSafe(F.lit("center"))
     misnumbered = (F.col("mode") == "missing") | (F.col("number").isNotNull() & (F.size("number") != F.col("level")))
     rule = F.concat(F.lit("HEAD-00"), F.col("level"))
-    asked = F.struct(F.when(F.col("level") == 1, "center").alias("alignment"), F.lit(True).alias("bold"), F.lit(e["heading_font"]).alias("east"), F.element_at(want, F.col("level")).alias("size_pt"), F.lit(e["heading_allowed"]).alias("size_allowed"))
+    asked = F.struct(F.when(F.col("level") == 1, "center").alias("alignment"), F.lit(True).alias("bold"), font.alias("east"), want.alias("size_pt"), allowed.alias("size_allowed"))
     compared = F.struct("alignment", asked.alias("expected"), "level", F.col("bad").alias("mismatched_runs"), F.col("mode").alias("numbering"), "number")
     told = F.to_json(F.struct("bad", not_centred.alias("not_centred"), misnumbered.alias("misnumbered"), "number"))
     out = [emit(heads.filter(not_centred | misnumbered | (F.size(F.coalesce("bad", F.array().cast("array<int>"))) > 0)), rule, 9, "heading format or number differs from the rule", told, runs=F.col("bad"), evidence=compared)]

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagemill.plans.audit import audit
+from pagemill.plans.config import expected_of, load
 from pagemill.plans.review import read_reviews, reviews
 from pagemill.plans.rules import EXPECTED, SEVERITY
 
@@ -95,3 +96,30 @@ def test_strict_rules_close_the_gaps_of_the_patterns(spark):
     told = {rule: tuple(g[rule] for g in got) for rule in ("FIG-004", "ABS-006", "LANG-002", "REF-004")}
     assert told == {"FIG-004": ("WARNING", "PASS"), "ABS-006": ("PASS", "WARNING"), "LANG-002": ("PASS", "WARNING"), "REF-004": ("ERROR", "PASS")}
     assert {r for r in got[0] if got[0][r] != got[1][r]} == set(told)
+
+
+def test_rules_compare_with_the_values_of_a_rule_file(spark, tmp_path):
+    stated = {
+        "HEAD-002": {"expected_value": {"size_pt": 20, "east_asian_font": "黑体"}, "tolerance": {"size_pt": 0.5}},
+        "PAGE-001": {"expected_value": {"width_inches": 7}, "tolerance": {"twips": "20 twips"}}, "PARA-001": {"expected_value": {"line_spacing": "2.5 lines"}, "tolerance": "as it looks"},
+        "PAGE-002": {"expected_value": {"top_inches": 1.77, "more": True}, "tolerance": {"twips": None}}, "REF-001": {"expected_value": {"size_pt": 3}},
+    }
+    path = tmp_path / "rules.json"
+    put = lambda own: path.write_text(json.dumps({"rules": [{"rule_id": r, "severity": s} | own.get(r, {}) for r, s in SEVERITY.items()]}, ensure_ascii=False), encoding="utf-8")
+    put(stated)
+    rules, expected = load(spark, str(path))
+    assert expected["headings"] == {1: 16, 2: 20, 3: 12} and expected["heading_allowed"] == {1: 0.25, 2: 0.5, 3: 0.25}
+    assert expected["page"] == EXPECTED["page"] | {"width_inches": 7, "twips": 20} and expected["paragraph"] == {"line_multiple": 2.5, "twips": 10}
+    assert {k: expected[k] for k in ("margins", "distances", "header", "body")} == {k: EXPECTED[k] for k in ("margins", "distances", "header", "body")} and EXPECTED["headings"][2] == 14
+    body = CHAPTER + p("1.1 题目", "Stufe2", rpr=points(20.4)) + p("正文") + section(refs=REFS)
+    docs = trees.scan(spark.createDataFrame([("a.docx", bytearray(docx(body)))], "path string, content binary")).persist()
+    built_in, own = [{r.rule_id: r.status for r in a.rule_results.collect()} for a in (audit(spark, docs), audit(spark, docs, rules, expected))]
+    assert {r: (built_in[r], own[r]) for r in own if built_in[r] != own[r]} == {"PAGE-001": ("PASS", E), "PARA-001": ("PASS", E), "HEAD-002": (E, "PASS")}
+
+
+@pytest.mark.parametrize("value", [True, -1, "wide", [1], float("inf")])
+def test_values_of_the_wrong_kind_are_refused(value):
+    with pytest.raises(ValueError, match="PAGE-001: expected_value.width_inches"):
+        expected_of({"rules": [{"rule_id": "PAGE-001", "expected_value": {"width_inches": value}}]})
+    with pytest.raises(ValueError, match="HF-001: expected_value.text"):
+        expected_of({"rules": [{"rule_id": "HF-001", "expected_value": {"text": 3}}]})
