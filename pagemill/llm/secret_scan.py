@@ -1,9 +1,11 @@
-"""Secret scans through nested encodings.
+r"""Secret scans through nested encodings.
 
 A worklist starts with the whole text. Each layer is scanned for the base kinds, then unwrapped in every way it allows: percent
-escapes and Unicode escapes (both over the layer's whole text), and base64 runs. Bytes of escapes and runs may be text or hold gzip,
-zlib, bzip2, xz or zstandard streams, of any number of members, compressed any number of times. Runs are read in all four alignments, line by line and joined over line breaks; bytes that aren't text
-hide nothing beside them. What comes out is a new layer, until nothing new appears. A layer equal to one already seen over the same
+escapes (also as a form writes them, with "+" for a space), escapes of characters (Unicode, hexadecimal, octal, those of strings such
+as ``\n``, and character references by number or name), each over the layer's whole text, and base64 runs. Bytes of escapes and runs may
+be text or hold gzip, zlib, bzip2, xz or zstandard streams, of any number of members, compressed any number of times; a run may also be
+one deflate stream without a header. Runs are read in all four alignments, line by line and joined over line breaks, whatever the
+lines' width; bytes that aren't text hide nothing beside them. What comes out is a new layer, until nothing new appears. A layer equal to one already seen over the same
 part of the root text is a cycle and is dropped. A layer knows its parent and where its pieces lie in it, as intervals and not by
 character, so a secret found at any depth has a span in the root text: the escape, the base64 quartets, or the compressed run.
 
@@ -29,6 +31,7 @@ import zlib
 from array import array
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
+from html.entities import html5
 from itertools import groupby
 
 import pyarrow as pa
@@ -45,9 +48,14 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")  # the runs of [0-9a-f]+ that have 24 or more
 
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
+_FORM = re.compile(r"(?:%[0-9A-Fa-f]{2})+|\+")
+_ESCAPE = re.compile(
+    r"\\u\{([0-9A-Fa-f]{1,6})\}|[\\%]u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});|\\([0-3][0-7]{2})|\\([abfnrtv\"'/\\])|&([A-Za-z][A-Za-z0-9]{1,31});"
+)
+_REFERENCE = re.compile("&#|&[A-Za-z][A-Za-z0-9]{1,31};")
 _RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-_WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[\x20\t>]*[A-Za-z0-9+/_-]+)*={0,2}")
+# A run and the lines after it, or lines that are all shorter than a run.
+_WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[\x20\t>]*[A-Za-z0-9+/_-]+)*={0,2}|(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{4,15}+(?:\r?\n[\x20\t>]*[A-Za-z0-9+/_-]{1,15}+)+={0,2}")
 _WINDOW, _OVERLAP = 1 << 22, 1 << 12
 _BASE64_CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=\r\n\t >"
 _NO_BREAKS = str.maketrans("-_", "+/", "\r\n\t >")
@@ -137,8 +145,15 @@ def _percent(m: re.Match) -> tuple[str, list[tuple[int, int]]]:
     return text, [(len(list(run)), 3 * n) for n, run in groupby(len(c.encode()) for c in text)]
 
 
+def _form(m: re.Match) -> tuple[str, list[tuple[int, int]]]:
+    return (" ", [(1, 1)]) if m[0] == "+" else _percent(m)
+
+
 def _escape(m: re.Match) -> tuple[str, list[tuple[int, int]]] | None:
-    code = int(m[6]) if m[6] else int(next(g for g in m.groups() if g), 16)
+    if m[8] or m[9]:
+        text = _NAMED.get(m[8], m[8]) if m[8] else html5.get(f"{m[9]};", "")
+        return (text, [(1, m.end() - m.start())]) if len(text) == 1 else None
+    code = int(m[6]) if m[6] else int(m[7], 8) if m[7] else int(next(g for g in m.groups() if g), 16)
     return (chr(code), [(1, m.end() - m.start())]) if 0 < code < 0x110000 and not 0xD800 <= code < 0xE000 else None
 
 
@@ -217,7 +232,7 @@ def _windows(pieces: Iterator[bytes]) -> Iterator[str]:
         yield "".join(parts) + decoder.decode(b"", True)
 
 
-def _unpacked(data: bytes) -> Iterator[str]:
+def _unpacked(data: bytes | memoryview) -> Iterator[str]:
     """Windows of the text in a compressed stream, and in what is compressed in it in turn; none if ``data`` isn't one."""
     seen = set()
     inner = lambda: _members(iter([data]))
@@ -242,8 +257,34 @@ def _unpacked(data: bytes) -> Iterator[str]:
 
 def _streams(data: bytes) -> Iterator[str]:
     """Windows of all compressed streams that begin anywhere in ``data``."""
+    whole = memoryview(data)
     for m in _MAGIC.finditer(data):
-        yield from _unpacked(data[m.start() :])
+        if data[m.start()] == 0x78:
+            # Two bytes are soon met by chance: a look at the first few that follow.
+            try:
+                zlib.decompressobj().decompress(whole[m.start() : m.start() + 16])
+            except zlib.error:  # damage in the first step, which lets nothing out
+                continue
+        yield from _unpacked(whole[m.start() :])
+
+
+def _bare(data: bytes) -> Iterator[str]:
+    """Windows of the text of ``data`` if all of it is one deflate stream without a header."""
+
+    def pieces() -> Iterator[bytes]:
+        machine = zlib.decompressobj(-15)
+        for at in range(0, len(data), 256):
+            if out := machine.decompress(data[at : at + 256]):
+                yield out
+        if not machine.eof or machine.unused_data:
+            raise zlib.error
+
+    try:
+        for _ in pieces():
+            pass
+    except zlib.error:
+        return
+    yield from _windows(pieces())
 
 
 _PERCENT_STREAM = re.compile(r"(?i:%1f%8b%08|(?:B|%42)(?:Z|%5a)(?:h|%68)[1-9%]|%fd(?:7|%37)(?:z|%7a)|(?:\(|%28)%b5(?:/|%2f)%fd|(?:x|%78)(?:%01|%5e|\^|%9c|%da))[^\s\"<>&]*")
@@ -272,22 +313,45 @@ def _escaped_streams(layer: _Layer) -> Iterator[_Layer]:
 def _telling(text: str) -> bool:
     """Whether ``text`` can hold a secret or another layer."""
     low = text.lower()
-    return any(h in low for h in (*_ASSIGN_HINTS, "akia", "%", "\\", "&#")) or bool(_HEX.search(text) or _RUN.search(text))
+    return any(h in low for h in (*_ASSIGN_HINTS, "akia", "%", "\\")) or bool(_HEX.search(text) or _WRAPPED.search(text) or _REFERENCE.search(text))
+
+
+class _Bytes:
+    """How many bytes the first characters of ``text`` have, by counts that are taken once for each block of it."""
+
+    __slots__ = ("text", "name", "errors", "blocks")
+    SIZE = 512
+
+    def __init__(self, text: str, name: str, errors: str):
+        self.text, self.name, self.errors, self.blocks = text, name, errors, None
+
+    def before(self, i: int) -> int:
+        if self.name == "utf-8" and self.text.isascii():
+            return i
+        if self.blocks is None:
+            self.blocks = array("q", [0])
+            for at in range(0, len(self.text), self.SIZE):
+                self.blocks.append(self.blocks[-1] + self._count(at, at + self.SIZE))
+        block = min(i // self.SIZE, len(self.blocks) - 1)
+        return self.blocks[block] + self._count(block * self.SIZE, i)
+
+    def _count(self, a: int, b: int) -> int:
+        return len(self.text[a:b].encode(self.name, self.errors))
 
 
-def _texts(data: bytes) -> Iterator[tuple[str, Callable[[str], int]]]:
-    """Readings of ``data`` as text, and what counts a text's bytes. Bytes that aren't text become lone surrogates or marks."""
+def _texts(data: bytes) -> Iterator[tuple[str, _Bytes]]:
+    """Readings of ``data`` as text, with what counts a text's bytes. Bytes that aren't text become lone surrogates or marks."""
     for name, errors in (("utf-8", "surrogateescape"), *((("utf-16-le", "surrogatepass"), ("utf-16-be", "surrogatepass")) if b"\0" in data else ())):
         text = data.decode(name, "replace" if name != "utf-8" else errors)
         if _telling(text):
-            yield text, lambda part, name=name, errors=errors: len(part.encode(name, errors))
+            yield text, _Bytes(text, name, errors)
 
 
 def _base64(layer: _Layer) -> Iterator[_Layer]:
     for m in _WRAPPED.finditer(layer.text):
         # A run of one line, or one over line breaks: each of its lines, and all as one.
         runs = [range(x.start() + m.start(), x.end() + m.start()) for x in _RUN.finditer(m[0])]
-        if "\n" in m[0]:
+        if "\n" in m[0] and len(m[0].translate(_NO_BREAKS)) >= 16:
             runs.append(array("q", (i for i, c in enumerate(m[0], m.start()) if c not in "\r\n\t >")))
         for places in runs:
             body = layer.text[places.start : places.stop] if isinstance(places, range) else m[0].translate(_NO_BREAKS)
@@ -301,10 +365,13 @@ def _base64(layer: _Layer) -> Iterator[_Layer]:
                 data = base64.b64decode(own + "=" * (-len(own) % 4))
                 for text in _streams(data):
                     yield _Layer(text, layer, _all_of(places[0], places[-1] + 1))
-                for text, n_bytes in _texts(data):
+                if k == 0:
+                    for text in _bare(data):
+                        yield _Layer(text, layer, _all_of(places[0], places[-1] + 1))
+                for text, size in _texts(data):
 
-                    def place(a: int, b: int, text=text, n_bytes=n_bytes, k=k, places=places) -> tuple[int, int]:
-                        first, last = n_bytes(text[:a]), n_bytes(text[:b]) - 1
+                    def place(a: int, b: int, size=size, k=k, places=places) -> tuple[int, int]:
+                        first, last = size.before(a), size.before(b) - 1
                         return places[min(k + first // 3 * 4, len(places) - 1)], places[min(k + last // 3 * 4 + 4, len(places)) - 1] + 1
 
                     yield _Layer(text, layer, place)
@@ -313,7 +380,9 @@ def _base64(layer: _Layer) -> Iterator[_Layer]:
 def _unwrapped(layer: _Layer) -> Iterator[_Layer]:
     if "%" in layer.text and (new := _replaced(layer, _PERCENT, _percent)):
         yield new
-    if ("\\" in layer.text or "&#" in layer.text) and (new := _replaced(layer, _ESCAPE, _escape)):
+        if "+" in layer.text:
+            yield _replaced(layer, _FORM, _form)
+    if ("\\" in layer.text or "&" in layer.text or "%u" in layer.text) and (new := _replaced(layer, _ESCAPE, _escape)):
         yield new
     yield from _escaped_streams(layer)
     yield from _base64(layer)

@@ -30,7 +30,7 @@ import hashlib
 import re
 import zlib
 from bisect import bisect_right
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -60,60 +60,66 @@ def url_key(url: str) -> str:
 class LoserTree:
     """A k-way merge of sorted runs: each inner node holds the loser of its match, the overall winner is at the root.
 
-    Runs may be added while the merge is on, if they begin no earlier than what was taken last; all matches are then played anew."""
+    Runs may be added while the merge is on, if they begin no earlier than what was taken last. A leaf without a run loses to all. A new
+    run takes such a leaf, and only the matches on its way up are played anew, for which each node's winner is kept beside its loser;
+    where no leaf is free, the tree doubles. So both a new run and a taken line cost the logarithm of the runs that are open."""
 
-    def __init__(self, runs: Sequence[Iterator[tuple]] = ()):
+    def __init__(self, runs: Iterable[Iterator[tuple]] = ()):
         self.runs: list[Iterator[tuple]] = []
         self.heads: list[tuple | None] = []
         self.free: list[int] = []
-        self.tree: list[int] | None = None
+        self.lost: list[int] = []
+        self.won: list[int] = []
+        self._double()
         for run in runs:
             self.add(run)
 
+    def _double(self) -> None:
+        k, more = 2 * len(self.runs) or 1, len(self.runs) or 1
+        self.free += range(k - 1, k - more - 1, -1)
+        self.runs += [iter(())] * more
+        self.heads += [None] * more
+        self.lost, self.won = [0] * k, [0] * k + list(range(k))
+        for node in range(k - 1, 0, -1):
+            self._match(node)
+
+    def _match(self, node: int) -> None:
+        a, b = self.won[2 * node], self.won[2 * node + 1]
+        self.won[node], self.lost[node] = (a, b) if self._beats(a, b) else (b, a)
+
     def add(self, run: Iterator[tuple]) -> None:
         head = next(run, None)
         if head is None:
             return
-        if self.free:
-            leaf = self.free.pop()
-            self.runs[leaf], self.heads[leaf] = run, head
-        else:
-            self.runs.append(run)
-            self.heads.append(head)
-        self.tree = None
+        if not self.free:
+            self._double()
+        leaf = self.free.pop()
+        self.runs[leaf], self.heads[leaf] = run, head
+        node = (leaf + len(self.runs)) // 2
+        while node > 0:
+            self._match(node)
+            node //= 2
 
     def _beats(self, a: int, b: int) -> bool:
         x, y = self.heads[a], self.heads[b]
         return y is None or (x is not None and x <= y)
 
-    def _play_all(self) -> None:
-        k = len(self.runs)
-        won = [0] * k + list(range(k))
-        self.tree = [0] * max(k, 1)
-        for node in range(k - 1, 0, -1):
-            a, b = won[2 * node], won[2 * node + 1]
-            won[node], self.tree[node] = (a, b) if self._beats(a, b) else (b, a)
-        if k:
-            self.tree[0] = won[1] if k > 1 else 0
-
     def head(self) -> tuple | None:
-        if self.tree is None:
-            self._play_all()
-        return self.heads[self.tree[0]] if self.heads else None
+        return self.heads[self.won[1]]
 
     def pop(self) -> tuple:
         """The least head; its run's next one plays against the losers on its way up."""
-        taken = self.head()
-        leaf = self.tree[0]
+        leaf = self.won[1]
+        taken = self.heads[leaf]
         self.heads[leaf] = next(self.runs[leaf], None)
         if self.heads[leaf] is None:
             self.free.append(leaf)
         winner, node = leaf, (leaf + len(self.runs)) // 2
         while node > 0:
-            if not self._beats(winner, self.tree[node]):
-                self.tree[node], winner = winner, self.tree[node]
+            if not self._beats(winner, self.lost[node]):
+                self.lost[node], winner = winner, self.lost[node]
+            self.won[node] = winner
             node //= 2
-        self.tree[0] = winner
         return taken
 
     def __iter__(self) -> Iterator[tuple]:

@@ -4,9 +4,11 @@ import base64
 import bz2
 import gzip
 import hashlib
+import json
 import lzma
 import random
 import re
+import time
 import urllib.parse
 import zlib
 from collections import Counter
@@ -142,9 +144,59 @@ ENCODE = [
     lambda s: base64.b64encode(s.encode()).decode(), lambda s: base64.b64encode(gzip.compress(s.encode())).decode(), lambda s: base64.urlsafe_b64encode(s.encode()).decode(),
     lambda s: base64.encodebytes(bz2.compress(s.encode())).decode().strip(), lambda s: base64.b64encode(zstandard.compress(s.encode())).decode(), lambda s: base64.b64encode(s.encode("utf-16")).decode(),
     lambda s: urllib.parse.quote(s, safe=""), lambda s: "".join(f"%{b:02X}" for b in s.encode()), lambda s: "".join(f"\\u{ord(c):04x}" for c in s), lambda s: "".join(f"&#{ord(c)};" for c in s),
+    lambda s: wrapped(base64.b64encode(s.encode()).decode(), 20, "\\n"), lambda s: wrapped(base64.b64encode(s.encode()).decode(), 10, "\n"), lambda s: "".join(f"%u{ord(c):04X}" for c in s), urllib.parse.quote_plus,
+    lambda s: "".join(f"\\{ord(c):03o}" if ord(c) < 256 else c for c in s), lambda s: json.dumps(s)[1:-1], lambda s: s.replace("&", "&amp;").replace("=", "&equals;").replace("%", "&percnt;").replace("+", "&plus;"),
+    lambda s: base64.b64encode(bare(s.encode())).decode(),
 ]
 
 
+def wrapped(text: str, width: int, end: str) -> str:
+    return end.join(text[i : i + width] for i in range(0, len(text), width))
+
+
+def bare(data: bytes) -> bytes:
+    machine = zlib.compressobj(9, zlib.DEFLATED, -15)
+    return machine.compress(data) + machine.flush()
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["%u0074oken%3Dabcdef99", "token+%3D+abcdef99x", r"\164oken\075abcdef99", "token&equals;abcdef99", r"\\u0074oken=abcdef99", r'{"a": "{\"b\": \"token\\u003dabcdef99\"}"}'],
+)
+def test_escapes_of_one_secret(text):
+    spans = scan_text(text)[1]
+    assert spans and all(k == 0 for _, k, _ in spans)
+
+
+def test_a_secret_across_the_lines_of_a_string():
+    body = wrapped(base64.b64encode("a few words before token=abcdef99xyz and after".encode()).decode(), 30, r"\n")
+    assert (0, len("token=abcdef99xyz")) in [(k, len("token=abcdef99xyz")) for _, k, _ in scan_text(f'"{body}"')[1]]
+    assert max(b - a for a, _, b in scan_text(f'"{body}"')[1]) >= 24
+
+
+def test_plain_texts_with_such_marks_stay():
+    text = "AT&T; Q&A 1+1=2 100% C:\\new\\table &nbsp; a&b\nword\nother\nlines\n" * 3
+    assert scan_text(text) == ([], []) and redacted(text) == text
+
+
+@pytest.mark.parametrize("make", [lambda n: base64.b64encode(b"x^2 + " * n).decode(), lambda n: base64.b64encode("é token=abcdef99 \n".encode() * n).decode(), lambda n: "&amp;+%41\\n" * n])
+def test_long_layers_take_time_in_proportion(make):
+    def took(n: int) -> float:
+        text, began = make(n), time.process_time()
+        scan_text(text)
+        return time.process_time() - began
+
+    took(500)
+    assert min(took(32_000) for _ in range(2)) < 20 * min(took(4_000) for _ in range(2)) + 0.2
+
+
+def test_counts_of_bytes_are_those_of_prefixes():
+    text = "aé漢😀\udc80" * 700
+    for name, errors in (("utf-8", "surrogateescape"), ("utf-16-le", "surrogatepass")):
+        counts = secret_scan._Bytes(text, name, errors)
+        assert all(counts.before(i) == len(text[:i].encode(name, errors)) for i in (*range(0, 3500, 37), len(text)))
+
+
 def test_any_three_layers_are_unwrapped():
     rng = random.Random(1)
     for i in range(400):

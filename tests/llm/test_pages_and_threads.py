@@ -2,6 +2,7 @@ import gzip
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 from html.parser import HTMLParser
 
@@ -59,6 +60,20 @@ def test_loser_tree_takes_new_runs_on_the_way():
         assert got + list(tree) == sorted(x for r in runs for x in r)
 
 
+def test_many_open_runs_merge_in_time():
+    def took(k: int) -> float:
+        began, tree, got = time.process_time(), LoserTree(), []
+        for i in range(k):
+            while (head := tree.head()) is not None and head < (i * 10,):
+                got.append(tree.pop())
+            tree.add(iter([(i * 10 + j * 7, i, j) for j in range(0, 20_000, 1000)]))
+        got += tree
+        assert len(got) == 20 * k and all(a <= b for a, b in zip(got, got[1:], strict=False))
+        return time.process_time() - began
+
+    assert took(8000) < 16 * took(1000) + 0.2
+
+
 def test_a_record_is_read_alone_and_long_pages_have_their_archives(spark, monkeypatch):
     monkeypatch.setattr(warc, "LONG_BYTES", 5000)
     monkeypatch.setattr(warc, "BLOCK_LINES", 3)
@@ -163,6 +178,20 @@ def test_names_and_teasers():
     assert boilerplate.main_texts([parsed_blocks(aside)])[0][0] == story
 
 
+def test_names_take_no_text_of_an_article():
+    kept = """<p>See <a class="share-link">the report</a> of <span class="form-name">W-2</span>.</p><pre><code>x = 1 <span class="hljs-comment"># adds one</span>
+      <div class="comment">y</div></code></pre>"""
+    open_ = """<section class="related-work"><h2>Related work</h2><p>Earlier studies</p></section><div class="social-history"><p>none</p></div><p class="form-of-address">Sir</p>"""
+    gone = """<div class="related-posts">a</div><div class="share-buttons">b</div><div class="comment">c</div><div class="ad">d</div><form>e</form>"""
+    want = [(boilerplate.TEXT, t) for t in ("See the report of W-2.", "x = 1 # adds one", "y")] + [(boilerplate.OPEN, t) for t in ("Related work", "Earlier studies", "none", "Sir")]
+    page = f"<article>{kept}{open_}{gone}</article>"
+    assert parsed_blocks(page) == want + [(boilerplate.NOT_TEXT, t) for t in "abcde"]
+    assert boilerplate.main_texts([parsed_blocks(page)])[0][0] == " ".join(t for _, t in want)
+    # What a name leaves open inside articles is decided by repetition.
+    unlike = [f"<article><p>{' '.join(f'w{i}x{j}' for j in range(9))}</p><div class='social-history'>{FOOT}</div><p>{FOOT}</p></article>" for i in range(6)]
+    assert all(text.count(FOOT) == 1 and removed == len(FOOT.split()) for text, _, removed in boilerplate.main_texts([parsed_blocks(h) for h in unlike]))
+
+
 def test_op3_is_structure_where_nothing_is_open(spark):
     rows = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()
     got = {r.page_id: (r.url, r.text, r.n_chars) for r in op3_host_suffix_array(spark, "/root/testdata/sf0.001").collect()}
