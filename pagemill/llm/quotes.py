@@ -3,7 +3,9 @@ r"""Quotation linking: from messages that quote each other to reply-ordered conv
 Parsing. Lines that begin with ">" marks are quoted, at the level of their number of marks. An attribution ends with "wrote:" (or its
 German, French or Spanish form) or is an "Original Message" rule, and the next line with text is quoted deeper than it is; if it doesn't
 begin with "On" (am, le, el) itself, it goes back over the lines of its paragraph to one that does and has a digit. Attributions go with
-the quotes. Consecutive lines of one level are a passage; text is normalised by taking marks off, white space to single spaces, and lower
+the quotes. Below an "Original Message" rule with lines of a mail's head (From, Sent, ...), which go too, all text to the end is quoted
+without marks, a level deeper with each such rule; without a head nothing says where such a quote ends, and it stays. Lines that begin with
+"|" are quoted in messages where one follows an attribution; elsewhere they may be tables. Consecutive lines of one level are a passage; text is normalised by taking marks off, white space to single spaces, and lower
 case, so a passage that was wrapped anew is still the same.
 
 Linking. A quoted passage is hashed whole, and for passages that were cut, also by its paragraphs, pairs of consecutive lines, and
@@ -37,6 +39,11 @@ from pyspark.sql import functions as F
 from .shared import discard, partitions, table, written
 
 _MARKS = r"^[\s|]*(?:>[\s]?)+"
+_BARS = r"^\s*(?:\|\s?)+"
+_BARS_BELOW = r"(?im)(?:wrote|schrieb|a écrit|escribió)[ \t]*:[ \t]*\r?\n\s*\|"
+_HEAD = "From|Sent|Date|To|Cc|Bcc|Subject|Reply-To|Von|Gesendet|Datum|An|Betreff|De|Envoyé|À|Objet|Enviado|Para|Asunto"
+_RULE_AND_HEAD = rf"(?im)^[ \t]*-{{2,}}[ \t]*original message[ \t]*-{{2,}}[ \t]*\r?\n(?:[ \t]*\r?\n)*+(?:[ \t]*(?:{_HEAD})[ \t]*:[^\n]*+(?:\n|\z))++"
+_SPACES = " \t\n\r\f\x0b"
 _ENDS = r"(?i)(?:\b(?:wrote|schrieb|a écrit|escribió)\s*:|^\s*-{2,}\s*original message\s*-{2,})\s*$"
 _STARTS = r"(?i)^\s*(?:on|am|le|el)\b"
 _RUN, _LEVEL, _LINE = "\ufdd0", "\ufdd1", "\ufdd2"
@@ -55,9 +62,22 @@ def _squeezed(text: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
 
 
-def _line(raw: Column) -> Column:
+def _marked(text: Column) -> Column:
+    """``text`` with marks before the lines that stand below a rule and a mail's head, as many as there are rules above them."""
+
+    def below(part: Column, i: Column) -> Column:
+        rule = F.concat(F.repeat(F.lit(">"), i - 1), F.lit("-----Original Message-----\n"))
+        # A rule with nothing below it quotes nothing, and goes.
+        return F.when(i == 0, part).when(F.trim(part, F.lit(_SPACES)) == "", "").otherwise(F.concat(rule, F.regexp_replace(part, F.lit("(?m)^"), F.repeat(F.lit(">"), i))))
+
+    return F.when(text.rlike(_RULE_AND_HEAD), F.array_join(F.transform(F.split(text, _RULE_AND_HEAD), below), "\n")).otherwise(text)
+
+
+def _line(raw: Column, bars: Column) -> Column:
     level = F.length(F.regexp_replace(F.regexp_extract(raw, _MARKS, 0), "[^>]", ""))
-    return F.struct(level.alias("level"), raw.alias("line"), _squeezed(F.regexp_replace(raw, _MARKS, "")).alias("norm"))
+    barred = F.when(bars & (level == 0), F.length(F.regexp_replace(F.regexp_extract(raw, _BARS, 0), "[^|]", ""))).otherwise(0)
+    said = F.when(barred > 0, F.regexp_replace(raw, _BARS, "")).otherwise(F.regexp_replace(raw, _MARKS, ""))
+    return F.struct((level + barred).alias("level"), raw.alias("line"), _squeezed(said).alias("norm"))
 
 
 def _shape(x: Column) -> Column:
@@ -81,13 +101,15 @@ def _runs(lines: Column) -> Column:
 def parse(df: DataFrame) -> DataFrame:
     """``df`` (conv_id, turn, role, text) as row, conv_id, turn, role, own_text, max_level, and ``runs``: array of (level, lines), the
     normalised lines of each passage, the message's own at level 0, without attributions."""
-    text = F.translate(F.coalesce("text", F.lit("")), _RUN + _LEVEL + _LINE, "")
-    lines = df.select(F.monotonically_increasing_id().alias("row"), "conv_id", "turn", "role", F.transform(F.split(text, "\r?\n"), _line).alias("lines"))
+    text = _marked(F.translate(F.coalesce("text", F.lit("")), _RUN + _LEVEL + _LINE, ""))
+    rows = df.select(F.monotonically_increasing_id().alias("row"), "conv_id", "turn", "role", text.alias("text"))
+    rows = rows.withColumn("bars", F.col("text").rlike(_BARS_BELOW))
+    lines = rows.select("row", "conv_id", "turn", "role", F.transform(F.split("text", "\r?\n"), lambda x: _line(x, F.col("bars"))).alias("lines"))
     shape = F.concat(F.array_join(F.transform("lines", _shape), "\n"), F.lit("\n"))
     shape = F.regexp_replace(F.regexp_replace(shape, _COUNTED_END, "$1A$2"), _COUNTED_START, "$1$3$4A$2$5")
     kept = F.filter(F.arrays_zip("lines", F.split(shape, "\n").alias("shape")), lambda z: z["lines"].isNotNull() & ~F.contains(z["shape"], F.lit("A")))
     lines = lines.select("row", "conv_id", "turn", "role", F.transform(kept, lambda z: z["lines"]).alias("lines"))
-    own = F.trim(F.array_join(F.transform(F.filter("lines", lambda x: x["level"] == 0), lambda x: x["line"]), "\n"))
+    own = F.trim(F.array_join(F.transform(F.filter("lines", lambda x: x["level"] == 0), lambda x: x["line"]), "\n"), F.lit(_SPACES))
     level = F.coalesce(F.array_max(F.transform("lines", lambda x: x["level"])), F.lit(0)).cast("long")
     return lines.select("row", "conv_id", "turn", "role", own.alias("own_text"), level.alias("max_level"), _let(F.col("lines"), _runs).alias("runs"))
 

@@ -273,7 +273,7 @@ def brute_parse(text):
         if not runs or runs[-1][0] != level:
             runs.append((level, []))
         runs[-1][1].append(norm)
-    return "\n".join(x[1] for x in lines if x[0] == 0).strip(" "), runs
+    return "\n".join(x[1] for x in lines if x[0] == 0).strip(" \t\n\r\f\v"), runs
 
 
 def brute_units(lines):
@@ -395,6 +395,20 @@ def test_common_lines_and_long_attributions(spark):
     assert got[41, 0].own_text == "fine" and got[42, 0].own_text == "He wrote:\nno quote" and got[61, 0].n_passages == 1
 
 
+def test_quotes_without_marks(spark):
+    head = "From: A B <a@b.c>\nSent: Monday\nTo: C\nSubject: x"
+    mail = f"Sure.\n\n-----Original Message-----\n{head}\n\nshall we meet on the bridge?\nor elsewhere\n\n----- Original Message -----\n{head}\n\n> deeper yet\nwhere is it to be"
+    rows = [
+        (1, 0, "u", "where is it to be"), (2, 0, "u", "shall we meet on the bridge?\nor elsewhere"), (3, 0, "u", mail), (4, 0, "u", "Sure.\r\n-----original message-----\r\nFrom: a\r\n"), (5, 0, "u", "a\n-----Original Message-----\nno head"),
+        (6, 0, "u", "B wrote:\n| shall we meet on the bridge?\n| or elsewhere\n\tyes"), (7, 0, "u", "ls\n| wc -l\n| a | b |"), (8, 0, "u", "wrote:\n> x\n\n> x\nno"), (9, 0, "u", "-----Original Message-----\n> x\nno"), (10, 0, "u", " \n-----Original Message-----\nFrom: a\nb"),
+    ]
+    got = {r.conv_id: r for r in threads(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert {k: r.own_text for k, r in got.items() if k > 2} == {3: "Sure.", 4: "Sure.", 5: rows[4][3], 6: "yes", 7: rows[6][3], 8: "no", 9: "no", 10: ""}
+    assert {k: (r.n_passages, r.max_level) for k, r in got.items() if k > 3} == {4: (0, 0), 5: (0, 0), 6: (1, 1), 7: (0, 0), 8: (2, 1), 9: (1, 1), 10: (1, 1)}
+    assert got[3].max_level == 3
+    assert (got[3].parent_conv, got[6].parent_conv, got[2].parent_conv) == (2, 2, None) and got[3].n_linked >= 2
+
+
 @pytest.mark.parametrize("query", [op3_host_suffix_array, op4_quotation_links, op5_index_merge])
 def test_empty_tables(spark, empty, query):
     assert query(spark, empty).count() == 0
