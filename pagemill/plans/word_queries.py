@@ -3,12 +3,14 @@ scan has to find in it what the SQL says of the lines."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import scan
 from ..sources.docx import MAIN
-from ..storage import scratch
+from ..storage import discard, scratch, staged
 from . import formats, roles
 from .queries import table
 
@@ -24,6 +26,8 @@ _STYLES = f"""<w:styles xmlns:w="{_W}"><w:docDefaults><w:rPrDefault><w:rPr><w:sz
 <w:style w:type="paragraph" w:styleId="Quote"><w:name w:val="Quote"/><w:basedOn w:val="Base"/><w:rPr><w:b/><w:sz w:val="18"/></w:rPr></w:style></w:styles>"""
 _THEME = '<a:theme xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main"><a:themeElements><a:clrScheme><a:accent1><a:srgbClr val="336699"/></a:accent1></a:clrScheme></a:themeElements></a:theme>'
 _RELS = f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="a" Type="{_OFFICE}/styles" Target="../word/./styles.xml"/><Relationship Id="b" Type="{_OFFICE}/theme" Target="/word/theme.xml"/></Relationships>'
+#: What formats need of documents besides paragraphs.
+_STYLED = ("styles", "default_ppr", "default_rpr", "theme")
 #: Lines that stand for others, by place, so that documents have titles and parts.
 _TITLES = {2: "Abstract", 4: "Key words: a; b", 6: "目录", 9: "1 Results", 12: "图 1-1 Scheme", 15: "致谢", 18: "参考文献", 19: "[1] A. Title", 21: "附录 A"}
 
@@ -72,6 +76,14 @@ def scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.documents(n, only=("paragraphs", "styles", "default_ppr", "default_rpr", "theme"))
 
 
+def answered(spark: SparkSession, sf_dir: str, rows: Callable[[scan.Nodes], DataFrame]) -> DataFrame:
+    """``rows`` of the packages' nodes, written; all other tables of the scan go."""
+    folder = scratch(spark, "queries")
+    out = staged(rows(scan.Nodes(packages(spark, sf_dir), f"{folder}/scan", contents=False)), folder, "answer")
+    discard(spark, f"{folder}/scan")
+    return out
+
+
 _TITLED = "CASE i " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in _TITLES.items()) + " ELSE x END"
 _LINES = f"""l AS (
   SELECT doc_id, CAST(i AS INTEGER) AS i, {_TITLED} AS t FROM (
@@ -96,9 +108,8 @@ def word_paragraphs(spark, sf_dir):
   UNION ALL SELECT doc_id, i, CASE WHEN i % 9 = 8 THEN 3 ELSE 2 END + k, '', TRUE, TRUE, NULL, NULL FROM p, range(6) f(k) WHERE i % 6 = 5
 ) SELECT doc_id, i AS p_idx, CAST(idx AS INTEGER) AS idx, text, direct_child, no_colour, b, sz FROM r""")
 def word_runs(spark, sf_dir):
-    n = scan.Nodes(packages(spark, sf_dir), scratch(spark, "queries"))
-    rows = scan.paragraphs(n).select("doc_id", F.col("idx").alias("p_idx"), F.inline("runs"))
-    return rows.select("doc_id", "p_idx", "idx", "text", "direct_child", "no_colour", *[F.try_element_at("rpr", F.lit(k)).alias(k) for k in ("b", "sz")])
+    rows = lambda n: scan.paragraphs(n).select("doc_id", F.col("idx").alias("p_idx"), F.inline("runs"))
+    return answered(spark, sf_dir, lambda n: rows(n).select("doc_id", "p_idx", "idx", "text", "direct_child", "no_colour", *[F.try_element_at("rpr", F.lit(k)).alias(k) for k in ("b", "sz")]))
 
 
 @query(f"WITH {_LINES} SELECT doc_id, command, count(*) AS n FROM (SELECT doc_id, unnest(['REF', 'PAGE']) AS command FROM p WHERE i % 6 = 5) GROUP BY ALL")

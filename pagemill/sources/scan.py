@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import nesting as N
-from ..storage import scratch, staged, together
+from ..storage import bucketed, discard, scratch, staged, together
 from . import xml
 from .docx import MAIN, SCHEMA
 
@@ -33,6 +33,8 @@ _PARAGRAPH_FLAGS = ("keepNext", "keepLines", "widowControl", "pageBreakBefore",
 _SAYING = ("w:t", "w:delText", "w:instrText", "w:delInstrText")
 _COVERING = ("w:hyperlink", "w:fldSimple", "w:ins", "w:del")
 _UNREAD = ("docProps/", "customXml/", "_rels/")
+# Bytes of parts in a bucket of nodes: BUCKET in large inputs; in small ones fewer, so that all cores have some.
+BUCKET, LEAST_BUCKET = 1 << 23, 1 << 19
 
 
 def attr(name: str) -> Column:
@@ -67,22 +69,41 @@ def _entries(pairs: list[tuple[str, Column]]) -> Column:
 class Nodes:
     """The parts and nodes of documents, and what their relationships say."""
 
-    def __init__(self, parts: DataFrame, folder: str):
+    def __init__(self, parts: DataFrame, folder: str, contents: bool = True):
+        """``contents``: keep the parts' bytes in ``files`` and ``parts``; else they go as soon as they are cut."""
         self.folder = folder
         self.files = staged(parts, folder, "parts")
-        first = self.files.filter("part_name is not null").groupBy("doc_id").agg(F.min("path").alias("path"))
-        self.parts = self.files.join(first, ["doc_id", "path"], "left_semi")
-        self.names = self.parts.select(*K)
+        names = self.files.drop("content")
+        first = names.filter("part_name is not null").groupBy("doc_id").agg(F.min("path").alias("path"))
+        size = names.agg(F.sum("part_size")).first()[0] or 0
+        most = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets = max(1, min(-(-size // LEAST_BUCKET), max(most, -(-size // BUCKET))))
+        # The bytes are dealt by document once; all that follows stays there.
+        dealt = self.files.filter(F.col("part_name").isNotNull()).repartition(self.buckets, "doc_id").join(first.hint("shuffle_hash"), ["doc_id", "path"], "left_semi")
         unread = reduce(Column.__or__, [F.startswith("part_name", F.lit(p)) for p in _UNREAD])
-        read = self.parts.filter(F.col("content").isNotNull() & ~unread)
-        found, bad = xml.nodes(read.select(*K, xml.utf8(F.col("content")).alias("xml")), K, "xml", NAMESPACES)
-        self.nodes, self.bad = staged(found, folder, "nodes"), staged(bad, folder, "bad")
-        self.rels = self._rels()
+        read = dealt.filter(F.col("content").isNotNull() & ~unread)
+        self.parts = dealt
+        named = staged(names.filter("part_name is not null").join(first, ["doc_id", "path"], "left_semi"), folder, "names")
+        self.names = named.select(*K)
+        is_rels = F.col("part_name").endswith(".rels")
+        rels = self._cut(read.filter(is_rels).withColumn("told", F.lit(False)), "rel-nodes")
+        self.rels = self._rels(xml.nodes(rels))
         self.stories = staged(self._stories(), folder, "stories")
-        self.told = staged(self.nodes.join(self.stories.select(*K), K, "left_semi"), folder, "told")
-
-    def _rels(self) -> DataFrame:
-        rows = self.nodes.filter("name = 'rel:Relationship'")
+        told = self.stories.select(*K, F.lit(True).alias("_told"))
+        others = self._cut(read.filter(~is_rels).join(told.hint("shuffle_hash"), K, "left").withColumn("told", F.coalesce("_told", F.lit(False))), "nodes")
+        self.bad = staged(xml.errors(rels, K).unionByName(xml.errors(others, K)), folder, "bad")
+        self.nodes = xml.nodes(others).drop("told")
+        self.told = xml.nodes(others.filter("told")).drop("told")
+        if not contents:
+            self.files, self.parts = staged(names, folder, "files"), named
+            discard(parts.sparkSession, f"{folder.rstrip('/')}/parts")
+
+    def _cut(self, read: DataFrame, name: str) -> DataFrame:
+        rows = xml.pieces(read.select(*K, "told", xml.utf8(F.col("content")).alias("xml")), K, "xml", NAMESPACES, ("told",))
+        return bucketed(rows, self.folder, name, self.buckets, ["doc_id"], ["told"])
+
+    def _rels(self, nodes: DataFrame) -> DataFrame:
+        rows = nodes.filter("name = 'rel:Relationship'")
         source = F.regexp_replace("part_name", r"_rels/([^/]*)\.rels$", "$1")
         external, target = attr("@TargetMode").eqNullSafe("External"), F.coalesce(attr("@Target"), F.lit(""))
         rows = rows.select("doc_id", source.alias("source_part"), "pos", F.coalesce(attr("@Id"), F.lit("")).alias("rel_id"), F.coalesce(attr("@Type"), F.lit("")).alias("type"), target.alias("target"), external.alias("external"))
@@ -171,9 +192,16 @@ def _events(nodes: DataFrame, name: str, points: DataFrame) -> DataFrame:
     return points.withColumn("_step", F.lit(0)).unionByName(marks, allowMissingColumns=True)
 
 
-def inside(nodes: DataFrame, name: str, points: DataFrame) -> DataFrame:
-    """``points`` (K, at, ...) once for each element ``name`` around them, with its place ``begin`` and ``level`` (1: the outermost)."""
-    rows = _events(nodes, name, points)
+def inside(nodes: DataFrame, name: str, points: DataFrame | Column, *columns: Column | str) -> DataFrame:
+    """``points`` (K, at, ...) once for each element ``name`` around them, with its place ``begin`` and ``level`` (1: the outermost). Points
+    that are nodes are told by a condition and have ``columns`` of theirs; they take no union, so nodes that are dealt by document stay there."""
+    if isinstance(points, Column):
+        own, holds = F.coalesce(points, F.lit(False)), (F.col("name") == name) & (F.col("end") > F.col("pos"))
+        step = lambda where, at, n: F.when(where, F.struct(F.col(at).alias("at"), F.lit(n).alias("_step")))
+        steps = F.filter(F.array(step(own, "pos", 0), step(holds, "pos", 1), step(holds, "end", -1)), lambda x: x.isNotNull())
+        rows = nodes.filter(own | holds).select(*K, *columns, F.inline(steps))
+    else:
+        rows = _events(nodes, name, points)
     return N.contents(rows, K, "at", F.col("_step") == 1, F.col("_step") == -1, every_level=True).drop("_step")
 
 
@@ -192,12 +220,12 @@ def around(nodes: DataFrame) -> DataFrame:
 def _runs(nodes: DataFrame, props: DataFrame, flags: DataFrame) -> DataFrame:
     """(K, begin, runs): the runs of each paragraph that begins at ``begin``."""
     own = nodes.filter("name = 'w:r'").select(*K, F.col("pos").alias("at"), "parent")
-    says = nodes.filter("first and parent_name in ('w:t', 'w:delText')").select(*K, F.col("pos").alias("at"), "text")
-    text = inside(nodes, "w:r", says).groupBy(*K, F.col("begin").alias("at")).agg(F.array_join(_by_place("text", place="at"), "").alias("text"))
+    says = F.col("first") & F.col("parent_name").isin("w:t", "w:delText")
+    text = inside(nodes, "w:r", says, "text").groupBy(*K, F.col("begin").alias("at")).agg(F.array_join(_by_place("text", place="at"), "").alias("text"))
     marks = nodes.filter("parent_name = 'w:r' and name in ('w:fldChar', 'w:instrText')").select(*K, F.col("parent").alias("at")).distinct().withColumn("marked", F.lit(True))
     rpr = owned(nodes, props, "w:rPr", "w:r", "").withColumnRenamed("of", "at")
     rows = own.join(text, [*K, "at"], "left").join(marks, [*K, "at"], "left").join(rpr, [*K, "at"], "left").join(flags.select(*K, F.col("pos").alias("at"), "covered"), [*K, "at"])
-    rows = inside(nodes, "w:p", rows)
+    rows = rows.join(inside(nodes, "w:p", F.col("name") == "w:r").select(*K, "at", "begin"), [*K, "at"])
     hidden = F.col("covered") | F.coalesce("marked", F.lit(False)) | F.coalesce("vanish", F.lit(False))
     idx = F.row_number().over(W.partitionBy(*K, "begin").orderBy("at")) - 1
     none = F.create_map().cast("map<string,string>")
@@ -213,14 +241,14 @@ def _contents(nodes: DataFrame) -> DataFrame:
     """(K, begin, text, break_types, instructions, has_omml, has_picture, has_anchor) of each paragraph that holds any of it."""
     name = F.col("name")
     said = F.when(F.col("first") & F.col("parent_name").isin(*_SAYING), F.col("text")).when(name == "w:tab", "\t").when(name == "w:br", "\n")
-    told = nodes.select(
-        *K, F.col("pos").alias("at"), said.alias("said"), F.when((name == "w:br") & attr("type").isin("page", "column"), attr("type")).alias("broken"),
-        F.when(name == "w:fldSimple", F.coalesce(attr("instr"), F.lit(""))).alias("simple"), F.when(F.col("first") & (F.col("parent_name") == "w:instrText"), F.col("text")).alias("code"),
-        name.isin("m:oMath", "m:oMathPara").alias("omml"), name.isin("w:drawing", "w:pict").alias("picture"), (name == "wp:anchor").alias("anchor"),
-    )
-    told = told.filter("said is not null or broken is not null or simple is not null or code is not null or omml or picture or anchor")
+    told = {
+        "said": said, "broken": F.when((name == "w:br") & attr("type").isin("page", "column"), attr("type")),
+        "simple": F.when(name == "w:fldSimple", F.coalesce(attr("instr"), F.lit(""))), "code": F.when(F.col("first") & (F.col("parent_name") == "w:instrText"), F.col("text")),
+    }
+    flags = {"omml": name.isin("m:oMath", "m:oMathPara"), "picture": name.isin("w:drawing", "w:pict"), "anchor": name == "wp:anchor"}
+    some = reduce(Column.__or__, [*[c.isNotNull() for c in told.values()], *flags.values()])
     listed = lambda c: _by_place(c, F.col(c).isNotNull(), "at")
-    return inside(nodes, "w:p", told).groupBy(*K, "begin").agg(
+    return inside(nodes, "w:p", some, *[c.alias(k) for k, c in (told | flags).items()]).groupBy(*K, "begin").agg(
         F.array_join(listed("said"), "").alias("text"), listed("broken").alias("break_types"), F.concat(listed("simple"), listed("code")).alias("instructions"),
         F.bool_or("omml").alias("has_omml"), F.bool_or("picture").alias("has_picture"), F.bool_or("anchor").alias("has_anchor"),
     )
@@ -228,14 +256,14 @@ def _contents(nodes: DataFrame) -> DataFrame:
 
 def paragraphs(n: Nodes) -> DataFrame:
     """(doc_id, story, begin, parent, part_name, and the columns of the documents' paragraphs) of all stories."""
-    nodes, props = n.told, staged(properties(n.told), n.folder, "properties")
+    nodes, props = n.told, bucketed(properties(n.told).repartition(n.buckets, "doc_id"), n.folder, "properties", n.buckets, ["doc_id"])
     flags = around(nodes)
     own = nodes.filter("name = 'w:p'").select(*K, F.col("pos").alias("begin"), "parent").join(flags.select(*K, F.col("pos").alias("begin"), "in_table", "in_sdt", "in_revision"), [*K, "begin"])
     own = own.withColumn("idx", F.row_number().over(W.partitionBy(*K).orderBy("begin")) - 1)
     ppr = owned(nodes, props, "w:pPr", "w:p", "").withColumnRenamed("of", "begin")
     tables = nodes.filter("name = 'w:tbl'").select(*K, F.col("pos").alias("t"), (F.row_number().over(W.partitionBy(*K).orderBy("pos")) - 1).alias("table_idx"))
     tables = tables.join(owned(nodes, props, "w:tblPr", "w:tbl", "").select(*K, F.col("of").alias("t"), F.col("style").alias("table_style")), [*K, "t"], "left")
-    within = inside(nodes, "w:tbl", own.select(*K, F.col("begin").alias("at"))).groupBy(*K, "at").agg(F.max_by("begin", "level").alias("t")).join(tables, [*K, "t"]).select(*K, F.col("at").alias("begin"), "table_idx", "table_style")
+    within = inside(nodes, "w:tbl", F.col("name") == "w:p").groupBy(*K, "at").agg(F.max_by("begin", "level").alias("t")).join(tables, [*K, "t"]).select(*K, F.col("at").alias("begin"), "table_idx", "table_style")
     rows = own.join(_contents(nodes), [*K, "begin"], "left").join(ppr, [*K, "begin"], "left").join(within, [*K, "begin"], "left").join(_runs(nodes, props, flags), [*K, "begin"], "left")
     rows = rows.join(n.stories, K)
     ended = F.sum(F.when(F.coalesce("sect", F.lit(False)), 1).otherwise(0)).over(W.partitionBy(*K).orderBy("begin").rowsBetween(W.unboundedPreceding, -1))
@@ -249,6 +277,13 @@ def paragraphs(n: Nodes) -> DataFrame:
     )
 
 
+def paragraph_rows(n: Nodes) -> tuple[DataFrame, DataFrame]:
+    """``docx.runs`` and ``docx.paragraphs`` of the documents, without the way through one row a document; they stay dealt by document."""
+    kept = bucketed(paragraphs(n), n.folder, "paragraphs", n.buckets, ["doc_id"])
+    runs = kept.select("doc_id", "part_name", F.col("idx").alias("p_idx"), F.explode("runs").alias("r"))
+    return runs.select("doc_id", "part_name", "p_idx", "r.*"), kept.drop("story", "begin", "parent")
+
+
 def tables(n: Nodes, paragraphs: DataFrame) -> DataFrame:
     """(doc_id, tables) of the main parts."""
     nodes = n.told.filter(F.col("part_name") == MAIN)
@@ -456,7 +491,7 @@ def documents(n: Nodes, only: Sequence[str] | None = None) -> DataFrame:
     """The documents whose parts and nodes ``n`` has; see ``scan_parts``. ``only``: the columns that are wanted; the others are empty, and
     what they take isn't run."""
     folder = n.folder
-    told = staged(paragraphs(n), folder, "paragraphs")
+    told = staged(paragraphs(n), folder, "paragraphs") if only is None or {"paragraphs", "tables", "counts"} & set(only) else None
     kept = [c.split(":")[0] for c in "part_name idx text style_id section_index in_table in_sdt in_revision table_idx table_style break_types has_omml has_picture has_anchor instructions ppr runs".split()]
     in_order = lambda rows, *by: F.transform(F.array_sort(F.collect_list(F.struct(*by, F.struct(*rows).alias("x"))), lambda a, b: _compared(a, b, by)), lambda x: x["x"])
     files = n.files.groupBy("doc_id", "path").agg(F.max("size").alias("size"))

@@ -68,11 +68,11 @@ def _named(raw: Column, renames: Column, bare: bool) -> Column:
     return F.when(F.size(renames) == 0, raw).otherwise(new)
 
 
-def nodes(documents: DataFrame, keys: Sequence[str], xml: str, names: dict[str, str]) -> tuple[DataFrame, DataFrame]:
-    """The nodes of ``documents`` (keys, ``xml``), and (keys, error) of those that can't be read.
+def pieces(documents: DataFrame, keys: Sequence[str], xml: str, names: dict[str, str], kept: Sequence[str] = ()) -> DataFrame:
+    """The nodes of ``documents`` (keys, ``xml``) and what shows that one can't be read; see ``nodes`` and ``errors``. ``names``: prefixes by
+    namespace; ``kept``: columns that go along.
 
-    Nodes: keys, pos, end, level, parent, parent_name, name, attrs (map), text, first (of a text: it comes before its element's first child).
-    ``names``: prefixes by namespace."""
+    Documents that are dealt by ``keys``, or by some of them, stay where they are: they are cut there, and all windows follow those keys."""
     known = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
     declared = F.array_distinct(F.transform(F.regexp_extract_all(xml, F.lit(_DECLARED), F.lit(0)), lambda d: F.struct(F.regexp_extract(d, r"^\sxmlns:?([^\s=]*)", 1).alias("own"), _value(d).alias("uri"))))
 
@@ -81,49 +81,58 @@ def nodes(documents: DataFrame, keys: Sequence[str], xml: str, names: dict[str,
         new = F.when(prefix.isNotNull(), prefix).when(d["own"].isin(*names.values()), F.concat(F.lit("_"), d["own"])).otherwise(d["own"])
         return F.named_struct(F.lit("own"), d["own"], F.lit("to"), new)
 
-    docs = documents.select(*keys, F.col(xml).alias("_xml"), declared.alias("_declared"))
+    keys, kept = list(keys), list(kept)
+    docs = documents.select(*keys, *kept, F.col(xml).alias("_xml"), declared.alias("_declared"))
     twice = F.size(F.array_distinct(F.transform("_declared", lambda d: d["own"]))) < F.size("_declared")
     early = F.when(F.col("_xml").isNull(), "not text").when(F.upper("_xml").contains("<!DOCTYPE"), "it has a document type").when(twice, "a prefix is bound twice")
-    docs = docs.withColumn("_error", early)
     renames = F.filter(F.transform("_declared", to), lambda r: r["own"] != r["to"])
-    pieces = docs.filter("_error is null").select(*keys, renames.alias("_renames"), F.posexplode(F.regexp_extract_all("_xml", F.lit(_PIECE), F.lit(0))).alias("pos", "_piece"))
+    cut = F.when(F.col("_error").isNull(), F.regexp_extract_all("_xml", F.lit(_PIECE), F.lit(0))).otherwise(F.array(F.lit("")))
+    docs = docs.withColumn("_error", early).select(*keys, *kept, "_error", renames.alias("_renames"), F.posexplode_outer(cut).alias("pos", "_piece"))
+    rows = docs.select(*keys, *kept, "_error", "_renames", F.coalesce("pos", F.lit(0)).alias("pos"), F.coalesce("_piece", F.lit("")).alias("_piece"))
     piece = F.col("_piece")
     data = piece.startswith("<![CDATA[")
-    kind = F.when(~piece.startswith("<") | data, "text").when(piece.startswith("</"), "end").when(piece.startswith("<!") | piece.startswith("<?"), "other").when(piece == "<", "bad")
+    kind = F.when(piece == "", "other").when(~piece.startswith("<") | data, "text").when(piece.startswith("</"), "end").when(piece.startswith("<!") | piece.startswith("<?"), "other").when(piece == "<", "bad")
     kind = kind.when(piece.endswith("/>"), "empty").otherwise("begin")
     raw = F.regexp_extract(piece, r"^</?([^\s/>]+)", 1)
-    marked = pieces.withColumn("_kind", kind).withColumn("_name", F.when(F.col("_kind").isin("begin", "end", "empty"), _named(raw, F.col("_renames"), True)))
-    marked = with_levels(marked, keys, "pos", F.col("_kind") == "begin", F.col("_kind") == "end", "_level")
-    tag = F.col("_kind").isin("begin", "end", "empty")
-    marked = marked.withColumn("_last", F.last(F.when(tag, F.col("_kind")), ignorenulls=True).over(W.partitionBy(*keys).orderBy("pos").rowsBetween(W.unboundedPreceding, -1)))
-    paired = F.col("_kind").isin("begin", "end")
-    partner = W.partitionBy(*keys, "_level", "_paired").orderBy("pos")
-    marked = marked.withColumn("_paired", paired).withColumns({"_end": F.when(F.col("_paired"), F.lead("pos").over(partner)), "_end_name": F.when(F.col("_paired"), F.lead("_name").over(partner))})
-
-    # An element's parent is the last one that began a level above it, so each begin takes part in two levels.
-    above, own = F.struct((F.col("_level") - 1).alias("slot"), F.lit(True).alias("child")), F.struct(F.col("_level").alias("slot"), F.lit(False).alias("child"))
-    inside = F.struct(F.col("_level").alias("slot"), F.lit(True).alias("child"))
-    roles = F.when(F.col("_kind") == "begin", F.array(above, own)).when(F.col("_kind").isin("empty", "text"), F.array(inside))
-    slots = marked.select(*keys, "pos", "_name", F.inline(roles))
-    begun = F.last(F.when(~F.col("child"), F.struct("pos", "_name")), ignorenulls=True).over(W.partitionBy(*keys, "slot").orderBy("pos").rowsBetween(W.unboundedPreceding, 0))
-    parents = slots.withColumn("_up", F.when(F.col("slot") > 0, begun)).filter("child").select(*keys, "pos", F.col("_up.pos").alias("parent"), F.col("_up._name").alias("parent_name"))
-
+    is_text, tag = F.col("_kind") == "text", F.col("_kind").isin("begin", "end", "empty")
     text = F.when(data, F.regexp_replace(piece, r"^<!\[CDATA\[|\]\]>$", "")).otherwise(unescaped(piece))
     attributes = F.map_from_entries(F.transform(F.regexp_extract_all(piece, F.lit(_ATTRIBUTE), F.lit(0)), lambda a: F.struct(_named(F.regexp_extract(a, r"^[^\s=]+", 0), F.col("_renames"), False).alias("k"), _value(a).alias("v"))))
-    is_text = F.col("_kind") == "text"
-    level = F.when(F.col("_kind") == "begin", F.col("_level")).otherwise(F.col("_level") + 1)
-    end = F.when(F.col("_kind") == "begin", F.col("_end")).otherwise(F.col("pos"))
-    out = marked.filter(F.col("_kind").isin("begin", "empty", "text")).join(parents, [*keys, "pos"])
-    out = out.select(
-        *keys, "pos", end.alias("end"), level.alias("level"), "parent", "parent_name", F.when(is_text, F.lit(TEXT)).otherwise(F.col("_name")).alias("name"), F.when(~is_text, attributes).alias("attrs"),
-        F.when(is_text, text).alias("text"), F.when(is_text, F.col("_last") == "begin").alias("first"),
+    unknown = ~data & F.col("_kind").isin("text", "begin", "empty") & piece.rlike("&(?!" + _ENTITY[1:] + ")")
+    rows = rows.withColumn("_kind", kind).select(
+        *keys, *kept, "_error", "pos", "_kind", F.when(tag, _named(raw, F.col("_renames"), True)).alias("_name"), F.when(F.col("_kind").isin("begin", "empty"), attributes).alias("attrs"), F.when(is_text, text).alias("text"),
+        F.coalesce(unknown, F.lit(False)).alias("_unknown"), (is_text & piece.rlike(r"\S")).alias("_says"),
     )
-
-    lost = (F.col("_kind") == "begin") & (F.col("_end").isNull() | ~F.col("_name").eqNullSafe(F.col("_end_name")))
+    rows = with_levels(rows, keys, "pos", F.col("_kind") == "begin", F.col("_kind") == "end", "_level")
+    rows = rows.withColumn("_last", F.last(F.when(tag, F.struct("_kind", "pos", "_name")), ignorenulls=True).over(W.partitionBy(*keys).orderBy("pos").rowsBetween(W.unboundedPreceding, -1)))
+
+    # A slot holds what lies right in the elements of one level, and those elements' own ends. So behind a begin its end is the next there,
+    # and the parent is that of the last first child: what comes right behind a begin lies in it.
+    slot = F.when(F.col("_kind").isin("begin", "end"), F.col("_level")).when(F.col("_kind").isin("empty", "text"), F.col("_level") + 1)
+    began = F.when((F.col("_last._kind") == "begin") & F.col("_kind").isin("begin", "empty", "text") & (F.col("_slot") > 1), F.struct(F.col("_last.pos").alias("pos"), F.col("_last._name").alias("name")))
+    beside = W.partitionBy(*keys, "_slot").orderBy("pos")
+    rows = rows.withColumn("_slot", slot).withColumn("_began", began)
+    rows = rows.withColumns({"_end": F.lead("pos").over(beside), "_end_name": F.lead("_name").over(beside), "_up": F.last("_began", ignorenulls=True).over(beside.rowsBetween(W.unboundedPreceding, 0))})
+
+    begins, node = F.col("_kind") == "begin", F.col("_kind").isin("begin", "empty", "text")
+    lost = begins & (F.col("_end").isNull() | ~F.col("_name").eqNullSafe(F.col("_end_name")))
     loose = (F.col("_kind") == "end") & F.col("_level").isNull() | (F.col("_kind") == "bad")
-    outside = is_text & (F.col("_level") == 0) & piece.rlike(r"\S")
-    unknown = ~data & F.col("_kind").isin("text", "begin", "empty") & piece.rlike("&(?!" + _ENTITY[1:] + ")")
-    root = (F.col("_kind") == "begin") & (F.col("_level") == 1) | (F.col("_kind") == "empty") & (F.col("_level") == 0)
-    whole = marked.groupBy(*keys).agg((F.bool_or(F.coalesce(lost | loose | outside | unknown, F.lit(False))) | (F.count_if(root) != 1)).alias("_bad"))
-    bad = docs.select(*keys, "_error").join(whole, list(keys), "left").select(*keys, F.coalesce("_error", F.when(F.coalesce("_bad", F.lit(True)), "not well formed")).alias("error")).filter("error is not null")
-    return out, bad
+    outside = F.col("_says") & (F.col("_level") == 0)
+    fault = F.coalesce("_error", F.when(F.coalesce(lost | loose | outside | F.col("_unknown"), F.lit(False)), "not well formed"))
+    root = begins & (F.col("_level") == 1) | (F.col("_kind") == "empty") & (F.col("_level") == 0)
+    return rows.select(
+        *keys, *kept, "pos", F.when(begins, F.col("_end")).otherwise(F.col("pos")).alias("end"), F.col("_slot").alias("level"), F.col("_up.pos").alias("parent"), F.col("_up.name").alias("parent_name"),
+        F.when(is_text, F.lit(TEXT)).when(node, F.col("_name")).alias("name"), "attrs", "text", F.when(is_text, F.col("_last._kind") == "begin").alias("first"), fault.alias("fault"), root.alias("root"),
+    ).filter("name is not null or fault is not null or pos = 0")
+
+
+def nodes(pieces: DataFrame) -> DataFrame:
+    """The nodes among ``pieces``: keys, pos, end, level, parent, parent_name, name, attrs (map), text, first (of a text: it comes before its
+    element's first child)."""
+    return pieces.filter("name is not null").drop("fault", "root")
+
+
+def errors(pieces: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, error) of the documents of ``pieces`` that can't be read."""
+    early = F.max(F.when(F.col("fault") != "not well formed", F.col("fault")))
+    bad = F.bool_or(F.col("fault").isNotNull()) | (F.count_if("root") != 1)
+    return pieces.groupBy(*keys).agg(F.coalesce(early, F.when(bad, "not well formed")).alias("error")).filter("error is not null")

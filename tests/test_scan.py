@@ -6,8 +6,10 @@ import zipfile
 
 import pytest
 
+from pagemill.sources import xml
 from pagemill.sources.parts import SCHEMA, parts_of, read_parts
-from pagemill.sources.scan import scan_parts
+from pagemill.sources.scan import Nodes, paragraphs, scan_parts
+from pagemill.storage import discard, dealt_already, scratch
 
 from . import test_audit as A
 from . import trees
@@ -131,3 +133,30 @@ def test_what_isnt_xml_comes_without_content(spark, tmp_path):
 
 def test_no_packages(spark, tmp_path):
     assert scan_parts(read_parts(spark, str(tmp_path))).count() == 0
+
+
+def test_paragraphs_are_made_where_their_nodes_lie(spark):
+    """The parts are dealt by document once; of what follows only the list of stories is shuffled."""
+    most = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")  # the least, so that small inputs are as many parts as shuffles
+    try:
+        files = spark.createDataFrame([(k, bytearray(PACKAGES[k])) for k in ("rich", "good")], "path string, content binary")
+        named = {t.name for t in spark.catalog.listTables()}
+        n = Nodes(parts_of(files), scratch(spark), contents=False)
+        with dealt_already(spark):
+            plan = paragraphs(n)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") <= 1, plan
+        assert "content" not in n.files.columns and n.files.filter("part_name is not null").count() == n.parts.count()
+        discard(spark, n.folder)
+        assert {t.name for t in spark.catalog.listTables()} <= named
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", most)
+
+
+def test_faults_and_parents_in_one_pass(spark):
+    """Comments, loose ends, text outside and several roots; parents of first children, of later ones and behind texts."""
+    cases = {"ok": "<!--x--><a>t<b><c/>u</b><b/>v<d>w</d></a>", "none": "", "comment": "<!--x-->", "loose": "<a/></a>", "text": "<a/>x", "roots": "<a/><b/>", "open": "<a><b></a>", "crossed": "<a><b></a></b>", "bad": "<a>&x;</a>", "type": "<!DOCTYPE a><a/>"}
+    rows = xml.pieces(spark.createDataFrame(list(cases.items()), "k string, x string"), ["k"], "x", {})
+    assert {r.k: r.error for r in xml.errors(rows, ["k"]).collect()} == {k: "it has a document type" if k == "type" else "not well formed" for k in cases if k != "ok"}
+    got = [(r.pos, r.end, r.level, r.parent, r.name) for r in xml.nodes(rows).filter("k = 'ok'").sort("pos").collect()]
+    assert got == [(1, 12, 1, None, "a"), (2, 2, 2, 1, "#text"), (3, 6, 2, 1, "b"), (4, 4, 3, 3, "c"), (5, 5, 3, 3, "#text"), (7, 7, 2, 1, "b"), (8, 8, 2, 1, "#text"), (9, 11, 2, 1, "d"), (10, 10, 3, 9, "#text")]
