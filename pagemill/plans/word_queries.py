@@ -97,8 +97,7 @@ _LINES = f"""l AS (
   CAST(count(*) FILTER (i % 13 = 12) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS INTEGER) AS section_index, i % 11 = 10 AS in_table,
   CASE WHEN i % 11 = 10 THEN CAST((i - 10) // 11 AS INTEGER) END AS table_idx, CAST(2 + CASE WHEN i % 9 = 8 THEN 1 ELSE 0 END + CASE WHEN i % 6 = 5 THEN 6 ELSE 0 END AS INTEGER) AS runs FROM p""")
 def word_paragraphs(spark, sf_dir):
-    n = scan.Nodes(packages(spark, sf_dir), scratch(spark, "queries"))
-    return scan.paragraphs(n).select("doc_id", "idx", "text", "style_id", "section_index", "in_table", "table_idx", F.size("runs").alias("runs"))
+    return answered(spark, sf_dir, lambda n: scan.paragraphs(n).select("doc_id", "idx", "text", "style_id", "section_index", "in_table", "table_idx", F.size("runs").alias("runs")))
 
 
 @query(f"""WITH {_LINES}, r AS (
