@@ -113,8 +113,7 @@ def word_runs(spark, sf_dir):
 
 @query(f"WITH {_LINES} SELECT doc_id, command, count(*) AS n FROM (SELECT doc_id, unnest(['REF', 'PAGE']) AS command FROM p WHERE i % 6 = 5) GROUP BY ALL")
 def word_fields(spark, sf_dir):
-    n = scan.Nodes(packages(spark, sf_dir), scratch(spark, "queries"))
-    return scan.commands(scan.field_marks(n.told), scan.K).groupBy("doc_id", "command").agg(F.count(F.lit(1)).alias("n"))
+    return answered(spark, sf_dir, lambda n: scan.commands(scan.field_marks(n.told), scan.K).groupBy("doc_id", "command").agg(F.count(F.lit(1)).alias("n")))
 
 
 _COUNTED = {
