@@ -126,9 +126,8 @@ _COUNTED = {
 
 @query(f"WITH {_LINES} " + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS key, CAST({v.replace(chr(92) + 'u00a0', chr(160)).replace(chr(92) + 'u3000', chr(12288))} AS BIGINT) AS n FROM p GROUP BY doc_id" for k, v in _COUNTED.items()))
 def word_counts(spark, sf_dir):
-    n = scan.Nodes(packages(spark, sf_dir), scratch(spark, "queries"))
-    rows = scan.counts(n, scan.texts(n)).select("doc_id", F.explode("counts").alias("key", "n"))
-    return rows.filter(F.col("key").isin(*_COUNTED))
+    rows = lambda n: scan.counts(n, scan.texts(n)).select("doc_id", F.explode("counts").alias("key", "n"))
+    return answered(spark, sf_dir, lambda n: rows(n).filter(F.col("key").isin(*_COUNTED)))
 
 
 # In styles a true flag inverts what is set, so Quote, bold on the bold Base, is not bold; direct formatting replaces.
