@@ -1,7 +1,8 @@
 """Effective formats: document defaults, table style, paragraph style, character style, direct formatting, in that order.
 
 Styles are resolved once for each combination of styles that a document uses; a run or paragraph then adds its direct formatting.
-Every value keeps the layer that set it. Missing values stay null: unresolved isn't wrong.
+Every value keeps the layer that set it. Missing values stay null: unresolved isn't wrong. Styles of many documents from one template take
+little room in files and much in memory, so none of these joins goes by the size of a file.
 """
 
 from __future__ import annotations
@@ -134,9 +135,9 @@ def run_formats(docs: DataFrame, runs: DataFrame, paragraphs: DataFrame) -> Data
     rows = runs.join(paragraphs.select("doc_id", "part_name", F.col("idx").alias("p_idx"), F.col("style_id").alias("p_style"), "table_style"), ["doc_id", "part_name", "p_idx"])
     used = rows.select("doc_id", "table_style", "p_style", F.col("style_id").alias("r_style")).distinct()
     base = _base("default_rpr", "rpr", {"table": "table_style", "paragraph": "p_style", "character": "r_style"})
-    folded = used.join(styles_of(docs), "doc_id").select("doc_id", F.col("table_style").alias("t"), F.col("p_style").alias("p"), F.col("r_style").alias("r"), fold(base).alias("base"), "theme")
+    folded = used.join(styles_of(docs).hint("merge"), "doc_id").select("doc_id", F.col("table_style").alias("t"), F.col("p_style").alias("p"), F.col("r_style").alias("r"), fold(base).alias("base"), "theme")
     same = (rows["doc_id"] == F.col("d")) & rows["table_style"].eqNullSafe(F.col("t")) & rows["p_style"].eqNullSafe(F.col("p")) & rows["style_id"].eqNullSafe(F.col("r"))
-    out = rows.join(folded.withColumnRenamed("doc_id", "d"), same)
+    out = rows.join(folded.withColumnRenamed("doc_id", "d").hint("merge"), same)
     direct = F.transform_values(run_layer(F.col("rpr"), F.col("theme")), lambda k, v: F.struct(v.alias("v"), F.lit("direct-run").alias("source")))
     out = out.withColumn("_direct", direct)
     out = out.withColumn("fmt", F.map_concat(F.map_filter("base", lambda k, v: ~F.map_contains_key("_direct", k)), F.col("_direct")))
@@ -149,8 +150,8 @@ def paragraph_formats(docs: DataFrame, paragraphs: DataFrame) -> DataFrame:
     used = paragraphs.select("doc_id", "table_style", F.col("style_id").alias("p_style")).distinct()
     base = _base("default_ppr", "ppr", {"table": "table_style", "paragraph": "p_style"})
     name = F.coalesce(_get(F.col("styles"), F.concat(F.lit("paragraph:"), F.col("p_style")))["name"], F.col("p_style"), F.lit(""))
-    folded = used.join(styles_of(docs), "doc_id").select(F.col("doc_id").alias("d"), F.col("table_style").alias("t"), F.col("p_style").alias("p"), fold(base).alias("base"), name.alias("style_name"))
-    out = paragraphs.join(folded, (paragraphs["doc_id"] == F.col("d")) & paragraphs["table_style"].eqNullSafe(F.col("t")) & paragraphs["style_id"].eqNullSafe(F.col("p")))
+    folded = used.join(styles_of(docs).hint("merge"), "doc_id").select(F.col("doc_id").alias("d"), F.col("table_style").alias("t"), F.col("p_style").alias("p"), fold(base).alias("base"), name.alias("style_name"))
+    out = paragraphs.join(folded.hint("merge"), (paragraphs["doc_id"] == F.col("d")) & paragraphs["table_style"].eqNullSafe(F.col("t")) & paragraphs["style_id"].eqNullSafe(F.col("p")))
     direct = F.transform_values(paragraph_layer(F.col("ppr")), lambda k, v: F.struct(v.alias("v"), F.lit("direct-paragraph").alias("source")))
     out = out.withColumn("_direct", direct)
     out = out.withColumn("fmt", F.map_concat(F.map_filter("base", lambda k, v: ~F.map_contains_key("_direct", k)), F.col("_direct")))

@@ -138,11 +138,12 @@ def word_counts(spark, sf_dir):
   CASE WHEN half = 0 AND i % 6 = 0 THEN FALSE WHEN half = 0 AND i % 3 = 0 THEN TRUE WHEN style = 'H1' THEN TRUE WHEN style = 'Quote' THEN FALSE END AS bold,
   CASE WHEN style IS NULL THEN '112233' ELSE '99B3CC' END AS colour FROM r WHERE text <> ''""")
 def word_formats(spark, sf_dir):
-    docs = scanned(spark, sf_dir)
-    from ..sources import docx
+    def rows(n: scan.Nodes) -> DataFrame:
+        runs, paragraphs = scan.paragraph_rows(n)
+        out = formats.run_formats(scan.documents(n, only=_STYLED), runs.filter("text <> ''"), paragraphs)
+        return out.select("doc_id", "p_idx", "text", "size_pt", F.try_element_at("fmt", F.lit("sz"))["source"].alias("size_from"), "bold", "colour")
 
-    rows = formats.run_formats(docs, docx.runs(docs), docx.paragraphs(docs)).filter("text <> ''")
-    return rows.select("doc_id", "p_idx", "text", "size_pt", F.try_element_at("fmt", F.lit("sz"))["source"].alias("size_from"), "bold", "colour")
+    return answered(spark, sf_dir, rows)
 
 
 _FREE = """CASE WHEN s = '' THEN 'empty' WHEN lower(c) = 'abstract' THEN 'abstract_title_en' WHEN regexp_matches(s, '^(?i:key\\s*words?\\s*[:：])') THEN 'keywords_en' WHEN c = '目录' THEN 'toc_title'

@@ -8,7 +8,8 @@ import pytest
 
 from pagemill.sources import xml
 from pagemill.sources.parts import SCHEMA, parts_of, read_parts
-from pagemill.sources.scan import Nodes, paragraphs, scan_parts
+from pagemill.plans import formats
+from pagemill.sources.scan import Nodes, documents, paragraph_rows, paragraphs, scan_parts
 from pagemill.storage import discard, dealt_already, scratch
 
 from . import test_audit as A
@@ -160,3 +161,16 @@ def test_faults_and_parents_in_one_pass(spark):
     assert {r.k: r.error for r in xml.errors(rows, ["k"]).collect()} == {k: "it has a document type" if k == "type" else "not well formed" for k in cases if k != "ok"}
     got = [(r.pos, r.end, r.level, r.parent, r.name) for r in xml.nodes(rows).filter("k = 'ok'").sort("pos").collect()]
     assert got == [(1, 12, 1, None, "a"), (2, 2, 2, 1, "#text"), (3, 6, 2, 1, "b"), (4, 4, 3, 3, "c"), (5, 5, 3, 3, "#text"), (7, 7, 2, 1, "b"), (8, 8, 2, 1, "#text"), (9, 11, 2, 1, "d"), (10, 10, 3, 9, "#text")]
+
+
+def test_formats_broadcast_no_styles(spark):
+    """Equal styles are small as files, however many documents have them; no join may take that for their size in memory."""
+    files = spark.createDataFrame([("good", bytearray(PACKAGES["good"]))], "path string, content binary")
+    n = Nodes(parts_of(files), scratch(spark), contents=False)
+    runs, rows = paragraph_rows(n)
+    docs = documents(n, only=("styles", "default_ppr", "default_rpr", "theme"))
+    for out in (formats.run_formats(docs, runs, rows), formats.paragraph_formats(docs, rows)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("SortMergeJoin") >= 2, plan  # with the styles, and with what they come to
+        assert out.count() == (runs if "p_idx" in out.columns else rows).count()
+    discard(spark, n.folder)
