@@ -71,11 +71,6 @@ def packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("doc_id").alias("path"), "doc_id", F.lit(0).cast("long").alias("size"), "p.part_name", size.alias("part_size"), F.sha2("p.content", 256).alias("sha256"), "p.content", F.lit(None).cast("string").alias("error"))
 
 
-def scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = scan.Nodes(packages(spark, sf_dir), scratch(spark, "queries"))
-    return scan.documents(n, only=("paragraphs", "styles", "default_ppr", "default_rpr", "theme"))
-
-
 def answered(spark: SparkSession, sf_dir: str, rows: Callable[[scan.Nodes], DataFrame]) -> DataFrame:
     """``rows`` of the packages' nodes, written; all other tables of the scan go."""
     folder = scratch(spark, "queries")
@@ -168,8 +163,8 @@ _FREE = """CASE WHEN s = '' THEN 'empty' WHEN lower(c) = 'abstract' THEN 'abstra
 ) SELECT doc_id, i AS idx, CASE WHEN free IS NOT NULL THEN free WHEN entry THEN 'reference_entry' WHEN heading THEN 'heading_1' WHEN opened THEN 'body' ELSE CASE base WHEN 'abstract_en' THEN 'abstract_body_en' WHEN 'toc' THEN 'toc_related_text'
   WHEN 'acknowledgements' THEN 'acknowledgements_body' WHEN 'appendix' THEN 'appendix_body' ELSE 'body' END END AS role FROM o""")
 def word_roles(spark, sf_dir):
-    docs = scanned(spark, sf_dir)
-    from ..sources import docx
+    def rows(n: scan.Nodes) -> DataFrame:
+        paragraphs = scan.paragraph_rows(n)[1].filter(F.col("part_name") == MAIN)
+        return roles.classify(formats.paragraph_formats(scan.documents(n, only=_STYLED), paragraphs)).select("doc_id", "idx", "role")
 
-    main = formats.paragraph_formats(docs, docx.paragraphs(docs)).filter(F.col("part_name") == MAIN)
-    return roles.classify(main).select("doc_id", "idx", "role")
+    return answered(spark, sf_dir, rows)
