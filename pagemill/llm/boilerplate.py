@@ -20,8 +20,11 @@ pages) are boilerplate and go; the rest, the unique runs, stays. A passage of an
 does a part of a block. If a page's articles hold less text than what stays outside of them, they are teasers and both are the text;
 else the articles are.
 
-A host of more than ``PART_PAGES`` pages or ``PART_BYTES`` of html is dealt by a hash of the rows into parts of about that size, each of
-which has an array: hundreds of pages, among which a share of the host's pages shows as the same share.
+A host of more than ``PART_PAGES`` pages or ``PART_BYTES`` of html is dealt by a hash of the blocks into parts of about that size, each of
+which has an array, so that equal pages meet. The parts then tell each other what their arrays can't see, by 64-bit hashes of the ``DEPTH``
+tokens of a window: which stretches of hashes two parts use, on how many pages the windows in those lie, and, if the host has open blocks,
+on how many pages that count. So the counts are those of the whole host, and parts change no result. Copies that fill a batch of rows
+leave one row in their part; the others are judged in parts where they count as no page.
 
 Defined cases: null or empty html gives empty text; null urls are one host, without a name; null ``page_id`` and repeated rows stay, and
 equal pages of a host count as one; a very long page is parsed whole and needs about a hundred bytes a token; an empty table gives no
@@ -31,14 +34,18 @@ rows; other columns, whatever their names, are ignored.
 from __future__ import annotations
 
 import html as entities
+import hashlib
 import math
 import re
+import zlib
 from array import array
-from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +54,7 @@ from .shared import partitions, table, written
 DEPTH, REACH = 8, 64  # tokens; powers of two
 LEAST_PAGES, SHARE, COPIED = 3, 0.05, 0.75
 PART_PAGES, PART_BYTES, BROADCAST_HOSTS = 500, 1 << 23, 10_000
+HOT = 8  # copies in one batch
 TEXT, NOT_TEXT, OPEN, OPEN_OUTSIDE = range(4)
 
 _TAG = re.compile(
@@ -277,12 +285,18 @@ def repeats(ids: np.ndarray, owner: np.ndarray, depth: int = DEPTH) -> tuple[np.
     return longest, window
 
 
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct values, ascending."""
+    values = np.sort(values)
+    return values[np.append(True, values[1:] != values[:-1])] if len(values) else values
+
+
 def holders(window: np.ndarray, owner: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """For each position: how many of the owners that count (``counts``, by owner) have its window."""
     if not len(window):
         return window
     n, own = len(counts), counts[owner]
-    distinct = np.unique(window[own] * n + owner[own]) // n
+    distinct = _distinct(window[own] * n + owner[own]) // n
     return np.bincount(distinct, minlength=int(window.max()) + 1)[window]
 
 
@@ -319,39 +333,246 @@ def covered(streams: list[list[str]], depth: int = DEPTH) -> list[np.ndarray]:
     return [cover[e - len(s) - 1 : e - 1] for s, e in zip(streams, ends, strict=True)]
 
 
-def main_texts(pages: list[list[tuple[int, str]]], depth: int = DEPTH, share: float = SHARE) -> list[tuple[str, int, int]]:
-    """Of each of a host's pages, as blocks: the main text, how many of its tokens other pages have in runs of ``depth`` or more, and how
-    many tokens of open blocks were boilerplate."""
-    distinct: dict[tuple, int] = {}
-    for page in pages:
-        distinct.setdefault(tuple(page), len(distinct))
-    ids, owner, sizes_of = _concatenated((t.split(" ") for _, t in page) for page in distinct)
+class _Part:
+    """The distinct pages of a part, as blocks, and their tokens, numbered. A page that isn't ``home`` is here to be judged only."""
+
+    def __init__(self, pages: list[tuple[tuple[int, str], ...]], home: list[bool], depth: int):
+        self.pages, self.home, self.depth, n = pages, np.array(home, bool), depth, len(pages)
+        self.texts = pa.array([t for page in pages for _, t in page], pa.string())
+        self.kinds = np.array([k for page in pages for k, _ in page], np.int64)
+        words = pc.split_pattern(self.texts, " ")
+        coded = words.flatten().dictionary_encode()
+        self.vocabulary = coded.dictionary
+        self.sizes = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.page_of = np.repeat(np.arange(n), [len(page) for page in pages])
+        blocks = np.repeat(np.arange(len(self.sizes)), self.sizes + 1)
+        ends = np.cumsum(self.sizes + 1) - 1
+        token = np.ones(len(blocks), bool)
+        token[ends] = False
+        self.ids = np.empty(len(blocks), np.int64)
+        self.ids[token], self.ids[ends] = coded.indices.to_numpy(zero_copy_only=False), -1 - np.arange(len(ends))
+        self.owner = self.page_of[blocks]
+        self.starts = ends[blocks] - np.arange(len(blocks)) >= depth  # a window begins here
+        self.left = token & (self.kinds != NOT_TEXT)[blocks]
+        self.short = np.nonzero(self.sizes < depth)[0]
+        self.opened = bool(np.isin(self.kinds, (OPEN, OPEN_OUTSIDE)).any())
+
+    def hashes(self) -> np.ndarray:
+        """Of each position, a hash of the tokens of the window there; without meaning where none begins."""
+        out, width = np.append(_hashed(self.vocabulary, "of one token...."), np.uint64(0))[np.maximum(self.ids, -1)], 1
+        while width < self.depth:
+            after = np.zeros_like(out)
+            after[:-width] = out[width:]
+            out = out * np.uint64(0x9E3779B97F4A7C15) + after
+            out = (out ^ (out >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            out = (out ^ (out >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            out, width = out ^ (out >> np.uint64(31)), width * 2
+        return out
+
+    def short_hashes(self) -> np.ndarray:
+        return _hashed(self.texts.take(pa.array(self.short, pa.int64())), "of a whole block")
+
+    def counted(self, elsewhere: np.ndarray) -> np.ndarray:
+        """The pages that don't share over ``COPIED`` of their tokens."""
+        shared, words = (np.bincount(self.owner[x], minlength=len(self.pages)) for x in (self.left & elsewhere, self.left))
+        return shared <= COPIED * words
+
+
+def _hashed(texts: pa.Array, key: str) -> np.ndarray:
+    return pd.util.hash_array(texts.to_numpy(zero_copy_only=False), hash_key=key, categorize=False) if len(texts) else np.zeros(0, np.uint64)
+
+
+Counts = tuple[np.ndarray, np.ndarray]  # hashes in order, and a count of each
+NO_COUNTS: Counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+
+def _looked_up(counts: Counts, hashes: np.ndarray) -> np.ndarray:
+    """The count of each hash, 0 where it has none."""
+    keys, values = counts
+    if not len(keys):
+        return np.zeros(len(hashes), np.int64)
+    at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+    return np.where(keys[at] == hashes, values[at], 0)
+
+
+def _pages_with(hashes: np.ndarray, owner: np.ndarray, counts: np.ndarray) -> Counts:
+    """On how many of the pages that count each hash is."""
+    keys, number = np.unique(hashes, return_inverse=True)
+    n = max(len(counts), 1)
+    distinct = _distinct(number * n + owner)
+    return keys, np.bincount(distinct // n, counts[distinct % n], len(keys)).astype(np.int64)
+
+
+def _decided(part: _Part, share: float, total: Counts = NO_COUNTS, counting: Counts = NO_COUNTS, pages: int | None = None) -> list[tuple[str, int, int]]:
+    """Of each page what ``main_texts`` returns. Other parts of the host add: the pages with each window that several parts have, those of
+    them that count, also by short blocks, and how many pages of the host count."""
+    depth, ids, owner = part.depth, part.ids, part.owner
     longest, window = repeats(ids, owner, depth)
     elsewhere = _spread(longest >= depth, longest)
-    left = np.repeat([k != NOT_TEXT for page in distinct for k, _ in page], [n + 1 for sizes in sizes_of for n in sizes]).astype(bool) & (ids >= 0)
-    shared, words = (np.bincount(owner[x], minlength=len(distinct)) for x in (left & elsewhere, left))
-    counts = shared <= COPIED * words
-    need = max(LEAST_PAGES, math.ceil(share * int(counts.sum())))
-    boilerplate = _spread(holders(window, owner, counts) >= need, depth) if len(ids) else elsewhere
-    short = Counter(t for page, sizes, counted in zip(distinct, sizes_of, counts.tolist(), strict=True) if counted for t in {x for (_, x), n in zip(page, sizes, strict=True) if n < depth})
-    found, at = [], 0
-    for page, sizes in zip(distinct, sizes_of, strict=True):
-        gone, repeated = [], []
-        for (_, text), n in zip(page, sizes, strict=True):
+    if len(total[0]):
+        first = np.unique(window, return_index=True)[1]  # one position of each window of the array
+        hashes, real = part.hashes()[first], part.starts[first]
+        elsewhere |= _spread((real & (_looked_up(total, hashes) > 1))[window], depth)
+    counts = part.counted(elsewhere) & part.home
+    need = max(LEAST_PAGES, math.ceil(share * (int(counts.sum()) if pages is None else pages)))
+    held = holders(window, owner, counts)
+    if len(total[0]) and len(counting[0]):
+        held = np.maximum(held, np.where(real, _looked_up(counting, hashes), 0)[window])
+    boilerplate = _spread(held >= need, depth) if len(ids) else elsewhere
+    texts, page_of, sizes = part.texts.to_pylist(), part.page_of.tolist(), part.sizes.tolist()
+    short = Counter(t for _, t in {(page_of[i], texts[i]) for i in part.short.tolist() if counts[page_of[i]]})
+    if len(counting[0]):
+        for i, n in zip(part.short.tolist(), _looked_up(counting, part.short_hashes()).tolist(), strict=True):
+            short[texts[i]] = max(short[texts[i]], n)
+    found, at, block = [], 0, 0
+    for page in part.pages:
+        gone, repeated, own = [], [], sizes[block : block + len(page)]
+        for (_, text), n in zip(page, own, strict=True):
             here = slice(at, at + n)
             gone.append(bool(boilerplate[here].all()) if n >= depth else short[text] >= need)
             repeated.append(int(elsewhere[here].sum()))
             at += n + 1
+        block += len(page)
         open_ = [i for i, (kind, _) in enumerate(page) if kind in (OPEN, OPEN_OUTSIDE)]
         left = [i for i in open_ if not gone[i]]
         inside = {i for i, (kind, _) in enumerate(page) if kind == TEXT} | {i for i in left if page[i][0] == OPEN}
-        if sum(sizes[i] for i in inside) < sum(sizes[i] for i in left if page[i][0] == OPEN_OUTSIDE):
+        if sum(own[i] for i in inside) < sum(own[i] for i in left if page[i][0] == OPEN_OUTSIDE):
             inside |= set(left)
         kept = sorted(inside)
-        found.append((" ".join(page[i][1] for i in kept), sum(repeated[i] for i in kept), sum(sizes[i] for i in open_) - sum(sizes[i] for i in left)))
+        found.append((" ".join(page[i][1] for i in kept), sum(repeated[i] for i in kept), sum(own[i] for i in open_) - sum(own[i] for i in left)))
+    return found
+
+
+def main_texts(pages: list[list[tuple[int, str]]], depth: int = DEPTH, share: float = SHARE) -> list[tuple[str, int, int]]:
+    """Of each of a host's pages, as blocks: the main text, how many of its tokens other pages have in runs of ``depth`` or more, and how
+    many tokens of open blocks were boilerplate."""
+    distinct: dict[tuple, int] = {}
+    for page in pages:
+        distinct.setdefault(tuple(page), len(distinct))
+    found = _decided(_Part(list(distinct), [True] * len(distinct), depth), share)
     return [found[distinct[tuple(page)]] for page in pages]
 
 
+# What a part tells of one range of hashes (``bucket``) and what it hears back there: hashes in order, counts of them, pages that count.
+_TOLD = "host string, part int, cell int, bucket int, step int, hashes binary, counts binary, pages long, opened boolean"
+_Told = tuple[np.ndarray, np.ndarray, int, bool]
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """Ascending hashes as their differences, byte by byte."""
+    return zlib.compress(np.diff(values, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    columns = zip(*rows, strict=True) if rows else [[]] * len(schema)
+    return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+_TOLD_SCHEMA = pa.schema(
+    [("host", pa.string()), ("part", pa.int32()), ("cell", pa.int32()), ("bucket", pa.int32()), ("step", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary()), ("pages", pa.int64()), ("opened", pa.bool_())]
+)
+
+
+def _met(told: pa.Table) -> pa.Table:
+    """What parts told of one bucket: each hears of the hashes that another part has told too, with the sums of their counts."""
+    rows = told.to_pylist()
+    hashes = [_unpacked(r["hashes"]) for r in rows]
+    keys, number, parts = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+    sums = np.bincount(number, np.concatenate([np.frombuffer(zlib.decompress(r["counts"]), np.int32) for r in rows]), len(keys)).astype(np.int32)
+    pages, opened, out, at = sum(r["pages"] for r in rows), any(r["opened"] for r in rows), [], 0
+    for r, own in zip(rows, hashes, strict=True):
+        which = number[at : at + len(own)]
+        which, at = which[parts[which] > 1], at + len(own)
+        out.append((r["host"], r["part"], r["cell"], r["bucket"], r["step"], _packed(keys[which]), zlib.compress(sums[which].tobytes(), 1), pages, opened))
+    return _table(out, _TOLD_SCHEMA)
+
+
+def _heard(rows: list[dict]) -> tuple[Counts, int, bool]:
+    """What a part has heard back in one step from all buckets."""
+    if not rows:
+        return NO_COUNTS, 0, False
+    rows = sorted(rows, key=lambda r: r["bucket"])
+    counts = np.concatenate([np.frombuffer(zlib.decompress(r["counts"]), np.int32) for r in rows]).astype(np.int64)
+    return (np.concatenate([_unpacked(r["hashes"]) for r in rows]), counts), rows[0]["pages"], rows[0]["opened"]
+
+
+def _tells_stretches(part: _Part, bits: int, heard: dict[int, list[dict]]) -> _Told:
+    """The stretches of hashes, by their first ``bits``, that the part's windows use; about thirty for each window of the host."""
+    stretches = _distinct(part.hashes()[part.starts] >> np.uint64(64 - bits)) << np.uint64(64 - bits)
+    return stretches, np.zeros(len(stretches), np.int32), 0, part.opened
+
+
+def _tells_windows(part: _Part, bits: int, heard: dict[int, list[dict]]) -> _Told:
+    """The windows in stretches that other parts use, and on how many pages they are."""
+    (stretches, _), _, opened = _heard(heard[0])
+    hashes, owner = part.hashes()[part.starts], part.owner[part.starts]
+    used = _looked_up((stretches, np.ones(len(stretches), np.int64)), hashes >> np.uint64(64 - bits) << np.uint64(64 - bits)) > 0
+    return *_pages_with(hashes[used], owner[used], part.home), 0, opened
+
+
+def _tells_counting(part: _Part, bits: int, heard: dict[int, list[dict]]) -> _Told | None:
+    """On how many pages that count the windows of several parts are, and the short blocks; nothing if the host leaves no block open."""
+    total, _, opened = _heard(heard[1])
+    if not opened:
+        return None
+    hashes, owner = part.hashes(), part.owner
+    starts = np.nonzero(part.starts)[0]
+    pages = np.maximum(_looked_up(total, hashes[starts]), _looked_up(_pages_with(hashes[starts], owner[starts], part.home), hashes[starts]))
+    elsewhere = np.zeros(len(hashes), bool)
+    elsewhere[starts] = pages > 1
+    counts = part.counted(_spread(elsewhere, part.depth)) & part.home
+    often = starts[_looked_up(total, hashes[starts]) >= LEAST_PAGES]
+    return *_pages_with(np.concatenate([hashes[often], part.short_hashes()]), np.concatenate([owner[often], part.page_of[part.short]]), counts), int(counts.sum()), True
+
+
+def _parts(rows: pa.Table, depth: int, least: int) -> Iterator[tuple[str, int, dict, _Part, list[tuple[list, int]]]]:
+    """The parts in a table of rows, of hosts with ``least`` parts or more: host, part, one row, the distinct pages, and of each row the
+    pages' ids and urls and which page it is."""
+    groups = defaultdict(list)
+    for i, key in enumerate(zip(*(rows.column(c).to_pylist() for c in ("host", "part", "parts")), strict=True)):
+        if key[2] >= least:
+            groups[key[:2]].append(i)
+    for (host, part), at in groups.items():
+        distinct: dict[tuple, int] = {}
+        home, of = [], []
+        for row in rows.take(at).to_pylist():
+            texts = zlib.decompress(row["body"]).decode().split("\n") if row["kinds"] else []
+            number = distinct.setdefault(tuple(zip(row["kinds"], texts, strict=True)), len(distinct))
+            if number == len(home):
+                home.append(row["home"])
+            of.append((row["pages"], number))
+        yield host, part, row, _Part(list(distinct), home, depth), of
+
+
+def _telling(step: int, tells: Callable[..., _Told | None], depth: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """A function of a cell's rows and of what its parts have heard, to what they tell in this step."""
+
+    def told(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        heard, out = _by_part(answers), []
+        for host, part, row, pages, _ in _parts(rows, depth, 2):
+            if said := tells(pages, row["bits"], heard[host, part]):
+                hashes, counts, n, opened = said
+                buckets = -(-row["parts"] // 8)
+                edges = np.searchsorted((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1))
+                for b, (i, j) in enumerate(zip(edges, edges[1:], strict=False)):
+                    out.append((host, part, row["cell"], b, step, _packed(hashes[i:j]), zlib.compress(counts[i:j].astype(np.int32).tobytes(), 1), n, opened))
+        return _table(out, _TOLD_SCHEMA)
+
+    return told
+
+
+def _by_part(answers: pa.Table) -> dict[tuple[str, int], dict[int, list[dict]]]:
+    heard = defaultdict(lambda: defaultdict(list))
+    for r in answers.to_pylist():
+        heard[r["host"], r["part"]][r["step"]].append(r)
+    return heard
+
+
 def main_text(df: DataFrame, depth: int = DEPTH, share: float = SHARE, part_pages: int = PART_PAGES, part_bytes: int = PART_BYTES) -> DataFrame:
     """Per row of ``df`` (page_id, url, html): page_id, url, text, n_repeated (its tokens in runs that other pages of the host have), and
     n_removed (tokens of open blocks that were boilerplate)."""
@@ -362,43 +583,66 @@ def main_text(df: DataFrame, depth: int = DEPTH, share: float = SHARE, part_page
     sizes = sizes.select("host", "bytes", F.greatest(F.ceil(F.col("n") / part_pages), F.ceil(F.col("bytes") / part_bytes)).cast("int").alias("parts"))
     sizes = written(sizes, "host-sizes")
     total = sizes.agg(F.sum("bytes")).first()[0] or 0
-    large = sizes.filter("parts > 1").select("host", "parts")
+    bits = F.greatest(F.lit(16), F.ceil(F.log2(F.col("bytes") * 4.0))).cast("int").alias("bits")
+    large = sizes.filter("parts > 1").select("host", "parts", bits)
     # Broadcast if there are few such hosts, which is counted first; else joined by sorting.
-    large = F.broadcast(large) if large.count() <= BROADCAST_HOSTS else large.hint("merge")
-    row = F.xxhash64("page_id", "url", "html")
-    dealt = pages.join(large, "host", "left").withColumn("part", F.coalesce(F.pmod(row, F.col("parts")).cast("int"), F.lit(0)))
+    n_large = large.count()
+    large = F.broadcast(large) if n_large <= BROADCAST_HOSTS else large.hint("merge")
+    dealt = pages.join(large, "host", "left").select("host", F.coalesce("parts", F.lit(1)).alias("parts"), F.coalesce("bits", F.lit(16)).alias("bits"), "page_id", "url", "html")
+    cells = partitions(spark, total, part_bytes // 4)
+    of_pages = pa.list_(pa.struct([("page_id", pa.int64()), ("url", pa.string())]))
+    row_schema = pa.schema(
+        [("cell", pa.int32()), ("host", pa.string()), ("part", pa.int32()), ("parts", pa.int32()), ("bits", pa.int32()), ("home", pa.bool_()), ("pages", of_pages), ("kinds", pa.binary()), ("body", pa.binary())]
+    )
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in (whole.slice(i, 256) for i in range(0, len(whole), 256))):
-            found = [parsed_blocks(h.as_py()) for h in batch.column(4)]
-            kinds = pa.array([[k for k, _ in x] for x in found], pa.list_(pa.int8()))
-            texts = pa.array([[t for _, t in x] for x in found], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], kinds, texts], ["host", "part", "page_id", "url", "kinds", "texts"])
-
-    def decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, rows, held = None, [], []
-
-        def flush() -> pa.RecordBatch:
-            nonlocal rows, held
-            columns = zip(*[(*row, *found) for row, found in zip(rows, main_texts(held, depth, share), strict=True)], strict=True)
-            kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64())
-            rows, held = [], []
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["page_id", "url", "text", "n_repeated", "n_removed"])
-
-        for batch in batches:
-            for host, part, page_id, url, kinds, texts in zip(*batch.columns, strict=True):
-                if (own := (host.as_py(), part.as_py())) != group:
-                    if rows:
-                        yield flush()
-                    group = own
-                rows.append((page_id.as_py(), url.as_py()))
-                held.append(list(zip(kinds.as_py(), texts.as_py(), strict=True)))
-        if rows:
-            yield flush()
-
-    streams = dealt.select("host", "part", "page_id", "url", "html").mapInArrow(parsed, "host string, part int, page_id long, url string, kinds array<tinyint>, texts array<string>")
-    streams = streams.repartition(partitions(spark, total, part_bytes // 4), "host", "part").sortWithinPartitions("host", "part")
-    return streams.mapInArrow(decided, "page_id long, url string, text string, n_repeated long, n_removed long")
+            equal: dict[tuple, list[dict]] = defaultdict(list)
+            for host, parts, bits, page_id, url, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found = parsed_blocks(html)
+                equal[host, parts, bits, bytes(k for k, _ in found), "\n".join(t for _, t in found).encode()].append({"page_id": page_id, "url": url})
+            out = []
+            for (host, parts, bits, kinds, body), rows in equal.items():
+                digest = hashlib.blake2b(kinds + b"\n" + body, digest_size=8).digest()
+                here, packed = int.from_bytes(digest, "little") % parts, zlib.compress(body, 1)
+                groups = {here: rows}
+                if parts > 1 and len(rows) >= HOT:
+                    there = zlib.crc32(f"{rows[1]}".encode(), here) % parts
+                    groups = {here: rows[:1], there: rows[1:]} if there != here else groups
+                for part, own in groups.items():
+                    out.append((zlib.crc32(f"{part} {host}".encode()) % cells, host, part, parts, bits, part == here, own, kinds, packed))
+            yield from _table(out, row_schema).to_batches()
+
+    found_schema = pa.schema([("pages", of_pages), ("text", pa.string()), ("n_repeated", pa.int64()), ("n_removed", pa.int64())])
+
+    def decided(rows: pa.Table, answers: pa.Table | None = None) -> pa.Table:
+        heard, out = _by_part(answers) if answers is not None else {}, []
+        for host, part, row, distinct, of in _parts(rows, depth, 1):
+            others = ()
+            if row["parts"] > 1:
+                counting, n, _ = _heard(heard[host, part][2])
+                others = _heard(heard[host, part][1])[0], counting, n
+            found = _decided(distinct, share, *others)
+            out += [(own, *found[number]) for own, number in of]
+        return _table(out, found_schema)
+
+    structs = "array<struct<page_id: bigint, url: string>>"
+    rows = dealt.mapInArrow(parsed, f"cell int, host string, part int, parts int, bits int, home boolean, pages {structs}, kinds binary, body binary")
+    rows = rows.repartition(cells, "cell").groupBy("cell")
+    result = f"pages {structs}, text string, n_repeated long, n_removed long"
+    if n_large:
+        # All steps read the same dealt rows, which Spark shuffles once.
+        def met(told: DataFrame) -> DataFrame:
+            return told.groupBy("host", "bucket").applyInArrow(_met, _TOLD)
+
+        none = spark.createDataFrame([], _TOLD)
+        stretches = met(rows.cogroup(none.groupBy("cell")).applyInArrow(_telling(0, _tells_stretches, depth), _TOLD))
+        windows = met(rows.cogroup(stretches.groupBy("cell")).applyInArrow(_telling(1, _tells_windows, depth), _TOLD))
+        counting = met(rows.cogroup(windows.groupBy("cell")).applyInArrow(_telling(2, _tells_counting, depth), _TOLD))
+        found = rows.cogroup(windows.union(counting).groupBy("cell")).applyInArrow(decided, result)
+    else:
+        found = rows.applyInArrow(lambda rows: decided(rows), result)
+    return found.select(F.inline("pages"), "text", "n_repeated", "n_removed")
 
 
 def op3_host_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:

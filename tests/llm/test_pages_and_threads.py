@@ -166,6 +166,29 @@ def test_repeated_blocks_go_from_open_pages(spark, part_bytes):
     assert sorted(map(str, main_text(clashing(frame), part_bytes=part_bytes).collect())) == sorted(map(str, main_text(frame, part_bytes=part_bytes).collect()))
 
 
+def host_pages():
+    """Pages of one host with articles, open blocks that few or many pages repeat, short ones, near copies and many copies."""
+    rng, words = random.Random(11), [f"w{i}" for i in range(400)]
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    feet, story = [prose(10) for _ in range(6)], prose(40)
+    out = ["<div><p>the same page many times over in full</p><p>Home</p></div>"] * 60
+    for i in range(150):
+        parts = [prose(rng.randint(3, 30)), feet[min(rng.randrange(30), 5)], rng.choice(("Home", "Top", "a b", prose(2)))]
+        parts += [f"{story} {i}"] if i % 15 == 0 else [f"see {feet[5]} {prose(3)}"] if i % 7 == 0 else []
+        rng.shuffle(parts)
+        out.append(f"<article><p>{prose(20)}</p></article>" * (i % 4 == 0) + "".join(f"<div>{x}</div>" for x in parts))
+    return out
+
+
+def test_parts_of_a_host_change_no_result(spark):
+    htmls = host_pages()
+    frame = spark.createDataFrame([(i, f"http://h.com/{i}", h) for i, h in enumerate(htmls)], "page_id long, url string, html string").coalesce(2)
+    want = [(i, *found) for i, found in enumerate(boilerplate.main_texts([parsed_blocks(h) for h in htmls]))]
+    assert len({n for *_, n in want}) > 4 and len({n for _, _, n, _ in want}) > 4
+    for sizes in ({}, {"part_pages": 90}, {"part_pages": 5}, {"part_bytes": 3000}):
+        assert sorted((r.page_id, r.text, r.n_repeated, r.n_removed) for r in main_text(frame, **sizes).collect()) == want
+
+
 def test_names_and_teasers():
     html = """<article><div class="article-header"><h1>Title</h1></div><h2 id="related-work">Related work</h2><section id="share-of-all"><p>body</p></section>
       <p class="notice-text">x</p><fieldset><p>q</p></fieldset><div class="ad-slot">buy</div><div class="commentList">me too</div><div class="post-footer">filed under a</div></article>"""
