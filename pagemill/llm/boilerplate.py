@@ -633,7 +633,7 @@ def main_text(df: DataFrame, depth: int = DEPTH, share: float = SHARE, part_page
     if n_large:
         # All steps read the same dealt rows, which Spark shuffles once.
         def met(told: DataFrame) -> DataFrame:
-            return told.groupBy("host", "bucket").applyInArrow(_met, _TOLD)
+            return told.groupBy("host", "bucket").applyInArrow(_met, _TOLD).repartition(cells, "cell")
 
         none = spark.createDataFrame([], _TOLD)
         stretches = met(rows.cogroup(none.groupBy("cell")).applyInArrow(_telling(0, _tells_stretches, depth), _TOLD))
