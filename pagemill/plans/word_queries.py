@@ -134,7 +134,7 @@ def word_counts(spark, sf_dir):
   CASE WHEN style IS NULL THEN '112233' ELSE '99B3CC' END AS colour FROM r WHERE text <> ''""")
 def word_formats(spark, sf_dir):
     def rows(n: scan.Nodes) -> DataFrame:
-        runs, paragraphs = scan.paragraph_rows(n)
+        runs, paragraphs = scan.run_rows(n)
         out = formats.run_formats(scan.documents(n, only=_STYLED), runs.filter("text <> ''"), paragraphs)
         return out.select("doc_id", "p_idx", "text", "size_pt", F.try_element_at("fmt", F.lit("sz"))["source"].alias("size_from"), "bold", "colour")
 

@@ -192,91 +192,125 @@ def _events(nodes: DataFrame, name: str, points: DataFrame) -> DataFrame:
     return points.withColumn("_step", F.lit(0)).unionByName(marks, allowMissingColumns=True)
 
 
-def inside(nodes: DataFrame, name: str, points: DataFrame | Column, *columns: Column | str) -> DataFrame:
-    """``points`` (K, at, ...) once for each element ``name`` around them, with its place ``begin`` and ``level`` (1: the outermost). Points
-    that are nodes are told by a condition and have ``columns`` of theirs; they take no union, so nodes that are dealt by document stay there."""
-    if isinstance(points, Column):
-        own, holds = F.coalesce(points, F.lit(False)), (F.col("name") == name) & (F.col("end") > F.col("pos"))
-        step = lambda where, at, n: F.when(where, F.struct(F.col(at).alias("at"), F.lit(n).alias("_step")))
-        steps = F.filter(F.array(step(own, "pos", 0), step(holds, "pos", 1), step(holds, "end", -1)), lambda x: x.isNotNull())
-        rows = nodes.filter(own | holds).select(*K, *columns, F.inline(steps))
-    else:
-        rows = _events(nodes, name, points)
+def inside(nodes: DataFrame, name: str, points: DataFrame) -> DataFrame:
+    """``points`` (K, at, ...) once for each element ``name`` around them, with its place ``begin`` and ``level`` (1: the outermost)."""
+    rows = _events(nodes, name, points)
     return N.contents(rows, K, "at", F.col("_step") == 1, F.col("_step") == -1, every_level=True).drop("_step")
 
 
-def around(nodes: DataFrame) -> DataFrame:
-    """(K, pos, in_table, in_sdt, in_revision, covered) of paragraphs and runs: whether cells, controls, revisions or covering elements are around them."""
-    kinds = {"in_table": ("w:tc",), "in_sdt": ("w:sdt",), "in_revision": ("w:ins", "w:del"), "covered": _COVERING}
-    names = {n for group in kinds.values() for n in group}
-    rows = nodes.filter(F.col("name").isin("w:p", "w:r", *names))
-    steps = F.filter(F.array(F.struct(F.col("pos").alias("at"), F.when(F.col("end") > F.col("pos"), 1).otherwise(0).alias("step")), F.struct(F.col("end").alias("at"), F.lit(-1).alias("step"))), lambda x: (x["step"] >= 0) | (F.col("end") > F.col("pos")))
-    rows = rows.select(*K, "name", F.inline(steps))
-    before = W.partitionBy(*K).orderBy("at").rowsBetween(W.unboundedPreceding, -1)
-    flags = [(F.coalesce(F.sum(F.when(F.col("name").isin(*group), F.col("step")).otherwise(0)).over(before), F.lit(0)) > 0).alias(k) for k, group in kinds.items()]
-    return rows.select(*K, "name", F.col("at").alias("pos"), "step", *flags).filter("step >= 0 and name in ('w:p', 'w:r')").drop("step", "name")
-
-
-def _runs(nodes: DataFrame, props: DataFrame, flags: DataFrame) -> DataFrame:
-    """(K, begin, runs): the runs of each paragraph that begins at ``begin``."""
-    own = nodes.filter("name = 'w:r'").select(*K, F.col("pos").alias("at"), "parent")
-    says = F.col("first") & F.col("parent_name").isin("w:t", "w:delText")
-    text = inside(nodes, "w:r", says, "text").groupBy(*K, F.col("begin").alias("at")).agg(F.array_join(_by_place("text", place="at"), "").alias("text"))
-    marks = nodes.filter("parent_name = 'w:r' and name in ('w:fldChar', 'w:instrText')").select(*K, F.col("parent").alias("at")).distinct().withColumn("marked", F.lit(True))
-    rpr = owned(nodes, props, "w:rPr", "w:r", "").withColumnRenamed("of", "at")
-    rows = own.join(text, [*K, "at"], "left").join(marks, [*K, "at"], "left").join(rpr, [*K, "at"], "left").join(flags.select(*K, F.col("pos").alias("at"), "covered"), [*K, "at"])
-    rows = rows.join(inside(nodes, "w:p", F.col("name") == "w:r").select(*K, "at", "begin"), [*K, "at"])
-    hidden = F.col("covered") | F.coalesce("marked", F.lit(False)) | F.coalesce("vanish", F.lit(False))
-    idx = F.row_number().over(W.partitionBy(*K, "begin").orderBy("at")) - 1
-    none = F.create_map().cast("map<string,string>")
-    run = F.struct(idx.alias("idx"), F.coalesce("text", F.lit("")).alias("text"), F.col("style").alias("style_id"), (F.col("parent") == F.col("begin")).alias("direct_child"), hidden.alias("no_colour"), F.coalesce("props", none).alias("rpr"))
-    listed = rows.select(*K, "begin", idx.alias("o"), run.alias("run")).groupBy(*K, "begin").agg(F.collect_list(F.struct("o", "run")).alias("runs"))
-    return listed.select(*K, "begin", F.transform(F.array_sort("runs", lambda a, b: a["o"] - b["o"]), lambda x: x["run"]).alias("runs"))
-
-
+#: What holds other nodes, by name: paragraphs, runs and tables have rows of their own in ``held``.
+_HOLDERS = {"w:p": 1, "w:r": 2, "w:tbl": 3}
 _RUN_TYPE = "struct<idx:int,text:string,style_id:string,direct_child:boolean,no_colour:boolean,rpr:map<string,string>>"
 
 
-def _contents(nodes: DataFrame) -> DataFrame:
-    """(K, begin, text, break_types, instructions, has_omml, has_picture, has_anchor) of each paragraph that holds any of it."""
-    name = F.col("name")
-    said = F.when(F.col("first") & F.col("parent_name").isin(*_SAYING), F.col("text")).when(name == "w:tab", "\t").when(name == "w:br", "\n")
+def held(nodes: DataFrame, kinds: Sequence[str] = tuple(_HOLDERS)) -> DataFrame:
+    """One row for each paragraph, run and table (K, kind, begin, end, parent, number) with what lies in it and around it: ``text``, ``break_types``,
+    ``instructions``, ``has_omml``, ``has_picture`` and ``has_anchor`` at any depth; ``owner``, the place of the first properties right below it; ``marked``: it has
+    marks of fields right below it; ``at_runs``, the places of a paragraph's runs; ``cells``, those of the paragraphs that have the table as their
+    innermost; ``in_table``, ``in_sdt``, ``in_revision``, ``covered``: what is around it. ``number``: it is the how manieth of its part.
+
+    Two windows do it: depths are running sums over places, and of what lies at one depth in elements of one kind, the last that began holds it."""
+    name, parent = F.col("name"), F.col("parent_name")
+    kind = F.coalesce(*[F.when(name == n, k) for n, k in _HOLDERS.items() if n in kinds])
+    spoken = F.coalesce(F.col("first") & parent.isin("w:t", "w:delText"), F.lit(False))
     told = {
-        "said": said, "broken": F.when((name == "w:br") & attr("type").isin("page", "column"), attr("type")),
-        "simple": F.when(name == "w:fldSimple", F.coalesce(attr("instr"), F.lit(""))), "code": F.when(F.col("first") & (F.col("parent_name") == "w:instrText"), F.col("text")),
+        "said": F.when(F.col("first") & parent.isin(*_SAYING), F.col("text")).when(name == "w:tab", "\t").when(name == "w:br", "\n"), "broken": F.when((name == "w:br") & attr("type").isin("page", "column"), attr("type")),
+        "simple": F.when(name == "w:fldSimple", F.coalesce(attr("instr"), F.lit(""))), "code": F.when(F.col("first") & (parent == "w:instrText"), F.col("text")),
     }
     flags = {"omml": name.isin("m:oMath", "m:oMathPara"), "picture": name.isin("w:drawing", "w:pict"), "anchor": name == "wp:anchor"}
-    some = reduce(Column.__or__, [*[c.isNotNull() for c in told.values()], *flags.values()])
-    listed = lambda c: _by_place(c, F.col(c).isNotNull(), "at")
-    return inside(nodes, "w:p", some, *[c.alias(k) for k, c in (told | flags).items()]).groupBy(*K, "begin").agg(
-        F.array_join(listed("said"), "").alias("text"), listed("broken").alias("break_types"), F.concat(listed("simple"), listed("code")).alias("instructions"),
-        F.bool_or("omml").alias("has_omml"), F.bool_or("picture").alias("has_picture"), F.bool_or("anchor").alias("has_anchor"),
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    below = lambda n, up: yes((name == n) & (parent == up))
+    marks = yes(name.isin("w:fldChar", "w:instrText") & (parent == "w:r"))
+    points = {
+        1: yes(reduce(Column.__or__, [*[c.isNotNull() for c in told.values()], *flags.values()])) | below("w:pPr", "w:p") | ((name == "w:r") if "w:r" in kinds else F.lit(False)),
+        2: spoken | below("w:rPr", "w:r") | marks, 3: (name == "w:p") | below("w:tblPr", "w:tbl"),
+    }
+    points = {k: points[k] for n, k in _HOLDERS.items() if n in kinds}
+    groups = {"in_table": ("w:tc",), "in_sdt": ("w:sdt",), "in_revision": ("w:ins", "w:del"), "covered": _COVERING} if "w:r" in kinds else {}
+    opening = yes(name.isin(*kinds, *[n for group in groups.values() for n in group]) & (F.col("end") > F.col("pos")))
+    step = lambda at, n: F.struct(F.col(at).alias("at"), F.lit(n).alias("_step"))
+    rows = nodes.select(
+        *K, "pos", "end", "parent", kind.alias("_kind"), *[c.alias(k) for k, c in told.items()], *[yes(c).alias(k) for k, c in flags.items()], marks.alias("_marks"), below("w:pPr", "w:p").alias("_ppr"),
+        (below("w:rPr", "w:r") | below("w:tblPr", "w:tbl")).alias("_pr"), (name == "w:r").alias("_run"), opening.alias("_opening"), *[c.alias(f"_in{k}") for k, c in points.items()], *[name.isin(*g).alias(f"_{k}") for k, g in groups.items()],
+    ).filter(reduce(Column.__or__, [F.col(f"_in{k}") for k in points], F.col("_kind").isNotNull() | F.col("_opening")))
+    rows = rows.withColumn("_e", F.explode(F.when(F.col("_opening"), F.array(step("pos", 1), step("end", -1))).otherwise(F.array(step("pos", 0))))).select("*", "_e.*").drop("_e", "pos", "_opening")
+    so_far = W.partitionBy(*K).orderBy("at").rowsBetween(W.unboundedPreceding, 0)
+    sums = {f"_depth{k}": F.sum(F.when(F.col("_kind") == k, F.col("_step")).otherwise(0)).over(so_far).cast("int") for k in points}
+    sums |= {f"_number{k}": F.count_if((F.col("_kind") == k) & (F.col("_step") >= 0)).over(so_far).cast("int") for k in points}
+    sums |= {f"_around_{k}": F.sum(F.when(F.col(f"_{k}"), F.col("_step")).otherwise(0)).over(so_far) for k in groups}
+    rows = rows.withColumns(sums).filter("_step >= 0")
+    # A slot is four times a depth plus a kind; tables take only those that lie right in them.
+    none = F.array().cast("array<int>")
+    own = [F.when(F.col("_kind") == k, F.array(4 * (F.col(f"_depth{k}") + F.when(F.col("_step") > 0, 0).otherwise(1)) + k)) for k in points]
+    slots = [F.coalesce(*own, none)]
+    for k in points:
+        depth = F.col(f"_depth{k}")
+        slots.append(F.when(F.col(f"_in{k}") & (depth > 0), F.array(4 * depth + k) if k == 3 else F.sequence(F.lit(4 + k), 4 * depth + k, F.lit(4))).otherwise(none))
+    rows = rows.withColumn("_slot", F.explode(F.concat(*slots))).withColumn("kind", F.col("_slot") % 4)
+    opens = yes(F.col("_kind") == F.col("kind"))
+    rows = rows.withColumn("_opens", opens).withColumn("begin", F.last(F.when(opens, F.col("at")), ignorenulls=True).over(W.partitionBy(*K, "_slot").orderBy("at").rowsBetween(W.unboundedPreceding, 0)))
+    listed = lambda c: F.sort_array(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("at", c))))[c]
+    number = F.coalesce(*[F.when(F.col("kind") == k, F.col(f"_number{k}")) for k in points])
+    right = F.col("parent") == F.col("begin")
+    places = lambda where: F.sort_array(F.collect_list(F.when(where, F.col("at"))))
+    return rows.groupBy(*K, "kind", "begin").agg(
+        F.max(F.when(F.col("_opens"), F.col("end"))).alias("end"), F.max(F.when(F.col("_opens"), F.col("parent"))).alias("parent"), F.max(F.when(F.col("_opens"), number)).alias("number"),
+        F.array_join(listed("said"), "").alias("text"), listed("broken").alias("break_types"), F.concat(listed("simple"), listed("code")).alias("instructions"), *[F.bool_or(k).alias(f"has_{k}") for k in flags],
+        F.min(F.when((F.col("_ppr") | F.col("_pr")) & right, F.col("at"))).alias("owner"), F.bool_or(F.col("_marks") & right).alias("marked"), places((F.col("kind") == 1) & F.col("_run")).alias("at_runs"),
+        places((F.col("kind") == 3) & (F.col("_kind") == 1)).alias("cells"), *[F.bool_or(F.col("_opens") & (F.col(f"_around_{k}") > 0)).alias(k) for k in groups],
     )
 
 
+def _runs(whole: DataFrame, props: DataFrame) -> DataFrame:
+    """(K, begin, o, run): the runs of the paragraphs that begin at ``begin``, of all that ``held`` finds."""
+    rows = whole.filter("kind = 1").select(*K, "begin", F.posexplode("at_runs").alias("o", "at"))
+    told = whole.filter("kind = 2").select(*K, F.col("begin").alias("at"), "text", "parent", "marked", "covered", "owner").join(props.select(*K, "owner", "style", "vanish", "props"), [*K, "owner"], "left")
+    rows = rows.join(told, [*K, "at"])
+    hidden = F.col("covered") | F.col("marked") | F.coalesce("vanish", F.lit(False))
+    run = F.struct(F.col("o").alias("idx"), "text", F.col("style").alias("style_id"), (F.col("parent") == F.col("begin")).alias("direct_child"), hidden.alias("no_colour"), F.coalesce("props", F.create_map().cast("map<string,string>")).alias("rpr"))
+    return rows.select(*K, "begin", "o", run.alias("run"))
+
+
+def _found(n: Nodes) -> tuple[DataFrame, DataFrame]:
+    """What ``held`` and ``properties`` say of the stories, written."""
+    props = bucketed(properties(n.told).repartition(n.buckets, "doc_id"), n.folder, "properties", n.buckets, ["doc_id"])
+    return bucketed(held(n.told), n.folder, "held", n.buckets, ["doc_id"]), props
+
+
 def paragraphs(n: Nodes) -> DataFrame:
     """(doc_id, story, begin, parent, part_name, and the columns of the documents' paragraphs) of all stories."""
-    nodes, props = n.told, bucketed(properties(n.told).repartition(n.buckets, "doc_id"), n.folder, "properties", n.buckets, ["doc_id"])
-    flags = around(nodes)
-    own = nodes.filter("name = 'w:p'").select(*K, F.col("pos").alias("begin"), "parent").join(flags.select(*K, F.col("pos").alias("begin"), "in_table", "in_sdt", "in_revision"), [*K, "begin"])
-    own = own.withColumn("idx", F.row_number().over(W.partitionBy(*K).orderBy("begin")) - 1)
-    ppr = owned(nodes, props, "w:pPr", "w:p", "").withColumnRenamed("of", "begin")
-    tables = nodes.filter("name = 'w:tbl'").select(*K, F.col("pos").alias("t"), (F.row_number().over(W.partitionBy(*K).orderBy("pos")) - 1).alias("table_idx"))
-    tables = tables.join(owned(nodes, props, "w:tblPr", "w:tbl", "").select(*K, F.col("of").alias("t"), F.col("style").alias("table_style")), [*K, "t"], "left")
-    within = inside(nodes, "w:tbl", F.col("name") == "w:p").groupBy(*K, "at").agg(F.max_by("begin", "level").alias("t")).join(tables, [*K, "t"]).select(*K, F.col("at").alias("begin"), "table_idx", "table_style")
-    rows = own.join(_contents(nodes), [*K, "begin"], "left").join(ppr, [*K, "begin"], "left").join(within, [*K, "begin"], "left").join(_runs(nodes, props, flags), [*K, "begin"], "left")
-    rows = rows.join(n.stories, K)
+    whole, props = _found(n)
+    runs = _runs(whole, props).groupBy(*K, "begin").agg(F.collect_list(F.struct("o", "run")).alias("runs"))
+    runs = runs.select(*K, "begin", F.transform(F.array_sort("runs", lambda a, b: a["o"] - b["o"]), lambda x: x["run"]).alias("runs"))
+    return _paragraphs(n, whole, props).join(runs, [*K, "begin"], "left").withColumn("runs", F.coalesce("runs", F.array().cast(f"array<{_RUN_TYPE}>"))).select(
+        "doc_id", "story", "begin", "parent", "part_name", *_TOLD, "runs"
+    )
+
+
+_TOLD = "idx text style_id section_index in_table in_sdt in_revision table_idx table_style break_types has_omml has_picture has_anchor instructions ppr".split()
+
+
+def _paragraphs(n: Nodes, whole: DataFrame, props: DataFrame) -> DataFrame:
+    """``paragraphs`` without their runs."""
+    tables = whole.filter("kind = 3").select(*K, "owner", (F.col("number") - 1).alias("table_idx"), "cells").join(props.select(*K, "owner", F.col("style").alias("table_style")), [*K, "owner"], "left")
+    within = tables.select(*K, "table_idx", "table_style", F.explode("cells").alias("begin"))
+    rows = whole.filter("kind = 1").join(props.select(*K, "owner", "style", "sect", "props"), [*K, "owner"], "left").join(within, [*K, "begin"], "left").join(n.stories, K)
     ended = F.sum(F.when(F.coalesce("sect", F.lit(False)), 1).otherwise(0)).over(W.partitionBy(*K).orderBy("begin").rowsBetween(W.unboundedPreceding, -1))
     section = F.when(F.col("part_name") == MAIN, F.coalesce(ended, F.lit(0)).cast("int"))
-    no = F.array().cast("array<string>")
-    flag = lambda c: F.coalesce(c, F.lit(False))
     return rows.select(
-        "doc_id", "story", "begin", "parent", "part_name", F.col("idx").cast("int").alias("idx"), F.coalesce("text", F.lit("")).alias("text"), F.col("style").alias("style_id"), section.alias("section_index"), "in_table", "in_sdt", "in_revision",
-        F.col("table_idx").cast("int").alias("table_idx"), "table_style", F.coalesce("break_types", no).alias("break_types"), flag("has_omml").alias("has_omml"), flag("has_picture").alias("has_picture"), flag("has_anchor").alias("has_anchor"),
-        F.coalesce("instructions", no).alias("instructions"), F.coalesce("props", F.create_map().cast("map<string,string>")).alias("ppr"), F.coalesce("runs", F.array().cast(f"array<{_RUN_TYPE}>")).alias("runs"),
+        "doc_id", "story", "begin", "parent", "part_name", (F.col("number") - 1).alias("idx"), "text", F.col("style").alias("style_id"), section.alias("section_index"), "in_table", "in_sdt", "in_revision", "table_idx", "table_style", "break_types",
+        "has_omml", "has_picture", "has_anchor", "instructions", F.coalesce("props", F.create_map().cast("map<string,string>")).alias("ppr"),
     )
 
 
+def run_rows(n: Nodes) -> tuple[DataFrame, DataFrame]:
+    """The columns of ``docx.runs`` and ``docx.paragraphs`` without ``runs`` in those: no run takes the way through its paragraph's list."""
+    whole, props = _found(n)
+    kept = bucketed(_paragraphs(n, whole, props), n.folder, "paragraphs", n.buckets, ["doc_id"])
+    runs = _runs(whole, props).join(kept.select(*K, "begin", F.col("idx").alias("p_idx")), [*K, "begin"])
+    return runs.select("doc_id", "part_name", "p_idx", "run.*"), kept.drop("story", "begin", "parent")
+
+
 def paragraph_rows(n: Nodes) -> tuple[DataFrame, DataFrame]:
     """``docx.runs`` and ``docx.paragraphs`` of the documents, without the way through one row a document; they stay dealt by document."""
     kept = bucketed(paragraphs(n), n.folder, "paragraphs", n.buckets, ["doc_id"])
@@ -478,8 +512,7 @@ def counts(n: Nodes, paragraphs: DataFrame) -> DataFrame:
 
 def texts(n: Nodes) -> DataFrame:
     """(doc_id, part_name, idx, begin, end, text) of the paragraphs of all stories."""
-    own = n.told.filter("name = 'w:p'").select(*K, F.col("pos").alias("begin"), "end").withColumn("idx", F.row_number().over(W.partitionBy(*K).orderBy("begin")) - 1)
-    return own.join(_contents(n.told).select(*K, "begin", "text"), [*K, "begin"], "left").select(*K, "idx", "begin", "end", F.coalesce("text", F.lit("")).alias("text"))
+    return held(n.told, ("w:p",)).select(*K, (F.col("number") - 1).alias("idx"), "begin", "end", "text")
 
 
 def scan_parts(parts: DataFrame, folder: str | None = None) -> DataFrame:

@@ -16,8 +16,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators.nesting import with_levels
-
 _QUOTED = r"""(?:"[^"]*+"|'[^']*+')"""
 _PIECE = rf"""<!--[\s\S]*?-->|<!\[CDATA\[[\s\S]*?\]\]>|<\?[\s\S]*?\?>|<(?:[^<>"']++|{_QUOTED})*+>|[^<]++|<"""
 _ATTRIBUTE = rf"""[^\s="'<>/]+\s*=\s*{_QUOTED}"""
@@ -41,22 +39,24 @@ def _character(digits: Column, base: int) -> Column:
 
 def unescaped(text: Column) -> Column:
     """``text`` with references decoded and line ends as in XML."""
-    lines = F.regexp_replace(text, "\r\n?", "\n")
+    lines = F.when(text.contains("\r"), F.regexp_replace(text, "\r\n?", "\n")).otherwise(text)
+    return F.when(text.contains("&"), _decoded(lines)).otherwise(lines)
+
 
+def _decoded(text: Column) -> Column:
     def piece(p: Column) -> Column:
         out = F.when(p.startswith("&#x"), _character(F.regexp_extract(p, "^&#x([0-9A-Fa-f]+);$", 1), 16)).when(p.startswith("&#"), _character(F.regexp_extract(p, "^&#([0-9]+);$", 1), 10))
         for name, own in (("amp", "&"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'")):
             out = out.when(p == f"&{name};", own)
         return out.otherwise(p)
 
-    pieces = F.regexp_extract_all(lines, F.lit(_ENTITY + "|[^&]+|&"), F.lit(0))
-    return F.when(lines.contains("&"), F.array_join(F.transform(pieces, piece), "")).otherwise(lines)
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(_ENTITY + "|[^&]+|&"), F.lit(0)), piece), "")
 
 
 def _value(attribute: Column) -> Column:
     """What stands between the quotes of ``name="value"``."""
-    quoted = F.regexp_extract(attribute, r"""=\s*(["'][\s\S]*["'])$""", 1)
-    return unescaped(F.regexp_replace(F.substring(quoted, F.lit(2), F.length(quoted) - 2), r"[\t\n\r]", " "))
+    value = F.translate(F.regexp_extract(attribute, r"""^[^"']*+["']([\s\S]*)["']$""", 1), "\t\n\r", "   ")
+    return F.when(attribute.contains("&"), _decoded(value)).otherwise(value)
 
 
 def _named(raw: Column, renames: Column, bare: bool) -> Column:
@@ -84,7 +84,7 @@ def pieces(documents: DataFrame, keys: Sequence[str], xml: str, names: dict[str,
     keys, kept = list(keys), list(kept)
     docs = documents.select(*keys, *kept, F.col(xml).alias("_xml"), declared.alias("_declared"))
     twice = F.size(F.array_distinct(F.transform("_declared", lambda d: d["own"]))) < F.size("_declared")
-    early = F.when(F.col("_xml").isNull(), "not text").when(F.upper("_xml").contains("<!DOCTYPE"), "it has a document type").when(twice, "a prefix is bound twice")
+    early = F.when(F.col("_xml").isNull(), "not text").when(F.col("_xml").rlike("<!(?i:DOCTYPE)"), "it has a document type").when(twice, "a prefix is bound twice")
     renames = F.filter(F.transform("_declared", to), lambda r: r["own"] != r["to"])
     cut = F.when(F.col("_error").isNull(), F.regexp_extract_all("_xml", F.lit(_PIECE), F.lit(0))).otherwise(F.array(F.lit("")))
     docs = docs.withColumn("_error", early).select(*keys, *kept, "_error", renames.alias("_renames"), F.posexplode_outer(cut).alias("pos", "_piece"))
@@ -96,31 +96,34 @@ def pieces(documents: DataFrame, keys: Sequence[str], xml: str, names: dict[str,
     raw = F.regexp_extract(piece, r"^</?([^\s/>]+)", 1)
     is_text, tag = F.col("_kind") == "text", F.col("_kind").isin("begin", "end", "empty")
     text = F.when(data, F.regexp_replace(piece, r"^<!\[CDATA\[|\]\]>$", "")).otherwise(unescaped(piece))
-    attributes = F.map_from_entries(F.transform(F.regexp_extract_all(piece, F.lit(_ATTRIBUTE), F.lit(0)), lambda a: F.struct(_named(F.regexp_extract(a, r"^[^\s=]+", 0), F.col("_renames"), False).alias("k"), _value(a).alias("v"))))
-    unknown = ~data & F.col("_kind").isin("text", "begin", "empty") & piece.rlike("&(?!" + _ENTITY[1:] + ")")
+    own = F.transform(F.regexp_extract_all(piece, F.lit(_ATTRIBUTE), F.lit(0)), lambda a: F.struct(_named(F.rtrim(F.substring_index(a, "=", 1), F.lit(" \t\n\x0b\f\r")), F.col("_renames"), False).alias("k"), _value(a).alias("v")))
+    attributes = F.when(piece.contains("="), F.map_from_entries(own)).otherwise(F.create_map().cast("map<string,string>"))
+    unknown = ~data & F.col("_kind").isin("text", "begin", "empty") & piece.contains("&") & piece.rlike("&(?!" + _ENTITY[1:] + ")")
     rows = rows.withColumn("_kind", kind).select(
         *keys, *kept, "_error", "pos", "_kind", F.when(tag, _named(raw, F.col("_renames"), True)).alias("_name"), F.when(F.col("_kind").isin("begin", "empty"), attributes).alias("attrs"), F.when(is_text, text).alias("text"),
         F.coalesce(unknown, F.lit(False)).alias("_unknown"), (is_text & piece.rlike(r"\S")).alias("_says"),
     )
-    rows = with_levels(rows, keys, "pos", F.col("_kind") == "begin", F.col("_kind") == "end", "_level")
-    rows = rows.withColumn("_last", F.last(F.when(tag, F.struct("_kind", "pos", "_name")), ignorenulls=True).over(W.partitionBy(*keys).orderBy("pos").rowsBetween(W.unboundedPreceding, -1)))
+    # One window for depths and for the last tag. Depths below zero are those of documents with a loose end, which are no documents.
+    so_far, step = W.partitionBy(*keys).orderBy("pos"), F.when(F.col("_kind") == "begin", 1).when(F.col("_kind") == "end", -1).otherwise(0)
+    depth, last = F.sum(step).over(so_far.rowsBetween(W.unboundedPreceding, 0)), F.last(F.when(tag, F.struct("_kind", "pos", "_name")), ignorenulls=True).over(so_far.rowsBetween(W.unboundedPreceding, -1))
+    rows = rows.withColumns({"_depth": depth.cast("int"), "_last": last})
 
     # A slot holds what lies right in the elements of one level, and those elements' own ends. So behind a begin its end is the next there,
     # and the parent is that of the last first child: what comes right behind a begin lies in it.
-    slot = F.when(F.col("_kind").isin("begin", "end"), F.col("_level")).when(F.col("_kind").isin("empty", "text"), F.col("_level") + 1)
+    slot = F.when(F.col("_kind") == "begin", F.col("_depth")).when(F.col("_kind").isin("end", "empty", "text"), F.col("_depth") + 1)
     began = F.when((F.col("_last._kind") == "begin") & F.col("_kind").isin("begin", "empty", "text") & (F.col("_slot") > 1), F.struct(F.col("_last.pos").alias("pos"), F.col("_last._name").alias("name")))
     beside = W.partitionBy(*keys, "_slot").orderBy("pos")
     rows = rows.withColumn("_slot", slot).withColumn("_began", began)
-    rows = rows.withColumns({"_end": F.lead("pos").over(beside), "_end_name": F.lead("_name").over(beside), "_up": F.last("_began", ignorenulls=True).over(beside.rowsBetween(W.unboundedPreceding, 0))})
+    rows = rows.withColumns({"_next": F.lead(F.struct("pos", "_name")).over(beside), "_up": F.last("_began", ignorenulls=True).over(beside.rowsBetween(W.unboundedPreceding, 0))})
 
     begins, node = F.col("_kind") == "begin", F.col("_kind").isin("begin", "empty", "text")
-    lost = begins & (F.col("_end").isNull() | ~F.col("_name").eqNullSafe(F.col("_end_name")))
-    loose = (F.col("_kind") == "end") & F.col("_level").isNull() | (F.col("_kind") == "bad")
-    outside = F.col("_says") & (F.col("_level") == 0)
+    lost = begins & (F.col("_next").isNull() | ~F.col("_name").eqNullSafe(F.col("_next._name")))
+    loose = (F.col("_kind") == "end") & (F.col("_depth") < 0) | (F.col("_kind") == "bad")
+    outside = F.col("_says") & (F.col("_depth") == 0)
     fault = F.coalesce("_error", F.when(F.coalesce(lost | loose | outside | F.col("_unknown"), F.lit(False)), "not well formed"))
-    root = begins & (F.col("_level") == 1) | (F.col("_kind") == "empty") & (F.col("_level") == 0)
+    root = begins & (F.col("_depth") == 1) | (F.col("_kind") == "empty") & (F.col("_depth") == 0)
     return rows.select(
-        *keys, *kept, "pos", F.when(begins, F.col("_end")).otherwise(F.col("pos")).alias("end"), F.col("_slot").alias("level"), F.col("_up.pos").alias("parent"), F.col("_up.name").alias("parent_name"),
+        *keys, *kept, "pos", F.when(begins, F.col("_next.pos")).otherwise(F.col("pos")).alias("end"), F.col("_slot").alias("level"), F.col("_up.pos").alias("parent"), F.col("_up.name").alias("parent_name"),
         F.when(is_text, F.lit(TEXT)).when(node, F.col("_name")).alias("name"), "attrs", "text", F.when(is_text, F.col("_last._kind") == "begin").alias("first"), fault.alias("fault"), root.alias("root"),
     ).filter("name is not null or fault is not null or pos = 0")
 

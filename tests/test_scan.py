@@ -2,11 +2,12 @@
 
 import io
 import random
+import re
 import zipfile
 
 import pytest
 
-from pagemill.sources import xml
+from pagemill.sources import scan, xml
 from pagemill.sources.parts import SCHEMA, parts_of, read_parts
 from pagemill.plans import formats
 from pagemill.sources.scan import Nodes, documents, paragraph_rows, paragraphs, scan_parts
@@ -174,3 +175,24 @@ def test_formats_broadcast_no_styles(spark):
         assert plan.count("SortMergeJoin") >= 2, plan  # with the styles, and with what they come to
         assert out.count() == (runs if "p_idx" in out.columns else rows).count()
     discard(spark, n.folder)
+
+
+def test_pieces_take_two_windows(spark):
+    """Every window holds all that is said of a piece: one for depths and last tags, one for what lies beside."""
+    rows = xml.pieces(spark.createDataFrame([("k", "<a/>")], "k string, x string"), ["k"], "x", {})
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"\bWindow \[", plan)) == 2, plan
+
+
+def test_attributes_and_references(spark):
+    text = """<a b = 'x"&#10;&amp;lt;'\tc="1\t2\n3"   d\n='='/>"""
+    rows = xml.pieces(spark.createDataFrame([("k", text), ("doc", "<!doctype a><a/>")], "k string, x string"), ["k"], "x", {})
+    assert [r.attrs for r in xml.nodes(rows).filter("k = 'k'").collect()] == [{"b": 'x"\n&lt;', "c": "1 2 3", "d": "="}]
+    assert [tuple(r) for r in xml.errors(rows, ["k"]).collect()] == [("doc", "it has a document type")]
+
+
+def test_held_reads_the_nodes_once(spark):
+    """Paragraphs, runs and tables, and what lies in them, come of one scan and two windows."""
+    nodes = "doc_id string, part_name string, pos int, end int, level int, parent int, parent_name string, name string, attrs map<string,string>, text string, first boolean"
+    plan = scan.held(spark.createDataFrame([], nodes))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ") == 1 and len(re.findall(r"\bWindow \[", plan)) == 2, plan
