@@ -164,7 +164,7 @@ _FREE = """CASE WHEN s = '' THEN 'empty' WHEN lower(c) = 'abstract' THEN 'abstra
   WHEN 'acknowledgements' THEN 'acknowledgements_body' WHEN 'appendix' THEN 'appendix_body' ELSE 'body' END END AS role FROM o""")
 def word_roles(spark, sf_dir):
     def rows(n: scan.Nodes) -> DataFrame:
-        paragraphs = scan.paragraph_rows(n)[1].filter(F.col("part_name") == MAIN)
+        paragraphs = scan.run_rows(n)[1].filter(F.col("part_name") == MAIN)
         return roles.classify(formats.paragraph_formats(scan.documents(n, only=_STYLED), paragraphs)).select("doc_id", "idx", "role")
 
     return answered(spark, sf_dir, rows)
