@@ -102,8 +102,7 @@ def word_paragraphs(spark, sf_dir):
   UNION ALL SELECT doc_id, i, CASE WHEN i % 9 = 8 THEN 3 ELSE 2 END + k, '', TRUE, TRUE, NULL, NULL FROM p, range(6) f(k) WHERE i % 6 = 5
 ) SELECT doc_id, i AS p_idx, CAST(idx AS INTEGER) AS idx, text, direct_child, no_colour, b, sz FROM r""")
 def word_runs(spark, sf_dir):
-    rows = lambda n: scan.paragraphs(n).select("doc_id", F.col("idx").alias("p_idx"), F.inline("runs"))
-    return answered(spark, sf_dir, lambda n: rows(n).select("doc_id", "p_idx", "idx", "text", "direct_child", "no_colour", *[F.try_element_at("rpr", F.lit(k)).alias(k) for k in ("b", "sz")]))
+    return answered(spark, sf_dir, lambda n: scan.run_rows(n)[0].select("doc_id", "p_idx", "idx", "text", "direct_child", "no_colour", *[F.try_element_at("rpr", F.lit(k)).alias(k) for k in ("b", "sz")]))
 
 
 @query(f"WITH {_LINES} SELECT doc_id, command, count(*) AS n FROM (SELECT doc_id, unnest(['REF', 'PAGE']) AS command FROM p WHERE i % 6 = 5) GROUP BY ALL")

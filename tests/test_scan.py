@@ -196,3 +196,15 @@ def test_held_reads_the_nodes_once(spark):
     nodes = "doc_id string, part_name string, pos int, end int, level int, parent int, parent_name string, name string, attrs map<string,string>, text string, first boolean"
     plan = scan.held(spark.createDataFrame([], nodes))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Scan ") == 1 and len(re.findall(r"\bWindow \[", plan)) == 2, plan
+
+
+def test_rows_of_runs_equal_the_lists(spark):
+    """``run_rows`` has the runs of ``paragraph_rows``, those in nested paragraphs and tables among them."""
+    files = spark.createDataFrame([("rich", bytearray(PACKAGES["rich"]))], "path string, content binary")
+    got = []
+    for rows in (scan.run_rows, paragraph_rows):
+        n = Nodes(parts_of(files), scratch(spark), contents=False)
+        runs, told = rows(n)
+        got.append((sorted(map(repr, runs.collect())), sorted(map(repr, told.drop("runs").select(*sorted(set(told.columns) - {"runs"})).collect()))))
+        discard(spark, n.folder)
+    assert got[0] == got[1] and got[0][0]
